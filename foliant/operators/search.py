@@ -55,7 +55,7 @@ def term_score(tf: Column, dl: Column, df: Column, n: Column, avg_dl: Column) ->
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
-    return scores.orderBy(F.desc("score"), "doc_id").limit(k)
+    return scores.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(k)
 
 
 def bm25(index: DataFrame, lengths: DataFrame, query: str, k: int = 50) -> DataFrame:
@@ -147,9 +147,9 @@ def search_library(
         scored = scored.withColumn("_s", stats.select(F.struct("n_docs", "avg_dl")).scalar())
     score = term_score(F.col("tf"), F.col("dl"), F.col("df"), F.col("_s.n_docs"), F.col("_s.avg_dl"))
     scores = scored.groupBy("collection", "doc_id").agg(F.sum(score).alias("score"))
-    place = F.row_number().over(W.partitionBy("collection").orderBy(F.desc("score"), "doc_id"))
+    place = F.row_number().over(W.partitionBy("collection").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     best = scores.withColumn("_p", place).filter(F.col("_p") <= k).drop("_p")
-    return best.orderBy(F.desc("score"), "collection", "doc_id").limit(k)
+    return best.orderBy(F.desc(F.round("score", 9)), "collection", "doc_id").limit(k)
 
 
 def find_files(files: DataFrame, query: str, limit: int | None = 500) -> DataFrame:

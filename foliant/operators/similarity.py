@@ -11,6 +11,8 @@ remove repeats. All of this is exact.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,13 @@ REF_LIMIT = 512
 MAX_DEPTH = 3
 
 
-def _longs(values: list[int]) -> Column:
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    return F.array(*[F.lit(v) for v in signed]).cast("array<bigint>")
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A constant array; read from text so that it is one literal in the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def _bands(mask: int, count: int) -> list[int]:
@@ -64,7 +70,7 @@ def similar_edges(
         level = _next_level(level, count)
         steps = F.sequence(F.lit(0), F.lit(count - 1))
         cells = rows.select("hash", F.explode(F.transform(steps, lambda j: F.col("path") * count + j)).alias("path"))
-        masks = _longs([mask for mask, _ in level])
+        masks = _constant([_signed(mask) for mask, _ in level], "array<bigint>")
         cells = cells.withColumn("key", F.col("hash").bitwiseAND(F.element_at(masks, F.col("path") + 1)))
         full = settle(
             cells.groupBy("path", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit)
@@ -91,7 +97,7 @@ def _pairs(left: DataFrame, right: DataFrame, level: list, max_bits: int, on: tu
     a = left.select(*on, F.col("hash").alias("a"))
     b = right.select(*on, F.col("hash").alias("b"))
     bits = hamming(F.col("a"), F.col("b"))
-    earlier = F.array(*[_longs(before) for _, before in level])
+    earlier = _constant([[_signed(m) for m in before] for _, before in level], "array<array<bigint>>")
     first = F.forall(
         F.element_at(earlier, F.col("path") + 1),
         lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) != 0,
@@ -148,13 +154,15 @@ def near_references(hashes: DataFrame, references: DataFrame, max_bits: int = MA
     Up to ``REF_LIMIT`` references are compared inside each row; more go
     through the banded pairs. The limit is checked on the data.
     """
-    known = hashes.select("hash").filter(F.col("hash").isNotNull()).distinct()
+    # Settled, so that the comparison below runs once per distinct hash and is
+    # not pushed down to every row.
+    known = settle(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
     refs = settle(references.select("hash").filter(F.col("hash").isNotNull()).distinct())
     few = [r["hash"] for r in refs.limit(REF_LIMIT + 1).collect()]
     if not few:
         return known.filter(F.lit(False))
     if len(few) <= REF_LIMIT:
-        listed = F.array(*[F.lit(x).cast("bigint") for x in few])
+        listed = _constant(few, "array<bigint>")
         return known.filter(F.exists(listed, lambda r: hamming(F.col("hash"), r) <= max_bits))
     pairs = similar_edges(known.unionByName(refs), max_bits)
     both = pairs.select(F.col("a").alias("hash"), F.col("b").alias("ref")).unionByName(

@@ -1,0 +1,8 @@
+"""Queries over the given tables that exercise every operator."""
+
+
+def registered():
+    """All queries and the SQL of those that have one."""
+    from foliant.plans import catalog
+
+    return catalog.REGISTRY, catalog.ORACLE
