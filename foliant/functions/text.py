@@ -17,7 +17,7 @@ STOPWORDS = (
 )
 
 # What counts as white space, as a Java character class body.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{WS}]"
 
 BODY_CAP = 200_000

@@ -163,7 +163,8 @@ def near_references(hashes: DataFrame, references: DataFrame, max_bits: int = MA
         return known.filter(F.lit(False))
     if len(few) <= REF_LIMIT:
         listed = _constant(few, "array<bigint>")
-        return known.filter(F.exists(listed, lambda r: hamming(F.col("hash"), r) <= max_bits))
+        # Settled again: a join would copy the comparison to its other side.
+        return settle(known.filter(F.exists(listed, lambda r: hamming(F.col("hash"), r) <= max_bits)))
     pairs = similar_edges(known.unionByName(refs), max_bits)
     both = pairs.select(F.col("a").alias("hash"), F.col("b").alias("ref")).unionByName(
         pairs.select(F.col("b").alias("hash"), F.col("a").alias("ref"))
