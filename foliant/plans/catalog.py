@@ -13,6 +13,7 @@ from foliant.operators import incremental as inc
 from foliant.operators import production as prod
 from foliant.operators import search, similarity
 from foliant.plans import views as v
+from foliant.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -421,6 +422,11 @@ dec AS (SELECT sha, bool_or(x) AND NOT bool_or(k) AS in_exclude, bool_or(l) AND
 flag AS (SELECT att.*, coalesce(in_exclude, false) AS x, coalesce(in_logo, false) AS l, coalesce(in_keep, false) AS k FROM att LEFT JOIN dec USING (sha))"""
 
 
+def hashed(spark, sf) -> DataFrame:
+    """Attachment rows written once: the rules below read them several times."""
+    return settle(v.attachments(spark, sf))
+
+
 def rules_of(att: DataFrame) -> ex.Rules:
     """The user's rules of the sample queries: a few named files (a lookup of three parts)."""
     fp = names.fingerprint(c("name"), c("size"))
@@ -449,7 +455,7 @@ def auto_logos(spark, sf):
 
 @query("exclusion_decisions", f"WITH {DECIDE} SELECT * FROM dec")
 def exclusion_decisions(spark, sf):
-    att = v.attachments(spark, sf)
+    att = hashed(spark, sf)
     return ex.decide(att, rules_of(att))
 
 
@@ -461,14 +467,14 @@ def pointer_matches(spark, sf):
 
 @query("preview_excluded", f"WITH {DECIDE} SELECT DISTINCT name || '|' || size AS fp FROM flag WHERE (x OR l) AND NOT k AND name <> 'hot gear'")
 def preview_excluded(spark, sf):
-    att = v.attachments(spark, sf)
+    att = hashed(spark, sf)
     rules = rules_of(att)
     return ex.preview_excluded(att, ex.decide(att, rules), rules)
 
 
 @query("preview_kept", f"WITH {DECIDE} SELECT DISTINCT name || '|' || size AS fp FROM flag WHERE k OR name = 'hot gear'")
 def preview_kept(spark, sf):
-    att = v.attachments(spark, sf)
+    att = hashed(spark, sf)
     rules = rules_of(att)
     return ex.preview_kept(att, ex.decide(att, rules), rules)
 
@@ -481,7 +487,7 @@ dispo AS (SELECT *, k OR name = 'hot gear' AS kept,
 
 
 def disposed(spark, sf):
-    att = v.attachments(spark, sf)
+    att = hashed(spark, sf)
     rules = rules_of(att)
     return ex.dispositions(att, ex.decide(att, rules), rules)
 
@@ -502,7 +508,7 @@ SELECT name, size, substr(sha, 1, 12) AS sha_short, coalesce(dhash, 'none') AS d
   WHEN size > 153600 THEN 'image larger than 150 KB — too big to treat as a logo'
   WHEN recur < 3 THEN 'recurs in only ' || recur || ' conversation(s) — needs >= 3 to be auto-flagged' ELSE 'kept as content' END AS reason FROM r""")
 def decision_report(spark, sf):
-    att = v.attachments(spark, sf)
+    att = hashed(spark, sf)
     rules = rules_of(att)
     return ex.sorted_report(ex.decision_report(att, ex.decide(att, rules), rules))
 
@@ -562,7 +568,7 @@ out AS (SELECT sha AS content, name, size, dhash, ord, 'Mailbox/' || (doc_id % 1
 
 
 def excluded(spark, sf):
-    rows = disposed(spark, sf).filter(c("disposition").isin("excluded", "inline_excluded"))
+    rows = settle(disposed(spark, sf).filter(c("disposition").isin("excluded", "inline_excluded")))
     source = F.concat(F.lit("Mailbox/"), (c("doc_id") % 10).cast("string"), F.lit("/"), c("doc_id").cast("string"), F.lit(".eml"))
     return rows.select(c("sha").alias("content"), "name", "size", "dhash", "ord", source.alias("source"))
 
