@@ -21,23 +21,28 @@ _TERM = r"[\"“]([A-Z][0-9A-Za-z_ '’\-]{1,60}?)[\"”]"
 DEF_MEANS = rf"{_TERM}{S}+(?:means{_E}|shall mean{_E}|refers to{_E}|has the meaning)"
 DEF_PAREN = rf"\((?:the{S}+|each{S}+(?:an?{S}+)?|collectively,?{S}+|an?{S}+)?{_TERM}\)"
 HEADING = rf"(?i)^{S}*(?:section{S}+|§{S}*|clause{S}+|article{S}+)?([0-9]{{1,3}})(?:\.[0-9]+)*[.):]?{S}+[^\t\n\x0B\f\r ]"
-INLINE = rf"(?i)(?:§{S}*|{_B}section{S}+|{_B}clause{S}+|{_B}article{S}+)([0-9]{{1,3}})(?:\.[0-9]+)*"
-_CITE = rf"(?:§{S}*|(?i:{_B}sections?{S}+|{_B}sec\.?{S}+|{_B}clauses?{S}+|{_B}article{S}+))([0-9]{{1,3}}+(?:\.[0-9]++)*+)"
+# The first look at one character keeps the search fast on long texts.
+_NUMBER = r"[0-9]{1,3}"
+INLINE = rf"(?i)(?=[§sca])(?:§{S}*|{_B}(?:section{S}+|clause{S}+|article{S}+))({_NUMBER})(?:\.[0-9]+)*"
+_CITE = (
+    rf"(?=[§sScCaA])(?:§{S}*|{_B}(?i:sections?{S}+|sec\.?{S}+|clauses?{S}+|article{S}+))"
+    rf"({_NUMBER}+(?:\.[0-9]++)*+)"
+)
 # A statute after the number makes the citation an external one.
 _STATUTE = (
     rf"{S}*(?:\([0-9]+\){S}*)?(?:of{S}+the{S}+|,?{S}*)?"
     rf"(?:GDPR|CCPA|CPRA|UCC|DMCA|HIPAA|FCRA|COPPA|GLBA|TCPA|[A-Z][A-Za-z]+{S}+(?:Act|Regulation|Directive|Code))"
 )
 CITATION = rf"{_CITE}(?!{_STATUTE})"
-EXHIBIT_REF = rf"{_B}((?:Exhibit|Schedule|Appendix|Annex){S}+(?:[A-Z]|[0-9]{{1,2}})){_E}"
+EXHIBIT_REF = rf"(?=[ESA]){_B}((?:Exhibit|Schedule|Appendix|Annex){S}+(?:[A-Z]|[0-9]{{1,2}})){_E}"
 EXHIBIT_HEAD = rf"(?im)^{S}*(?:Exhibit|Schedule|Appendix|Annex){S}+([A-Z]|[0-9]{{1,2}}){_E}"
 PLACEHOLDERS = (
     rf"(\[{S}*_{{2,}}{S}*\])", r"(_{4,})",
     rf"(?i)(\[(?:DATE|NAME|ADDRESS|AMOUNT|TBD|INSERT[^\]]*|[•·]|{S}*)\])",
-    rf"({_B}TBD{_E})", rf"(?i)({_B}TO BE (?:DETERMINED|COMPLETED|CONFIRMED){_E})",
+    rf"(?=T)({_B}TBD{_E})", rf"(?i)(?=t)({_B}TO BE (?:DETERMINED|COMPLETED|CONFIRMED){_E})",
 )
 SIGNATURE = (
-    rf"(?i){_B}(IN WITNESS WHEREOF|By:{S}|Name:{S}|Title:{S}|Authorized Signator|_{{6,}}{S}*\n{S}*(?:Name|Signature))"
+    rf"(?i)(?=[ibnta_]){_B}(IN WITNESS WHEREOF|By:{S}|Name:{S}|Title:{S}|Authorized Signator|_{{6,}}{S}*\n{S}*(?:Name|Signature))"
 )
 
 _STRINGS = "array<string>"
@@ -151,7 +156,13 @@ def _readiness_findings(text: Column, blanks: Column) -> Column:
 
 
 def placeholders(text: Column) -> Column:
-    found = F.concat(*[_all(text, p) for p in PLACEHOLDERS])
+    # A plain byte search first: most texts hold none of these.
+    none = F.array().cast(_STRINGS)
+    marks = ("[", "____", "[", "TBD", None)
+    found = F.concat(*[
+        F.when(F.contains(text, F.lit(m)) if m else F.contains(F.lower(text), F.lit("to be ")), _all(text, p)).otherwise(none)
+        for m, p in zip(marks, PLACEHOLDERS)
+    ])
     return F.array_distinct(F.transform(found, lambda b: trim_ws(b)))
 
 

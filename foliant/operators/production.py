@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions.names import bates_label
 from foliant.functions.text import blank, filled
-from foliant.operators.scan import previous_row, row_position, running_max, running_sum
+from foliant.operators.scan import previous_row, row_position, running_max, running_sum, split_ranges
+from foliant.session import settle
 
 
 def production_scope(docs: DataFrame, email_to_pdf: bool, review_index: bool, load_file: bool) -> DataFrame:
@@ -217,14 +218,17 @@ def size_clusters(files: DataFrame) -> DataFrame:
 
     Sizes are chained: a cluster ends where the gap to the previous size is too
     wide. Copies of a size are counted first, and the chain is cut in ranges
-    over (name, size), so a name shared by very many files is no hot spot.
+    over (name, size), so a name shared by very many files is no hot spot. The
+    counted sizes are written once, because the chain reads them several times.
     """
     sizes = files.select(F.lower(F.trim("name")).alias("name"), F.col("size").cast("bigint").alias("size"))
-    sizes = sizes.groupBy("name", "size").agg(F.count("*").alias("copies"))
-    chained = previous_row(sizes, ["name", "size"], ["name", "size"], "_prev")
+    counted = sizes.groupBy("name", "size").agg(F.count("*").alias("copies"))
+    order = ["name", "size"]
+    cut = settle(split_ranges(settle(counted), order))
+    chained = previous_row(cut, order, order, "_prev", tagged=True)
     same = (F.col("_prev.name") == F.col("name")) & same_size(F.col("_prev.size"), F.col("size"))
     starts = chained.withColumn("_start", F.when(~F.coalesce(same, F.lit(False)), F.struct("name", "size")))
-    tagged = running_max(starts.drop("_prev"), ["name", "size"], F.col("_start"), "_c")
+    tagged = running_max(starts.drop("_prev"), order, F.col("_start"), "_c", tagged=True)
     return tagged.groupBy("name", F.col("_c.size").alias("low")).agg(
         F.max("size").alias("high"), F.sum("copies").alias("copies")
     )

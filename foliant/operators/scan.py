@@ -5,6 +5,10 @@ into ranges of the sort key, each range is scanned on its own, and the totals
 of the ranges before it are added. The cut points come from a bounded sample
 taken inside the same plan, so the whole operator stays lazy, and because they
 are cut on the full (unique) sort key, one huge group is cut like any other.
+
+A scan reads its input three times (sample, totals, rows). Settle an expensive
+input first; ``tagged`` rows that already went through :func:`split_ranges` can
+be scanned again without a new sample.
 """
 
 from __future__ import annotations
@@ -85,14 +89,15 @@ def running_sum(
 
 
 def running_max(
-    df: DataFrame, order: Sequence[str], value: Column, out: str, ranges: int | None = None
+    df: DataFrame, order: Sequence[str], value: Column, out: str, ranges: int | None = None,
+    tagged: bool = False,
 ) -> DataFrame:
     """Add ``out``: the largest ``value`` up to and including this row.
 
     With a struct whose first field is the leading sort column, the maximum
     starts anew in each group, because later groups compare larger.
     """
-    base = split_ranges(df, order, ranges).withColumn("_v", value)
+    base = (df if tagged else split_ranges(df, order, ranges)).withColumn("_v", value)
     tops = base.groupBy("_range").agg(F.max("_v").alias("_t"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = tops.select("_range", F.max("_t").over(before).alias("_off"))
@@ -100,22 +105,23 @@ def running_max(
     return (
         _spread(base.withColumn("_local", F.max("_v").over(local)), carried, "_range")
         .withColumn(out, F.greatest("_local", "_off"))
-        .drop("_v", "_local", "_off", "_range")
+        .drop("_v", "_local", "_off", *([] if tagged else ["_range"]))
     )
 
 
 def previous_row(
-    df: DataFrame, order: Sequence[str], fields: Sequence[str], out: str, ranges: int | None = None
+    df: DataFrame, order: Sequence[str], fields: Sequence[str], out: str, ranges: int | None = None,
+    tagged: bool = False,
 ) -> DataFrame:
     """Add ``out``: a struct of ``fields`` of the row just before this one."""
-    base = split_ranges(df, order, ranges).withColumn("_v", F.struct(*fields))
+    base = (df if tagged else split_ranges(df, order, ranges)).withColumn("_v", F.struct(*fields))
     lasts = base.groupBy("_range").agg(F.max_by("_v", F.struct(*order)).alias("_t"))
     carried = lasts.select("_range", F.lag("_t").over(W.orderBy("_range")).alias("_off"))
     local = F.lag("_v").over(W.partitionBy("_range").orderBy(*order))
     return (
         _spread(base.withColumn("_local", local), carried, "_range")
         .withColumn(out, F.coalesce("_local", "_off"))
-        .drop("_v", "_local", "_off", "_range")
+        .drop("_v", "_local", "_off", *([] if tagged else ["_range"]))
     )
 
 

@@ -22,7 +22,7 @@ TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 @query("html_to_text", f"SELECT page_id, {TRIM.format(NL3.format(UNESC.format(PLAIN.format('html'))))} AS text FROM pages")
 def html_to_text(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", text.html_to_text(c("html")).alias("text"))
+    return v.texts(spark, sf, "pages").select("page_id", text.html_to_text(c("html")).alias("text"))
 
 
 @query("html_to_text_web", f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS h FROM pages),
@@ -32,7 +32,7 @@ d AS (SELECT page_id, regexp_replace(replace(replace({UNESC.format('m')}, '&quot
   replace(replace(replace(replace(replace(f, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS f FROM b)
 SELECT page_id, {TRIM.format(NL3.format('m'))} AS mail, trim(regexp_replace(f, '\\s+', ' ', 'g')) AS file FROM d""")
 def html_to_text_web(spark, sf):
-    return v.table(spark, sf, "pages").select(
+    return v.texts(spark, sf, "pages").select(
         "page_id", text.html_to_text(c("html"), "web").alias("mail"), text.html_to_text(c("html"), "web_file").alias("file"))
 
 
@@ -60,7 +60,7 @@ def clean_email_body(spark, sf):
     tail = F.when(c("page_id") % 2 == 0, "This e-mail is confidential and more. Please delete it now. Regards").otherwise(
         "This message has been scanned by X cloud service. ok")
     html = F.concat("html", F.lit("<div> <br>&nbsp;<div></div></div><br><br/> <br ><br>Sent from my phone 12, bye<p>"), tail)
-    return v.table(spark, sf, "pages").select(
+    return v.texts(spark, sf, "pages").select(
         "page_id", F.md5(text.clean_body(html)).alias("kept"), F.md5(text.clean_body(html, True)).alias("stripped"))
 
 
@@ -160,7 +160,7 @@ SELECT doc_id, array_to_string(list_sort(cited), ',') AS cited, array_to_string(
 def citation_checks(spark, sf):
     docs = v.contracts(spark, sf)
     source = F.array_join(F.transform(F.split("body", "\n"), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
-    bodies = v.table(spark, sf, "documents").select("doc_id", c("text").alias("body"))
+    bodies = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("body"))
     pairs = docs.select("doc_id", c("text").alias("deliverable")).join(bodies, "doc_id").withColumn("source", source)
     out = checks.verify_citations(pairs)
     foot = checks.citation_footer(c("cited"), c("unverified"))
@@ -176,7 +176,7 @@ n AS (SELECT doc_id, count(*) FILTER (WHERE contains(line, ' the ')) AS k FROM l
 SELECT doc_id, (k + 1)::BIGINT AS added, k::BIGINT AS removed, md5(regexp_replace(text, '\\s+', '', 'g')) AS old_text,
   md5(regexp_replace(replace(text, ' the ', ' this ') || 'added line', '\\s+', '', 'g')) AS new_text FROM documents JOIN n USING (doc_id)""")
 def version_redlines(spark, sf):
-    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("old_text"))
+    docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("old_text"))
     new = F.concat(F.replace("old_text", F.lit(" the "), F.lit(" this ")), F.lit("\nadded line"))
     out = redline.redline(docs.withColumn("new_text", new), ["doc_id"])
 

@@ -22,9 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. One small file is one task, so it is spread first."""
+    rows = table(spark, sf_dir, name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    if status.isFile() and status.getLen() < 256 << 20:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", F.col("source").alias("collection"), name.alias("name"),
         F.concat_ws("/", F.lit("/vault"), F.col("source"), F.col("lang"), name).alias("path"),
     )
@@ -116,7 +126,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the document set: every 17th gone, 13th edited, 19th also added anew."""
     c = F.col
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     previous = docs.select(
         "doc_id", c("doc_id").cast("string").alias("path"), (c("doc_id") % 1000).alias("mtime"),
         c("n_chars").alias("size"), F.when(c("doc_id") % 29 == 0, 0).otherwise(c("n_chars")).alias("text_chars"), "text",
@@ -169,4 +179,4 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 5 == 0, F.lit("IN WITNESS WHEREOF the parties sign. ____")).otherwise(""),
     )
     text = F.concat(F.array_join(lines, "\n"), F.lit("\n"), F.array_join(add, "\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.alias("text"))

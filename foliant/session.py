@@ -48,9 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and continue from the files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and continue from it.
+
+    This cuts the lineage like a checkpoint and survives lost executors. The
+    plan runs once (a checkpoint runs it twice), later reads fetch only the
+    columns they use, and the planner sees the true size of the table.
+    """
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def work_path(spark: SparkSession, label: str) -> str:
