@@ -2,9 +2,8 @@
 
 A window without partitions sends every row to one task. Here the rows are cut
 into ranges of the sort key, each range is scanned on its own, and the totals
-of the ranges before it are added. The cut points come from a bounded sample
-taken inside the same plan, so the whole operator stays lazy, and because they
-are cut on the full (unique) sort key, one huge group is cut like any other.
+of the ranges before it are added. The cut points come from a bounded sample of
+the full (unique) sort key, so one huge group is cut like any other.
 
 A scan reads its input three times (sample, totals, rows). Settle an expensive
 input first; ``tagged`` rows that already went through :func:`split_ranges` can
@@ -13,6 +12,7 @@ be scanned again without a new sample.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,37 +33,34 @@ def split_ranges(
 ) -> DataFrame:
     """Tag each row with the number of the range its sort key falls in.
 
-    The sample is the rows with the smallest hash of the key, a top-k that each
-    task cuts to size before anything is sent on. It is the same whenever the
-    plan runs, so every use of the tag agrees.
+    A small job draws the cut points at once: the sample is the rows with the
+    smallest hash of the key, a top-k that each task cuts to size before
+    anything is sent on, and at most MAX_RANGES keys come back. They then stand
+    in the plan as constants, so every use of the tag agrees.
     """
     n = ranges or _range_count(df)
     key = F.struct(*order)
-    sample = (
-        df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(n * SAMPLES_PER_RANGE)
-        .agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(n * SAMPLES_PER_RANGE)
+    every = sample.agg(F.sort_array(F.collect_list("k")).alias("ks")).select(
+        F.filter("ks", lambda k, i: i % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1).alias("c")
     )
-    # Every 16th sample is a cut point; two levels keep the lookup short.
+    # Cut points need not be exact: rounding in the text form only moves a cut.
+    cuts = json.loads(every.select(F.to_json("c")).first()[0])
+    kind = every.schema["c"].dataType.simpleString()
+
+    def constant(values: list) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    # Two levels keep the lookup short.
     width = max(2, int(n ** 0.5))
-    cuts = sample.select(
-        F.filter("ks", lambda k, i: (i % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1)).alias("c")
-    ).select(
-        F.struct(
-            F.filter("c", lambda k, i: i % width == width - 1).alias("coarse"),
-            "c",
-        ).alias("cuts")
-    ).scalar()
     k = F.col("_k")
-    block = F.size(F.filter(F.col("_cuts.coarse"), lambda c: c <= k))
-    fine = F.slice(F.col("_cuts.c"), F.col("_block") * width + 1, F.lit(width))
+    block = F.size(F.filter(constant(cuts[width - 1::width]), lambda c: c <= k))
+    fine = F.slice(constant(cuts), F.col("_block") * width + 1, F.lit(width))
     return (
         df.withColumn("_k", key)
-        .withColumn("_cuts", cuts)
         .withColumn("_block", block)
         .withColumn(column, F.col("_block") * width + F.size(F.filter(fine, lambda c: c <= k)))
-        .drop("_k", "_cuts", "_block")
+        .drop("_k", "_block")
     )
 
 
