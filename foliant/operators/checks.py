@@ -233,6 +233,26 @@ def verify_citations(pairs: DataFrame) -> DataFrame:
     return known.withColumn("unverified", out).drop("_h", "_i")
 
 
+def verify_against_sources(deliverables: DataFrame, sources: DataFrame) -> DataFrame:
+    """As :func:`verify_citations`, with all sources of a matter taken together.
+
+    ``deliverables`` is ``(matter, deliverable)``, ``sources`` ``(matter, text)``
+    with any number of rows. Section numbers have at most three digits, so a
+    matter's sets hold at most a thousand numbers and no texts are put together.
+    """
+    found = sources.select("matter", heading_sections(F.col("text")).alias("h"), inline_sections(F.col("text")).alias("i"))
+    numbers = found.select("matter", F.explode("h").alias("n"), F.lit(True).alias("head")).unionByName(
+        found.select("matter", F.explode("i").alias("n"), F.lit(False).alias("head")))
+    sets = numbers.groupBy("matter", "n").agg(F.max("head").alias("head")).groupBy("matter").agg(
+        F.collect_set("n").alias("_all"), F.collect_set(F.when(F.col("head"), F.col("n"))).alias("_h"))
+    none = F.array().cast("array<int>")
+    rows = deliverables.withColumn("cited", cited_sections(F.col("deliverable"))).join(sets, "matter", "left")
+    rows = rows.withColumn("_all", F.coalesce("_all", none)).withColumn("_h", F.coalesce("_h", none))
+    missing = F.filter("cited", lambda s: ~F.array_contains(F.col("_all"), _top(s)))
+    out = F.when(numbering_reliable(F.col("_h")), missing).otherwise(F.array().cast(_STRINGS))
+    return rows.withColumn("unverified", out).drop("_all", "_h")
+
+
 def citation_footer(cited: Column, unverified: Column) -> Column:
     n, bad = F.size(cited), F.size(unverified)
     others = n - bad

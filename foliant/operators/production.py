@@ -249,7 +249,9 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     Names are compared in lower case per folder, earlier files win. Names that
     differ only in leading underscores compete for the same slots. Where all of
     them start alike, the place in the queue is the number to add; the rare
-    mixed queues are replayed in order.
+    mixed queues are replayed in order. A queue is short by nature: its last
+    member carries one underscore per earlier one, and file systems end names
+    at 255 characters.
     """
     bare = F.regexp_replace("name", "^_+", "")
     rows = files.withColumn("_bare", F.lower(bare)).withColumn("_folder", F.lower("folder")).withColumn(

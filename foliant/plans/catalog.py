@@ -599,7 +599,7 @@ SELECT content, 'Group ' || lpad(no::VARCHAR, length((SELECT max(no) FROM rk)::V
 def excluded_groups(spark, sf):
     reps = excluded(spark, sf).groupBy("content").agg(
         F.min_by(F.struct("name", "size", "dhash"), "ord").alias("f"), F.min("ord").alias("ord"))
-    groups = similarity.excluded_groups(reps.select("content", "f.*", "ord"))
+    groups = settle(similarity.excluded_groups(settle(reps.select("content", "f.*", "ord"))))
     return ex.group_layout(groups).select("content", "folder", "file", "members")
 
 

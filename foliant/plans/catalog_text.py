@@ -333,10 +333,12 @@ def dat_lines(spark, sf):
     return table.select(sinks.lines(table, "dat", prod.LOAD_COLUMNS).alias("line"))
 
 
-@query("opt_lines", f"""WITH {FULL} SELECT concat_ws(',', 'DOC-' || printf('%06d', beg_no), '', replace(replace(file_rel, '/', chr(92)), '.pdf', ' x.pdf'), 'Y', '', '', span::VARCHAR) AS line FROM full_rec""")
+@query("opt_lines", f"""WITH {FULL}, p AS (SELECT *, unnest(range(span)) AS page FROM full_rec)
+SELECT concat_ws(',', 'DOC-' || printf('%06d', beg_no + page), '', replace(replace(file_rel, '/', chr(92)), '.pdf', ' x.pdf'),
+  CASE WHEN page = 0 THEN 'Y' ELSE '' END, '', '', CASE WHEN page = 0 THEN span::VARCHAR ELSE '' END) AS line FROM p""")
 def opt_lines(spark, sf):
     rows = full_records(spark, sf).withColumn("file_rel", F.replace("file_rel", F.lit(".pdf"), F.lit(",x.pdf")))
-    pages = prod.opticon_rows(rows, "DOC-").filter(c("page") == 0).drop("page")
+    pages = prod.opticon_rows(rows, "DOC-").drop("page")
     return pages.select(sinks.lines(pages, "opt", pages.columns).alias("line"))
 
 

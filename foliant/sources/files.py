@@ -79,8 +79,9 @@ def plain_text(files: DataFrame, variant: str = "desktop") -> DataFrame:
 def source_text(docs: DataFrame, by: Sequence[str] = ("matter",)) -> DataFrame:
     """All non-empty texts of a matter, in name order, joined by blank lines.
 
-    The output is one string per matter, so a matter's texts must fit in one
-    value; work on the rows where they do not.
+    The output is one string per matter, so this is for a matter of a few
+    files. To check citations against many sources, use
+    :func:`foliant.operators.checks.verify_against_sources`, which joins nothing.
     """
     rows = docs.filter(F.length("text") > 0)
     ordered = F.array_sort(F.collect_list(F.struct("name", "text")))

@@ -16,20 +16,21 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save_snapshot(
-    root: str, collection: str, tables: dict[str, DataFrame], cluster_by: dict[str, str] | None = None
+    root: str, collection: str, tables: dict[str, DataFrame], cluster_by: dict[str, list[str]] | None = None
 ) -> int:
     """Write all tables of a new version, then make it the current one.
 
     Readers follow a pointer file that is replaced last, so they see the old
-    version or the new one, never a mixture. ``cluster_by`` sorts a table by a
-    column (postings by term), so that filters on it skip row groups.
+    version or the new one, never a mixture. ``cluster_by`` sorts a table by
+    columns (postings by term, then document), so that filters skip row groups;
+    with the document in the key a very common term is cut like any other.
     """
     spark = next(iter(tables.values())).sparkSession
     version = (current_version(spark, root, collection) or 0) + 1
     base = f"{root}/collection={collection}"
     for name, df in tables.items():
-        column = (cluster_by or {}).get(name)
-        out = df.repartitionByRange(column).sortWithinPartitions(column) if column else df
+        columns = (cluster_by or {}).get(name)
+        out = df.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else df
         out.write.mode("overwrite").parquet(f"{base}/v={version}/{name}")
     pointer = spark.createDataFrame([(json.dumps({"version": version, "at": int(time.time() * 1000)}),)], "value string")
     pointer.coalesce(1).write.mode("overwrite").text(f"{base}/pointer-{version}")

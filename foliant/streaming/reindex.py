@@ -53,4 +53,4 @@ def current_postings(spark: SparkSession, root: str) -> DataFrame:
 def compact(spark: SparkSession, root: str, target: str) -> None:
     """Write the current state as one sorted table, for fast term lookups."""
     rows = current_postings(spark, root)
-    rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(target)
+    rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(target)

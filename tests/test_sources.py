@@ -153,7 +153,7 @@ def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshots.current_version(spark, root, "c1") is None
     for n in (5, 8):
-        snapshots.save_snapshot(root, "c1", {"docs": spark.range(n), "postings": spark.range(n).withColumn("term", F.lit("t"))}, {"postings": "term"})
+        snapshots.save_snapshot(root, "c1", {"docs": spark.range(n), "postings": spark.range(n).withColumn("term", F.lit("t"))}, {"postings": ["term", "id"]})
     assert snapshots.current_version(spark, root, "c1") == 2
     assert snapshots.load_snapshot(spark, root, "c1", "docs").count() == 8
     with pytest.raises(FileNotFoundError):

@@ -53,6 +53,13 @@ def test_citations(spark):
     assert out[2].unverified == [] and out[3].foot == "" and "all 1 cited" in out[4].foot
 
 
+def test_citations_against_many_sources(spark):
+    d = spark.createDataFrame([(1, "section 2, section 9 and clause 4"), (2, "section 1")], "matter int, deliverable string")
+    s = spark.createDataFrame([(1, "1. A\n2. B"), (1, "3. C\nunder clause 4"), (1, "none")], "matter int, text string")
+    got = {r.matter: r.unverified for r in checks.verify_against_sources(d, s).collect()}
+    assert got == {1: ["§9"], 2: []}
+
+
 def test_citation_numbers_are_not_cut(spark):
     t = "Section 4.2, section 12, Article 33(1) GDPR, § 7 of the Companies Act, clause 9.1"
     assert docs(spark, t).select(checks.cited_sections(F.col("text"))).first()[0] == ["§4.2", "§12", "§9.1"]
