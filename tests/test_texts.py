@@ -185,3 +185,14 @@ def test_registers(spark):
     when = spark.createDataFrame([("2020-01-31", 12, "2023-05-01")], "s string, m int, t string").select(
         registers.next_renewal(F.to_date("s"), F.col("m"), F.to_date("t"))).first()[0]
     assert str(when) == "2024-01-31"
+
+
+def test_sql_functions(spark):
+    from foliant.functions.sql import register_functions
+
+    register_functions(spark)
+    row = spark.sql(
+        "SELECT hamming64(-1, 0), tokenize('The Quick, a fox-x'), fingerprint(' A.PDF ', 7), bates_label('D', 1234567)").first()
+    assert tuple(row) == (64, ["quick", "fox"], "a.pdf|7", "D1234567")
+    made = spark.createDataFrame([("The Quick, a fox-x",)], "t string")
+    assert made.select(text.tokenize(F.col("t"))).first()[0] == row[1]
