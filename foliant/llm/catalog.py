@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import line_dedup, sharding
+from foliant.llm import chat, line_dedup, sharding
 from foliant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,51 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+CHAT_BUDGET, CHAT_HISTORY = 2048, 512
+
+
+@query(
+    rf"""
+    WITH rows_ AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+    ), turns AS (
+      SELECT *, (ceil(strlen(text) / 4.0) + 4)::BIGINT AS tok,
+        length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 24 AS piece,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM rows_
+    ), placed AS (
+      SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p,
+        n = 1 AND role = 'system' AS is_sys,
+        coalesce(max(CASE WHEN n = 1 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok,
+        coalesce(max(CASE WHEN n = 1 AND role = 'system' THEN piece END) OVER (PARTITION BY conv_id), 0) AS sys_piece FROM turns
+    ), celled AS (
+      SELECT *, greatest({CHAT_BUDGET - CHAT_HISTORY} - sys_tok, {CHAT_BUDGET // 4}) AS g FROM placed
+    ), spanned AS (
+      SELECT *, 2 * (p // g) + ((p + tok - 1) // g > p // g)::INTEGER AS span FROM celled
+    ), spans AS (
+      SELECT conv_id, span, min(p) AS s, sum(piece) + CASE WHEN bool_or(is_sys) THEN 0 ELSE max(sys_piece) END AS chars
+      FROM spanned GROUP BY conv_id, span
+    ), history AS (
+      SELECT a.conv_id, sum(b.piece) AS chars FROM spans a JOIN placed b
+        ON a.conv_id = b.conv_id AND b.p BETWEEN a.s - {CHAT_HISTORY} AND a.s - 1 AND NOT b.is_sys GROUP BY a.conv_id
+    ), sizes AS (
+      SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM
+        (SELECT conv_id, chars FROM spans UNION ALL SELECT conv_id, chars FROM history) GROUP BY conv_id
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      any_value(formatted_chars) AS formatted_chars
+    FROM turns JOIN sizes USING (conv_id) GROUP BY conv_id
+    """
+)
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.digests(chat.format_windows(turns, CHAT_BUDGET, CHAT_HISTORY))
