@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, line_dedup, quality, sharding, simhash
+from foliant.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash
 from foliant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,19 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Domains of the labels, and the shares of tokens that they are to have.
+DOMAIN = "CASE WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' END"
+TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
+
+
+@query()
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, steps, _ = mixing.fit_rates(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN), TARGETS)
+    rated = mixing.with_rates(docs, model, steps)
+    return rated.select(
+        "doc_id", F.col("_n").alias("n_tokens"), *(F.get("_p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)),
+        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
+    )
