@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, line_dedup, mixing, quality, sharding, simhash
+from foliant.llm import chat, decontaminate, line_dedup, mixing, pii, quality, sharding, simhash
 from foliant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_n").alias("n_tokens"), *(F.get("_p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)),
         F.col("_rate").alias("rate"), F.col("_copies").alias("copies"),
     )
+
+
+@query()
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
