@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, line_dedup, mixing, pii, quality, sharding, simhash
+from foliant.llm import chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash
 from foliant.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,21 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The texts have no file names: a document lies in its source and language, and short ones stand for notice files.
+PATH = "concat_ws('/', source, lang, CAST(floor(doc_id / 64) AS STRING), CASE WHEN n_chars < 200 THEN 'NOTICE' ELSE concat(doc_id, '.md') END)"
+#: Labels of findings in the labelled documents: a quoted key after an assignment is real, all else is not.
+REAL_SECRET = r"value RLIKE '^([0-9a-f]{32,64}|[0-9A-Za-z+/_-]{32,})$' AND left = '=' AND left2 IN ('token', 'key', 'secret', 'password', 'apikey')"
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(REAL_SECRET), path=F.expr(PATH)
+    )
+
+
+@query()
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"), F.expr(PATH))
