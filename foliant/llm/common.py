@@ -23,6 +23,18 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_row, _id, _text)``: whole rows beside their id and text, so that columns of any name pass through."""
+    return docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text")
+    )
+
+
+def unpacked(columns: list[str], but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a packed row, without those named in ``but``."""
+    return [F.col("_row").getField(c).alias(c) for c in columns if c not in but]
+
+
 def spread(spark: SparkSession) -> int:
     """How many parts a hot key is dealt over: as many as a shuffle has."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import lower_ascii, spread, strip_blanks, text_of
+from foliant.llm.common import lower_ascii, packed, spread, strip_blanks, text_of, unpacked
 from foliant.session import settle
 
 
@@ -107,17 +107,13 @@ def kept_lines(text: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added, from the bitmaps of :func:`keep_bitmaps`."""
-    text = text_of(text_col)
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added or replaced, from the bitmaps of :func:`keep_bitmaps`."""
+    text, rows = F.col("_text"), packed(docs, id_col, text_col)
     b = bitmaps.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("dropped_runs").alias("_runs"))
-    found = docs.join(b, docs[id_col].eqNullSafe(b["_doc"]) & (F.xxhash64(text) == b["_tag"]), "left")
+    found = rows.join(b, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_tag")), "left")
     gone = F.coalesce(F.aggregate(F.col("_runs"), F.lit(0), lambda s, r: s + r["length"]), F.lit(0)).cast("long")
-    return (
-        found.withColumn("n_lines", F.size(_lines(text)).cast("long"))
-        .withColumn("n_dropped", gone)
-        .withColumn(
-            "kept_text",
-            F.when(F.col("_runs").isNull(), text).otherwise(F.array_join(kept_lines(text, F.col("_runs")), "\n")),
-        )
-        .drop("_doc", "_tag", "_runs")
+    kept = F.when(F.col("_runs").isNull(), text).otherwise(F.array_join(kept_lines(text, F.col("_runs")), "\n"))
+    return found.select(
+        *unpacked(docs.columns, ("n_lines", "n_dropped", "kept_text")), F.size(_lines(text)).cast("long").alias("n_lines"),
+        gone.alias("n_dropped"), kept.alias("kept_text"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import wordhash as wh
-from foliant.llm.common import text_of
+from foliant.llm.common import packed, text_of, unpacked
 from foliant.session import settle
 
 SLOTS = 1 << 14
@@ -211,7 +211,8 @@ def with_rates(docs: DataFrame, model: Classifier, steps: list[np.ndarray], id_c
     ``_copies`` is the rate rounded down, or up with the probability of the
     fraction; the draw is a hash of id and text, so a rerun decides alike and
     equal rows get equal copies. Null and empty texts have no tokens and keep
-    the rate of their posterior; other columns pass through.
+    the rate of their posterior; other columns pass through, but columns with
+    the names above are replaced.
     """
     text = text_of(text_col)
     scored = docs.withColumn("_s", posteriors_of(text, model)).withColumn("_n", F.col("_s.n")).withColumn("_p", F.col("_s.p"))
@@ -223,5 +224,5 @@ def with_rates(docs: DataFrame, model: Classifier, steps: list[np.ndarray], id_c
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mixed corpus: each row as many times as its copies say, with its own columns."""
     model, steps, _ = fit_rates(docs, labels, domain, targets, id_col, text_col, **options)
-    rated = with_rates(docs, model, steps, id_col, text_col).filter("_copies > 0")
-    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rated = with_rates(packed(docs, id_col, text_col), model, steps, "_id", "_text").filter("_copies > 0")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*unpacked(docs.columns))

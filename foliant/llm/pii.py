@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_of
+from foliant.llm.common import packed, text_of, unpacked
 from foliant.llm.marks import matches, parts_of, unmarked
 from foliant.session import settle
 
@@ -178,9 +178,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``redacted_text``: each span replaced by ``[KIND]``; of overlapping spans the first one counts."""
+    """``docs`` with ``redacted_text`` added or replaced: each span replaced by ``[KIND]``; of overlapping spans the first one counts."""
     per = spans.groupBy("doc", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("_spans"))
-    text = text_of(text_col)
+    text = F.col("_text")
     step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
         F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"),
         x["end"].alias("at"),
@@ -189,5 +189,7 @@ def redacted(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col
         "_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    found = docs.join(per, docs[id_col].eqNullSafe(per["doc"]) & (F.xxhash64(text) == per["tag"]), "left")
-    return found.withColumn("redacted_text", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(done)).drop("doc", "tag", "_spans")
+    found = packed(docs, id_col, text_col).join(per, F.col("_id").eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("tag")), "left")
+    return found.select(
+        *unpacked(docs.columns, ("redacted_text",)), F.when(F.col("_spans").isNull(), text).otherwise(done).alias("redacted_text")
+    )

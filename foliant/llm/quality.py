@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import wordhash as wh
+from foliant.llm.common import packed, unpacked
 
 WINDOW = 8
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -217,7 +218,8 @@ def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text")
     """``docs`` with ``_stats``, ``_base_failed``, ``_rule`` and ``_kept`` added, for every row.
 
     Null and empty texts have no words and fail the base rule; repeated rows
-    get equal verdicts; other columns pass through untouched.
+    get equal verdicts; other columns pass through, but columns with the names
+    above are replaced.
     """
     found = docs.withColumn("_stats", stats_of(F.col(text_col).cast("string")))
     return (
@@ -229,4 +231,4 @@ def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text")
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that the base rule and the learned list keep, with their own columns."""
     rules = train(docs, labels, id_col, text_col, **options)
-    return judge(docs, rules, text_col).filter("_kept").select(*docs.columns)
+    return judge(packed(docs, id_col, text_col), rules, "_text").filter("_kept").select(*unpacked(docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_of
+from foliant.llm.common import packed, text_of, unpacked
 from foliant.operators.components import components
 from foliant.session import settle
 
@@ -251,11 +251,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         .agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "tag")).alias("m"))
         .select(F.col("m.doc").alias("_doc"), F.col("m.tag").alias("_tag"))
     )
-    tag = F.xxhash64(text_of(text_col))
-    kept = docs.join(best, docs[id_col].eqNullSafe(best["_doc"]) & (tag == best["_tag"]), "left_semi")
+    rows = packed(docs, id_col, text_col)
+    kept = rows.join(best, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_text") == F.col("_tag")), "left_semi")
     repeated = of.groupBy("doc", "tag").count().filter("count > 1")
     if repeated.isEmpty():
-        return kept
+        return kept.select(*unpacked(docs.columns))
     # Rows that agree in id and text: any one of them, by the order of their columns.
-    order = W.partitionBy(id_col, F.xxhash64(text_of(text_col))).orderBy(*docs.columns)
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    order = W.partitionBy("_id", F.xxhash64("_text")).orderBy("_row")
+    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*unpacked(docs.columns))
