@@ -110,7 +110,8 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def directory(shards: DataFrame, global_depth: int | None = None) -> DataFrame:
-    """``(entry, shard)``: the directory of the result of :func:`assign_shards`, one row per value of the global prefix.
+    """``(entry, shard)``: the directory of the result of :func:`assign_shards`, one row per value of the global prefix;
+    values under which no document lies have none.
 
     The global depth is the largest local depth unless it is given; overflow pages hang below their bucket's entry.
     """
