@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import filled, stem
+from foliant.functions.text import EXTENSION, filled, stem, trim_ws
 
 PAD = 6
 
@@ -19,7 +19,7 @@ def bates_label(number: Column, prefix: str) -> Column:
 
 def fingerprint(name: Column, size: Column) -> Column:
     """Pointer to an attachment: trimmed lower-case name and size."""
-    return F.concat_ws("|", F.lower(F.trim(name)), size.cast("string"))
+    return F.concat_ws("|", F.lower(trim_ws(name)), size.cast("string"))
 
 
 def fingerprint_name(fp: Column) -> Column:
@@ -30,14 +30,20 @@ def fingerprint_size(fp: Column) -> Column:
     return F.regexp_extract(fp, r"\|(\d+)$", 1).try_cast("bigint")
 
 
-def safe_name(name: Column) -> Column:
-    """Characters a file system may refuse become ``_``; 200 characters at most."""
-    cleaned = F.substring(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), 1, 200)
+def safe_name(name: Column, max_chars: int | None = None) -> Column:
+    """Characters a file system may refuse become ``_``.
+
+    ``max_chars`` cuts longer names (200 is the desktop's number); cut names
+    can be equal and lose their extension, so there is no cut by default.
+    """
+    cleaned = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")
+    if max_chars is not None:
+        cleaned = F.substring(cleaned, 1, max_chars)
     return F.coalesce(filled(cleaned), F.lit("attachment"))
 
 
 def _ext(name: Column) -> Column:
-    return F.regexp_extract(name, r"[^./](\.[^./]*)$", 1)
+    return F.regexp_extract(name, EXTENSION, 0)
 
 
 def decorate_name(name: Column, size: Column, dhash: Column) -> Column:
@@ -97,7 +103,7 @@ def doc_type_web(name: Column) -> Column:
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     labels = F.create_map(*[F.lit(x) for pair in TYPE_BY_EXT.items() for x in pair])
     return F.coalesce(
-        F.try_element_at(labels, ext), filled(F.upper(F.substring(ext, 2, 50))), F.lit("Document")
+        F.try_element_at(labels, ext), filled(F.upper(F.substring(ext, F.lit(2), F.length(ext)))), F.lit("Document")
     )
 
 

@@ -20,9 +20,6 @@ STOPWORDS = (
 WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{WS}]"
 
-BODY_CAP = 200_000
-SNIPPET_CAP = 2_000
-
 
 def blank(col: Column) -> Column:
     """Absent values print as an empty string in every table output."""
@@ -221,13 +218,17 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+# From the last dot on; a dot at the head of a name starts no extension, nor does the last of two dots alone.
+EXTENSION = r"(?:(?<=[^/])\.[^./]+|(?<=[^./])\.)$"
+
+
 def extension(name: Column) -> Column:
     """Lower-case extension with its dot; dot files and bare names have none."""
-    return F.lower(F.regexp_extract(name, r"[^./](\.[^./]*)$", 1))
+    return F.lower(F.regexp_extract(name, EXTENSION, 0))
 
 
 def stem(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?<=[^./])\.[^./]*$", "")
+    return F.regexp_replace(name, EXTENSION, "")
 
 
 def address_list(addresses: Column, variant: str = "desktop") -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import S, trim_ws
+from foliant.functions.text import WS, S, trim_ws
 
 # Word edges are spelled out, because \b differs between engines for letters
 # beyond ASCII.
@@ -20,7 +20,7 @@ _E = r"(?![0-9A-Za-z_])"
 _TERM = r"[\"“]([A-Z][0-9A-Za-z_ '’\-]{1,60}?)[\"”]"
 DEF_MEANS = rf"{_TERM}{S}+(?:means{_E}|shall mean{_E}|refers to{_E}|has the meaning)"
 DEF_PAREN = rf"\((?:the{S}+|each{S}+(?:an?{S}+)?|collectively,?{S}+|an?{S}+)?{_TERM}\)"
-HEADING = rf"(?i)^{S}*(?:section{S}+|§{S}*|clause{S}+|article{S}+)?([0-9]{{1,3}})(?:\.[0-9]+)*[.):]?{S}+[^\t\n\x0B\f\r ]"
+HEADING = rf"(?i)^{S}*(?:section{S}+|§{S}*|clause{S}+|article{S}+)?([0-9]{{1,3}})(?:\.[0-9]+)*[.):]?{S}+[^{WS}]"
 # The first look at one character keeps the search fast on long texts.
 _NUMBER = r"[0-9]{1,3}"
 INLINE = rf"(?i)(?=[§sca])(?:§{S}*|{_B}(?:section{S}+|clause{S}+|article{S}+))({_NUMBER})(?:\.[0-9]+)*"
@@ -143,10 +143,14 @@ def _reference_findings(cited: Column, headings: Column, refs: Column, heads: Co
     return F.concat(sections, exhibits)
 
 
+#: The report names so many placeholders and marks that there are more; ``placeholders`` gives them all.
+SHOWN_PLACEHOLDERS = 8
+
+
 def _readiness_findings(text: Column, blanks: Column) -> Column:
     shown = F.concat(
-        F.lit("Unfilled placeholder(s) found: "), F.array_join(F.slice(blanks, 1, 8), ", "),
-        F.when(F.size(blanks) > 8, " …").otherwise(""), F.lit("."),
+        F.lit("Unfilled placeholder(s) found: "), F.array_join(F.slice(blanks, 1, SHOWN_PLACEHOLDERS), ", "),
+        F.when(F.size(blanks) > SHOWN_PLACEHOLDERS, " …").otherwise(""), F.lit("."),
     )
     unsigned = F.lit('No signature block detected (no "By:/Name:/Title:" or "IN WITNESS WHEREOF").')
     return F.concat(

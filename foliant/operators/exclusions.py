@@ -17,31 +17,39 @@ from pyspark.sql import functions as F
 from foliant.functions.hashing import LOGO_MAX_BYTES, MIN_CONVERSATIONS, SMALL_BYTES, long_to_hex
 from foliant.functions.names import fingerprint
 from foliant.operators.similarity import near_references, similar_edges
+from foliant.session import settle
 
 
 @dataclass(frozen=True)
 class Rules:
-    """The rules of a document set. Pointers are ``name|size`` fingerprints."""
+    """The rules of a document set.
+
+    Pointers are ``name|size`` fingerprints: a few as a tuple, or a table of
+    any size with a column ``fp``, which is joined.
+    """
 
     exclude_signatures: bool = False
-    exclude_pointers: tuple[str, ...] = ()
-    keep_pointers: tuple[str, ...] = ()
+    exclude_pointers: tuple[str, ...] | DataFrame = ()
+    keep_pointers: tuple[str, ...] | DataFrame = ()
     exclude_names: tuple[str, ...] = ()
     keep_names: tuple[str, ...] = ()
 
     @property
     def needs_scan(self) -> bool:
-        return bool(
-            self.exclude_signatures or self.exclude_pointers or self.keep_pointers or self.exclude_names
-        )
+        return bool(self.needs_dhash or self.exclude_names)
 
     @property
     def needs_dhash(self) -> bool:
-        return bool(self.exclude_signatures or self.exclude_pointers or self.keep_pointers)
+        return bool(self.exclude_signatures or _given(self.exclude_pointers) or _given(self.keep_pointers))
+
+
+def _given(pointers: tuple[str, ...] | DataFrame) -> bool:
+    return isinstance(pointers, DataFrame) or bool(pointers)
 
 
 def _lower(names: tuple[str, ...]) -> list[str]:
-    return [n.strip().lower() for n in names if n.strip()]
+    # Python strips the same white space and a few control characters more, which no file name ends with.
+    return [n.strip("\ufeff" + " \t\n\r\x0b\x0c\u00a0").lower() for n in names if n.strip()]
 
 
 def is_small(size: Column, exclude_signatures: bool = True) -> Column:
@@ -75,9 +83,13 @@ def auto_logos(att: DataFrame) -> DataFrame:
     return exact.unionByName(alike).distinct()
 
 
-def matching_pointers(att: DataFrame, pointers: tuple[str, ...]) -> DataFrame:
-    """Attachments a user's pointers name. The list is the user's own rule text."""
-    return att.filter(fingerprint(F.col("name"), F.col("size")).isin(*pointers) if pointers else F.lit(False))
+def matching_pointers(att: DataFrame, pointers: tuple[str, ...] | DataFrame) -> DataFrame:
+    """Attachments a user's pointers name. A tuple is the user's own rule text, a table is joined."""
+    fp = fingerprint(F.col("name"), F.col("size"))
+    if isinstance(pointers, DataFrame):
+        wanted = pointers.select(F.col("fp").alias("_fp")).distinct()
+        return att.withColumn("_fp", fp).join(wanted, "_fp", "left_semi").drop("_fp")
+    return att.filter(fp.isin(*pointers) if pointers else F.lit(False))
 
 
 def _with_look_alikes(att: DataFrame, named: DataFrame) -> DataFrame:
@@ -98,16 +110,14 @@ def decide(att: DataFrame, rules: Rules) -> DataFrame:
     off, on = F.lit(False), F.lit(True)
     none = att.select("sha", off.alias("x"), off.alias("l"), off.alias("k")).filter(F.lit(False))
     parts = [none]
-    if rules.exclude_pointers or rules.exclude_names:
-        fp = fingerprint(F.col("name"), F.col("size"))
-        wanted = F.col("name").isin(_lower(rules.exclude_names))
-        if rules.exclude_pointers:
-            wanted = wanted | fp.isin(*rules.exclude_pointers)
-        named = att.filter(wanted)
+    if _given(rules.exclude_pointers) or rules.exclude_names:
+        named = att.filter(F.col("name").isin(_lower(rules.exclude_names))).select("sha", "dhash")
+        if _given(rules.exclude_pointers):
+            named = named.unionByName(matching_pointers(att, rules.exclude_pointers).select("sha", "dhash"))
         parts.append(_with_look_alikes(att, named).select("sha", on.alias("x"), off.alias("l"), off.alias("k")))
     if rules.exclude_signatures:
         parts.append(auto_logos(att).select("sha", off.alias("x"), on.alias("l"), off.alias("k")))
-    if rules.keep_pointers:
+    if _given(rules.keep_pointers):
         named = matching_pointers(att, rules.keep_pointers)
         parts.append(_with_look_alikes(att, named).select("sha", off.alias("x"), off.alias("l"), on.alias("k")))
     rows = parts[0]
@@ -167,7 +177,7 @@ def dispositions(att: DataFrame, decisions: DataFrame, rules: Rules) -> DataFram
 
 
 def decision_report(att: DataFrame, decisions: DataFrame, rules: Rules) -> DataFrame:
-    """One row per distinct content with its decision and the reason."""
+    """One row per distinct content with its decision and the reason; without any rule there is no report."""
     if not rules.needs_dhash:
         att = att.withColumn("dhash", F.lit(None).cast("bigint"))
     first = att.groupBy("sha").agg(
@@ -198,6 +208,8 @@ def decision_report(att: DataFrame, decisions: DataFrame, rules: Rules) -> DataF
             F.lit(f" conversation(s) — needs >= {MIN_CONVERSATIONS} to be auto-flagged")))
         .otherwise("kept as content")
     )
+    if not rules.needs_scan:
+        rows = rows.limit(0)
     return rows.select(
         "name", F.col("size").cast("bigint").alias("size"), F.substring("sha", 1, 12).alias("sha_short"),
         F.coalesce(long_to_hex(F.col("dhash")), F.lit("none")).alias("dhash"), recur.alias("conversations"),
@@ -238,8 +250,9 @@ def excluded_listing(excluded: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def group_layout(groups: DataFrame) -> DataFrame:
-    """Folder and file name of each distinct set-aside file."""
+    """Folder and file name of each distinct set-aside file; a name that is taken in its folder gets a leading ``_``."""
     from foliant.functions.names import decorate_name, safe_name
+    from foliant.operators.production import claim_names
 
     total = groups.agg(F.max("group_no").alias("n")).scalar()
     digits = F.length(total.cast("string"))
@@ -247,7 +260,9 @@ def group_layout(groups: DataFrame) -> DataFrame:
     noun = F.when(F.col("members") == 1, " file)").otherwise(" files)")
     folder = F.concat(F.lit("Group "), number, F.lit(" ("), F.col("members").cast("string"), noun)
     file = safe_name(decorate_name(F.col("name"), F.col("size"), long_to_hex(F.col("dhash"))))
-    return groups.withColumn("folder", folder).withColumn("file", file)
+    placed = groups.withColumn("folder", folder).withColumn("_file", file).withColumnRenamed("name", "_name").withColumnRenamed("_file", "name")
+    claimed = claim_names(settle(placed), ["content"])
+    return claimed.drop("name").withColumnRenamed("_name", "name").withColumnRenamed("final_name", "file")
 
 
 # -- browser variant ---------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import blank, squash_ws
+from foliant.functions.text import blank, squash_ws, trim_ws
 from foliant.operators.similarity import nearest_color
 
 
@@ -26,12 +26,15 @@ def highlight_totals(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("highlights")), F.lit(0)).cast("bigint").alias("marks"), F.countDistinct("doc_id").alias("docs"))
 
 
-def highlight_lines(docs: DataFrame) -> DataFrame:
-    """Text form of each mark for one file's listing; contexts end at 280 characters."""
+def highlight_lines(docs: DataFrame, max_context: int | None = None) -> DataFrame:
+    """Text form of each mark for one file's listing; ``max_context`` cuts contexts (the desktop shows 280 characters)."""
+    context = blank(F.col("h.context"))
+    if max_context is not None:
+        context = F.substring(context, 1, max_context)
     rows = docs.select("doc_id", F.posexplode("highlights").alias("i", "h"))
     line = F.concat(
         (F.col("i") + 1).cast("string"), F.lit(". ["), F.col("h.color"), F.lit('] "'), F.col("h.text"),
-        F.lit('"\n   in: '), F.substring(blank(F.col("h.context")), 1, 280))
+        F.lit('"\n   in: '), context)
     return rows.select("doc_id", "i", line.alias("line"))
 
 
@@ -78,7 +81,7 @@ def marked_passages(marks: DataFrame, items: DataFrame) -> DataFrame:
     band = marks.withColumns({
         "b0": F.array_min(F.transform("boxes", lambda b: b["y0"])), "b1": F.array_max(F.transform("boxes", lambda b: b["y1"])),
     }).filter(F.size("boxes") > 0)
-    pairs = band.join(items.filter(F.trim("str") != ""), ["doc_id", "page"])
+    pairs = band.join(items.filter(trim_ws(F.col("str")) != ""), ["doc_id", "page"])
     mid = (F.col("x0") + F.col("x1")) / 2
     under = F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1)
                      & (F.col("y1") > b["y0"]) & (F.col("y0") < b["y1"]))

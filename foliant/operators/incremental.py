@@ -121,15 +121,16 @@ def merge_enrichment(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.drop("_hit", "_doc_type", "_summary", "_parties")
 
 
-def enrich(docs: DataFrame, label, batch_size: int = 5, excerpt: int = 1500) -> DataFrame:
+def enrich(docs: DataFrame, label, batch_size: int = 5, excerpt: int | None = None) -> DataFrame:
     """Run a user-supplied labelling function over documents without a summary.
 
     ``label`` gets a list of dicts (id, name, kind, subject, from, to, excerpt)
-    and returns dicts with id, docType, summary and parties. A batch that fails
+    and returns dicts with id, docType, summary and parties. The whole text goes
+    in unless ``excerpt`` cuts it (the desktop sends 1,500 characters). A batch that fails
     is left out. Result: ``doc_id, doc_type, summary, parties``.
     """
     pending = docs.filter(F.coalesce("summary", F.lit("")) == "").select(
-        "doc_id", "name", "kind", "subject", "from", "to", F.substring("head", 1, excerpt).alias("excerpt")
+        "doc_id", "name", "kind", "subject", "from", "to", (F.col("head") if excerpt is None else F.substring("head", 1, excerpt)).alias("excerpt")
     )
 
     def run(frames):

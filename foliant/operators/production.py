@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.names import bates_label
-from foliant.functions.text import blank, filled
+from foliant.functions.text import blank, filled, trim_ws
 from foliant.operators.scan import previous_row, row_position, running_max, running_sum, split_ranges
 from foliant.session import settle
 
@@ -113,17 +113,53 @@ def _named(records: DataFrame, names: Sequence[str], values: Sequence[Column], k
     return records.select(*keep, *[blank(v).alias(n) for n, v in zip(names, values)])
 
 
-def review_index(records: DataFrame, keep: Sequence[str] = (), email_batch: bool = False) -> DataFrame:
-    """The ten-column review index; an email batch has no type column."""
+BATCH_COLUMNS = (
+    "Beginning Bates", "Ending Bates", "Pages", "Date", "From", "To", "Subject", "# Attachments", "Attachments",
+)
+
+
+def number_emails(mails: DataFrame, atts: DataFrame, prefix: str = "DOC-", start: int = 1) -> DataFrame:
+    """A stand-alone batch: emails alone are numbered, in path order.
+
+    ``mails`` has one row per converted email (``path, pages`` and the columns
+    of the tables; one that failed has no row), ``atts`` ``(path, name, ord)``.
+    Adds the labels, ``att_count`` and ``att_names``, the names in order.
+    """
+    names = atts.groupBy(F.col("path").alias("_p")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("a"))
+    joined = mails.join(names, F.col("path") == F.col("_p"), "left").withColumns({
+        "span": F.col("pages").cast("bigint"), "att_count": F.coalesce("n", F.lit(0)),
+        "att_names": F.coalesce(F.array_join(F.col("a.name"), "; "), F.lit("")),
+    }).drop("_p", "n", "a")
+    return number_records(settle(joined), ["path"], prefix, start)
+
+
+def email_batch_counts(files: DataFrame, mails: DataFrame, atts: DataFrame) -> DataFrame:
+    """Emails converted, other files skipped and attachments kept, as one row; ``files`` has ``path``."""
+    email = F.lower("path").endswith(".eml")
+    hidden = F.col("path").rlike(r"(^|/)\.")
+    return files.agg(F.count_if(~email & ~hidden).alias("skipped")).withColumns({
+        "converted": mails.agg(F.count("*")).scalar(), "attachments": atts.agg(F.count("*")).scalar()})
+
+
+def batch_index(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The nine-column review index of an email batch; no attachments print as 0."""
+    c = F.col
+    values = [
+        c("beg_bates"), c("end_bates"), count_or_blank(c("pages")), c("date"), c("from"), c("to"), c("subject"),
+        c("att_count").cast("string"), c("att_names"),
+    ]
+    return _named(records, BATCH_COLUMNS, values, keep)
+
+
+def review_index(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The ten-column review index."""
     c = F.col
     values = [
         c("beg_bates"), c("end_bates"), count_or_blank(c("pages")), c("date"), c("doc_type"), c("from"), c("to"),
         c("subject"), c("file_rel"), count_or_blank(c("att_count")),
     ]
-    pairs = list(zip(REVIEW_COLUMNS, values))
-    if email_batch:
-        pairs = [p for p in pairs if p[0] != "Type"]
-    return _named(records, [p[0] for p in pairs], [p[1] for p in pairs], keep)
+    return _named(records, REVIEW_COLUMNS, values, keep)
 
 
 def load_file(
@@ -221,7 +257,7 @@ def size_clusters(files: DataFrame) -> DataFrame:
     over (name, size), so a name shared by very many files is no hot spot. The
     counted sizes are written once, because the chain reads them several times.
     """
-    sizes = files.select(F.lower(F.trim("name")).alias("name"), F.col("size").cast("bigint").alias("size"))
+    sizes = files.select(F.lower(trim_ws(F.col("name"))).alias("name"), F.col("size").cast("bigint").alias("size"))
     counted = sizes.groupBy("name", "size").agg(F.count("*").alias("copies"))
     order = ["name", "size"]
     cut = settle(split_ranges(settle(counted), order))
@@ -249,9 +285,9 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     Names are compared in lower case per folder, earlier files win. Names that
     differ only in leading underscores compete for the same slots. Where all of
     them start alike, the place in the queue is the number to add; the rare
-    mixed queues are replayed in order. A queue is short by nature: its last
-    member carries one underscore per earlier one, and file systems end names
-    at 255 characters.
+    mixed queues are replayed in order. The place is counted over ranges of the
+    whole order, so a queue of any length is dealt over many tasks; ``order``
+    must tell the files of a folder apart.
     """
     bare = F.regexp_replace("name", "^_+", "")
     rows = files.withColumn("_bare", F.lower(bare)).withColumn("_folder", F.lower("folder")).withColumn(
@@ -260,8 +296,10 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     queue = ["_folder", "_bare"]
     mixed = rows.groupBy(*queue).agg((F.min("_u") != F.max("_u")).alias("_mixed"))
     rows = rows.join(mixed, queue)
-    place = F.row_number().over(W.partitionBy(*queue).orderBy(*order)) - 1
-    plain = rows.filter(~F.col("_mixed")).withColumn("_add", place)
+    rows = settle(rows)
+    sorted_ = settle(row_position(rows.filter(~F.col("_mixed")), [*queue, *order], "_at"))
+    heads = sorted_.groupBy(*queue).agg(F.min("_at").alias("_head"))
+    plain = sorted_.join(heads, queue).withColumn("_add", (F.col("_at") - F.col("_head")).cast("int")).drop("_at", "_head")
     replay = _replay(rows.filter("_mixed"), queue, order)
     both = plain.unionByName(replay.select(*plain.columns))
     return both.withColumn("final_name", F.concat(F.repeat(F.lit("_"), F.col("_add")), F.col("name"))).drop(

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import trim_ws
+
 
 def _script(a: list, b: list) -> list[tuple[str, object]]:
     """Edit script of two sequences by longest common subsequence.
@@ -184,7 +186,7 @@ def apply_redline(text: Column, find: Column, replacement: Column) -> Column:
     mark = F.concat(F.lit("<del>"), find, F.lit("</del><ins>"), replacement, F.lit("</ins>"))
     status = (
         F.when(F.coalesce(text, F.lit("")) == "", "no document")
-        .when(F.trim(F.coalesce(find, F.lit(""))) == "", "empty find")
+        .when(trim_ws(F.coalesce(find, F.lit(""))) == "", "empty find")
         .when(at == 0, "not found").otherwise("applied")
     )
     edited = F.when(status == "applied", F.overlay(text, mark, at, F.length(find))).otherwise(text)

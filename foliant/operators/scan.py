@@ -5,7 +5,7 @@ into ranges of the sort key, each range is scanned on its own, and the totals
 of the ranges before it are added. The cut points come from a bounded sample of
 the full (unique) sort key, so one huge group is cut like any other.
 
-A scan reads its input three times (sample, totals, rows). Settle an expensive
+A scan reads its input four times (count, sample, totals, rows). Settle an expensive
 input first; ``tagged`` rows that already went through :func:`split_ranges` can
 be scanned again without a new sample.
 """
@@ -33,14 +33,18 @@ def split_ranges(
 ) -> DataFrame:
     """Tag each row with the number of the range its sort key falls in.
 
-    A small job draws the cut points at once: the sample is the rows with the
-    smallest hash of the key, a top-k that each task cuts to size before
-    anything is sent on, and at most MAX_RANGES keys come back. They then stand
-    in the plan as constants, so every use of the tag agrees.
+    Two small jobs draw the cut points at once: the row count gives a threshold,
+    and rows whose key hashes below it are the sample. Its size follows from
+    the number of ranges alone, whatever the numbers of rows and tasks, and at
+    most MAX_RANGES keys come back. They then stand in the plan as constants,
+    so every use of the tag agrees.
     """
     n = ranges or _range_count(df)
     key = F.struct(*order)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(n * SAMPLES_PER_RANGE)
+    share = n * SAMPLES_PER_RANGE / max(1, df.select(F.lit(1)).count())
+    sample = df.select(key.alias("k"))
+    if share < 1:
+        sample = sample.filter(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 32)) < int(share * (1 << 32)))
     every = sample.agg(F.sort_array(F.collect_list("k")).alias("ks")).select(
         F.filter("ks", lambda k, i: i % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1).alias("c")
     )

@@ -1,7 +1,7 @@
 """Inverted index tables and BM25 ranking.
 
 The index is three long tables: ``postings(doc_id, term, tf, dl)``,
-``doc_len(doc_id, dl)`` and ``snippets(doc_id, head)``. The document length is
+``doc_len(doc_id, dl)`` and ``snippets(doc_id, body)``. The document length is
 repeated in each posting so that scoring a query reads postings alone.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import SNIPPET_CAP, query_terms, snippet, tokenize
+from foliant.functions.text import query_terms, snippet, tokenize
 
 K1 = 1.5
 B = 0.75
@@ -35,7 +35,8 @@ def postings(corpus: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def snippet_sources(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", F.substring("text", 1, SNIPPET_CAP).alias("head"))
+    """The whole texts: a snippet may come from anywhere in them, and only those of the top hits are read."""
+    return corpus.select("doc_id", F.col("text").alias("body"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def bm25(index: DataFrame, lengths: DataFrame, query: str, k: int = 50) -> DataF
 
 
 def search_collection(
-    index: DataFrame, lengths: DataFrame, heads: DataFrame, docs: DataFrame, query: str, k: int = 50
+    index: DataFrame, lengths: DataFrame, bodies: DataFrame, docs: DataFrame, query: str, k: int = 50
 ) -> DataFrame:
     """Ranked hits with a snippet and the document's columns.
 
@@ -82,8 +83,8 @@ def search_collection(
     """
     terms = query_terms(query)
     top = F.broadcast(bm25(index, lengths, query, k))
-    shown = snippet(F.col("head"), terms) if terms else F.lit("")
-    hits = heads.join(top, "doc_id").select("doc_id", "score", shown.alias("snippet"))
+    shown = snippet(F.col("body"), terms) if terms else F.lit("")
+    hits = bodies.join(top, "doc_id").select("doc_id", "score", shown.alias("snippet"))
     return docs.join(F.broadcast(hits), "doc_id").orderBy(F.desc("score"), "doc_id")
 
 
@@ -152,17 +153,17 @@ def search_library(
     return best.orderBy(F.desc(F.round("score", 9)), "collection", "doc_id").limit(k)
 
 
-def find_files(files: DataFrame, query: str, limit: int | None = 500) -> DataFrame:
-    """Files whose name contains the query, ignoring case (top-``limit`` report)."""
+def find_files(files: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """Files whose name contains the query, ignoring case, by path; ``limit`` makes it a top report (the desktop shows 500)."""
     hits = files.filter(~F.col("is_dir") & F.contains(F.lower("name"), F.lit(query.lower())))
     return hits.orderBy("path").limit(limit) if limit else hits
 
 
-def find_in_files(files: DataFrame, query: str, max_depth: int = 4) -> DataFrame:
+def find_in_files(files: DataFrame, query: str, max_depth: int | None = None) -> DataFrame:
     """Match by name, else by content for plain-text files; name wins.
 
-    ``files`` has ``path, name, depth, text``. Every match is returned; the
-    depth limit is part of the feature.
+    ``files`` has ``path, name, depth, text``. Every match is returned, at any
+    depth unless ``max_depth`` is given (the desktop looks four folders down).
     """
     q = F.lit(query.lower())
     texty = F.col("name").rlike(r"(?i)\.(txt|md|csv|json|log)$")
@@ -170,7 +171,7 @@ def find_in_files(files: DataFrame, query: str, max_depth: int = 4) -> DataFrame
         texty & F.contains(F.lower("text"), q), "content"
     )
     return (
-        files.filter(F.col("depth") <= max_depth)
+        (files if max_depth is None else files.filter(F.col("depth") <= max_depth))
         .select("path", "name", kind.alias("match"))
         .filter(F.col("match").isNotNull())
     )

@@ -85,7 +85,7 @@ SPOT = "least(" + ", ".join(f"nullif(instr(lower(h), '{t}'), 0)" for t in text.q
 
 
 @query("bm25_search", bm25_sql() + f""", top AS (SELECT * FROM sc ORDER BY round(score, 9) DESC, doc_id LIMIT 50),
-sn AS (SELECT doc_id, substr(text, 1, 2000) AS h FROM documents),
+sn AS (SELECT doc_id, text AS h FROM documents),
 sp AS (SELECT doc_id, h, coalesce(greatest(0, {SPOT} - 61), 0) AS s FROM sn)
 SELECT top.doc_id, d.lang, round(score, 6) AS score,
   (CASE WHEN s > 0 THEN '…' ELSE '' END) || trim(regexp_replace(substr(h, (s + 1)::BIGINT, 220), '\\s+', ' ', 'g'))
@@ -121,7 +121,7 @@ CORPUS = """corpus AS (SELECT doc_id, text, lang, source AS collection, 'doc-' |
   concat_ws('/', '/vault', source, lang, 'doc-' || doc_id || '.txt') AS path FROM documents)"""
 
 
-@query("find_files", f"WITH {CORPUS} SELECT path, name FROM corpus WHERE contains(lower(name), '-1') ORDER BY path LIMIT 500")
+@query("find_files", f"WITH {CORPUS} SELECT path, name FROM corpus WHERE contains(lower(name), '-1') ORDER BY path")
 def find_files(spark, sf):
     files = v.corpus(spark, sf).select("path", "name", F.lit(False).alias("is_dir"))
     return search.find_files(files, "-1").select("path", "name")
@@ -147,13 +147,10 @@ def searchable_text(spark, sf):
     return docs.select("doc_id", F.md5(joined).alias("digest"))
 
 
-@query("text_caps", """SELECT doc_id, length(substr(text, 1, 200000))::BIGINT AS text_chars, md5(substr(text, 1, 2000)) AS head
-FROM documents""")
-def text_caps(spark, sf):
-    body = F.substring("text", 1, text.BODY_CAP)
-    return v.corpus(spark, sf).select(
-        "doc_id", F.length(body).cast("bigint").alias("text_chars"), F.md5(F.substring(body, 1, text.SNIPPET_CAP)).alias("head")
-    )
+@query("text_digests", "SELECT doc_id, length(text)::BIGINT AS text_chars, md5(text) AS digest FROM documents")
+def text_digests(spark, sf):
+    bodies = search.snippet_sources(v.corpus(spark, sf))
+    return bodies.select("doc_id", F.length("body").cast("bigint").alias("text_chars"), F.md5("body").alias("digest"))
 
 
 @query("document_skeleton", f"""WITH {CORPUS}, f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN replace(path, '.txt', '.EML') ELSE path END AS path FROM corpus),
@@ -309,18 +306,42 @@ def load_file_web(spark, sf):
     return prod.load_file(rows, custodian="Smith matter", variant="web")
 
 
-@query("email_batch_index", f"""WITH {FULL} SELECT beg_bates AS "Beginning Bates", end_bates AS "Ending Bates", span::VARCHAR AS "Pages", date AS "Date",
- sender AS "From", recipient AS "To", subject AS "Subject / Title", file_rel AS "File",
- CASE WHEN att_count > 0 THEN att_count::VARCHAR ELSE '' END AS "# Attachments" FROM full_rec WHERE child = 0""")
+# Emails stand in the folders of their customers; every 40th cannot be read and takes no number.
+BATCH = EMAILS + f""", em AS (SELECT *, 'Mailbox/' || conv || '/' || doc_id || '.eml' AS path FROM convs WHERE doc_id % 40 <> 3),
+an AS (SELECT l_orderkey AS doc_id, count(*) AS n, string_agg('part ' || l_partkey || '.pdf', '; ' ORDER BY {', '.join(v.ATT_ORDER)}) AS names FROM lineitem GROUP BY l_orderkey),
+bt AS (SELECT em.*, coalesce(n, 0) AS att_count, coalesce(names, '') AS att_names, replace(path, '.eml', '.pdf') AS file_rel,
+  coalesce(sum(pages) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS beg_no FROM em LEFT JOIN an USING (doc_id)),
+full_rec AS (SELECT *, 'DOC-' || printf('%06d', beg_no) AS beg_bates, 'DOC-' || printf('%06d', beg_no + pages - 1) AS end_bates, pages AS span FROM bt)"""
+
+
+def batch_parts(spark, sf):
+    path = lambda conv, doc: F.concat(F.lit("Mailbox/"), conv.cast("string"), F.lit("/"), doc.cast("string"), F.lit(".eml"))
+    mails = v.emails(spark, sf).filter(c("doc_id") % 40 != 3).withColumn("path", path(c("conv"), c("doc_id"))).withColumns({
+        "cc": F.lit(""), "file_rel": F.replace("path", F.lit(".eml"), F.lit(".pdf"))})
+    owner = mails.select("doc_id", "path")
+    atts = v.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "doc_id").withColumn("l_orderkey", c("doc_id")).select(
+        "doc_id", F.struct(*v.ATT_ORDER).alias("ord"), F.concat(F.lit("part "), c("l_partkey").cast("string"), F.lit(".pdf")).alias("name"))
+    return mails, atts.join(owner, "doc_id").select("path", "name", "ord")
+
+
+@query("email_batch_index", f"""WITH {BATCH} SELECT beg_bates AS "Beginning Bates", end_bates AS "Ending Bates", span::VARCHAR AS "Pages", date AS "Date",
+ sender AS "From", recipient AS "To", subject AS "Subject", att_count::VARCHAR AS "# Attachments", att_names AS "Attachments" FROM full_rec""")
 def email_batch_index(spark, sf):
-    return prod.review_index(full_records(spark, sf).filter(c("child") == 0), email_batch=True)
+    return prod.batch_index(prod.number_emails(*batch_parts(spark, sf)))
+
+
+@query("email_batch_counts", f"""WITH {BATCH} SELECT (SELECT count(*) FROM documents)::BIGINT AS skipped, count(*)::BIGINT AS converted, sum(att_count)::BIGINT AS attachments FROM bt""")
+def email_batch_counts(spark, sf):
+    mails, atts = batch_parts(spark, sf)
+    files = mails.select("path").unionByName(v.table(spark, sf, "documents").select(F.concat(F.lit("Mailbox/"), c("doc_id").cast("string"), F.lit(".txt")).alias("path")))
+    return prod.email_batch_counts(files, mails, atts)
 
 
-@query("email_batch_load_file", f"""WITH {FULL} SELECT beg_bates AS "BEGBATES", end_bates AS "ENDBATES", beg_bates AS "BEGATTACH", end_bates AS "ENDATTACH",
+@query("email_batch_load_file", f"""WITH {BATCH} SELECT beg_bates AS "BEGBATES", end_bates AS "ENDBATES", beg_bates AS "BEGATTACH", end_bates AS "ENDATTACH",
  '' AS "CUSTODIAN", date AS "DATE SENT", sender AS "FROM", recipient AS "TO", '' AS "CC", subject AS "SUBJECT", file_rel AS "FILE NAME",
- span::VARCHAR AS "PAGE COUNT", '' AS "ATTACHMENT NAMES" FROM full_rec WHERE child = 0""")
+ span::VARCHAR AS "PAGE COUNT", att_names AS "ATTACHMENT NAMES" FROM full_rec""")
 def email_batch_load_file(spark, sf):
-    return prod.load_file(full_records(spark, sf).filter(c("child") == 0), email_batch=True)
+    return prod.load_file(prod.number_emails(*batch_parts(spark, sf)).withColumn("native_rel", F.lit("")).withColumn("doc_type", F.lit("")), email_batch=True)
 
 
 @query("opticon_rows", f"""WITH {FULL}, p AS (SELECT *, unnest(range(span)) AS page FROM full_rec)
@@ -428,12 +449,11 @@ def hashed(spark, sf) -> DataFrame:
 
 
 def rules_of(att: DataFrame) -> ex.Rules:
-    """The user's rules of the sample queries: a few named files (a lookup of three parts)."""
-    fp = names.fingerprint(c("name"), c("size"))
-    picked = att.filter(c("part_id").isin(6, 8, 9)).select("part_id", fp.alias("fp")).distinct().collect()
+    """The user's rules of the sample queries: pointers to the files of three parts, as tables."""
+    picked = att.select("part_id", names.fingerprint(c("name"), c("size")).alias("fp"))
     return ex.Rules(
-        exclude_signatures=True, exclude_pointers=tuple(r.fp for r in picked if r.part_id == 6),
-        keep_pointers=tuple(r.fp for r in picked if r.part_id != 6), exclude_names=(RULE_NAME.upper() + " ",),
+        exclude_signatures=True, exclude_pointers=picked.filter(c("part_id") == 6).select("fp").distinct(),
+        keep_pointers=picked.filter(c("part_id").isin(8, 9)).select("fp").distinct(), exclude_names=(RULE_NAME.upper() + " ",),
         keep_names=("Hot Gear",),
     )
 
@@ -593,9 +613,10 @@ hs AS (SELECT DISTINCT dhash AS h, ('0x' || dhash)::UBIGINT AS b FROM rep WHERE
 e AS (SELECT x.h AS a, y.h AS b FROM hs x JOIN hs y ON bit_count(xor(x.b, y.b)) <= 8), {COMPONENTS},
 t AS (SELECT rep.*, coalesce(root, 'c' || content) AS g FROM rep LEFT JOIN comp ON comp.h = rep.dhash),
 gr AS (SELECT g, count(*) AS members, arg_min(name, ord) AS rn, min(ord) AS o FROM t GROUP BY g),
-rk AS (SELECT *, row_number() OVER (ORDER BY members DESC, rn, o) AS no FROM gr)
-SELECT content, 'Group ' || lpad(no::VARCHAR, length((SELECT max(no) FROM rk)::VARCHAR)::INT, '0') || ' (' || members || CASE WHEN members = 1 THEN ' file)' ELSE ' files)' END AS folder,
-  name || ' (' || size || ' bytes, dh=' || coalesce(dhash, 'none') || ')' AS file, members::BIGINT AS members FROM t JOIN rk USING (g)""")
+rk AS (SELECT *, row_number() OVER (ORDER BY members DESC, rn, o) AS no FROM gr),
+gl AS (SELECT content, 'Group ' || lpad(no::VARCHAR, length((SELECT max(no) FROM rk)::VARCHAR)::INT, '0') || ' (' || members || CASE WHEN members = 1 THEN ' file)' ELSE ' files)' END AS folder,
+  name || ' (' || size || ' bytes, dh=' || coalesce(dhash, 'none') || ')' AS file, members::BIGINT AS members FROM t JOIN rk USING (g))
+SELECT content, folder, members, repeat('_', (row_number() OVER (PARTITION BY folder, lower(file) ORDER BY content) - 1)::INT) || file AS file FROM gl""")
 def excluded_groups(spark, sf):
     reps = excluded(spark, sf).groupBy("content").agg(
         F.min_by(F.struct("name", "size", "dhash"), "ord").alias("f"), F.min("ord").alias("ord"))

@@ -12,9 +12,9 @@ from foliant.streaming import progress, reindex
 
 
 def _stream(spark, sf, name):
-    """The table's file as a stream source."""
+    """The table as a stream source, whether it is a file or a folder of files; a few files make a batch."""
     schema = v.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf}/{name}[.]parquet")
 
 
 def _run(stream, spark, label):
@@ -44,18 +44,19 @@ def eta_stream(spark, sf):
 SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL""")
 def stream_reindex(spark, sf):
     base = work_path(spark, "reindex")
-    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    docs = _stream(spark, sf, "documents").select("doc_id", F.lit(0).alias("seq"), "text")
     reindex.index_changes(docs, base, f"{base}/state").awaitTermination()
     return reindex.current_postings(spark, base).select("doc_id", "term", "tf")
 
 
 @query("activity_stream", """WITH s AS (SELECT event_id // 2 AS id, ts, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 14 <> 3),
 e AS (SELECT event_id // 2 AS id, ts, event_type FROM events WHERE event_id % 2 = 1 AND event_id % 14 <> 3)
-SELECT s.id, s.event_type AS name, e.event_type AS summary FROM s JOIN e USING (id) WHERE e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR""")
+SELECT s.id, s.event_type AS name, e.event_type AS summary, e.ts IS NULL AS open FROM s LEFT JOIN e ON s.id = e.id AND e.ts >= s.ts""")
 def activity_stream(spark, sf):
-    """Closed activities; open ones appear only when the watermark has passed them."""
+    """Every start with its end, however late, and those that are still open."""
     events = _stream(spark, sf, "events").filter(c("event_id") % 14 != 3).select(
         F.floor(c("event_id") / 2).cast("bigint").alias("id"), c("ts").cast("timestamp").alias("ts"), c("event_type").alias("name"),
-        (c("event_type") != "error").alias("ok"), c("event_type").alias("summary"), (c("event_id") % 2).alias("kind"))
-    pairs = progress.pair_activities(events.filter(c("kind") == 0), events.filter(c("kind") == 1))
-    return _run(pairs, spark, "activity").filter(c("ended_at").isNotNull()).select("id", "name", "summary")
+        (c("event_type") != "error").alias("ok"), c("event_type").alias("summary"), (c("event_id") % 2 == 0).alias("is_start"))
+    base = work_path(spark, "activity")
+    progress.record_activities(events, f"{base}/rows", f"{base}/state").awaitTermination()
+    return progress.recorded_pairs(spark, f"{base}/rows").select("id", "name", "summary", c("ended_at").isNull().alias("open"))

@@ -31,8 +31,8 @@ def build_session(app: str = "foliant", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder used to cut lineage and to hold working tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session that has no
-    such setting (tests, a laptop) gets a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session on a
+    ``local`` master (tests, a laptop) gets a temporary folder without it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = os.path.join(tempfile.mkdtemp(prefix="foliant-"), "checkpoints")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -59,6 +61,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that a finished job no longer needs."""
+    for df in tables:
+        spark = df.sparkSession
+        top = checkpoint_dir(spark).rstrip("/").split(":")[-1].lstrip("/")
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/{top}/" in name and "/table-" in name:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a table a job has to write."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -96,7 +96,7 @@ def parse_emails(files: DataFrame) -> DataFrame:
                 rows, columns=["path", "from", "to", "date", "subject", "body", "html", "error"])
 
     out = files.select("path", "content").mapInPandas(run, schema)
-    body = F.when(F.col("html"), text.html_to_text(F.col("body"))).otherwise(text.trim_ws(F.col("body")))
+    body = F.when(F.col("html"), text.html_to_text(F.col("body"))).otherwise(text.text.trim_ws(F.col("body")))
     return out.withColumn("body", body).drop("html")
 
 
@@ -143,7 +143,7 @@ def attachment_rows(parts: DataFrame) -> DataFrame:
     rows = parts.filter(F.length("content") > 0)
     return rows.select(
         *[c for c in parts.columns if c != "content"],
-        F.lower(F.trim("filename")).alias("name"), F.length("content").cast("bigint").alias("size"),
+        F.lower(text.trim_ws(F.col("filename"))).alias("name"), F.length("content").cast("bigint").alias("size"),
         F.startswith("mime", F.lit("image/")).alias("img"), content_sha(F.col("content")).alias("sha"), "content",
     )
 
@@ -153,8 +153,8 @@ def header_fields(raw: Column) -> Column:
     head = F.regexp_replace(F.regexp_extract(raw, r"(?s)^(.*?)(?:\r?\n\r?\n|$)", 1), r"\r?\n[ \t]+", " ")
     pairs = F.filter(
         F.transform(F.split(head, "\r?\n"), lambda s: F.struct(
-            F.lower(F.trim(F.substring_index(s, ":", 1))).alias("k"),
-            F.trim(F.regexp_replace(s, "^[^:]*:", "")).alias("v"), F.contains(s, F.lit(":")).alias("ok"))),
+            F.lower(text.trim_ws(F.substring_index(s, ":", 1))).alias("k"),
+            text.trim_ws(F.regexp_replace(s, "^[^:]*:", "")).alias("v"), F.contains(s, F.lit(":")).alias("ok"))),
         lambda p: p["ok"] & (p["k"] != ""),
     )
     first = F.filter(

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text
 
-MAX_DEPTH = 8
-
 # Extensions read straight as UTF-8 text.
 PLAIN_TEXT = (".txt", ".md", ".csv", ".tsv", ".json", ".log", ".xml", ".html", ".htm", ".yml", ".yaml", ".rtf")
 
@@ -19,11 +17,11 @@ def _local(path: Column) -> Column:
     return F.regexp_replace(path, "^file:(//)?(?=/)", "")
 
 
-def scan_files(spark: SparkSession, roots: Sequence[str], with_content: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, roots: Sequence[str], with_content: bool = False, max_depth: int | None = None) -> DataFrame:
     """Files below the roots: ``root, path, name, size, mtime[, content]``.
 
     Dot entries and ``node_modules`` below a root are skipped, as is everything
-    deeper than eight folders. A root may be a file; one that does not exist is
+    deeper than ``max_depth`` folders, if given (the desktop goes eight down). A root may be a file; one that does not exist is
     skipped. Without ``with_content`` no file is opened.
     """
     out = None
@@ -43,9 +41,8 @@ def scan_files(spark: SparkSession, roots: Sequence[str], with_content: bool = F
         rel = F.substring("path", len(top) + 2, 1 << 20)
         parts = F.filter(F.split(rel, "/"), lambda p: p != "")
         skipped = F.exists(parts, lambda p: F.startswith(p, F.lit(".")) | (p == "node_modules"))
-        rows = rows.filter(
-            (F.col("path") == top) | (~skipped & (F.size(parts) - 1 <= MAX_DEPTH))
-        )
+        near = F.lit(True) if max_depth is None else F.size(parts) - 1 <= max_depth
+        rows = rows.filter((F.col("path") == top) | (~skipped & near))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         schema = "root_no int, root string, path string, size bigint, mtime bigint, name string"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,7 +36,7 @@ def _advance(key, frames, group: GroupState):
     state = dict(zip(names, group.get)) if group.exists else {"shown": 0}
     if state.get("eta_ms") is not None and state["eta_ms"] < 0:
         state["eta_ms"] = None
-    # One run's events of one micro-batch; the source limits a batch's size.
+    # One run's events of one micro-batch; the reader's maxFilesPerTrigger bounds a batch.
     rows = pd.concat(list(frames)).sort_values(["at_ms", "event_id"])
     out = []
     for r in rows.itertuples():
@@ -63,11 +63,35 @@ def track_progress(events: DataFrame) -> DataFrame:
         _advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def record_activities(events: DataFrame, root: str, checkpoint: str, available_now: bool = True):
+    """Start a query that keeps starts and ends below ``root``, so that an end of any lateness finds its start.
+
+    ``events`` has ``id, ts, name, ok, summary, is_start``. Each batch writes
+    below its own number, and one that is tried again overwrites itself;
+    nothing is held as state.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("id", "ts", "name", "ok", "summary", "is_start").write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def recorded_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Every recorded start with its end, if it has come: ``id, name, started_at, ok, summary, ended_at``."""
+    rows = spark.read.option("basePath", root).parquet(root)
+    starts = rows.filter("is_start").select("id", "name", F.col("ts").alias("started_at"))
+    ends = rows.filter("NOT is_start").select(F.col("id").alias("_id"), "ok", "summary", F.col("ts").alias("ended_at"))
+    return starts.join(ends, (F.col("id") == F.col("_id")) & (F.col("ended_at") >= F.col("started_at")), "left").drop("_id")
+
+
 def pair_activities(starts: DataFrame, ends: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Stream form of activity pairing: starts joined to their ends by id.
+    """Activity pairing inside the stream, for consumers that want a bounded wait.
 
     Both sides carry ``id`` and ``ts``. A start whose end does not come within
-    ``within`` is given out as open once the watermark has passed it.
+    ``within`` is given out as open once the watermark has passed it; use
+    :func:`record_activities` where a later end still has to count.
     """
     a = starts.select("id", "name", F.col("ts").alias("started_at")).withWatermark("started_at", within)
     b = ends.select(F.col("id").alias("_id"), "ok", "summary", F.col("ts").alias("ended_at")).withWatermark("ended_at", within)

@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from foliant.operators.search import postings
 
 # A deleted document arrives as a row without text.
-SCHEMA = "doc_id bigint, text string"
+SCHEMA = "doc_id bigint, seq bigint, text string"
 
 
 def index_changes(changes: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    """Start a query that indexes ``doc_id, text`` rows below ``root``."""
+    """Start a query that indexes ``doc_id, seq, text`` rows below ``root``; of a document's rows in a batch the largest ``seq`` counts."""
+    if "seq" not in changes.columns:
+        raise ValueError("changes need a column seq that orders the rows of a document")
 
     def write(batch: DataFrame, number: int) -> None:
-        # Several rows of one document in a batch: the last one counts.
-        order = F.col("seq") if "seq" in batch.columns else F.lit(0)
-        latest = batch.groupBy("doc_id").agg(F.max_by("text", order).alias("text")).persist()
+        latest = batch.groupBy("doc_id").agg(F.max_by("text", "seq").alias("text")).persist()
         try:
             latest.select("doc_id", F.length("text").alias("text_chars")).write.mode("overwrite").parquet(
                 f"{root}/docs/batch={number}")
