@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import query_terms, snippet, tokenize
+from foliant.session import settle
 
 K1 = 1.5
 B = 0.75
@@ -34,6 +35,19 @@ def postings(corpus: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
     return exploded.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def query_index(corpus: DataFrame, query: str, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """``(postings, lengths)`` for the terms of one query, for a corpus without a stored index.
+
+    Each text is read and cut into tokens once; only its length and the tokens
+    that the query asks for are kept, in a small table.
+    """
+    terms = query_terms(query)
+    wanted = F.filter("tokens", lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+    kept = settle(_tokens(corpus, list(keys)).select(*keys, F.size("tokens").cast("bigint").alias("dl"), wanted.alias("hits")))
+    index = kept.select(*keys, "dl", F.explode("hits").alias("term")).groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
+    return index, kept.select(*keys, "dl")
+
+
 def snippet_sources(corpus: DataFrame) -> DataFrame:
     """The whole texts: a snippet may come from anywhere in them, and only those of the top hits are read."""
     return corpus.select("doc_id", F.col("text").alias("body"))

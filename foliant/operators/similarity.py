@@ -252,8 +252,9 @@ def leader_groups(files: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     ``files`` has ``content, dhash, ord``. Walking in ``ord``, a file joins the
     earliest leader it is similar to, else it becomes a leader itself. A file is
-    a leader iff no earlier similar file is one, which is settled in rounds:
-    every round decides the files whose earlier neighbours are all decided.
+    a leader iff no earlier similar file is one, which is settled in rounds on
+    open files and the edges between them: files without an open earlier
+    neighbour lead, and whoever is near one of these is decided as well.
     """
     first = files.filter(F.col("dhash").isNotNull()).groupBy("dhash").agg(F.min("ord").alias("ord"))
     edges = similar_edges(first.select(F.col("dhash").alias("hash")), max_bits).select("a", "b")
@@ -263,23 +264,38 @@ def leader_groups(files: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         both.join(at.toDF("a", "ao"), "a").join(at.toDF("b", "bo"), "b").filter(F.col("bo") < F.col("ao"))
         .select(F.col("a").alias("node"), F.col("b").alias("peer"), F.col("bo").alias("peer_ord"))
     )
-    state = settle(first.withColumn("leads", F.lit(None).cast("boolean")))
-    while True:
-        peers = earlier.join(state.select(F.col("dhash").alias("peer"), F.col("leads").alias("pl")), "peer")
-        known = peers.groupBy("node").agg(
-            F.max("pl").alias("any_leader"), F.count_if(F.col("pl").isNull()).alias("open")
-        )
-        nxt = state.join(known, state["dhash"] == known["node"], "left").select(
-            "dhash", "ord",
-            F.when(F.col("leads").isNotNull(), F.col("leads"))
-            .when(F.col("any_leader"), F.lit(False))
-            .when(F.coalesce("open", F.lit(0)) == 0, F.lit(True)).alias("leads"),
-        )
-        state = settle(nxt)
-        if state.filter(F.col("leads").isNull()).isEmpty():
-            break
-    leaders = state.filter("leads").select(F.col("dhash").alias("peer"), F.col("ord").alias("lo"))
-    followed = earlier.join(leaders, "peer").groupBy("node").agg(F.min_by("peer", "lo").alias("leader"))
-    return state.join(followed, state["dhash"] == followed["node"], "left").select(
-        "dhash", F.when(F.col("leads"), F.col("dhash")).otherwise(F.col("leader")).alias("leader")
+    open_nodes, open_edges = settle(first.select(F.col("dhash").alias("node"))), earlier
+    leaders = None
+    while not open_nodes.isEmpty():
+        # Nobody open comes before these; whoever is near one of them follows.
+        new = settle(open_nodes.join(open_edges, "node", "left_anti"))
+        followers = open_edges.join(new.withColumnRenamed("node", "peer"), "peer", "left_semi").select("node").distinct()
+        open_nodes = settle(open_nodes.join(new.unionByName(followers), "node", "left_anti"))
+        peers = open_nodes.withColumnRenamed("node", "peer")
+        open_edges = settle(open_edges.join(open_nodes, "node", "left_semi").join(peers, "peer", "left_semi"))
+        leaders = new if leaders is None else leaders.unionByName(new)
+    if leaders is None:
+        return first.select("dhash", F.col("dhash").alias("leader"))
+    leads = leaders.select(F.col("node").alias("peer"), F.lit(True).alias("leads"))
+    followed = earlier.join(leads, "peer").groupBy("node").agg(F.min_by("peer", "peer_ord").alias("leader"))
+    return first.join(followed, first["dhash"] == followed["node"], "left").select(
+        "dhash", F.coalesce("leader", "dhash").alias("leader")
+    )
+
+
+def leader_listing(files: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Browser grouping of set-aside files: adds ``group_no`` and ``members`` to every row.
+
+    ``files`` has ``content, dhash, ord`` (unique). Files without a hash are
+    grouped with equal bytes alone. Larger groups come first, of equal ones
+    that which was seen first.
+    """
+    files = settle(files)
+    led = leader_groups(files, max_bits).withColumnRenamed("dhash", "_h")
+    keyed = settle(
+        files.join(led, F.col("dhash") == F.col("_h"), "left")
+        .withColumn("_g", F.coalesce(F.concat(F.lit("h"), F.hex("leader")), F.concat(F.lit("c"), "content"))).drop("_h", "leader")
     )
+    sizes = settle(keyed.groupBy("_g").agg(F.count("*").alias("members"), F.min("ord").alias("_o")).withColumn("_size", -F.col("members")))
+    ranked = row_position(sizes, ["_size", "_o"], "_n").select("_g", "members", (F.col("_n") + 1).alias("group_no"))
+    return keyed.join(ranked, "_g").drop("_g")

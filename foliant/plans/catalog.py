@@ -13,7 +13,8 @@ from foliant.operators import incremental as inc
 from foliant.operators import production as prod
 from foliant.operators import search, similarity
 from foliant.plans import views as v
-from foliant.session import settle
+from foliant.session import settle, work_path
+from foliant.sources import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -93,9 +94,10 @@ SELECT top.doc_id, d.lang, round(score, 6) AS score,
 FROM top JOIN sp USING (doc_id) JOIN documents d USING (doc_id)""")
 def bm25_search(spark, sf):
     docs = v.corpus(spark, sf)
-    hits = search.search_collection(
-        search.postings(docs), search.doc_lengths(docs), search.snippet_sources(docs), docs.drop("text"), SEARCH_FOR
-    )
+    index, lengths = search.query_index(docs, SEARCH_FOR)
+    # The texts of the best hits alone are read again, where they lie.
+    bodies = search.snippet_sources(v.table(spark, sf, "documents"))
+    hits = search.search_collection(index, lengths, bodies, docs.drop("text"), SEARCH_FOR)
     return hits.select("doc_id", "lang", F.round("score", 6).alias("score"), "snippet")
 
 
@@ -105,14 +107,24 @@ def bm25_without_index(spark, sf):
     return search.search_texts(v.corpus(spark, sf), SEARCH_FOR).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("stored_index_search", bm25_sql() + """
+SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(score, 9) DESC, doc_id LIMIT 50""")
+def stored_index_search(spark, sf):
+    """Save the index of the corpus as a snapshot, sorted by term, and search the stored tables."""
+    docs, root = v.corpus(spark, sf), work_path(spark, "library")
+    tables = {"postings": search.postings(docs), "lengths": search.doc_lengths(docs)}
+    snapshots.save_snapshot(root, "vault", tables, {"postings": ["term", "doc_id"]})
+    stored = [snapshots.load_snapshot(spark, root, "vault", t) for t in ("postings", "lengths")]
+    return search.bm25(*stored, SEARCH_FOR).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("search_library", bm25_sql("collection") + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY round(score, 9) DESC, doc_id) AS p FROM sc)
 SELECT collection, doc_id, round(score, 6) AS score FROM r WHERE p <= 20
 ORDER BY round(r.score, 9) DESC, collection, doc_id LIMIT 20""")
 def search_library(spark, sf):
-    docs = v.corpus(spark, sf)
-    keys = ("collection", "doc_id")
-    return search.search_library(search.postings(docs, keys), search.doc_lengths(docs, keys), SEARCH_FOR).select(
+    index, lengths = search.query_index(v.corpus(spark, sf), SEARCH_FOR, ("collection", "doc_id"))
+    return search.search_library(index, lengths, SEARCH_FOR).select(
         "collection", "doc_id", F.round("score", 6).alias("score")
     )
 
@@ -664,12 +676,21 @@ def group_distances(spark, sf):
     return similarity.group_distances(groups).select("group_a", "group_b", c("bits").cast("bigint").alias("bits"))
 
 
-@query("leader_groups", None)
+@query("leader_groups", f"""WITH {SIG}, f AS (SELECT (vec_id * 4 + variant)::BIGINT AS ord,
+  CASE WHEN vec_id % 10 = 0 AND variant = 3 THEN NULL ELSE h END AS h, 'n' || (vec_id % 7) AS content FROM sig),
+d AS (SELECT h, min(ord) AS ord FROM f WHERE h IS NOT NULL GROUP BY h),
+ls AS (SELECT list_reduce(list([h] ORDER BY ord), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y, x[1])) <= 8)) > 0 THEN acc ELSE list_append(acc, x[1]) END) AS l FROM d),
+ld AS (SELECT u.h, d.ord FROM (SELECT unnest(l) AS h FROM ls) u JOIN d USING (h)),
+led AS (SELECT d.h, arg_min(ld.h, ld.ord) AS leader FROM d JOIN ld ON ld.ord <= d.ord AND bit_count(xor(ld.h, d.h)) <= 8 GROUP BY d.h),
+g AS (SELECT f.ord, coalesce('h' || leader, 'c' || content) AS g FROM f LEFT JOIN led USING (h)),
+s AS (SELECT g, count(*) AS members, row_number() OVER (ORDER BY count(*) DESC, min(ord)) AS group_no FROM g GROUP BY g)
+SELECT ord, group_no::BIGINT AS group_no, members::BIGINT AS members FROM g JOIN s USING (g)""")
 def leader_groups(spark, sf):
+    bare = (c("vec_id") % 10 == 0) & (c("variant") == 3)
     files = v.signatures(spark, sf).select(
-        (c("vec_id") * 4 + c("variant")).alias("ord"), c("hash").alias("dhash"))
-    return similarity.leader_groups(files).select(
-        hashing.long_to_hex(c("dhash")).alias("dhash"), hashing.long_to_hex(c("leader")).alias("leader"))
+        (c("vec_id") * 4 + c("variant")).cast("bigint").alias("ord"), F.when(~bare, c("hash")).alias("dhash"),
+        F.concat(F.lit("n"), (c("vec_id") % 7).cast("string")).alias("content"))
+    return similarity.leader_listing(files).select("ord", "group_no", "members")
 
 
 LUMA = "list_transform(range(72), lambda i: embedding[(i % 64 + 1)::INT])"
@@ -726,12 +747,13 @@ def vanished_documents(spark, sf):
     lambda w: length(w) BETWEEN 2 AND 40 AND NOT list_contains([{STOP}], w)) AS tokens FROM cur)
 SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL""")
 def incremental_reindex(spark, sf):
-    """The index of the old state, brought up to date: equal to a full rebuild."""
+    """The stored index of the old state, brought up to date: equal to a full rebuild."""
     prev, cur = v.snapshots(spark, sf)
-    old = search.postings(prev)
+    path = work_path(spark, "index")
+    inc.store_index(search.postings(prev), path)
     todo = inc.change_set(cur, prev).filter(c("status") != "reused")
     touched = todo.select("doc_id").unionByName(inc.vanished(cur, prev).select("doc_id"))
-    return inc.refresh_table(old, search.postings(todo), touched).select("doc_id", "term", "tf")
+    return inc.refresh_store(search.postings(todo), touched, path).select("doc_id", "term", "tf")
 
 
 CHANGED = ATT + """,
@@ -763,19 +785,22 @@ pl AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5001 = 77 THEN 4 ELSE
   (o_orderkey % 5001 <> 77) AND o_orderkey % 61 <> 0 AND aff.doc_id IS NULL AS reuse FROM orders JOIN man ON man.doc_id = o_orderkey LEFT JOIN aff ON aff.doc_id = o_orderkey)"""
 
 
-def reuse_plan(spark, sf) -> DataFrame:
+def reuse_plan(spark, sf, settings: str | None = None) -> DataFrame:
     mails = v.emails(spark, sf)
     rel = F.concat(c("doc_id").cast("string"), F.lit(".pdf"))
     manifest = prod.number_records(mails.withColumn("span", c("pages")), ["doc_id"]).select(
         "doc_id", (c("doc_id") % 100).alias("mtime"), F.lit(1).alias("size"), rel.alias("file_rel"),
-        c("span").alias("family_span"), "beg_bates")
+        c("span").alias("family_span"), "beg_bates", inc.config_key(F.struct(F.lit("DOC-").alias("prefix"))).alias("config"))
     grown = c("doc_id") % 5001 == 77
     targets = mails.select(
         "doc_id", c("doc_id").alias("position"), (F.when(grown, 999).otherwise(c("doc_id") % 100)).alias("mtime"), F.lit(1).alias("size"),
         F.when(grown, 4).otherwise(c("pages")).cast("bigint").alias("new_span"))
     outputs = mails.filter(c("doc_id") % 61 != 0).select(rel.alias("file_rel"))
     att = v.attachments(spark, sf)
-    return inc.plan_reuse(targets, manifest, inc.affected_documents(att, decision_change(att)), outputs)
+    # The manifest of the last run is a stored table.
+    manifest = settle(manifest)
+    key = inc.config_key(F.struct(F.lit(settings or "DOC-").alias("prefix")))
+    return inc.plan_reuse(targets, manifest, inc.affected_documents(att, decision_change(att)), outputs, key)
 
 
 @query("reuse_plan", f"WITH {PLAN} SELECT doc_id, reuse FROM pl")
@@ -783,6 +808,12 @@ def reuse_plan_query(spark, sf):
     return reuse_plan(spark, sf).select("doc_id", "reuse")
 
 
+@query("plan_after_config_change", f"WITH {PLAN} SELECT doc_id, false AS reuse FROM pl")
+def plan_after_config_change(spark, sf):
+    """Another label prefix voids the whole manifest."""
+    return reuse_plan(spark, sf, "NEW-").select("doc_id", "reuse")
+
+
 @query("drifted_families", f"""WITH {PLAN}, n AS (SELECT *, 'DOC-' || printf('%06d', 1 + coalesce(sum(CASE WHEN reuse THEN span ELSE new_span END)
   OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) AS planned_beg FROM pl)
 SELECT doc_id, planned_beg, reuse AND beg <> planned_beg AS drifted FROM n""")

@@ -32,7 +32,18 @@ def progress_stream(spark, sf):
     return _run(rows, spark, "progress").select("collection", "event_id", "pct", "shown")
 
 
-@query("eta_stream", None)
+FRESH = "(e.phase <> r.phase OR e.done < r.a_done)"
+
+
+@query("eta_stream", f"""WITH RECURSIVE {PROGRESS},
+e AS (SELECT collection, event_id, phase, done, total, epoch_us(ts) / 1000.0 AS ms, row_number() OVER (PARTITION BY collection ORDER BY ts, event_id) AS n FROM pr),
+r AS (SELECT collection, n, event_id, phase, ms AS a_at, done AS a_done, NULL::DOUBLE AS eta FROM e WHERE n = 1
+ UNION ALL SELECT collection, n, event_id, phase, a_at, a_done, CASE WHEN done > a_done AND ms - a_at >= 400 AND done < total
+   THEN CASE WHEN eta IS NULL THEN rest ELSE eta * 0.6 + rest * 0.4 END ELSE eta END FROM
+  (SELECT *, (total - done) * (ms - a_at) / nullif(done - a_done, 0) AS rest FROM
+   (SELECT e.*, CASE WHEN {FRESH} THEN e.ms ELSE r.a_at END AS a_at, CASE WHEN {FRESH} THEN e.done ELSE r.a_done END AS a_done,
+      CASE WHEN {FRESH} THEN NULL ELSE r.eta END AS eta FROM e JOIN r ON r.collection = e.collection AND e.n = r.n + 1)))
+SELECT collection, event_id, round(eta, 3) AS eta_ms FROM r WHERE eta IS NOT NULL""")
 def eta_stream(spark, sf):
     rows = progress.track_progress(v.progress_columns(_stream(spark, sf, "events")))
     return _run(rows, spark, "eta").filter(c("eta_ms").isNotNull()).select(

@@ -65,8 +65,10 @@ def tree(tmp_path_factory):
 def test_scan(spark, tree):
     rows = files.scan_files(spark, [tree + "/", tree + "/a.txt", tree + "/missing"]).collect()
     names = sorted(r.path[len(tree) + 1:] for r in rows if r.root_no == 0)
-    assert names == sorted(["a.txt", "sub/mail.eml", "sub/html.EML", "sub/x.docx", "deck.pptx", "book.xlsx", "page.html", "bad.docx",
-                            "1/2/3/4/5/6/7/8/ok.md", "pic.bin"])
+    near = ["a.txt", "sub/mail.eml", "sub/html.EML", "sub/x.docx", "deck.pptx", "book.xlsx", "page.html", "bad.docx", "1/2/3/4/5/6/7/8/ok.md", "pic.bin"]
+    assert names == sorted([*near, "1/2/3/4/5/6/7/8/9/no.md"])
+    cut = files.scan_files(spark, [tree], max_depth=8).collect()
+    assert sorted(r.path[len(tree) + 1:] for r in cut) == sorted(near)
     assert [r.path for r in rows if r.root_no == 1] == [tree + "/a.txt"]
     assert files.scan_files(spark, [tree + "/missing"]).isEmpty()
     assert "content" not in files.scan_files(spark, [tree]).columns
@@ -81,7 +83,7 @@ def test_plain_text_and_skeleton(spark, tree):
     kinds = {r["name"]: (r.kind, r.title) for r in files.skeleton(files.scan_files(spark, [tree])).collect()}
     assert kinds["html.EML"] == ("email", None) and kinds["a.txt"] == ("doc", "a")
     joined = files.source_text(rows.withColumn("matter", F.lit(1))).first().text
-    assert joined == "plain téxt\n\ndeep\n\n<b>bold</b>"
+    assert joined == "plain téxt\n\ndeeper\n\ndeep\n\n<b>bold</b>"
 
 
 def test_emails(spark, tree):
