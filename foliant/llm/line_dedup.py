@@ -87,7 +87,8 @@ def keep_bitmaps(
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     keys = settle(line_keys(docs, id_col, text_col, min_chars))
-    homes = first_occurrences(keys, min_docs, keep)
+    # Written first: a join of two written tables can deal a hot key's rows over several tasks.
+    homes = settle(first_occurrences(keys, min_docs, keep))
     dropped = keys.join(homes, ["k1", "k2"]).filter(~F.col("doc").eqNullSafe(F.col("home")))
     return dropped.groupBy("doc", "tag").agg(_runs(F.sort_array(F.collect_set("pos"))).alias("dropped_runs"))
 
