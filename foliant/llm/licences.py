@@ -43,6 +43,8 @@ TEMPLATES = (
 )
 #: Every template has one of these; a line without any is not compared.
 ANCHOR = r"(?i)licen[sc]e|public domain|hereby granted|free software|copyright|\bCC[ -]?(BY|0)"
+#: So many template terms are sent to every task; more are joined by a shuffle.
+VOCABULARY_LIMIT = 1 << 16
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][A-Za-z0-9.-]*)?$"
 
 
@@ -56,7 +58,9 @@ def terms(text: Column) -> Column:
 
 def _weights(templates: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame, float]:
     """``(term, idf)`` of the templates' terms, from all documents, and the weight of any other term."""
-    vocabulary = templates.select(F.explode(terms(F.col("template"))).alias("term")).distinct()
+    vocabulary = settle(templates.select(F.explode(terms(F.col("template"))).alias("term")).distinct())
+    if vocabulary.count() <= VOCABULARY_LIMIT:
+        vocabulary = F.broadcast(vocabulary)
     seen = (
         docs.select(F.explode(F.array_distinct(terms(text_of(text_col)))).alias("term")).join(vocabulary, "term", "left_semi")
         .groupBy("term").agg(F.count("*").alias("df"))
