@@ -17,9 +17,13 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.ceil(utf16_length(text) / 4)).otherwise(F.lit(0)).cast("bigint")
 
 
-def input_cost(tokens: Column, tier: str) -> Column:
-    return tokens / 1_000_000 * PRICES[tier][0] if tier in PRICES else F.lit(0.0)
+Prices = dict[str, tuple[float, float]]
 
 
-def output_cost(tokens: Column, tier: str) -> Column:
-    return tokens / 1_000_000 * PRICES[tier][1] if tier in PRICES else F.lit(0.0)
+def input_cost(tokens: Column, model: str, prices: Prices = PRICES) -> Column:
+    """Price of the tokens by the caller's table (the tiers above by default); an unknown id costs nothing."""
+    return tokens / 1_000_000 * prices[model][0] if model in prices else F.lit(0.0)
+
+
+def output_cost(tokens: Column, model: str, prices: Prices = PRICES) -> Column:
+    return tokens / 1_000_000 * prices[model][1] if model in prices else F.lit(0.0)

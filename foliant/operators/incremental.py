@@ -154,6 +154,8 @@ def reusable_hashes(cache: DataFrame, docs: DataFrame, need_dhash: bool) -> Data
 
 def merge_enrichment(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Fill type, summary and parties by id; unmatched documents stay as they are."""
+    if "error" in found.columns:
+        found = found.filter(F.col("error").isNull())
     new = found.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("doc_type", "summary", "parties")], F.lit(True).alias("_hit"))
     out = docs.join(new, "doc_id", "left")
     for c in ("doc_type", "summary", "parties"):
@@ -167,7 +169,8 @@ def enrich(docs: DataFrame, label, batch_size: int = 5, excerpt: int | None = No
     ``label`` gets a list of dicts (id, name, kind, subject, from, to, excerpt)
     and returns dicts with id, docType, summary and parties. The whole text goes
     in unless ``excerpt`` cuts it (the desktop sends 1,500 characters). A batch that fails
-    is left out. Result: ``doc_id, doc_type, summary, parties``.
+    gives its documents rows with the error noted, which a merge passes over.
+    Result: ``doc_id, doc_type, summary, parties, error``.
     """
     pending = docs.filter(F.coalesce("summary", F.lit("")) == "").select(
         "doc_id", "name", "kind", "subject", "from", "to", (F.col("head") if excerpt is None else F.substring("head", 1, excerpt)).alias("excerpt")
@@ -183,15 +186,15 @@ def enrich(docs: DataFrame, label, batch_size: int = 5, excerpt: int | None = No
                 try:
                     known = {i["id"] for i in items}
                     rows += [
-                        (r["id"], r.get("docType"), r.get("summary"), list(r.get("parties") or []))
+                        (r["id"], r.get("docType"), r.get("summary"), list(r.get("parties") or []), None)
                         for r in label(items) if r.get("id") in known
                     ]
-                except Exception:  # best effort: the batch stays without labels
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_type", "summary", "parties"])
+                except Exception as e:  # best effort: the batch stays without labels
+                    rows += [(i["id"], None, None, None, str(e)) for i in items]
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_type", "summary", "parties", "error"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return pending.mapInPandas(run, f"doc_id {id_type}, doc_type string, summary string, parties array<string>")
+    return pending.mapInPandas(run, f"doc_id {id_type}, doc_type string, summary string, parties array<string>, error string")
 
 
 def parse_reply(raw: Column) -> Column:

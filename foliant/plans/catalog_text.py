@@ -421,3 +421,78 @@ def enrichment_merge(spark, sf):
         return [{"id": i["id"], "docType": i["name"].upper(), "summary": "about " + i["excerpt"][:10], "parties": []} for i in items]
 
     return merge_enrichment(docs, enrich(docs, label)).select("doc_id", "doc_type", "summary")
+
+
+# -- messages from bytes -----------------------------------------------------------
+
+MAILS = """m AS (SELECT o_orderkey AS id, 'mail/' || o_orderkey || '.eml' AS path, 'clerk' || (o_orderkey % 7) || '@a.example' AS sender,
+  'c' || o_custkey || '@b.example' AS recipient, CASE WHEN o_orderkey % 3 = 0 THEN 'cc@c.example' ELSE '' END AS cc,
+  'Order ' || o_orderkey AS subject, 'Total is ' || o_orderstatus || ' for ' || o_custkey AS body FROM orders)"""
+
+
+def mail_files(spark, sf):
+    """Messages as bytes, put together by Spark: a plain part, and two attachments in every second message."""
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts], F.lit("\r\n"))
+    key, cust = c("o_orderkey"), c("o_custkey")
+    plain = F.concat(F.lit("Total is "), c("o_orderstatus"), F.lit(" for "), cust.cast("string"))
+    head = F.concat(
+        line("From: clerk", key % 7, "@a.example"), line("To: c", cust, "@b.example"),
+        F.when(key % 3 == 0, line("Cc: cc@c.example")).otherwise(""), line("Subject: Order", "\r\n ", key))
+    packed = lambda tag: F.base64(F.concat(F.lit(tag), key.cast("string")).cast("binary"))
+    attached = lambda tag, name: F.concat(
+        line("--b1"), line("Content-Type: image/png"), line("Content-ID: <", F.lit(tag), ">"),
+        line('Content-Disposition: attachment; filename="', F.lit(name), '"'), line("Content-Transfer-Encoding: base64"), line(""), line(packed(tag)))
+    multi = F.concat(
+        head, line('Content-Type: multipart/mixed; boundary="b1"'), line(""), line("--b1"), line("Content-Type: text/plain"), line(""), line(plain),
+        attached("one", "One.PNG "), attached("two", "two.png"), line("--b1--"))
+    text_ = F.when(key % 2 == 0, multi).otherwise(F.concat(head, line(""), plain))
+    return v.table(spark, sf, "orders").select(
+        F.concat(F.lit("mail/"), key.cast("string"), F.lit(".eml")).alias("path"), F.encode(text_, "UTF-8").alias("content"))
+
+
+@query("parsed_emails", f"""WITH {MAILS} SELECT path, sender AS "from", recipient AS "to", cc, subject, body FROM m""")
+def parsed_emails(spark, sf):
+    from foliant.sources import email
+
+    return email.parse_emails(mail_files(spark, sf)).select("path", "from", "to", "cc", "subject", "body")
+
+
+@query("parsed_attachments", f"""WITH {MAILS}, a(i, tag, name) AS (VALUES (0, 'one', 'one.png'), (1, 'two', 'two.png'))
+SELECT path, i AS att_idx, tag AS content_id, name, length(tag || id)::BIGINT AS size, sha256(tag || id) AS sha FROM m, a WHERE id % 2 = 0""")
+def parsed_attachments(spark, sf):
+    from foliant.sources import email
+
+    rows = email.attachment_rows(email.parse_attachments(mail_files(spark, sf)))
+    return rows.select("path", "att_idx", "content_id", "name", "size", "sha")
+
+
+@query("mail_header_fields", f"""WITH {MAILS} SELECT path, subject, cc FROM m""")
+def mail_header_fields(spark, sf):
+    from foliant.sources import email
+
+    fields = email.header_fields(F.decode("content", "UTF-8"))
+    return mail_files(spark, sf).select("path", fields.alias("h")).select(
+        "path", c("h.subject").alias("subject"), F.coalesce(c("h.cc"), F.lit("")).alias("cc"))
+
+
+INLINE = """li AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem),
+refs AS (SELECT path, n AS ref_no, CASE WHEN n % 2 = 0 THEN 'c' || n ELSE 'gone' || n END AS cid FROM li),
+atts AS (SELECT path, n AS att_idx, CASE WHEN n % 2 = 0 OR n % 5 = 1 THEN 'c' || n ELSE '' END AS content_id FROM li)"""
+
+
+@query("inline_references", f"""WITH {INLINE}, known AS (SELECT path, content_id AS cid, max(att_idx) AS att_idx FROM atts WHERE content_id <> '' GROUP BY ALL),
+b AS (SELECT refs.*, known.att_idx FROM refs LEFT JOIN known USING (path, cid)),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ref_no) AS n FROM b WHERE att_idx IS NULL),
+s AS (SELECT path, att_idx, row_number() OVER (PARTITION BY path ORDER BY att_idx) AS n FROM atts a WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.path = a.path AND r.cid = a.content_id))
+SELECT path, ref_no, att_idx FROM b WHERE att_idx IS NOT NULL UNION ALL SELECT o.path, o.ref_no, s.att_idx FROM o LEFT JOIN s ON s.path = o.path AND s.n = o.n""")
+def inline_references(spark, sf):
+    from pyspark.sql import Window as W
+
+    from foliant.sources import email
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = v.table(spark, sf, "lineitem").select(c("l_orderkey").alias("path"), (F.row_number().over(order) - 1).cast("bigint").alias("n"))
+    n = c("n").cast("string")
+    refs = rows.select("path", c("n").alias("ref_no"), F.when(c("n") % 2 == 0, F.concat(F.lit("c"), n)).otherwise(F.concat(F.lit("gone"), n)).alias("cid"))
+    atts = rows.select("path", c("n").alias("att_idx"), F.when((c("n") % 2 == 0) | (c("n") % 5 == 1), F.concat(F.lit("c"), n)).otherwise("").alias("content_id"))
+    return email.resolve_inline(refs, atts).select("path", "ref_no", "att_idx")

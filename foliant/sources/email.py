@@ -52,7 +52,7 @@ def _parts(fields: dict[str, str], body: str) -> Iterator[tuple[dict[str, str],
 
 
 def _one(path: str, content: bytes) -> tuple:
-    """(path, from, to, date, subject, body, html flag, error) of a message."""
+    """(path, from, to, cc, date, subject, body, html flag, error) of a message."""
     head, body = _halves(content.decode("latin-1"))
     f = _fields(head)
     ctype = f.get("content-type", "")
@@ -70,17 +70,17 @@ def _one(path: str, content: bytes) -> tuple:
     else:
         chosen = _decoded(body, f.get("content-transfer-encoding", ""))
         html = bool(re.search("text/html", ctype, re.I))
-    return (path, f.get("from", ""), f.get("to", ""), f.get("date", ""), f.get("subject", ""), chosen, html, "")
+    return (path, f.get("from", ""), f.get("to", ""), f.get("cc", ""), f.get("date", ""), f.get("subject", ""), chosen, html, "")
 
 
 def parse_emails(files: DataFrame) -> DataFrame:
-    """``path, from, to, date, subject, body, error`` of ``path, content`` rows.
+    """``path, from, to, cc, date, subject, body, error`` of ``path, content`` rows.
 
     Plain text is preferred; HTML bodies are turned into text by Spark after
     the bytes are parsed. A file that cannot be read keeps its row, with the
     error noted.
     """
-    schema = "path string, `from` string, `to` string, date string, subject string, body string, html boolean, error string"
+    schema = "path string, `from` string, `to` string, cc string, date string, subject string, body string, html boolean, error string"
 
     def run(frames):
         import pandas as pd
@@ -91,9 +91,9 @@ def parse_emails(files: DataFrame) -> DataFrame:
                 try:
                     rows.append(_one(path, bytes(content)))
                 except Exception as e:  # one bad file does not stop the run
-                    rows.append((path, "", "", "", "", "", False, str(e)))
+                    rows.append((path, "", "", "", "", "", "", False, str(e)))
             yield pd.DataFrame(
-                rows, columns=["path", "from", "to", "date", "subject", "body", "html", "error"])
+                rows, columns=["path", "from", "to", "cc", "date", "subject", "body", "html", "error"])
 
     out = files.select("path", "content").mapInPandas(run, schema)
     body = F.when(F.col("html"), text.html_to_text(F.col("body"))).otherwise(text.trim_ws(F.col("body")))
@@ -101,12 +101,31 @@ def parse_emails(files: DataFrame) -> DataFrame:
 
 
 ATTACHMENTS = (
-    "path string, att_idx int, filename string, mime string, content_id string, disposition string, content binary"
+    "path string, att_idx int, filename string, mime string, content_id string, disposition string, content binary, error string"
 )
 
 
+def _leaves(part) -> Iterator:
+    """The parts of a message that are not containers; an attached message is one part, not its own parts."""
+    if part.get_content_type() == "message/rfc822" or not part.is_multipart():
+        yield part
+    else:
+        for p in part.get_payload():
+            yield from _leaves(p)
+
+
+def _content(part) -> bytes:
+    if part.get_content_type() == "message/rfc822":
+        return part.get_payload(0).as_bytes()
+    return part.get_payload(decode=True) or b""
+
+
 def parse_attachments(files: DataFrame) -> DataFrame:
-    """One row per attached part of each message, empty ones left out."""
+    """One row per attached part of each message, empty ones left out.
+
+    A message that cannot be read gives one row without content, with the error
+    noted. An attached message is kept whole.
+    """
 
     def run(frames):
         import email
@@ -114,25 +133,25 @@ def parse_attachments(files: DataFrame) -> DataFrame:
 
         import pandas as pd
 
-        names = ["path", "att_idx", "filename", "mime", "content_id", "disposition", "content"]
+        names = ["path", "att_idx", "filename", "mime", "content_id", "disposition", "content", "error"]
         for frame in frames:
             rows = []
             for path, content in zip(frame.path, frame.content):
                 try:
                     msg = email.message_from_bytes(bytes(content), policy=email.policy.default)
                     parts = [
-                        p for p in msg.walk()
-                        if not p.is_multipart() and (p.get_filename() or p.get_content_maintype() not in ("text", "multipart"))
+                        p for p in _leaves(msg)
+                        if p is not msg and (p.get_filename() or p.get_content_maintype() not in ("text", "multipart"))
                     ]
                     for i, p in enumerate(parts):
-                        data = p.get_payload(decode=True) or b""
+                        data = _content(p)
                         if data:
                             rows.append((
                                 path, i, p.get_filename() or "", p.get_content_type(),
                                 str(p.get("Content-ID") or "").strip().strip("<>"),
-                                p.get_content_disposition() or "", data))
-                except Exception:  # the message row carries the error
-                    continue
+                                p.get_content_disposition() or "", data, None))
+                except Exception as e:  # one bad file does not stop the run
+                    rows.append((path, None, "", "", "", "", None, str(e)))
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, ATTACHMENTS)

@@ -102,7 +102,10 @@ def office_text(parts: DataFrame) -> DataFrame:
 
 
 def highlight_runs(files: DataFrame) -> DataFrame:
-    """Text runs of Word files: ``path, para, run, text, color, breaks, context``."""
+    """Text runs of Word files: ``path, para, run, text, color, breaks, context, error``.
+
+    A file that cannot be read gives one row without a run, with the error noted.
+    """
 
     def colour(run) -> str:
         props = run.find(f"{_W}rPr")
@@ -121,7 +124,7 @@ def highlight_runs(files: DataFrame) -> DataFrame:
     def run_rows(frames):
         import pandas as pd
 
-        names = ["path", "para", "run", "text", "color", "breaks", "context"]
+        names = ["path", "para", "run", "text", "color", "breaks", "context", "error"]
         for frame in frames:
             rows = []
             for path, content in zip(frame.path, frame.content):
@@ -131,13 +134,13 @@ def highlight_runs(files: DataFrame) -> DataFrame:
                             for j, run in enumerate(para.iter(f"{_W}r")):
                                 breaks = len(list(run.iter(f"{_W}lastRenderedPageBreak"))) + sum(
                                     b.get(f"{_W}type") == "page" for b in run.iter(f"{_W}br"))
-                                rows.append((path, i, j, words(run), colour(run), breaks, words(para)))
-                except Exception:  # marks are best effort
-                    continue
+                                rows.append((path, i, j, words(run), colour(run), breaks, words(para), None))
+                except Exception as e:  # one bad file does not stop the run
+                    rows.append((path, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(
-        run_rows, "path string, para int, run int, text string, color string, breaks int, context string")
+        run_rows, "path string, para int, run int, text string, color string, breaks int, context string, error string")
 
 
 def highlight_passages(runs: DataFrame) -> DataFrame:
@@ -147,6 +150,7 @@ def highlight_passages(runs: DataFrame) -> DataFrame:
     text, or with the paragraph. The page is that of its first text. Windows
     run over one file's runs, which one task parsed.
     """
+    runs = runs.filter(F.col("para").isNotNull())
     in_doc = W.partitionBy("path").orderBy("para", "run")
     in_para = W.partitionBy("path", "para").orderBy("run")
     upto = in_doc.rowsBetween(W.unboundedPreceding, 0)
