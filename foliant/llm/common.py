@@ -35,6 +35,20 @@ def unpacked(columns: list[str], but: tuple[str, ...] = ()) -> list[Column]:
     return [F.col("_row").getField(c).alias(c) for c in columns if c not in but]
 
 
+def hash_sample(df: DataFrame, key: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows of ``df``, those with the smallest hashes of ``key``.
+
+    The row count gives a threshold that about ``n`` and a fifth more rows fall
+    below, so what the tasks send on is bounded by ``n`` and not by their number.
+    """
+    h = F.xxhash64(*key)
+    share = 1.2 * n / max(1, df.count())
+    if share < 1:
+        low = -(1 << 63)
+        df = df.filter(h < low + int(share * (1 << 64)))
+    return df.orderBy(h, *key).limit(n)
+
+
 def spread(spark: SparkSession) -> int:
     """How many parts a hot key is dealt over: as many as a shuffle has."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import wordhash as wh
-from foliant.llm.common import packed, text_of, unpacked
+from foliant.llm.common import hash_sample, packed, text_of, unpacked
 from foliant.session import settle
 
 SLOTS = 1 << 14
@@ -96,18 +96,23 @@ def train(
     smallest hash of their id, of at most ``max_bytes`` of text together (the
     longest are left out of the training first).
     """
-    some = (
+    known = (
         labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_lid"), domain.alias("_domain"))
         .filter(F.col("_domain").isNotNull()).groupBy("_lid").agg(F.min("_domain").alias("_domain"))
-        .orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled)
     )
-    # max_labelled bounds what is broadcast, max_bytes what comes back.
-    found = docs.select(F.col(id_col).alias("_did"), text_of(text_col).alias("_text")).join(F.broadcast(some), F.col("_did") == F.col("_lid"))
+    # max_labelled bounds what is broadcast, max_bytes what comes back: one text for each label.
+    found = (
+        docs.select(F.col(id_col).alias("_did"), text_of(text_col).alias("_text"))
+        .join(F.broadcast(hash_sample(known, ["_lid"], max_labelled)), F.col("_did") == F.col("_lid"))
+        .groupBy("_did", "_domain").agg(F.max("_text").alias("_text"))
+    )
     sized = settle(found.select("_did", "_domain", "_text", F.octet_length("_text").alias("_size")))
-    sizes = sized.select("_did", "_size").orderBy("_size", "_did").limit(max_labelled).toPandas()
+    sizes = sized.select("_did", "_size").toPandas().sort_values(["_size", "_did"])
     fits = sizes["_size"].cumsum() <= max_bytes
-    top = int(sizes["_size"][fits].max()) if fits.any() else 0
-    rows = sized.filter(F.col("_size") <= top).orderBy(F.xxhash64("_did"), "_did", "_text").limit(int(fits.sum())).toPandas()
+    last = sizes[fits].iloc[-1] if fits.any() else None
+    within = F.lit(False) if last is None else (F.col("_size") < int(last["_size"])) | (
+        (F.col("_size") == int(last["_size"])) & (F.col("_did") <= F.lit(last["_did"].item() if hasattr(last["_did"], "item") else last["_did"])))
+    rows = sized.filter(within).toPandas().sort_values("_did")
     names = sorted(rows["_domain"].unique()) or ["all"]
     of = {d: i for i, d in enumerate(names)}
     model = Classifier(names)

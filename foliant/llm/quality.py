@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import wordhash as wh
-from foliant.llm.common import packed, unpacked
+from foliant.llm.common import hash_sample, packed, text_of, unpacked
 
 WINDOW = 8
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -174,19 +174,20 @@ def labelled_stats(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bad: Column, max_labelled: int
 ) -> tuple[pd.DataFrame, np.ndarray]:
     """Features and classes of at most ``max_labelled`` labelled documents (those with the smallest hash of their id)."""
-    some = (
+    known = (
         labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_lid"), F.coalesce(bad, F.lit(False)).alias("_bad"))
-        .groupBy("_lid").agg(F.max("_bad").alias("_bad")).orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled)
+        .groupBy("_lid").agg(F.max("_bad").alias("_bad"))
     )
-    # max_labelled bounds what is broadcast and what comes back.
-    found = docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").alias("_text")).join(
-        F.broadcast(some), F.col("_did") == F.col("_lid")
+    # max_labelled bounds what is broadcast and what comes back: one text for each label.
+    found = (
+        docs.select(F.col(id_col).alias("_did"), text_of(text_col).alias("_text"))
+        .join(F.broadcast(hash_sample(known, ["_lid"], max_labelled)), F.col("_did") == F.col("_lid"))
+        .groupBy("_did", "_bad").agg(F.max("_text").alias("_text"))
     )
     rows = found.select("_did", "_bad", stats_of(F.col("_text")).alias("_stats"))
-    pdf = (
-        rows.select("_did", "_bad", *(c.alias(n) for n, c in features().items()))
-        .orderBy(F.xxhash64("_did"), "_did", "n_words").limit(max_labelled).toPandas()
-    )
+    pdf = rows.select("_did", "_bad", *(c.alias(n) for n, c in features().items())).toPandas()
+    order = pdf["_did"].argsort(kind="stable")  # the parts that grow and prune do not depend on how rows were dealt
+    pdf = pdf.iloc[order]
     return pdf[list(features())], pdf["_bad"].to_numpy(dtype=bool)
 
 

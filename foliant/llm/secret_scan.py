@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_of
+from foliant.llm.common import hash_sample, text_of
 from foliant.llm.marks import matches, parts_of, unmarked
 from foliant.session import settle
 
@@ -127,7 +127,7 @@ def train(
     labels are all alike.
     """
     some = settle(
-        labelled.filter(F.col("secret").isNotNull()).orderBy(F.xxhash64("doc", "start", "value"), "doc", "start", "value", "path").limit(max_labelled)
+        hash_sample(labelled.filter(F.col("secret").isNotNull()), ["doc", "start", "value", "path"], max_labelled)
         .withColumn("half", F.pmod(F.xxhash64("value", F.lit(3)), F.lit(2)))
     )
     kinds = [r[0] for r in some.select("secret").distinct().collect()]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import packed, text_of, unpacked
+from foliant.llm.common import hash_sample, packed, text_of, unpacked
 from foliant.operators.components import components
 from foliant.session import settle
 
@@ -174,7 +174,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, block: int =
     depth = min(MAX_LEVELS, max(0, math.ceil(math.log2(max(1, n / leaf)))))
     # The vantage points are chosen from a sample of fixed size; every fingerprint is routed.
     sample = np.array(
-        [r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], dtype=np.int64
+        [r[0] for r in hash_sample(nodes, ["fp"], SAMPLE).select("fp").collect()], dtype=np.int64
     )
     levels = [choose_vantage(sample, t, depth) for t in (0, 1)] if depth else [[], []]
     rows, key = settle(_route(nodes, levels, reach)), ["tree", "depth", "leaf"]
