@@ -60,11 +60,15 @@ class Classifier:
         return out
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(words per text, probabilities)``."""
-        owner, slot, n, extra = _bag(texts)
-        z = self.scores(owner, slot, n, extra)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return n, z / z.sum(axis=1, keepdims=True)
+        """``(words per text, probabilities)``, a few hundred texts at a time."""
+        words, shares = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(self.domains)))]
+        for a in range(0, len(texts), 256):
+            owner, slot, n, extra = _bag(texts[a:a + 256])
+            z = self.scores(owner, slot, n, extra)
+            z = np.exp(z - z.max(axis=1, keepdims=True))
+            words.append(n)
+            shares.append(z / z.sum(axis=1, keepdims=True))
+        return np.concatenate(words), np.concatenate(shares)
 
     def fit(self, texts: list[str], domain: np.ndarray, rounds: int = 120, ridge: float = 1e-4) -> Classifier:
         """Full-batch Adam; the same texts give the same weights."""
