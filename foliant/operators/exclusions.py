@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.hashing import LOGO_MAX_BYTES, MIN_CONVERSATIONS, SMALL_BYTES, long_to_hex
+from foliant.functions.hashing import LOGO_MAX_BYTES, MAX_BITS, MIN_CONVERSATIONS, SMALL_BYTES, hamming, long_to_hex
 from foliant.functions.names import fingerprint
 from foliant.operators.similarity import near_references, similar_edges
 from foliant.session import settle
@@ -280,6 +280,22 @@ def _three_smallest(rows: DataFrame, key: str, value: str) -> DataFrame:
     ).drop("_p")
 
 
+def _dense_looks(by_look: DataFrame) -> DataFrame:
+    """Hashes that are logos for sure: within half the distance of one centre, such hashes are all near each other.
+
+    ``by_look`` has at most three conversations per hash. The centre of a
+    bucket of equal 16 bits is its smallest hash; if the hashes close to it
+    span three conversations, each of them has these among its neighbours.
+    """
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("dhash", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("v")) for i in range(4)))
+    cells = by_look.select("dhash").distinct().select("dhash", F.explode(places).alias("cell"))
+    centres = cells.groupBy("cell").agg(F.min("dhash").alias("centre"))
+    close = cells.join(centres, "cell").filter(hamming(F.col("dhash"), F.col("centre")) <= MAX_BITS // 2).select("cell", "dhash")
+    convs = _three_smallest(close.join(by_look, "dhash"), "cell", "conv")
+    full = convs.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_CONVERSATIONS)
+    return close.join(full, "cell", "left_semi").select("dhash").distinct()
+
+
 def auto_flags(att: DataFrame, exclude_signatures: bool = True) -> DataFrame:
     """Browser variant of the automatic flags: logo, then duplicate, then tiny.
 
@@ -294,15 +310,21 @@ def auto_flags(att: DataFrame, exclude_signatures: bool = True) -> DataFrame:
         images = att.filter(F.col("img") & F.col("dhash").isNotNull())
         by_sha = _three_smallest(att, "sha", "conv")
         by_look = _three_smallest(images, "dhash", "conv")
-        edges = similar_edges(images.select(F.col("dhash").alias("hash"))).select("a", "b")
+        by_look = settle(by_look)
+        sure = settle(_dense_looks(by_look))
+        # Only what a dense place has not settled is compared, with everything.
+        open_ = by_look.join(sure, "dhash", "left_anti").select(F.col("dhash").alias("hash")).distinct()
+        edges = similar_edges(by_look.select(F.col("dhash").alias("hash")), queries=settle(open_)).select("a", "b")
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = ways.join(sure.withColumnRenamed("dhash", "a"), "a", "left_anti")
         near = ways.join(by_look.withColumnRenamed("dhash", "b"), "b").select(F.col("a").alias("dhash"), "conv")
         ball = _three_smallest(by_look.unionByName(near), "dhash", "conv")
         pairs = att.filter("img").filter(F.col("size") <= LOGO_MAX_BYTES).select("sha", "dhash").distinct()
         spans = (
             pairs.join(by_sha, "sha").unionByName(pairs.join(ball, "dhash").select("sha", "dhash", "conv"))
             .groupBy("sha", "dhash").agg(F.countDistinct("conv").alias("n"))
-            .filter(F.col("n") >= MIN_CONVERSATIONS)
+            .filter(F.col("n") >= MIN_CONVERSATIONS).select("sha", "dhash")
+            .unionByName(pairs.join(sure, "dhash", "left_semi").select("sha", "dhash")).distinct()
             .select(F.col("sha").alias("_s"), F.col("dhash").alias("_d"), F.lit(True).alias("_logo"))
         )
         rows = rows.join(spans, (F.col("sha") == F.col("_s")) & F.col("dhash").eqNullSafe(F.col("_d")), "left")

@@ -52,24 +52,31 @@ def _next_level(level: list[tuple[int, list[int]]], count: int) -> list[tuple[in
 
 
 def similar_edges(
-    hashes: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT, linked: bool = False
+    hashes: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT, linked: bool = False,
+    *, queries: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs ``(a, b, bits)`` with ``a < b`` at most ``max_bits`` apart.
 
     ``hashes`` has one bigint column ``hash``. With ``linked`` the result only
     has to connect the same groups: members of a full bucket that lie close to
     its centre are tied to one of them instead of being paired with each other.
-    A small job per level runs at once, to see whether a bucket is too full.
+    With ``queries`` (a column ``hash``) only pairs that have one of them are
+    looked for. A small job per level runs at once, to see whether a bucket is too full.
     """
     count = max_bits + 1
-    distinct = settle(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
-    rows = distinct.withColumn("path", F.lit(0))
+    known = hashes.select("hash").filter(F.col("hash").isNotNull()).distinct()
+    if queries is None:
+        asked = known.withColumn("q", F.lit(True))
+    else:
+        asks = queries.select("hash", F.lit(True).alias("q")).distinct()
+        asked = known.join(asks, "hash", "left").withColumn("q", F.coalesce("q", F.lit(False)))
+    rows = settle(asked).withColumn("path", F.lit(0))
     level: list[tuple[int, list[int]]] = [(0, [])]
     parts: list[DataFrame] = []
     for depth in range(1, MAX_DEPTH + 1):
         level = _next_level(level, count)
         steps = F.sequence(F.lit(0), F.lit(count - 1))
-        cells = rows.select("hash", F.explode(F.transform(steps, lambda j: F.col("path") * count + j)).alias("path"))
+        cells = rows.select("hash", "q", F.explode(F.transform(steps, lambda j: F.col("path") * count + j)).alias("path"))
         masks = _constant([_signed(mask) for mask, _ in level], "array<bigint>")
         cells = cells.withColumn("key", F.col("hash").bitwiseAND(F.element_at(masks, F.col("path") + 1)))
         full = settle(
@@ -86,7 +93,7 @@ def similar_edges(
             parts += found
         if depth == MAX_DEPTH:
             parts.append(_block_pairs(hot, level, max_bits, bucket_limit))
-        rows = hot.select("hash", "path")
+        rows = hot.select("hash", "q", "path")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -94,16 +101,17 @@ def similar_edges(
 
 
 def _pairs(left: DataFrame, right: DataFrame, level: list, max_bits: int, on: tuple = ("path", "key")) -> DataFrame:
-    a = left.select(*on, F.col("hash").alias("a"))
-    b = right.select(*on, F.col("hash").alias("b"))
+    a = left.filter("q").select(*on, F.col("hash").alias("a"))
+    b = right.select(*on, F.col("hash").alias("b"), F.col("q").alias("bq"))
     bits = hamming(F.col("a"), F.col("b"))
     earlier = _constant([[_signed(m) for m in before] for _, before in level], "array<array<bigint>>")
     first = F.forall(
         F.element_at(earlier, F.col("path") + 1),
         lambda m: F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(m) != 0,
     )
-    near = a.join(b, list(on)).filter((F.col("a") < F.col("b")) & (bits <= max_bits))
-    return near.filter(first).select("a", "b", bits.alias("bits"))
+    once = (F.col("a") < F.col("b")) | (~F.col("bq") & (F.col("a") != F.col("b")))
+    near = a.join(b, list(on)).filter(once & (bits <= max_bits))
+    return near.filter(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), bits.alias("bits"))
 
 
 def _block_pairs(hot: DataFrame, level: list, max_bits: int, bucket_limit: int) -> DataFrame:
@@ -145,7 +153,7 @@ def _tie_centres(hot: DataFrame, max_bits: int, bucket_limit: int) -> tuple[Data
     cross = x.join(y, ["path", "key"]).filter((F.col("x") != F.col("y")) & (bits <= max_bits)).select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("bits")
     )
-    return settle(marked.filter(~done).select("path", "key", "hash", "n")), [star, cross]
+    return settle(marked.filter(~done).select("path", "key", "hash", "q", "n")), [star, cross]
 
 
 def near_references(hashes: DataFrame, references: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

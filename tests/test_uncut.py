@@ -109,3 +109,19 @@ def test_groups_of_files_without_a_hash(spark):
     df = spark.createDataFrame(rows, "content string, dhash long, ord long")
     got = {r.ord: (r.group_no, r.members) for r in similarity.leader_listing(df).collect()}
     assert got == {4: (1, 3), 5: (1, 3), 6: (1, 3), 1: (2, 2), 2: (2, 2), 3: (3, 1)}
+
+
+def test_dense_cluster_needs_no_pairs(spark):
+    # 20,000 look-alikes of one picture in many conversations, and a few strays around them.
+    n = 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 50).alias("conv"), F.lit("x.png").alias("name"), F.lit(9000).cast("long").alias("size"),
+        F.concat(F.lit("s"), F.col("id")).alias("sha"),
+        F.expr("shiftleft(1L, cast(id % 60 as int)) ^ shiftleft(1L, cast(floor(id / 60) % 60 as int))").alias("dhash"),
+        F.lit(True).alias("img"), F.col("id").alias("ord"))
+    stray = spark.createDataFrame([(n + 1, 1, "y.png", 9000, "t1", 0x3FF, True, n + 1), (n + 2, 1, "y.png", 9000, "t2", 0x0FFFFF00000, True, n + 2)],
+                                  "doc_id long, conv long, name string, size long, sha string, dhash long, img boolean, ord long")
+    got = {r.sha: r.auto_reason for r in exclusions.auto_flags(rows.unionByName(stray)).collect()}
+    assert sum(v == "logo/signature image" for v in got.values()) >= n and got["t2"] == ""
+    # 0x3ff is ten bits from nothing, eight from the pairs inside it: a neighbour, not a member of the centre.
+    assert got["t1"] == "logo/signature image"
