@@ -243,7 +243,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Rows with a null id stay only if no document of their component has an id.
     """
     prints = settle(fingerprints(docs, id_col, text_col))
-    of = prints.join(near_components(prints, radius), "fp")
+    return keep_least(docs, prints.join(near_components(prints, radius), "fp"), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps, by their components ``of`` (columns ``doc``, ``tag``, ``fp``, ``component_id``)."""
     # Components without any id are told apart by their fingerprint.
     group = F.coalesce(F.col("component_id"), F.col("fp"))
     best = (
