@@ -1,6 +1,6 @@
 """Secrets in texts: long tokens, and a random forest that removes false positives.
 
-A candidate is a run of at least 16 key characters. The forest sees its length,
+A candidate is a run of at least 16 key characters, without a name and '=' before it. The forest sees its length,
 how often its characters change class, how much of it dictionary words cover,
 and how often its path and its neighbouring words went with real secrets among
 the labelled findings.
@@ -19,8 +19,14 @@ from foliant.llm.common import hash_sample, text_of
 from foliant.llm.marks import matches, parts_of, unmarked
 from foliant.session import settle
 
-#: The look-behind starts a candidate only at the head of its run, so a text is passed once.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+_KEY = r"[A-Za-z0-9+/_=-]"
+_NAME = r"[A-Za-z_][A-Za-z0-9_-]"
+_VALUE = rf"[A-Za-z0-9+/_-]{_KEY}{{15}}"
+#: The look-behind starts a candidate only at the head of its run, so a text is passed once. Of a run NAME=value, with a
+#: value that is long enough on its own, the value is the candidate (names of up to 256 characters).
+CANDIDATE = (
+    rf"(?<!{_KEY})(?={_KEY}{{16}})(?!{_NAME}{{0,255}}+={_VALUE}){_KEY}++|(?<==)(?={_VALUE})(?<=(?<!{_KEY}){_NAME}{{0,255}}=){_KEY}++"
+)
 FEATURES = (
     "length", "change_rate", "digit_share", "upper_share", "entropy", "coverage", "path_prior", "left_prior", "left2_prior", "right_prior",
 )
