@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash
+from foliant.llm import (
+    chat, decontaminate, frames, licences, line_dedup, merkle, mixing, pii, quality, rule_ensemble, secret_scan, sharding, simhash,
+)
 from foliant.llm.common import table
+from foliant.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -226,3 +229,84 @@ _FOLDER = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
 )
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(table(spark, sf_dir, "documents"), F.expr(PATH))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+
+@query(
+    f"""
+    WITH RECURSIVE crc_table AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ), docs AS (
+      SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, crc_table
+    ), leaves AS (
+      SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+        {_LEAF.format("(CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS claim FROM docs
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM leaves
+    ), nodes(g, level, i, n, h) AS (
+      SELECT g, 0, i, n, leaf FROM placed
+      UNION ALL
+      SELECT g, level + 1, i // 3, ceil(n / 3)::BIGINT, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 3, n
+    ), subroots AS (SELECT g, h AS subroot FROM nodes WHERE n = 1
+    ), above(level, i, n, h) AS (
+      SELECT 0, g, (SELECT count(*) FROM subroots), subroot FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 3, ceil(n / 3)::BIGINT, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 3, n
+    ), sides AS (
+      SELECT p.g, p.i, level, coalesce(string_agg(h, '' ORDER BY o.i) FILTER (WHERE o.i < p.i // pow(3, level)::BIGINT), '') AS l,
+        coalesce(string_agg(h, '' ORDER BY o.i) FILTER (WHERE o.i > p.i // pow(3, level)::BIGINT), '') AS r
+      FROM placed p JOIN nodes o ON o.g = p.g AND o.n > 1 AND o.i // 3 = (p.i // pow(3, level)::BIGINT) // 3 GROUP BY p.g, p.i, level
+      UNION ALL
+      SELECT p.g, p.i, 1000 + level, coalesce(string_agg(h, '' ORDER BY o.i) FILTER (WHERE o.i < p.g // pow(3, level)::BIGINT), ''),
+        coalesce(string_agg(h, '' ORDER BY o.i) FILTER (WHERE o.i > p.g // pow(3, level)::BIGINT), '')
+      FROM placed p JOIN above o ON o.n > 1 AND o.i // 3 = (p.g // pow(3, level)::BIGINT) // 3 GROUP BY p.g, p.i, level
+    ), proof AS (
+      SELECT g, i, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs
+      FROM sides GROUP BY g, i
+    ), done AS (
+      SELECT doc_id, leaf, subroot, (SELECT h FROM above WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+        list_reduce(list_concat([claim], list_transform(range(1, coalesce(len(ls), 0) + 1), lambda k: ls[k] || '/' || rs[k])),
+          lambda h, s: sha256(split_part(s, '/', 1) || h || split_part(s, '/', 2))) AS folded_root
+      FROM placed JOIN subroots USING (g) LEFT JOIN proof USING (g, i)
+    )
+    SELECT *, folded_root = root AS verified FROM done
+    """
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": deleted}))
+
+
+@query()
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    ensemble = rule_ensemble.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return rule_ensemble.scored(docs, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query(
+    r"""
+    WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id::VARCHAR) AS d FROM documents),
+    h AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(d, 1, 8))::BIGINT AS h1,
+      ('0x' || substr(d, 9, 8))::BIGINT AS h2, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM drawn),
+    c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid,
+      coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+    SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+    """
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = settle(frames.store_frames(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return frames.fim_digests(store)
