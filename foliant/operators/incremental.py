@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from foliant.functions.hashing import HASH_VERSION
 from foliant.functions.names import bates_label
 from foliant.operators.scan import running_sum
-from foliant.session import settle
 
 
 def change_set(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -41,38 +40,6 @@ def refresh_table(old: DataFrame, fresh: DataFrame, touched: DataFrame, key: str
     return old.join(touched.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def _bucket(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def store_index(index: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
-    """Write an index in document buckets, each sorted by term."""
-    rows = index.withColumn("bucket", _bucket(key, buckets))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(path)
-
-
-def refresh_store(fresh: DataFrame, touched: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """Bring a stored index up to date and return it; only buckets of touched documents are rewritten.
-
-    ``touched`` lists every document that changed, came or vanished. The new
-    buckets are written aside first, so that a failure leaves the old ones.
-    """
-    spark = fresh.sparkSession
-    keys = settle(touched.select(key).distinct().withColumn("bucket", _bucket(key, buckets)))
-    # At most ``buckets`` numbers.
-    hit = [r[0] for r in keys.select("bucket").distinct().collect()]
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(hit)).join(keys.select(key), key, "left_anti")
-    new = settle(old.unionByName(fresh.withColumn("bucket", _bucket(key, buckets))))
-    (
-        new.repartition("bucket").sortWithinPartitions("bucket", "term", key)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    )
-    # A bucket that lost all its documents has no new files: what is left of it is filtered.
-    return spark.read.parquet(path).join(
-        keys.join(fresh.select(key).distinct(), key, "left_anti").select(key), key, "left_anti"
-    ).drop("bucket")
-
-
 def changed_decisions(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Contents present in exactly one of two decision sets (``sha`` columns)."""
     a = previous.select("sha").distinct().withColumn("_a", F.lit(True))

@@ -283,47 +283,51 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``final_name``: a taken name gets one more leading ``_`` until free.
 
     Names are compared in lower case per folder, earlier files win. Names that
-    differ only in leading underscores compete for the same slots. Where all of
-    them start alike, the place in the queue is the number to add; the rare
-    mixed queues are replayed in order. The place is counted over ranges of the
-    whole order, so a queue of any length is dealt over many tasks; ``order``
-    must tell the files of a folder apart.
+    differ only in leading underscores compete for the same slots, one for each
+    number of underscores. Between two numbers that occur, the slots can only go
+    to names that start below: the earliest of them take these slots in order,
+    and the others go on together with the names that start at the next number.
+    So one round for each number that occurs in a queue settles it. Each round
+    counts places over ranges of the whole order, so a queue of any length is
+    dealt over many tasks. ``order`` must tell the files of a folder apart.
+
+    Folders and names that are null are empty. Runs a few jobs for each round.
     """
-    bare = F.regexp_replace("name", "^_+", "")
-    rows = files.withColumn("_bare", F.lower(bare)).withColumn("_folder", F.lower("folder")).withColumn(
-        "_u", F.length("name") - F.length(bare)
-    )
+    name = F.coalesce("name", F.lit(""))
+    bare = F.regexp_replace(name, "^_+", "")
     queue = ["_folder", "_bare"]
-    mixed = rows.groupBy(*queue).agg((F.min("_u") != F.max("_u")).alias("_mixed"))
-    rows = rows.join(mixed, queue)
-    rows = settle(rows)
-    sorted_ = settle(row_position(rows.filter(~F.col("_mixed")), [*queue, *order], "_at"))
-    heads = sorted_.groupBy(*queue).agg(F.min("_at").alias("_head"))
-    plain = sorted_.join(heads, queue).withColumn("_add", (F.col("_at") - F.col("_head")).cast("int")).drop("_at", "_head")
-    replay = _replay(rows.filter("_mixed"), queue, order)
-    both = plain.unionByName(replay.select(*plain.columns))
-    return both.withColumn("final_name", F.concat(F.repeat(F.lit("_"), F.col("_add")), F.col("name"))).drop(
-        "_bare", "_folder", "_u", "_mixed", "_add"
-    )
-
-
-def _replay(rows: DataFrame, queue: list[str], order: Sequence[str]) -> DataFrame:
-    seq = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col("_u").alias("u"))))
-    empty = F.lit(None).cast("array<int>")
-
-    def place(taken: Column, item: Column) -> Column:
-        # The smallest free slot at or above the name's own underscores.
-        slots = F.sequence(item["u"], item["u"] + F.size(taken))
-        return F.concat(taken, F.slice(F.array_except(slots, taken), 1, 1))
-
-    queues = rows.groupBy(*queue).agg(seq.alias("_q"))
-    slots = queues.withColumn(
-        "_slots", F.aggregate("_q", F.coalesce(empty, F.array().cast("array<int>")), place)
+    rows = settle(
+        files.withColumn("_bare", F.lower(bare)).withColumn("_folder", F.lower(F.coalesce("folder", F.lit(""))))
+        .withColumn("_u", (F.length(name) - F.length(bare)).cast("int"))
     )
-    won = slots.select(*queue, F.explode(F.arrays_zip("_q", "_slots")).alias("_z")).select(
-        *queue, F.col("_z._q.o").alias("_o"), (F.col("_z._slots") - F.col("_z._q.u")).alias("_add")
+    steps = W.partitionBy(*queue).orderBy("_u")
+    # One row for each number of underscores of a queue: where its slots begin, and how many there are before the next number.
+    levels = settle(
+        rows.select(*queue, "_u").distinct().withColumn("_level", F.row_number().over(steps))
+        .withColumn("_room", F.lead("_u").over(steps) - F.col("_u"))
     )
-    return rows.withColumn("_o", F.struct(*order)).join(won, [*queue, "_o"]).drop("_o")
+    last = levels.agg(F.max("_level")).first()[0] or 0
+    waiting = rows.join(levels, [*queue, "_u"]).withColumn("_base", F.col("_u"))
+    done = None
+    for level in range(1, last + 1):
+        waiting = settle(waiting)
+        here = row_position(waiting.filter(F.col("_level") == level), [*queue, *order], "_at")
+        here = settle(here)
+        heads = here.groupBy(*queue).agg(F.min("_at").alias("_head"))
+        ranked = here.join(heads, queue).withColumn("_rank", (F.col("_at") - F.col("_head")).cast("int")).drop("_at", "_head")
+        fits = F.col("_room").isNull() | (F.col("_rank") < F.col("_room"))
+        won = ranked.filter(fits).withColumn("_slot", F.col("_base") + F.col("_rank")).drop("_rank")
+        done = won if done is None else done.unionByName(won)
+        if level < last:
+            above = levels.filter(F.col("_level") == level + 1).select(
+                *queue, F.col("_level").alias("_l"), F.col("_room").alias("_r"), F.col("_u").alias("_b"))
+            moved = ranked.filter(~fits).drop("_rank").join(above, queue)
+            moved = moved.withColumns({"_level": F.col("_l"), "_room": F.col("_r"), "_base": F.col("_b")}).drop("_l", "_r", "_b")
+            waiting = waiting.filter(F.col("_level") > level).unionByName(moved)
+    if done is None:
+        done = waiting.withColumn("_slot", F.col("_u"))
+    final = F.concat(F.repeat(F.lit("_"), F.col("_slot") - F.col("_u")), F.coalesce("name", F.lit("")))
+    return done.withColumn("final_name", final).select(*files.columns, "final_name")
 
 
 def produced_path(folder: Column, name: Column) -> Column:

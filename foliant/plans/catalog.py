@@ -11,7 +11,7 @@ from foliant.functions import hashing, names, text
 from foliant.operators import exclusions as ex
 from foliant.operators import incremental as inc
 from foliant.operators import production as prod
-from foliant.operators import search, similarity
+from foliant.operators import search, segments, similarity
 from foliant.plans import views as v
 from foliant.session import settle, work_path
 from foliant.sources import snapshots
@@ -413,12 +413,19 @@ def index_table(spark, sf):
     return prod.index_table(both)
 
 
-@query("claimed_names", """WITH a AS (SELECT p_partkey AS k, p_brand AS folder, upper(p_name[1:1]) || p_name[2:] AS name FROM part)
-SELECT k, folder, repeat('_', (row_number() OVER (PARTITION BY folder, lower(name) ORDER BY k) - 1)::INT) || name AS final_name FROM a""")
+@query("claimed_names", """WITH a AS (SELECT p_partkey AS k, p_brand AS folder, repeat('_', (p_size % 5)::INT) ||
+  (CASE WHEN p_partkey % 3 = 0 THEN 'image001.png' ELSE upper(p_name[1:1]) || p_name[2:] END) AS name FROM part),
+q AS (SELECT folder, ltrim(lower(name), '_') AS bare, list(length(name) - length(ltrim(name, '_')) ORDER BY k) AS us, list(k ORDER BY k) AS ks FROM a GROUP BY ALL),
+-- The queue in order: each name takes the smallest free slot from its own underscores on.
+s AS (SELECT ks, list_reduce(list_transform(us, lambda u: [u]), lambda taken, u:
+  list_append(taken, list_filter(range(u[1], u[1] + len(taken) + 1), lambda x: NOT list_contains(taken, x))[1]), []::BIGINT[]) AS slots FROM q)
+SELECT a.k, a.folder, repeat('_', (slot - (length(name) - length(ltrim(name, '_'))))::INT) || name AS final_name
+FROM a JOIN (SELECT unnest(ks) AS k, unnest(slots) AS slot FROM s) t ON t.k = a.k""")
 def claimed_names(spark, sf):
+    name = F.when(c("p_partkey") % 3 == 0, "image001.png").otherwise(
+        F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)")))
     files = v.table(spark, sf, "part").select(
-        c("p_partkey").alias("k"), c("p_brand").alias("folder"),
-        F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100)).alias("name"))
+        c("p_partkey").alias("k"), c("p_brand").alias("folder"), F.concat(F.repeat(F.lit("_"), c("p_size") % 5), name).alias("name"))
     return prod.claim_names(files, ["k"]).select("k", "folder", "final_name")
 
 
@@ -749,11 +756,27 @@ SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(tokens)
 def incremental_reindex(spark, sf):
     """The stored index of the old state, brought up to date: equal to a full rebuild."""
     prev, cur = v.snapshots(spark, sf)
-    path = work_path(spark, "index")
-    inc.store_index(search.postings(prev), path)
+    root = work_path(spark, "index")
+    segments.create(search.postings(prev), prev, root)
     todo = inc.change_set(cur, prev).filter(c("status") != "reused")
     touched = todo.select("doc_id").unionByName(inc.vanished(cur, prev).select("doc_id"))
-    return inc.refresh_store(search.postings(todo), touched, path).select("doc_id", "term", "tf")
+    segments.refresh(search.postings(todo), touched, root)
+    return segments.read(spark, root).select("doc_id", "term", "tf")
+
+
+@query("merged_segments", ORACLE["incremental_reindex"])
+def merged_segments(spark, sf):
+    """The same changes in five refreshes, by the documents' last digit, with a merge of like segments after each."""
+    prev, cur = v.snapshots(spark, sf)
+    root = work_path(spark, "index")
+    segments.create(search.postings(prev), prev, root)
+    todo = settle(inc.change_set(cur, prev).filter(c("status") != "reused"))
+    touched = settle(todo.select("doc_id").unionByName(inc.vanished(cur, prev).select("doc_id")))
+    for part in range(5):
+        now = F.floor(c("doc_id") % 10 / 2) == part
+        segments.refresh(search.postings(todo.filter(now)), touched.filter(now), root)
+        segments.merge_tiers(spark, root)
+    return segments.read(spark, root).select("doc_id", "term", "tf")
 
 
 CHANGED = ATT + """,

@@ -140,6 +140,25 @@ def test_claimed_names_replay_the_loop(spark):
     assert {r.i: r.final_name for r in prod.claim_names(df, ["i"]).collect()} == want
 
 
+def test_mixed_queue_of_many_files(spark):
+    """One name holds most of a folder, and a few files start with one, three or seven underscores."""
+    rnd = random.Random(2)
+    rows = [(i, "f", "_" * rnd.choice([0] * 40 + [1, 3, 7]) + "image001.png") for i in range(3000)]
+    rows += [(5000, "f", None), (5001, None, "x"), (5002, None, "_x"), (5003, None, "x")]
+    used, want = set(), {}
+    for i, folder, n in rows:
+        n = n or ""
+        while (folder, n) in used:
+            n = "_" + n
+        used.add((folder, n))
+        want[i] = len(n)
+    df = spark.createDataFrame(rows, "i int, folder string, name string").repartition(7)
+    got = prod.claim_names(df, ["i"]).select("i", "folder", F.length("final_name").alias("n"), "final_name").collect()
+    assert {r.i: r.n for r in got} == want
+    assert len({(r.folder, r.final_name) for r in got}) == len(rows)
+    assert prod.claim_names(df.limit(0), ["i"]).collect() == []
+
+
 def test_stale_outputs(spark):
     listing = spark.createDataFrame(
         [("kept", n) for n in ("kept.pdf", "report.pdf", "TPL4AL.pdf", "_report.pdf")] + [("gone", "gone.pdf"), ("old", "x.pdf")],
