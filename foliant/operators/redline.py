@@ -4,69 +4,137 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import trim_ws
 
 
+class _Distances:
+    """Whether what follows two places of two sequences differs by at most so many deletions and insertions.
+
+    On each diagonal a row holds the first place from which the rest differs by
+    at most d. A row follows from the one before it by one step on the
+    neighbouring diagonals and by running back over equal items, so the work is
+    the length times the number of differences. Rows are kept at every k-th
+    difference, with k near the square root of their number, and the rows
+    between are made again when the way back comes to them.
+    """
+
+    _FAR = 1 << 30
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self._x, self._y = x, y
+        self._end = len(x) - len(y)
+        self._stride = 16
+        first = self._back(np.array([len(x)], dtype=np.int32), np.array([self._end], dtype=np.int32))
+        row = (self._end, first)
+        self._kept = {0: row}
+        d = 0
+        while not self._reaches(row, 0, 0):
+            d += 1
+            row = self._next(row, d)
+            if d % self._stride == 0:
+                self._kept[d] = row
+                if len(self._kept) > 2 * self._stride:
+                    self._stride *= 2
+                    self._kept = {k: r for k, r in self._kept.items() if k % self._stride == 0}
+        self.total = d
+        self._block: dict[int, tuple[int, np.ndarray]] = {}
+
+    @staticmethod
+    def _reaches(row: tuple[int, np.ndarray], i: int, j: int) -> bool:
+        low, places = row
+        at = i - j - low
+        return at >= 0 and at % 2 == 0 and at // 2 < len(places) and i >= places[at // 2]
+
+    def _next(self, row: tuple[int, np.ndarray], d: int) -> tuple[int, np.ndarray]:
+        low, places = row
+        lo, hi = self._end - d, self._end + d
+        lo += max(0, -len(self._y) - lo + 1) // 2 * 2
+        hi -= max(0, hi - len(self._x) + 1) // 2 * 2
+        k = np.arange(lo, hi + 1, 2, dtype=np.int32)
+        # Neighbouring diagonals, k - 1 and k + 1, are neighbouring entries of the row before.
+        padded = np.full(len(places) + 2, self._FAR, dtype=np.int32)
+        padded[1:-1] = places
+        at = (lo + 1 - low) // 2
+        i = np.minimum(padded[at + 1:at + 1 + len(k)] - 1, padded[at:at + len(k)])
+        return lo, self._back(np.maximum(i, np.maximum(k, 0)), k)
+
+    def _back(self, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Each place moved back over the equal items before it."""
+        live = np.flatnonzero((i > 0) & (i > k))
+        for _ in range(6):
+            live = live[self._x[i[live] - 1] == self._y[i[live] - k[live] - 1]]
+            i[live] -= 1
+            live = live[(i[live] > 0) & (i[live] > k[live])]
+            if not len(live):
+                return i
+        for m in live:
+            i[m] = self._run_back(int(i[m]), int(i[m] - k[m]))
+        return i
+
+    def _run_back(self, i: int, j: int) -> int:
+        width = 16
+        while i and j:
+            w = min(width, i, j)
+            differ = np.flatnonzero(self._x[i - w:i] != self._y[j - w:j])
+            if len(differ):
+                return i - (w - 1 - int(differ[-1]))
+            i, j, width = i - w, j - w, min(2 * width, 1 << 16)
+        return i
+
+    def within(self, d: int, i: int, j: int) -> bool:
+        """The rest from ``i`` and ``j`` on differs by at most ``d``, whose parity it must have."""
+        if d not in self._block:
+            start = d // self._stride * self._stride
+            row = self._kept[start]
+            self._block = {start: row}
+            for k in range(start + 1, min(start + self._stride, self.total + 1)):
+                row = self._next(row, k)
+                self._block[k] = row
+        return self._reaches(self._block[d], i, j)
+
+
 def _script(a: list, b: list) -> list[tuple[str, object]]:
     """Edit script of two sequences by longest common subsequence.
 
-    Where both choices keep the same length, the deletion comes first. Only
-    every k-th row of the length table is kept (k = square root of the rows);
-    the rows between are computed again on the way back, so long texts need
-    little memory.
+    Where both choices keep the same length, the deletion comes first. Equal
+    items at the start are kept at once, items that only one side has are set
+    apart, and the rest is compared in time that grows with the length times
+    the number of its differences.
     """
-    import numpy as np
-
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     ids: dict = {}
-    x = np.array([ids.setdefault(v, len(ids)) for v in a[head:]], dtype=np.int64)
-    y = np.array([ids.setdefault(v, len(ids)) for v in b[head:]], dtype=np.int64)
+    x = np.array([ids.setdefault(v, len(ids)) for v in a[head:]], dtype=np.int32)
+    y = np.array([ids.setdefault(v, len(ids)) for v in b[head:]], dtype=np.int32)
     n, m = len(x), len(y)
-    step = max(1, int(n ** 0.5))
-
-    def above(i: int, below):
-        # Seen from the right, an entry is the running maximum of "match here"
-        # and "the entry below".
-        row = np.zeros(m + 1, dtype=np.int32)
-        here = np.where(y == x[i], below[1:] + 1, below[:-1])
-        row[:m] = np.maximum.accumulate(here[::-1])[::-1]
-        return row
-
-    kept = {n: np.zeros(m + 1, dtype=np.int32)}
-    row = kept[n]
-    for i in range(n - 1, -1, -1):
-        row = above(i, row)
-        if i % step == 0:
-            kept[i] = row
-    block: dict = {}
-
-    def best(i: int):
-        if i not in block or i + 1 not in block:
-            block.clear()
-            top = min(n, (i // step + 1) * step)
-            block[top] = kept[top]
-            for r in range(top - 1, i // step * step - 1, -1):
-                block[r] = above(r, block[r + 1])
-        return block[i]
-
+    in_both = np.zeros(len(ids) + 1, dtype=bool)
+    in_both[np.intersect1d(x, y)] = True
+    x_both, y_both = in_both[x], in_both[y]
+    distances = _Distances(x[x_both], y[y_both])
+    xs, ys, x_known, y_known = x.tolist(), y.tolist(), x_both.tolist(), y_both.tolist()
     out = [("eq", v) for v in a[:head]]
-    i = j = 0
+    # i and j count all items, p and q those that both sides have; left is how much the rest of these differs.
+    i = j = p = q = 0
+    left = distances.total
     while i < n and j < m:
-        if x[i] == y[j]:
+        if xs[i] == ys[j]:
             out.append(("eq", a[head + i]))
-            i, j = i + 1, j + 1
-            continue
-        here = best(i)[j + 1]
-        if block[i + 1][j] >= here:
+            i, j, p, q = i + 1, j + 1, p + 1, q + 1
+        elif not x_known[i]:
             out.append(("del", a[head + i]))
             i += 1
+        elif left and distances.within(left - 1, p + 1, q):
+            out.append(("del", a[head + i]))
+            i, p, left = i + 1, p + 1, left - 1
         else:
             out.append(("ins", b[head + j]))
+            if y_known[j]:
+                q, left = q + 1, left - 1
             j += 1
     out += [("del", v) for v in a[head + i:]]
     return out + [("ins", v) for v in b[head + j:]]

@@ -171,25 +171,26 @@ def citation_checks(spark, sf):
 
 # -- redlines ----------------------------------------------------------------------
 
-@query("version_redlines", """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents),
-n AS (SELECT doc_id, count(*) FILTER (WHERE contains(line, ' the ')) AS k FROM l GROUP BY doc_id)
-SELECT doc_id, (k + 1)::BIGINT AS added, k::BIGINT AS removed, md5(regexp_replace(text, '\\s+', '', 'g')) AS old_text,
-  md5(regexp_replace(replace(text, ' the ', ' this ') || 'added line', '\\s+', '', 'g')) AS new_text FROM documents JOIN n USING (doc_id)""")
+@query("version_redlines", r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\s+|\S+') AS tok FROM documents),
+m AS (SELECT doc_id, text, coalesce(tok[-1], '') = 'the' AS at_end, contains(string_split(text, chr(10))[-1], 'the') AND
+    list_contains(regexp_extract_all(string_split(text, chr(10))[-1], '\S+'), 'the') AS last_changes,
+  len(list_filter(string_split(text, chr(10)), lambda l: list_contains(regexp_extract_all(l, '\S+'), 'the')))::BIGINT AS k,
+  coalesce(array_to_string(list_transform(tok, lambda w: CASE WHEN w = 'the' THEN '<del>the</del><ins>§the</ins>' ELSE w END), ''), '') AS markup FROM t)
+SELECT doc_id, k + 1 AS added, k AS removed, md5(CASE WHEN at_end THEN markup[:-7] || chr(10) || 'added line</ins>'
+  WHEN last_changes THEN markup || '<ins>' || chr(10) || 'added line</ins>' ELSE markup || chr(10) || '<ins>added line</ins>' END) AS markup FROM m""")
 def version_redlines(spark, sf):
+    """Every word ``the`` changed, and a line added: the exact markup, white space included."""
     docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("old_text"))
-    new = F.concat(F.replace("old_text", F.lit(" the "), F.lit(" this ")), F.lit("\nadded line"))
-    out = redline.redline(docs.withColumn("new_text", new), ["doc_id"])
+    words = F.transform(F.regexp_extract_all("old_text", F.lit(r"(\s+|\S+)")), lambda w: F.when(w == "the", "§the").otherwise(w))
+    out = redline.redline(docs.withColumn("new_text", F.concat(F.array_join(words, ""), F.lit("\nadded line"))), ["doc_id"])
+    return out.select("doc_id", "added", "removed", F.md5("markup").alias("markup"))
 
-    def bare(col):
-        return F.md5(F.regexp_replace(col, r"\s+", ""))
-
-    return out.select(
-        "doc_id", "added", "removed", bare(redline.reject_changes(c("markup"))).alias("old_text"),
-        bare(redline.accept_changes(c("markup"))).alias("new_text"))
 
-
-@query("amendment_history", """WITH m AS (SELECT conv_id, turn, text, lag(turn) OVER w AS base, lag(text) OVER w AS old_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id AS family, turn AS version, base, md5(regexp_replace(old_text, '\\s+', '', 'g')) AS old_text, md5(regexp_replace(text, '\\s+', '', 'g')) AS new_text FROM m WHERE base IS NOT NULL""")
+@query("amendment_history", """WITH m AS (SELECT conv_id, turn, text, lag(turn) OVER w AS base, lag(text) OVER w AS old_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+-- Two turns of the given conversations share one line at most, so that the lines they share are the longest common sequence.
+k AS (SELECT *, len(list_intersect(string_split(old_text, chr(10)), string_split(text, chr(10)))) AS same FROM m WHERE base IS NOT NULL)
+SELECT conv_id AS family, turn AS version, base, md5(regexp_replace(old_text, '\\s+', '', 'g')) AS old_text, md5(regexp_replace(text, '\\s+', '', 'g')) AS new_text,
+  len(string_split(text, chr(10))) - same AS added, len(string_split(old_text, chr(10))) - same AS removed FROM k""")
 def amendment_history(spark, sf):
     out = registers.amendment_history(v.table(spark, sf, "conversations").select(
         c("conv_id").alias("family"), c("turn").alias("version"), "text"))
@@ -198,7 +199,7 @@ def amendment_history(spark, sf):
         return F.md5(F.regexp_replace(col, r"\s+", ""))
 
     return out.select("family", "version", "base", bare(redline.reject_changes(c("markup"))).alias("old_text"),
-                      bare(redline.accept_changes(c("markup"))).alias("new_text"))
+                      bare(redline.accept_changes(c("markup"))).alias("new_text"), "added", "removed")
 
 
 @query("applied_redlines", """SELECT doc_id, CASE WHEN contains(text, ' of ') THEN substr(text, 1, instr(text, ' of ') - 1) || '<del> of </del><ins> under </ins>' || substr(text, instr(text, ' of ') + 4) ELSE text END AS text,
@@ -213,11 +214,11 @@ def applied_redlines(spark, sf):
     return out.select("doc_id", "text", c("applied").cast("bigint").alias("applied"), c("missed").cast("bigint").alias("missed"))
 
 
-@query("redline_runs", """WITH t AS (SELECT doc_id, lang, replace(text, '*', '') AS text FROM documents WHERE text <> '')
-SELECT doc_id, 0::BIGINT AS pos, 'bold' AS kind, lang AS text FROM t UNION ALL SELECT doc_id, 1, 'plain', text FROM t
-UNION ALL SELECT doc_id, 2, 'del', 'old ' || lang FROM t UNION ALL SELECT doc_id, 3, 'ins', 'new' FROM t""")
+@query("redline_runs", """WITH t AS (SELECT doc_id, lang, replace(text, '*', '') AS text FROM documents)
+SELECT doc_id, 0::BIGINT AS pos, 'bold' AS kind, lang AS text FROM t UNION ALL SELECT doc_id, 1, 'plain', text FROM t WHERE text <> ''
+UNION ALL SELECT doc_id, CASE WHEN text = '' THEN 1 ELSE 2 END, 'del', 'old ' || lang FROM t UNION ALL SELECT doc_id, CASE WHEN text = '' THEN 2 ELSE 3 END, 'ins', 'new' FROM t""")
 def redline_runs(spark, sf):
-    docs = v.table(spark, sf, "documents").filter(c("text") != "")
+    docs = v.table(spark, sf, "documents")
     marked = F.concat(F.lit("**"), "lang", F.lit("**"), F.replace("text", F.lit("*"), F.lit("")), F.lit("<del>old "), "lang", F.lit("</del><ins>new</ins>"))
     runs = docs.select("doc_id", F.posexplode(redline.redline_runs(marked)).alias("pos", "r"))
     return runs.select("doc_id", c("pos").cast("bigint").alias("pos"), "r.kind", "r.text")
@@ -249,11 +250,11 @@ def run_progress(spark, sf):
     return messages.never_retreating(v.progress(spark, sf)).select("collection", "event_id", "pct", "shown")
 
 
-@query("paired_activities", """WITH e AS (SELECT event_id // 2 AS id, event_id % 2 = 0 AS s, epoch_us(ts) AS t, event_type, value FROM events WHERE event_id % 14 <> 3)
+@query("paired_activities", """WITH e AS (SELECT event_id // 2 AS id, event_id % 2 = 0 AS s, epoch_us(ts) AS t, event_type, value FROM events)
 SELECT id, max(CASE WHEN s THEN event_type END) AS name, max(CASE WHEN s THEN t END)::BIGINT AS started_us, coalesce(max(CASE WHEN NOT s THEN t END), -1)::BIGINT AS ended_us,
  coalesce(max(CASE WHEN NOT s THEN CASE WHEN event_type <> 'error' THEN 'ok' ELSE 'failed' END END), 'open') AS state FROM e GROUP BY id HAVING max(CASE WHEN s THEN t END) IS NOT NULL""")
 def paired_activities(spark, sf):
-    e = v.table(spark, sf, "events").filter(c("event_id") % 14 != 3)
+    e = v.table(spark, sf, "events")
     rows = e.select(
         F.floor(c("event_id") / 2).cast("bigint").alias("id"), F.when(c("event_id") % 2 == 0, "start").otherwise("end").alias("type"),
         c("ts").cast("timestamp").alias("ts"), c("event_type").alias("name"), (c("event_type") != "error").alias("ok"), c("event_type").alias("summary"))
@@ -379,21 +380,21 @@ def document_types(spark, sf):
         names.doc_type(kind, F.when(c("part_id") % 3 == 0, "NDA")).alias("desktop"), "part_id")
 
 
-@query("highlight_table", """SELECT 'doc-' || doc_id AS "Document", CASE WHEN i = 1 THEN '' ELSE '3' END AS "Page", lang AS "Colour", string_split(text, chr(10))[i] AS "Highlight", substr(text, 1, 20) AS "Context"
-FROM documents, range(1, 3) r(i) WHERE doc_id % 2 = 0 AND i <= len(string_split(text, chr(10)))""")
+@query("highlight_table", """WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT 'doc-' || doc_id AS "Document", CASE WHEN i = 1 THEN '' ELSE i::VARCHAR END AS "Page", lang AS "Colour", trim(line) AS "Highlight", line AS "Context" FROM l""")
 def highlight_table(spark, sf):
+    """Every line of every document is marked, with the whole line as its context."""
     return highlights.highlight_table(_marked(spark, sf))
 
 
 def _marked(spark, sf):
-    lines = F.slice(F.split("text", "\n"), 1, 2)
-    marks = F.transform(lines, lambda s, i: F.struct(
-        s.alias("text"), c("lang").alias("color"), F.when(i > 0, F.lit(3)).alias("page"), F.substring("text", 1, 20).alias("context")))
-    return v.table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias("name"), F.when(c("doc_id") % 2 == 0, marks).alias("highlights"))
+    marks = F.transform(F.split("text", "\n", -1), lambda s, i: F.struct(
+        F.trim(s).alias("text"), c("lang").alias("color"), F.when(i > 0, i + 1).alias("page"), s.alias("context")))
+    return v.texts(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias("name"), marks.alias("highlights"))
 
 
-@query("highlight_totals", "SELECT sum(least(2, len(string_split(text, chr(10)))))::BIGINT AS marks, count(*)::BIGINT AS docs FROM documents WHERE doc_id % 2 = 0")
+@query("highlight_totals", "SELECT sum(len(string_split(text, chr(10))))::BIGINT AS marks, count(*)::BIGINT AS docs FROM documents")
 def highlight_totals(spark, sf):
     return highlights.highlight_totals(_marked(spark, sf))
 
@@ -406,9 +407,11 @@ def collection_catalogue(spark, sf):
         F.max("doc_id").alias("updated_at"), F.count("*").alias("files")))
 
 
-@query("enrichment_merge", """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN upper(lang) ELSE 'old' END AS doc_type, CASE WHEN doc_id % 3 <> 0 THEN 'about ' || substr(text, 1, 10) ELSE 'kept' END AS summary FROM documents""")
+@query("enrichment_merge", """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN upper(lang) ELSE 'old' END AS doc_type, CASE WHEN doc_id % 3 <> 0 THEN 'about ' || md5(text) ELSE 'kept' END AS summary FROM documents""")
 def enrichment_merge(spark, sf):
-    """Labels from a deterministic stand-in for the user's labelling function."""
+    """Labels from a deterministic stand-in for the user's labelling function, which reads whole texts."""
+    import hashlib
+
     from foliant.operators.incremental import enrich, merge_enrichment
 
     done = c("doc_id") % 3 == 0
@@ -418,7 +421,7 @@ def enrichment_merge(spark, sf):
         F.lit(None).cast("array<string>").alias("parties"))
 
     def label(items):
-        return [{"id": i["id"], "docType": i["name"].upper(), "summary": "about " + i["excerpt"][:10], "parties": []} for i in items]
+        return [{"id": i["id"], "docType": i["name"].upper(), "summary": "about " + hashlib.md5(i["excerpt"].encode()).hexdigest(), "parties": []} for i in items]
 
     return merge_enrichment(docs, enrich(docs, label)).select("doc_id", "doc_type", "summary")
 

@@ -103,6 +103,22 @@ def test_script_equals_full_table():
         assert redline._script(a, b) == table_script(a, b)
 
 
+def test_script_of_unlike_and_long_sequences():
+    rnd = random.Random(6)
+    for _ in range(12):
+        a = [rnd.randrange(40) for _ in range(rnd.randrange(150, 260))]
+        b = [rnd.randrange(60) for _ in range(rnd.randrange(150, 260))]
+        assert redline._script(a, b) == table_script(a, b)
+    old = [f"line {i}" if i % 3 else "the same" for i in range(200_000)]
+    new = list(old)
+    for k in range(9):
+        new[k * 20_011 + 5] = f"changed {k}"
+    new.insert(150_000, "the same")
+    got = redline._script(old, new)
+    assert [v for kind, v in got if kind != "ins"] == old and [v for kind, v in got if kind != "del"] == new
+    assert sum(kind != "eq" for kind, _ in got) == 19
+
+
 def test_redline_operator_keeps_both_texts(spark):
     rows = [("k1", "a\nb c d\ne", "a\nb x d\ne\nf"), ("k2", "", "new"), ("k3", "x", "x")]
     df = spark.createDataFrame(rows, "k string, old_text string, new_text string")
