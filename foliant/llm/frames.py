@@ -233,16 +233,20 @@ def _transform(store: DataFrame, id_col: str, form: Form, more: str, row: Callab
     schema = _schema(store, {"_store"}, more)
     names, kept = [c.split()[0] for c in more.split(", ")], [f.name for f in schema.fields][: -len(more.split(", "))]
 
+    key = "_key"
+    while key in kept:
+        key = f"_{key}"
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids = [None if pd.isna(i) else int(i) for i in pdf["_key"]]
+            ids = [None if pd.isna(i) else int(i) for i in pdf[key]]
             made = [row(Transformed(i, Frames(s), form)) for i, s in zip(ids, pdf["_store"])]
             new = pd.DataFrame(made, columns=names)
             for c in names:
                 new[c] = new[c].astype("Int64") if c in ("n", "prefix_chars", "middle_chars") else new[c].astype(object)
             yield pd.concat([pdf[kept].reset_index(drop=True), new], axis=1)
 
-    keyed = store.select(*(store[f"`{c}`"] for c in dict.fromkeys([*kept, "_store"])), F.col(id_col).cast("long").alias("_key"))
+    keyed = store.select(*(store[f"`{c}`"] for c in dict.fromkeys([*kept, "_store"])), F.col(id_col).cast("long").alias(key))
     return keyed.mapInPandas(batches, schema)
 
 

@@ -15,8 +15,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry.queries()
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", NAMES)
