@@ -22,7 +22,6 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.llm.common import text_of
 
@@ -224,30 +223,22 @@ def restore(output: Callable[[], Iterator[bytes]], form: str, marks: dict[str, b
         yield from _between(output(), *spans[part])
 
 
-def _schema(store: DataFrame, but: set[str], more: str) -> T.StructType:
-    kept = [f for f in store.schema.fields if f.name not in but | {c.split()[0] for c in more.split(", ")}]
-    return T.StructType(kept + T._parse_datatype_string(more).fields)
-
-
 def _transform(store: DataFrame, id_col: str, form: Form, more: str, row: Callable[[Transformed], tuple]) -> DataFrame:
-    schema = _schema(store, {"_store"}, more)
-    names, kept = [c.split()[0] for c in more.split(", ")], [f.name for f in schema.fields][: -len(more.split(", "))]
-
-    key = "_key"
-    while key in kept:
-        key = f"_{key}"
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            ids = [None if pd.isna(i) else int(i) for i in pdf[key]]
-            made = [row(Transformed(i, Frames(s), form)) for i, s in zip(ids, pdf["_store"])]
-            new = pd.DataFrame(made, columns=names)
-            for c in names:
-                new[c] = new[c].astype("Int64") if c in ("n", "prefix_chars", "middle_chars") else new[c].astype(object)
-            yield pd.concat([pdf[kept].reset_index(drop=True), new], axis=1)
-
-    keyed = store.select(*(store[f"`{c}`"] for c in dict.fromkeys([*kept, "_store"])), F.col(id_col).cast("long").alias(key))
-    return keyed.mapInPandas(batches, schema)
+    """The rows of a store with the columns ``more``; other columns do not go through Python."""
+    names = [c.split()[0] for c in more.split(", ")]
+
+    def batch(ids: pd.Series, stores: pd.DataFrame) -> pd.DataFrame:
+        made = [
+            row(Transformed(None if i is None else int(i), Frames(dict(zip(stores.columns, s))), form))
+            for i, s in zip(ids, stores.itertuples(index=False, name=None))
+        ]
+        new = pd.DataFrame(made, columns=names, dtype=object)
+        return new.astype({c: "Int64" for c in ("n", "prefix_chars", "middle_chars")})
+
+    kept = [store[f"`{c}`"] for c in store.columns if c not in {"_store", *names}]
+    made = F.pandas_udf(batch, more)(F.col(id_col).cast("string"), F.col("_store"))
+    # One array of one struct: its fields are read without running the function again for each.
+    return store.select(*kept, F.inline(F.array(made)))
 
 
 _FACTS = "n long, form string, prefix_chars long, middle_chars long"
