@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash
+from foliant.llm import chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, shingle_sets, simhash
 
 LONG = " ".join(f"word{i % 977} and" for i in range(60_000))
 LINE = "This line is long enough to count as a key of its own, yes."
@@ -44,6 +44,7 @@ def run_all(spark, docs, labels, bench):
         "mixed": mixing.mix(docs, labels, domain, {"clean": 0.9, "toxic": 0.1}),
         "chat": chat.digests(chat.format_windows(turns)), "shards": sharding.assign_shards(docs, 1 << 20),
         "licences": licences.licences(docs, path), "components": simhash.document_components(docs), "one": simhash.keep_one(docs),
+        "similar": shingle_sets.keep_one(docs),
         "lines": line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)),
     }
 
@@ -53,7 +54,7 @@ def test_odd_rows(spark, docs, labels, bench):
     n = len(ROWS)
     for k in ("quality", "pii", "shards", "components", "lines", "redacted"):
         assert len(got[k]) == n, k
-    for k in ("good", "mixed", "one", "no_leaks"):
+    for k in ("good", "mixed", "one", "similar", "no_leaks"):
         assert all(r[c] == f"x{c}" for r in got[k] for c in CLASH), k
     # Licences: rows that agree in id and path share one.
     assert len(got["licences"]) == n
@@ -72,7 +73,7 @@ def test_odd_rows(spark, docs, labels, bench):
     comp = {r.doc_id: r.component_id for r in got["components"] if r.doc_id is not None}
     # No words: fingerprint zero, one component.
     assert comp[1] == comp[2] == comp[9] == 1 and comp[6] == comp[7] == comp[8] == 5
-    assert sorted(r.doc_id for r in got["one"]) == [1, 3, 4, 5, 10]
+    assert sorted(r.doc_id for r in got["one"]) == sorted(r.doc_id for r in got["similar"]) == [1, 3, 4, 5, 10]
     assert sum(r.n_turns for r in got["chat"]) == n
 
 

@@ -48,14 +48,29 @@ def corpus(rng: random.Random) -> list[tuple[int, str]]:
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_components_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize("block, items", [(2048, 1 << 20), (16, 1 << 20), (2048, 3000)])
+def test_components_are_those_of_all_pairs(spark, block, items):
     rows = corpus(random.Random(11))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc: r.component_id for r in shingle_sets.similar_components(df, block=block).collect()}
+    got = {r.doc: r.component_id for r in shingle_sets.similar_components(df, block=block, block_items=items).collect()}
     assert got == brute_components(rows)
 
 
+def test_links_of_a_group_grow_with_the_group():
+    """Pairs at about half, and pairs around 80 %: what leaves a task is a forest, whatever the number of pairs."""
+    rng = random.Random(13)
+    for changes, linked in ((5, False), (2, True)):
+        base = [f"w{i}" for i in range(150)]
+        sets = [shingle_sets.shingle_set(" ".join(edited(rng, base, changes))) for _ in range(400)]
+        node = np.arange(400)
+        a, b = shingle_sets.spanning_links(node, node, sets)
+        assert len(a) < 400 and len(a) == len(set(zip(a, b)))
+        assert (len(a) > 300) == linked
+        half = np.arange(400) % 2 == 1
+        a, b = shingle_sets.spanning_links(node, node, sets, half)
+        assert len(a) < 400 and all(half[i] != half[j] for i, j in zip(a, b))
+
+
 def test_stage_drops_edited_copies(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(400)]
