@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import blank, squash_ws, trim_ws
+from foliant.operators.intervals import interval_join
+from foliant.operators.scan import previous_row, row_position, running_sum, split_ranges
 from foliant.operators.similarity import nearest_color
+from foliant.session import settle
 
 
 def highlight_table(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,41 +60,81 @@ def quad_boxes(points: Column, rect: Column) -> Column:
         F.size(rect) == 4, F.array(whole)).otherwise(none)
 
 
-def _reading_order(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts of each key joined top line first, then left to right.
+PIECE = 4096
 
-    Items belong to one line while the gap to the item above is at most 4. (The
-    reference compares pairs, which is no consistent order for sloping text.)
-    A key is one mark on one page, so its items are few.
-    """
-    top = W.partitionBy(*keys).orderBy(F.desc("y0"), "x0")
-    gap = F.coalesce((F.lag("y0").over(top) - F.col("y0") > 4).cast("int"), F.lit(0))
-    lines = rows.withColumn("_gap", gap).withColumn("_line", F.sum("_gap").over(top.rowsBetween(W.unboundedPreceding, 0)))
-    words = F.array_sort(F.collect_list(F.struct("_line", "x0", "y0", "str")))
-    return lines.groupBy(*keys).agg(squash_ws(F.array_join(F.transform(words, lambda w: w["str"]), " ")).alias("text"))
 
+def reading_lines(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, line, piece, text)``: the text items of each key (a page, a mark) in reading order, line by line.
 
-def marked_passages(marks: DataFrame, items: DataFrame) -> DataFrame:
+    Items belong to one line while the gap to the item above is at most 4; lines
+    go top down, items of a line from left to right. (The reference compares
+    pairs, which is no consistent order for sloping text.) Gaps, lines and
+    places are counted over ranges of the whole order, so that a page with most
+    of the items is dealt like any other; a line of more than PIECE items comes
+    in several pieces. ``line`` counts from 0 in each key. Blank items, and
+    items without a place, are left out.
+    """
+    keys = list(keys)
+    rows = items.filter((trim_ws(F.col("str")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
+    rows = rows.select(*keys, "x0", "y0", "str", (-F.col("y0")).alias("_down"))
+    down = settle(split_ranges(rows, [*keys, "_down", "x0", "str"]))
+    order = [*keys, "_down", "x0", "str"]
+    above = previous_row(down, order, [*keys, "y0"], "_above", tagged=True)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_above.{k}").eqNullSafe(F.col(k))
+    opens = F.when(F.col("_above").isNull() | ~same | (F.col("_above.y0") - F.col("y0") > 4), 1).otherwise(0)
+    flagged = settle(above.withColumn("_opens", opens.cast("bigint")).drop("_above"))
+    counted = running_sum(flagged, order, F.col("_opens"), "_before", tagged=True)
+    lined = settle(counted.select(*keys, "x0", "_down", "str", (F.col("_before") + F.col("_opens") - 1).alias("_line")))
+    placed = settle(row_position(lined, ["_line", "x0", "_down", "str"], "_at"))
+    heads = placed.groupBy(*keys, "_line").agg(F.min("_at").alias("_head")).withColumnRenamed("_line", "_l")
+    first = heads.groupBy(*keys).agg(F.min("_l").alias("_first"))
+    starts = heads.alias("h").join(first.alias("f"), _same_keys("h", "f", keys)).select("h._l", "h._head", "f._first")
+    found = placed.join(starts, F.col("_line") == F.col("_l"))
+    piece = F.floor((F.col("_at") - F.col("_head")) / PIECE).cast("bigint")
+    words = F.array_sort(F.collect_list(F.struct("_at", "str")))
+    return found.groupBy(*keys, (F.col("_line") - F.col("_first")).alias("line"), piece.alias("piece")).agg(
+        squash_ws(F.array_join(F.transform(words, lambda w: w["str"]), " ")).alias("text"))
+
+
+def _same_keys(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def _one_text(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of each key as one text: what a mark covers is one value by its nature."""
+    parts = F.array_sort(F.collect_list(F.struct("line", "piece", "text")))
+    return lines.groupBy(*keys).agg(squash_ws(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("text"))
+
+
+def marked_passages(marks: DataFrame, items: DataFrame, cell: float = 32.0) -> DataFrame:
     """Text under each mark and around it.
 
     ``marks``: ``doc_id, page, mark_no, boxes, rgb``; ``items``: ``doc_id, page,
     str, x0, x1, y0, y1``. A text item is under a box when its middle lies
-    within the box's width (one unit to spare) and the heights overlap.
+    within the box's width (one unit to spare) and the heights overlap. Marks
+    and items meet on a grid of heights (``cell`` units to begin with), so that
+    a page of many marks and items does not give every pair of them. A mark
+    without text under it gives no row.
     """
     key = ["doc_id", "page", "mark_no"]
-    band = marks.withColumns({
+    band = marks.select(*key, "boxes").withColumns({
         "b0": F.array_min(F.transform("boxes", lambda b: b["y0"])), "b1": F.array_max(F.transform("boxes", lambda b: b["y1"])),
     }).filter(F.size("boxes") > 0)
-    pairs = band.join(items.filter(trim_ws(F.col("str")) != ""), ["doc_id", "page"])
-    mid = (F.col("x0") + F.col("x1")) / 2
-    under = F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1)
-                     & (F.col("y1") > b["y0"]) & (F.col("y0") < b["y1"]))
-    near = (F.col("y1") > F.col("b0") - 2) & (F.col("y0") < F.col("b1") + 2)
-    text = _reading_order(pairs.filter(under), key)
-    around = _reading_order(pairs.filter(near), key).withColumnRenamed("text", "context")
     c = F.col
+    written = items.filter(trim_ws(c("str")) != "").select("doc_id", "page", "str", "x0", "x1", "y0", "y1")
+    pairs = interval_join(band, written, ["doc_id", "page"], (c("b0") - 2, c("b1") + 2), (c("y0"), c("y1")), cell)
+    pairs = settle(pairs.filter((c("y1") > c("b0") - 2) & (c("y0") < c("b1") + 2)))
+    mid = (c("x0") + c("x1")) / 2
+    under = F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1) & (c("y1") > b["y0"]) & (c("y0") < b["y1"]))
+    text = _one_text(reading_lines(pairs.filter(under), key), key)
+    around = _one_text(reading_lines(pairs, key), key).withColumnRenamed("text", "context")
     rgb = [c("rgb")[i].cast("double") for i in range(3)]
     return (
         marks.select(*key, nearest_color(*rgb).alias("color")).join(text, key).join(around, key, "left")
-        .filter(F.col("text") != "").select(*key, "text", "color", blank(F.col("context")).alias("context"))
+        .filter(c("text") != "").select(*key, "text", "color", blank(c("context")).alias("context"))
     )

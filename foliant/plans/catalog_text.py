@@ -399,6 +399,67 @@ def highlight_totals(spark, sf):
     return highlights.highlight_totals(_marked(spark, sf))
 
 
+# A page of 50 lines; every third line slopes down by 3 units from left to right, so that it still is one line.
+PAGE = """l AS (SELECT doc_id, lang, i - 1 AS n, regexp_extract_all(string_split(text, chr(10))[i], '\\S+') AS words
+  FROM (SELECT doc_id, lang, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+items AS (SELECT doc_id, n // 50 AS page, w AS str, 7.0 * (j - 1) AS x0, 7.0 * (j - 1) + 6 AS x1, y0, y0 + 10 AS y1 FROM (
+  SELECT doc_id, n, words[j] AS w, j, 700.0 - 12 * (n % 50) - CASE WHEN n % 3 = 0 THEN 3 * (j - 1) / len(words) ELSE 0 END AS y0
+  FROM (SELECT doc_id, n, words, unnest(range(1, len(words) + 1)) AS j FROM l)))"""
+
+
+def _lines(spark, sf):
+    words = F.regexp_extract_all("line", F.lit(r"(\S+)"))
+    lines = v.texts(spark, sf, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return lines.select("doc_id", "lang", "n", words.alias("words"))
+
+
+def _items(spark, sf):
+    slope = F.when(c("n") % 3 == 0, 3 * c("j") / F.size("words")).otherwise(0.0)
+    rows = _lines(spark, sf).select("doc_id", "n", "words", F.posexplode("words").alias("j", "str"))
+    rows = rows.select("doc_id", F.floor(c("n") / 50).alias("page"), "str", (7.0 * c("j")).alias("x0"), (700.0 - 12 * (c("n") % 50) - slope).alias("y0"))
+    return rows.withColumn("x1", c("x0") + 6).withColumn("y1", c("y0") + 10)
+
+
+@query("reading_order", f"""WITH {PAGE}, g AS (SELECT *, CASE WHEN lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0 DESC, x0, str) - y0 <= 4 THEN 0 ELSE 1 END AS opens FROM items),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page ORDER BY y0 DESC, x0, str ROWS UNBOUNDED PRECEDING) - 1 AS line FROM g),
+r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page, line ORDER BY x0, y0 DESC, str) - 1) // 4096 AS piece FROM n)
+SELECT doc_id, page, line::BIGINT AS line, piece, md5(string_agg(str, ' ' ORDER BY x0, y0 DESC, str)) AS text FROM r GROUP BY ALL""")
+def reading_order(spark, sf):
+    """Every word of every document, placed on pages and put back into lines."""
+    return highlights.reading_lines(_items(spark, sf), ["doc_id", "page"]).withColumn("text", F.md5("text"))
+
+
+@query("marked_passages", f"""WITH {PAGE}, marks AS (SELECT doc_id, n // 50 AS page, n AS mark_no, lang, len(words) AS k, 700.0 - 12 * (n % 50) AS top FROM l WHERE len(words) > 0),
+-- Two boxes: the second to fourth word of the line, and all but the first of the line below.
+boxes AS (SELECT doc_id, page, mark_no, 7.0 AS bx0, 27.0 AS bx1, top + 1 AS by0, top + 9 AS by1 FROM marks
+  UNION ALL SELECT doc_id, page, mark_no, 7.0, 7.0 * k, top - 11, top - 3 FROM marks),
+pairs AS (SELECT m.doc_id, m.page, m.mark_no, i.*, EXISTS (SELECT 1 FROM boxes b WHERE b.doc_id = m.doc_id AND b.page = m.page AND b.mark_no = m.mark_no
+    AND (x0 + x1) / 2 >= bx0 - 1 AND (x0 + x1) / 2 <= bx1 + 1 AND i.y1 > by0 AND i.y0 < by1) AS under
+  FROM marks m JOIN items i ON i.doc_id = m.doc_id AND i.page = m.page AND i.y1 > m.top - 13 AND i.y0 < m.top + 11),
+ordered AS (SELECT *, 1 AS part FROM pairs WHERE under UNION ALL SELECT *, 2 FROM pairs),
+g AS (SELECT *, CASE WHEN lag(y0) OVER w - y0 <= 4 THEN 0 ELSE 1 END AS opens FROM ordered WINDOW w AS (PARTITION BY doc_id, page, mark_no, part ORDER BY y0 DESC, x0, str)),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, mark_no, part ORDER BY y0 DESC, x0, str ROWS UNBOUNDED PRECEDING) AS line FROM g),
+t AS (SELECT doc_id, page, mark_no, part, string_agg(str, ' ' ORDER BY line, x0, y0 DESC, str) AS text FROM n GROUP BY ALL)
+SELECT a.doc_id, a.page, a.mark_no, md5(a.text) AS text, CASE WHEN lang = 'en' THEN 'yellow' ELSE '#0a6440' END AS color, md5(b.text) AS context
+FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND a.mark_no = b.mark_no AND a.part = 1 AND b.part = 2
+JOIN marks m ON m.doc_id = a.doc_id AND m.mark_no = a.mark_no""")
+def marked_passages(spark, sf):
+    """Every line of every document marked with two boxes, against all words of its page."""
+    top = 700.0 - 12 * (c("n") % 50)
+    k = F.size("words").cast("double")
+
+    def quad(x0, x1, y0, y1):
+        return [x0, y1, x1, y1, x0, y0, x1, y0]
+
+    corners = F.array(*(F.lit(p) if isinstance(p, float) else p for p in [*quad(7.0, 27.0, top + 1, top + 9), *quad(7.0, 7.0 * k, top - 11, top - 3)]))
+    none = F.array(*[F.lit(0.0)] * 4)
+    marks = _lines(spark, sf).filter(F.size("words") > 0).select(
+        "doc_id", F.floor(c("n") / 50).alias("page"), c("n").cast("bigint").alias("mark_no"), highlights.quad_boxes(corners, none).alias("boxes"),
+        F.when(c("lang") == "en", F.array(F.lit(250), F.lit(240), F.lit(10))).otherwise(F.array(F.lit(10), F.lit(100), F.lit(64))).alias("rgb"))
+    out = highlights.marked_passages(marks, _items(spark, sf))
+    return out.withColumns({"text": F.md5("text"), "context": F.md5("context")})
+
+
 @query("collection_catalogue", "SELECT source AS id, max(doc_id)::BIGINT AS updated_at, count(*)::BIGINT AS files FROM documents GROUP BY source")
 def collection_catalogue(spark, sf):
     from foliant.sources.snapshots import collections
