@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from foliant.functions.text import STOPWORDS
+from foliant.functions.text import STOPWORDS, S
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -14,7 +14,15 @@ FUNCTIONS = {
         "t STRING", "ARRAY<STRING>",
         f"filter(split(lower(t), '[^a-z0-9]+'), w -> length(w) BETWEEN 2 AND 40 AND NOT w IN ({_STOP}))",
     ),
-    "fingerprint": ("name STRING, size BIGINT", "STRING", "concat(lower(trim(name)), '|', size)"),
+    "fingerprint": (
+        "name STRING, size BIGINT", "STRING", f"concat_ws('|', lower(regexp_replace(name, r'^{S}+|{S}+$', '')), CAST(size AS STRING))",
+    ),
+    "djb2_id": (
+        "path STRING", "STRING",
+        "concat('d', lower(conv(CAST(aggregate(flatten(transform(split(path, ''), c -> CASE WHEN ascii(c) > 65535 "
+        "THEN array(55296L + shiftright(ascii(c) - 65536L, 10), 56320L + ((ascii(c) - 65536L) & 1023L)) ELSE array(CAST(ascii(c) AS BIGINT)) END)), "
+        "5381L, (h, u) -> (h * 33L + u) & 4294967295L) AS STRING), 10, 36)))",
+    ),
     "bates_label": ("prefix STRING, n BIGINT", "STRING", "concat(prefix, format_string('%06d', n))"),
 }
 

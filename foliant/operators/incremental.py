@@ -164,9 +164,29 @@ def enrich(docs: DataFrame, label, batch_size: int = 5, excerpt: int | None = No
     return pending.mapInPandas(run, f"doc_id {id_type}, doc_type string, summary string, parties array<string>, error string")
 
 
+_REPLY = "array<struct<id:string,docType:string,summary:string,parties:array<string>>>"
+
+
 def parse_reply(raw: Column) -> Column:
     """Rows in a reply text: what lies between the first ``[`` and the last ``]``."""
-    return F.from_json(
-        F.regexp_extract(raw, r"(?s)\[.*\]", 0),
-        "array<struct<id:string,docType:string,summary:string,parties:array<string>>>",
-    )
+    return F.from_json(F.regexp_extract(raw, r"(?s)\[.*\]", 0), _REPLY)
+
+
+def parse_replies(replies: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """``(rows, malformed)`` of a table of replies.
+
+    ``rows`` has the reply's columns and ``doc_id, doc_type, summary, parties``,
+    one row for each entry with an id; of entries with one id in a reply the
+    last counts. ``malformed`` has the replies without a list that can be read,
+    with ``reason`` ("no list" or "not json"). Both come from one parse, and a
+    malformed reply does not disturb the others.
+    """
+    keep = [c for c in replies.columns if c != raw_col]
+    raw = F.coalesce(F.col(raw_col), F.lit(""))
+    parsed = replies.withColumn("_list", F.regexp_extract(raw, r"(?s)\[.*\]", 0)).withColumn("_rows", F.from_json("_list", _REPLY))
+    bad = F.col("_rows").isNull()
+    entries = parsed.filter(~bad).select(*keep, F.posexplode("_rows").alias("_at", "_r")).filter(F.col("_r.id").isNotNull())
+    last = entries.groupBy(*keep, F.col("_r.id").alias("doc_id")).agg(F.max_by("_r", "_at").alias("_r"))
+    rows = last.select(*keep, "doc_id", F.col("_r.docType").alias("doc_type"), "_r.summary", "_r.parties")
+    reason = F.when(F.col("_list") == "", "no list").otherwise("not json")
+    return rows, parsed.filter(bad).select(*keep, raw_col, reason.alias("reason"))

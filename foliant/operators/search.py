@@ -106,16 +106,16 @@ def search_texts(corpus: DataFrame, query: str, k: int = 50) -> DataFrame:
     """The same ranking straight from texts, for a corpus without an index.
 
     Each row counts the few query terms in its own token array, so documents
-    are not shuffled: one pass for the totals, one for the scores.
+    are not shuffled. Texts are read and cut once; the counts are written as a
+    small table, which gives the totals and the scores.
     """
     terms = query_terms(query)
     if not terms:
         return corpus.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    # inline() keeps the later filter from being pushed below the counting,
-    # where it would tokenize each text once per use of a count.
+    # inline() has each text tokenized once, not once for each use of a count.
     tf = [(F.size("tokens") - F.size(F.array_remove("tokens", w))).alias(f"_t{i}") for i, w in enumerate(terms)]
     counts = F.struct(F.size("tokens").cast("bigint").alias("dl"), *tf)
-    counted = _tokens(corpus, ["doc_id"]).select("doc_id", F.inline(F.array(counts)))
+    counted = settle(_tokens(corpus, ["doc_id"]).select("doc_id", F.inline(F.array(counts))))
     totals = counted.agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"),
         *[F.count_if(F.col(f"_t{i}") > 0).alias(f"df{i}") for i in range(len(terms))],

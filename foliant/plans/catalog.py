@@ -159,6 +159,15 @@ def searchable_text(spark, sf):
     return docs.select("doc_id", F.md5(joined).alias("digest"))
 
 
+@query("searchable_text_web", f"""WITH {CORPUS} SELECT doc_id, md5(concat_ws(chr(10), name, 'a@x.example', lang, nullif(text, ''))) AS digest FROM corpus""")
+def searchable_text_web(spark, sf):
+    """The browser leaves the title out."""
+    docs = v.corpus(spark, sf)
+    joined = text.searchable_text(
+        c("name"), F.lit(""), F.lit("a@x.example"), c("lang"), None, F.array().cast("array<string>"), c("text"))
+    return docs.select("doc_id", F.md5(joined).alias("digest"))
+
+
 @query("text_digests", "SELECT doc_id, length(text)::BIGINT AS text_chars, md5(text) AS digest FROM documents")
 def text_digests(spark, sf):
     bodies = search.snippet_sources(v.corpus(spark, sf))
@@ -627,27 +636,32 @@ COMPONENTS = """
 comp AS (WITH RECURSIVE reach(a, b) AS (SELECT h, h FROM hs UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b) SELECT a AS h, min(b) AS root FROM reach GROUP BY a)"""
 
 
-@query("excluded_groups", f"""WITH {EXCL}, rep AS (SELECT content, arg_min(name, ord) AS name, arg_min(size, ord) AS size, arg_min(dhash, ord) AS dhash, min(ord) AS ord FROM out GROUP BY content),
+GROUPED = f"""{EXCL}, rep AS (SELECT content, arg_min(name, ord) AS name, arg_min(size, ord) AS size, arg_min(dhash, ord) AS dhash, min(ord) AS ord FROM out GROUP BY content),
 hs AS (SELECT DISTINCT dhash AS h, ('0x' || dhash)::UBIGINT AS b FROM rep WHERE dhash IS NOT NULL),
 e AS (SELECT x.h AS a, y.h AS b FROM hs x JOIN hs y ON bit_count(xor(x.b, y.b)) <= 8), {COMPONENTS},
 t AS (SELECT rep.*, coalesce(root, 'c' || content) AS g FROM rep LEFT JOIN comp ON comp.h = rep.dhash),
 gr AS (SELECT g, count(*) AS members, arg_min(name, ord) AS rn, min(ord) AS o FROM t GROUP BY g),
-rk AS (SELECT *, row_number() OVER (ORDER BY members DESC, rn, o) AS no FROM gr),
+rk AS (SELECT *, row_number() OVER (ORDER BY members DESC, rn, o) AS no FROM gr)"""
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """The set-aside contents of ``rows`` in groups of look-alikes."""
+    reps = rows.groupBy("content").agg(F.min_by(F.struct("name", "size", "dhash"), "ord").alias("f"), F.min("ord").alias("ord"))
+    return settle(similarity.excluded_groups(settle(reps.select("content", "f.*", "ord"))))
+
+
+@query("excluded_groups", f"""WITH {GROUPED},
 gl AS (SELECT content, 'Group ' || lpad(no::VARCHAR, length((SELECT max(no) FROM rk)::VARCHAR)::INT, '0') || ' (' || members || CASE WHEN members = 1 THEN ' file)' ELSE ' files)' END AS folder,
   name || ' (' || size || ' bytes, dh=' || coalesce(dhash, 'none') || ')' AS file, members::BIGINT AS members FROM t JOIN rk USING (g))
 SELECT content, folder, members, repeat('_', (row_number() OVER (PARTITION BY folder, lower(file) ORDER BY content) - 1)::INT) || file AS file FROM gl""")
 def excluded_groups(spark, sf):
-    reps = excluded(spark, sf).groupBy("content").agg(
-        F.min_by(F.struct("name", "size", "dhash"), "ord").alias("f"), F.min("ord").alias("ord"))
-    groups = settle(similarity.excluded_groups(settle(reps.select("content", "f.*", "ord"))))
-    return ex.group_layout(groups).select("content", "folder", "file", "members")
+    return ex.group_layout(grouped(excluded(spark, sf))).select("content", "folder", "file", "members")
 
 
-@query("excluded_listing", f"""WITH {EXCL} SELECT name, size, coalesce(dhash, 'none') AS dhash, source FROM out""")
+@query("excluded_listing", f"""WITH {GROUPED} SELECT no AS group_no, out.name, out.size, coalesce(t.dhash, 'none') AS dhash, source FROM out JOIN t USING (content) JOIN rk USING (g)""")
 def excluded_listing(spark, sf):
     rows = excluded(spark, sf)
-    meta = rows.groupBy("content").agg(F.min_by("dhash", "ord").alias("dhash"), F.lit(1).alias("group_no"))
-    return ex.excluded_listing(rows.drop("dhash"), meta).drop("group_no").orderBy("name", "source", "size")
+    return ex.excluded_listing(rows.drop("dhash"), grouped(rows)).orderBy("name", "source", "size")
 
 
 # -- similarity ----------------------------------------------------------------
@@ -703,15 +717,28 @@ def leader_groups(spark, sf):
 LUMA = "list_transform(range(72), lambda i: embedding[(i % 64 + 1)::INT])"
 
 
-@query("luma_hashes", f"""WITH l AS (SELECT vec_id, {LUMA} AS m FROM embeddings),
-b AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN m[((i // 8) * 9 + i % 8 + 1)::INT] < m[((i // 8) * 9 + i % 8 + 2)::INT] THEN 1 ELSE 0 END) AS bits FROM l),
+def luma_sql(sign: str) -> str:
+    return f"""WITH l AS (SELECT vec_id, {LUMA} AS m FROM embeddings),
+b AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN m[((i // 8) * 9 + i % 8 + 1)::INT] {sign} m[((i // 8) * 9 + i % 8 + 2)::INT] THEN 1 ELSE 0 END) AS bits FROM l),
 n AS (SELECT vec_id, list_sum(bits) AS ones, list_reduce(list_prepend(0::UBIGINT, list_transform(bits, lambda x: x::UBIGINT)),
   lambda h, x: ((h % 9223372036854775808::UBIGINT) * 2 + x)::UBIGINT) AS h FROM b)
-SELECT vec_id, CASE WHEN ones BETWEEN 10 AND 54 THEN {HEX.format('h')} ELSE '' END AS dhash FROM n""")
-def luma_hashes(spark, sf):
+SELECT vec_id, CASE WHEN ones BETWEEN 10 AND 54 THEN {HEX.format('h')} ELSE '' END AS dhash FROM n"""
+
+
+def _luma(spark, sf, variant: str) -> DataFrame:
     luma = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.element_at("embedding", (i % 64 + 1).cast("int")))
-    return v.table(spark, sf, "embeddings").select(
-        "vec_id", text.blank(hashing.dhash_from_luma(luma)).alias("dhash"))
+    return v.table(spark, sf, "embeddings").select("vec_id", text.blank(hashing.dhash_from_luma(luma, variant)).alias("dhash"))
+
+
+@query("luma_hashes", luma_sql("<"))
+def luma_hashes(spark, sf):
+    return _luma(spark, sf, "desktop")
+
+
+@query("luma_hashes_web", luma_sql(">"))
+def luma_hashes_web(spark, sf):
+    """The browser sets a bit where a pixel is brighter than its right neighbour."""
+    return _luma(spark, sf, "web")
 
 
 PAL = ", ".join(f"('{p[0]}', {p[1]}, {p[2]}, {p[3]}, {i})" for i, p in enumerate(similarity.PALETTE))

@@ -8,7 +8,7 @@ from foliant.functions import markdown, names, text, tokens
 from foliant.operators import checks, highlights, messages, redline, registers
 from foliant.operators import production as prod
 from foliant.plans import views as v
-from foliant.plans.catalog import ATT, CORPUS, EMAILS, FULL, c, full_records, query
+from foliant.plans.catalog import ATT, CORPUS, EMAILS, FULL, STOP, c, full_records, query
 from foliant.sources import sinks
 
 # -- markup --------------------------------------------------------------------
@@ -36,8 +36,14 @@ def html_to_text_web(spark, sf):
         "page_id", text.html_to_text(c("html"), "web").alias("mail"), text.html_to_text(c("html"), "web_file").alias("file"))
 
 
-BODY = """m AS (SELECT page_id, html || '<div> <br>&nbsp;<div></div></div><br><br/> <br ><br>Sent from my phone 12, bye<p>'
-  || CASE WHEN page_id % 2 = 0 THEN 'This e-mail is confidential and more. Please delete it now. Regards' ELSE 'This message has been scanned by X cloud service. ok' END AS html FROM pages)"""
+NOTICES = (
+    "This e-mail is confidential and more. Please delete it now. Regards", "This message has been scanned by X cloud service. ok",
+    "______ <br>This email has been scanned by the Symantec Security.cloud service<br> ________ tail",
+    "The information contained in this message is private, whatever it says (IDSC0012) end",
+    "This e-mail and any files transmitted with it are strictly intended for you, any use is prohibited. bye",
+)
+BODY = f"""m AS (SELECT page_id, html || '<div> <br>&nbsp;<div></div></div><br><br/> <br ><br>Sent from my phone 12, bye<p>'
+  || ([{", ".join(f"'{n}'" for n in NOTICES)}])[(page_id % 5 + 1)::INT] AS html FROM pages)"""
 EMPTY = "regexp_replace({}, '(?i)<div[^>]*>(?:\\s|&nbsp;|<br\\b[^>]*/?>)*</div>', '', 'g')"
 RUN = "regexp_replace({}, '(?i)(?:<br\\b[^>]*/?>\\s*){{3,}}', '<br><br>', 'g')"
 
@@ -49,16 +55,18 @@ def _tidy(x: str, n: int) -> str:
 
 
 FLAT = "regexp_replace(regexp_replace(html, '(?i)</?(?:html|head|body)[^>]*>', '', 'g'), '(?i)<meta\\b[^>]*>', '', 'g')"
-CUT = """regexp_replace(regexp_replace(regexp_replace({}, '(?i)Sent from my [^<\\n]{{0,40}}', '', 'g'),
-  '(?is)This (?:e-?mail|message) has been scanned by.{{0,160}}?(?:cloud service\\.?|Symantec[^<.]*\\.?)', '', 'g'),
-  '(?is)This (?:e-?mail|message) (?:is|are) (?:strictly )?(?:confidential|intended).{{0,700}}?(?:delete.{{0,80}}?\\.|prohibited\\.?|notify the sender.{{0,60}}?\\.)', '', 'g')"""
+SCANNED = "(?:cloud service\\.?|Symantec[^<.]*\\.?)"
+CUT = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{}}, '(?i)Sent from my [^<\\n]{{{{0,40}}}}', '', 'g'),
+  '(?is)_{{{{6,}}}}(?:\\s|<[^>]+>)*This (?:e-?mail|message) has been scanned by.{{{{0,200}}}}?{SCANNED}(?:\\s|<[^>]+>)*_{{{{6,}}}}', '', 'g'),
+  '(?is)This (?:e-?mail|message) has been scanned by.{{{{0,160}}}}?{SCANNED}', '', 'g'),
+  '(?is)The information contained in this (?:message|e-?mail).{{{{0,700}}}}?(?:\\(IDSC\\d+\\)|delete the (?:message|e-?mail)\\.?|strictly prohibited\\.?)', '', 'g'),
+  '(?is)This (?:e-?mail|message)(?: and any (?:attachments?|files? transmitted with it))? (?:is|are) (?:strictly )?(?:confidential|intended).{{{{0,700}}}}?(?:delete.{{{{0,80}}}}?\\.|prohibited\\.?|notify the sender.{{{{0,60}}}}?\\.)', '', 'g')"""
 
 
 @query("clean_email_body", f"""WITH {BODY}, f AS (SELECT page_id, {_tidy(FLAT, 3)} AS b FROM m)
 SELECT page_id, md5(b) AS kept, md5({_tidy(CUT.format('b'), 2)}) AS stripped FROM f""")
 def clean_email_body(spark, sf):
-    tail = F.when(c("page_id") % 2 == 0, "This e-mail is confidential and more. Please delete it now. Regards").otherwise(
-        "This message has been scanned by X cloud service. ok")
+    tail = F.get(F.array(*map(F.lit, NOTICES)), (c("page_id") % 5).cast("int"))
     html = F.concat("html", F.lit("<div> <br>&nbsp;<div></div></div><br><br/> <br ><br>Sent from my phone 12, bye<p>"), tail)
     return v.texts(spark, sf, "pages").select(
         "page_id", F.md5(text.clean_body(html)).alias("kept"), F.md5(text.clean_body(html, True)).alias("stripped"))
@@ -142,16 +150,20 @@ def lint_findings(spark, sf):
     return checks.lint(v.contracts(spark, sf)).drop("ord")
 
 
-@query("lint_reports", f"""{LINT} SELECT d.doc_id, count(f.doc_id)::BIGINT AS n,
-  coalesce(string_agg(severity, ' ' ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END), '') AS severities
-FROM documents d LEFT JOIN finding f USING (doc_id) GROUP BY d.doc_id""")
+@query("lint_reports", f"""{LINT}, raw AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?i)(?:§\\s*|\\bsections?\\s+|\\bclauses?\\s+|\\barticle\\s+)([0-9]{{1,3}}(?:\\.[0-9]+)*)', 1), lambda x: '§' || x) AS marks FROM ct),
+placed AS (SELECT f.*, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS a, CASE WHEN category = 'Defined terms' THEN 1 WHEN detail LIKE 'Reference%' THEN 2
+    WHEN detail LIKE 'Exhibit%' THEN 3 WHEN detail LIKE 'Schedule%' THEN 4 WHEN detail LIKE 'Unfilled%' THEN 5 ELSE 6 END AS b,
+  coalesce(list_position(marks, regexp_extract(detail, '(§[0-9.]*[0-9])', 1)), 0) AS c FROM finding f JOIN raw USING (doc_id)),
+l AS (SELECT doc_id, count(*) AS n, string_agg('- [' || upper(severity) || '] ' || category || ': ' || detail, chr(10) ORDER BY a, b, c) AS plain,
+  string_agg('- **' || upper(severity) || '** · ' || category || ': ' || detail, chr(10) ORDER BY a, b, c) AS rich FROM placed GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(n || ' issue(s) found:' || chr(10) || plain, 'No defined-term, cross-reference, or execution-readiness issues found.')) AS report,
+  md5(coalesce(chr(10) || chr(10) || '---' || chr(10) || '### Automated document checks' || chr(10) ||
+    '_Deterministic checks (not AI) — defined terms, internal cross-references, and execution readiness:_' || chr(10) || rich, '')) AS footer
+FROM documents d LEFT JOIN l USING (doc_id)""")
 def lint_reports(spark, sf):
     docs = v.contracts(spark, sf)
     reports = checks.lint_reports(docs, checks.lint(docs))
-    marks = F.regexp_extract_all("report", F.lit(r"(?m)^- \[([A-Z]+)\]"), F.lit(1))
-    return reports.select(
-        "doc_id", F.coalesce(F.regexp_extract("report", r"^(\d+) issue", 1).try_cast("bigint"), F.lit(0)).alias("n"),
-        F.lower(F.array_join(marks, " ")).alias("severities"))
+    return reports.select("doc_id", F.md5("report").alias("report"), F.md5("footer").alias("footer"))
 
 
 @query("citation_checks", f"""WITH {SECT_SRC}, u AS (SELECT doc_id, cited, {LOST} AS bad FROM sec)
@@ -334,6 +346,36 @@ def dat_lines(spark, sf):
     return table.select(sinks.lines(table, "dat", prod.LOAD_COLUMNS).alias("line"))
 
 
+@query("dat_lines_web", f"""WITH {FULL} SELECT 'þ' || concat_ws('þ' || chr(20) || 'þ', beg_bates, end_bates, beg_attach, end_attach, '', date, sender, recipient, '',
+  subject || ' ' || chr(20) || 'a' || chr(13) || chr(10) || 'b', doc_type, file_rel, native_rel, span::VARCHAR, '') || 'þ' AS line FROM full_rec""")
+def dat_lines_web(spark, sf):
+    """The browser takes only the qualifier out of values."""
+    rows = full_records(spark, sf).withColumn("subject", F.concat("subject", F.lit(" \u0014aþ\r\nb")))
+    table = prod.load_file(rows)
+    return table.select(sinks.lines(table, "dat", prod.LOAD_COLUMNS, "web").alias("line"))
+
+
+@query("address_lists", """SELECT o_orderkey AS doc_id, 'c' || o_custkey || '@b.example; ' || o_orderpriority || '; ' || o_clerk AS desktop, 'c' || o_custkey || '@b.example, ' || o_orderpriority || ', ' || o_clerk AS web FROM
+ (SELECT o_orderkey, o_custkey, o_orderpriority, 'clerk' || (o_orderkey % 7) AS o_clerk FROM orders)""")
+def address_lists(spark, sf):
+    people = F.array(F.concat(F.lit("c"), c("o_custkey").cast("string"), F.lit("@b.example")), "o_orderpriority", F.concat(F.lit("clerk"), (c("o_orderkey") % 7).cast("string")))
+    return v.table(spark, sf, "orders").select(
+        c("o_orderkey").alias("doc_id"), text.address_list(people).alias("desktop"), text.address_list(people, "web").alias("web"))
+
+
+@query("sql_functions", f"""WITH {CORPUS} SELECT doc_id, lower(name) || '|' || length(text) AS fp, 'DOC-' || printf('%06d', doc_id) AS label,
+  bit_count(xor(doc_id, length(text)))::BIGINT AS bits, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 40 AND NOT list_contains([{STOP}], w)))::BIGINT AS tokens FROM corpus""")
+def sql_functions(spark, sf):
+    """The same functions from SQL text; the id of a path agrees with the column form."""
+    from foliant.functions.sql import register_functions
+
+    register_functions(spark)
+    v.corpus(spark, sf).createOrReplaceTempView("sql_corpus")
+    out = spark.sql("""SELECT doc_id, path, fingerprint(concat('\u00a0 ', upper(name), '\t'), length(text)) AS fp, bates_label('DOC-', doc_id) AS label,
+      CAST(hamming64(doc_id, length(text)) AS BIGINT) AS bits, CAST(size(tokenize(text)) AS BIGINT) AS tokens, djb2_id(path) AS id FROM sql_corpus""")
+    return out.filter(c("id") == text.path_id(c("path"))).drop("path", "id")
+
+
 @query("opt_lines", f"""WITH {FULL}, p AS (SELECT *, unnest(range(span)) AS page FROM full_rec)
 SELECT concat_ws(',', 'DOC-' || printf('%06d', beg_no + page), '', replace(replace(file_rel, '/', chr(92)), '.pdf', ' x.pdf'),
   CASE WHEN page = 0 THEN 'Y' ELSE '' END, '', '', CASE WHEN page = 0 THEN span::VARCHAR ELSE '' END) AS line FROM p""")

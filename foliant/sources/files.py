@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text
+from foliant.operators.scan import running_sum
+from foliant.session import settle
 
 # Extensions read straight as UTF-8 text.
 PLAIN_TEXT = (".txt", ".md", ".csv", ".tsv", ".json", ".log", ".xml", ".html", ".htm", ".yml", ".yaml", ".rtf")
@@ -61,25 +63,61 @@ def skeleton(files: DataFrame) -> DataFrame:
     )
 
 
+# Extensions the browser indexes; it leaves other files out.
+WEB_INDEXABLE = (
+    ".eml", ".msg", ".pdf", ".docx", ".xlsx", ".xls", ".pptx", ".ppsx", ".ppt",
+    ".txt", ".md", ".csv", ".tsv", ".json", ".log", ".xml", ".html", ".htm", ".yml", ".yaml", ".rtf",
+)
+
+
+def indexable(files: DataFrame, variant: str = "desktop") -> DataFrame:
+    """The files that are indexed: all of them, or in the browser variant those of a known extension."""
+    return files.filter(text.extension(F.col("name")).isin(*WEB_INDEXABLE)) if variant == "web" else files
+
+
 def plain_text(files: DataFrame, variant: str = "desktop") -> DataFrame:
     """Add ``text``: UTF-8 text for known extensions, else an empty string.
 
-    The browser variant strips the markup of saved web pages.
+    The browser variant leaves out files it does not index and strips the
+    markup of saved web pages.
     """
     ext = text.extension(F.col("name"))
     body = F.decode("content", "UTF-8")
     if variant == "web":
         body = F.when(ext.isin(".html", ".htm"), text.html_to_text(body, "web_file")).otherwise(body)
-    return files.withColumn("text", F.when(ext.isin(*PLAIN_TEXT), body).otherwise(""))
+    return indexable(files, variant).withColumn("text", F.when(ext.isin(*PLAIN_TEXT), body).otherwise(""))
+
+
+CHUNK = 1 << 20
 
 
-def source_text(docs: DataFrame, by: Sequence[str] = ("matter",)) -> DataFrame:
-    """All non-empty texts of a matter, in name order, joined by blank lines.
+def source_chunks(docs: DataFrame, by: Sequence[str] = ("matter",), size: int = CHUNK) -> DataFrame:
+    """``(by, chunk, text)``: all non-empty texts of a matter, in name order, joined by blank lines, in pieces.
 
-    The output is one string per matter, so this is for a matter of a few
-    files. To check citations against many sources, use
-    :func:`foliant.operators.checks.verify_against_sources`, which joins nothing.
+    Chunks in order give the joined text; each has ``size`` characters but the
+    last. Where a text begins is a running sum over ranges of the whole order,
+    so a matter of any size is dealt over its chunks, and a very long text over
+    several of them.
     """
-    rows = docs.filter(F.length("text") > 0)
-    ordered = F.array_sort(F.collect_list(F.struct("name", "text")))
-    return rows.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n\n").alias("text"))
+    by = list(by)
+    rows = docs.filter(F.length("text") > 0).select(*by, "name", "text")
+    rows = settle(rows.withColumn("_i", F.monotonically_increasing_id()))
+    sized = rows.select(*by, "name", "_i", (F.length("text") + 2).cast("bigint").alias("_w"))
+    starts = settle(running_sum(settle(sized), [*by, "name", "_i"], F.col("_w"), "_before"))
+    heads = starts.groupBy(*by).agg(F.min("_before").alias("_head"))
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"h.{k}"))
+    at = starts.alias("s").join(heads.alias("h"), same).select("s._i", (F.col("_before") - F.col("_head")).alias("_at"))
+    found = rows.join(at, "_i")
+    later = F.col("_at") > 0
+    found = found.withColumns({
+        "_from": F.when(later, F.col("_at") - 2).otherwise(F.lit(0)), "_body": F.when(later, F.concat(F.lit("\n\n"), "text")).otherwise(F.col("text")),
+    })
+    last = F.col("_from") + F.length("_body") - 1
+    cut = found.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_from") / size), F.floor(last / size))))
+    lo = F.greatest(F.col("chunk") * size - F.col("_from"), F.lit(0))
+    hi = F.least((F.col("chunk") + 1) * size - F.col("_from"), F.length("_body"))
+    piece = F.substring("_body", (lo + 1).cast("int"), (hi - lo).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct((F.col("_from") + lo).alias("at"), piece.alias("piece"))))
+    return cut.groupBy(*by, "chunk").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))

@@ -8,10 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import squash_ws
+from foliant.operators.scan import previous_row, running_sum, split_ranges
+from foliant.session import settle
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -146,23 +147,28 @@ def highlight_runs(files: DataFrame) -> DataFrame:
 def highlight_passages(runs: DataFrame) -> DataFrame:
     """Merge neighbouring marked runs of one colour into passages with a page.
 
-    A passage ends where the colour changes, at a plain run after some marked
-    text, or with the paragraph. The page is that of its first text. Windows
-    run over one file's runs, which one task parsed.
+    A passage ends where the colour changes, at a plain run, or with the
+    paragraph; one without text is left out. The page is that of its first
+    text: one more than the page breaks of the file up to it. Breaks and
+    passages are counted over ranges of all runs, so that a file of any length
+    is dealt like any other. Runs that could not be read are left out.
     """
-    runs = runs.filter(F.col("para").isNotNull())
-    in_doc = W.partitionBy("path").orderBy("para", "run")
-    in_para = W.partitionBy("path", "para").orderBy("run")
-    upto = in_doc.rowsBetween(W.unboundedPreceding, 0)
-    rows = runs.withColumn("page", F.sum("breaks").over(upto) + 1).withColumn("marked", F.col("color") != "")
-    # A plain run only ends a passage that has text; before that it is skipped.
-    text_rows = rows.withColumn("_change", F.when(F.col("marked"), F.col("color")).otherwise(""))
-    starts = (F.lag("_change", 1, "").over(in_para) != F.col("_change")).cast("int")
-    groups = text_rows.withColumn("_g", F.sum(starts).over(in_para.rowsBetween(W.unboundedPreceding, 0)))
-    merged = groups.filter("marked").groupBy("path", "para", "_g", "color").agg(
+    c = F.col
+    known = runs.filter(c("para").isNotNull()).withColumn("_paint", F.coalesce("color", F.lit("")))
+    order = ["path", "para", "run"]
+    rows = settle(split_ranges(known, order))
+    paged = running_sum(rows, order, c("breaks").cast("bigint"), "_breaks", tagged=True).withColumn("_upto", c("_breaks") + c("breaks"))
+    before = previous_row(settle(paged.drop("_breaks")), order, ["path", "para", "_paint"], "_p", tagged=True)
+    same = (c("_p.path") == c("path")) & (c("_p.para") == c("para")) & (c("_p._paint") == c("_paint"))
+    flagged = settle(before.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("bigint")).drop("_p"))
+    groups = running_sum(flagged, order, c("_new"), "_g", tagged=True).withColumn("_g", c("_g") + c("_new"))
+    # Breaks of earlier files do not count: what was there before the file's first run.
+    heads = flagged.groupBy("path").agg(F.min(c("_upto") - c("breaks")).alias("_head"))
+    merged = groups.filter("_paint <> ''").groupBy("path", "para", "_g", "color").agg(
         F.min("run").alias("run"), F.first("context").alias("context"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda r: r["text"]), "").alias("text"),
-        F.min_by("page", F.struct(F.when(F.length("text") > 0, 0).otherwise(1), F.col("run"))).alias("page"),
+        F.min_by("_upto", F.struct(F.when(F.length("text") > 0, 0).otherwise(1), F.col("run"))).alias("_upto"),
     )
-    return merged.withColumn("text", squash_ws(F.col("text"))).filter(F.col("text") != "").select(
-        "path", "para", "run", "text", "color", squash_ws(F.col("context")).alias("context"), "page")
+    done = merged.withColumn("text", squash_ws(c("text"))).filter(c("text") != "").join(heads, "path")
+    return done.select(
+        "path", "para", "run", "text", "color", squash_ws(c("context")).alias("context"), (c("_upto") - c("_head") + 1).alias("page"))

@@ -8,6 +8,9 @@ stream runs. Stopping and starting again resumes from the stream's checkpoint.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,19 @@ from foliant.operators.search import postings
 SCHEMA = "doc_id bigint, seq bigint, text string"
 
 
-def index_changes(changes: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    """Start a query that indexes ``doc_id, seq, text`` rows below ``root``; of a document's rows in a batch the largest ``seq`` counts."""
+class Paused(Exception):
+    """Raised by a caller's ``on_batch`` to stop the stream; what it had not finished is done again when it goes on."""
+
+
+def index_changes(
+    changes: DataFrame, root: str, checkpoint: str, available_now: bool = True, on_batch: Callable[[int], None] | None = None
+):
+    """Start a query that indexes ``doc_id, seq, text`` rows below ``root``; of a document's rows in a batch the largest ``seq`` counts.
+
+    ``on_batch`` is called with the number of each batch after it is written
+    and before the stream takes it as done. If it raises, the stream stops
+    there, and the next start from the same checkpoint writes that batch again.
+    """
     if "seq" not in changes.columns:
         raise ValueError("changes need a column seq that orders the rows of a document")
 
@@ -31,11 +45,24 @@ def index_changes(changes: DataFrame, root: str, checkpoint: str, available_now:
                 f"{root}/postings/batch={number}")
         finally:
             latest.unpersist()
+        if on_batch is not None:
+            on_batch(number)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_until_paused(query) -> bool:
+    """Wait for a stream to end; false if ``on_batch`` paused it. Any other failure is raised."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if Paused.__name__ in str(e):
+            return False
+        raise
+    return True
+
+
 def current_documents(spark: SparkSession, root: str) -> DataFrame:
     """Latest state per document; deleted ones are left out."""
     seen = spark.read.option("basePath", f"{root}/docs").parquet(f"{root}/docs")

@@ -82,8 +82,13 @@ def test_plain_text_and_skeleton(spark, tree):
     assert web.text == "bold"
     kinds = {r["name"]: (r.kind, r.title) for r in files.skeleton(files.scan_files(spark, [tree])).collect()}
     assert kinds["html.EML"] == ("email", None) and kinds["a.txt"] == ("doc", "a")
-    joined = files.source_text(rows.withColumn("matter", F.lit(1))).first().text
-    assert joined == "plain téxt\n\ndeeper\n\ndeep\n\n<b>bold</b>"
+    whole = "plain téxt\n\ndeeper\n\ndeep\n\n<b>bold</b>"
+    for size in (1, 7, 100):
+        chunks = files.source_chunks(rows.withColumn("matter", F.lit(1)), size=size).orderBy("chunk").collect()
+        assert [r.text for r in chunks] == [whole[k:k + size] for k in range(0, len(whole), size)]
+    assert files.source_chunks(rows.withColumn("matter", F.lit(1)).filter("text = ''")).collect() == []
+    kept = {r["name"] for r in files.indexable(rows, "web").collect()}
+    assert "pic.bin" not in kept and {"a.txt", "mail.eml", "html.EML", "deck.pptx"} <= kept
 
 
 def test_emails(spark, tree):
