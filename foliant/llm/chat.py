@@ -5,6 +5,10 @@ lie inside one cell of the grid form a span, and a turn that lies across a grid
 line is a span of its own. A span is a window together with the conversation's
 system turn and the last turns before it, up to a history budget. Repeated
 turns are masked, so each assistant text is a target once.
+
+The sums run over ranges of all turns, and the totals of a conversation's
+earlier ranges are added, so a conversation that holds most of the turns is
+dealt like any other and its windows do not depend on how the ranges fell.
 """
 
 from __future__ import annotations
@@ -13,14 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.scan import split_ranges
+from foliant.session import settle
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings begin with "<|". Inside texts one more backslash goes between the two characters.
 ESCAPE = (r"<(\\*)\|", r"<$1\\|")
 UNESCAPE = (r"<(\\*)\\\|", "<$1|")
 TURN = r"<\|im_start\|>([^\n]*)\n((?s:.*?))<\|im_end\|>\n"
-#: Turns of a conversation that are scanned together; longer ones are dealt out block by block.
-BLOCK_TURNS = 1024
-_KEY = ("_c", "_cn", "_b")
+#: Characters of a text that take part in the cut points of the ranges.
+_LEAD = 64
+_CONV = ["_cn", "_c"]
 
 
 def escape(text: Column) -> Column:
@@ -47,64 +54,68 @@ def estimated_tokens(text: Column) -> Column:
 def format_windows(
     turns: DataFrame, budget: int = 2048, history: int = 512, id_col: str = "conv_id", tokens: Column | None = None,
 ) -> DataFrame:
-    """``(id, block, span, n_turns, n_repeated, n_tokens, formatted, loss_spans)``, one row per window.
+    """``(id, span, n_turns, n_repeated, n_tokens, formatted, loss_spans)``, one row per window.
 
-    ``block, span`` order the windows of a conversation. The first
-    ``n_repeated`` turns of a window are the system turn and history; the
-    others appear in no other window as new turns. ``loss_spans`` are
-    ``(start, end)`` code points of ``formatted``, end exclusive: the texts of
-    new assistant turns. A window is above ``budget`` only if its one new turn
-    is (or the system turn takes more than a quarter of it).
+    ``span`` orders the windows of a conversation. The first ``n_repeated``
+    turns of a window are the system turn and history; the others appear in no
+    other window as new turns. ``loss_spans`` are ``(start, end)`` code points
+    of ``formatted``, end exclusive: the texts of new assistant turns. A window
+    is above ``budget`` only if its one new turn is (or the system turn takes
+    more than a quarter of it).
 
     Null roles and texts are empty, a null id is a conversation of its own,
     null turns come first, equal turns are ordered by role and text, and
-    repeated rows are kept. The system turn is the first turn if its role is
-    ``system``. An empty table gives no windows; other columns are ignored.
+    repeated rows are kept. Turn numbers only order the turns: gaps in them
+    change nothing. The system turn is the first turn if its role is
+    ``system``. A very long text is one turn and so in one window (and in the
+    history of none but those that begin right after it). An empty table gives
+    no windows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = turns.select(
-        F.coalesce(F.col(id_col), F.lit(0)).alias("_c"), F.col(id_col).isNull().alias("_cn"),
-        F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 50))).cast("long").alias("_b"),
+        F.col(id_col).isNull().alias("_cn"), F.coalesce(F.col(id_col), F.lit(0)).alias("_c"),
         F.col("turn").alias("_turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         text.alias("text"), (estimated_tokens(text) if tokens is None else tokens).cast("long").alias("tok"),
     )
-    order = W.partitionBy(*_KEY).orderBy(F.col("_turn").asc_nulls_first(), "role", "text")
-    local = base.withColumn("n", F.row_number().over(order)).withColumn(
-        "p", F.coalesce(F.sum("tok").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
-    # One row per block: what comes before and after it, and the system turn.
-    first = F.min_by(F.struct(F.col("role"), F.when(F.col("role") == "system", F.col("text")).alias("text"), "tok"), "n")
-    blocks = local.groupBy(*_KEY).agg(F.sum("tok").alias("total"), first.alias("first"))
-    conv = W.partitionBy("_c", "_cn").orderBy("_b")
-    blocks = blocks.select(
-        *_KEY, "total", F.lead("_b").over(conv).alias("next_b"), (F.row_number().over(conv) == 1).alias("is_head"),
-        F.first("first").over(conv).alias("head"),
-    ).withColumn("sys", F.when(F.col("head.role") == "system", F.col("head"))).drop("head")
-    whole = local.join(blocks, list(_KEY)).withColumn(
-        "is_sys", F.col("sys").isNotNull() & F.col("is_head") & (F.col("n") == 1)
+    ranged = split_ranges(base.withColumn("_lead", F.substring("text", 1, _LEAD)), [*_CONV, "_turn", "role", "_lead"]).drop("_lead")
+    order = W.partitionBy(*_CONV, "_range").orderBy(F.col("_turn").asc_nulls_first(), "role", "text")
+    local = settle(ranged.withColumn("_n", F.row_number().over(order)).withColumn(
+        "_p", F.coalesce(F.sum("tok").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ))
+    # One row for each conversation and range: what comes before it, and the system turn's tokens.
+    head = F.min_by(F.when(F.col("role") == "system", F.col("tok")), "_n")
+    parts = local.groupBy(*_CONV, "_range").agg(F.count("*").alias("c"), F.sum("tok").alias("t"), head.alias("head"))
+    conv = W.partitionBy(*_CONV).orderBy("_range")
+    earlier = conv.rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(
+        *_CONV, "_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"),
+        F.first("head").over(conv).alias("sys_tok"),
     )
-    tails = (
-        whole.filter(F.col("next_b").isNotNull() & (F.col("p") >= F.col("total") - history) & ~F.col("is_sys"))
-        .groupBy("_c", "_cn", F.col("next_b").alias("_b"))
-        .agg(F.array_sort(F.collect_list(F.struct((F.col("p") - F.col("total")).alias("p"), "n", "role", "text"))).alias("tail"))
-    )
-    width = F.greatest(
-        F.lit(budget - history) - F.coalesce(F.col("sys.tok"), F.lit(0)), F.lit(max(1, budget // 4))
-    )
-    near = W.partitionBy(*_KEY).orderBy("p").rangeBetween(-history, -1)
+    n, p = F.col("_n") + F.col("c"), F.col("_p") + F.col("t")
+    width = F.greatest(F.lit(budget - history) - F.coalesce("sys_tok", F.lit(0)), F.lit(max(1, budget // 4)))
     cell = F.floor(F.col("p") / width)
     across = F.floor((F.col("p") + F.greatest(F.col("tok"), F.lit(1)) - 1) / width) > cell
-    placed = (
-        whole.join(tails, list(_KEY), "left")
-        .withColumn("span", (2 * cell + across.cast("int")).cast("long"))
-        .withColumn("near", F.collect_list(F.when(~F.col("is_sys"), F.struct("p", "n", "role", "text"))).over(near))
-        .withColumn("near", F.concat(F.coalesce(F.filter("tail", lambda t: t["p"] >= F.col("p") - history), F.array()), "near"))
+    placed = settle(
+        local.join(parts, [*_CONV, "_range"]).withColumn("n", n.cast("long")).withColumn("p", p.cast("long"))
+        .withColumn("is_sys", F.col("sys_tok").isNotNull() & (F.col("n") == 1))
+        .select(*_CONV, "n", "p", "tok", "role", "text", "is_sys", (2 * cell + across.cast("int")).cast("long").alias("span"))
+    )
+    spans = placed.groupBy(*_CONV, "span").agg(
+        F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("new"), F.max("is_sys").alias("has_sys"),
+        F.min("p").alias("s"), F.sum("tok").alias("n_tokens"),
     )
-    spans = placed.groupBy(*_KEY, "span").agg(
-        F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("new"),
-        F.min_by("near", "n").alias("near"), F.max("is_sys").alias("has_sys"), F.first("sys").alias("sys"),
-        F.sum("tok").alias("n_tokens"),
+    # History on a grid of its own: what a span repeats lies in at most two cells before its first turn.
+    reach = max(1, history)
+    before = placed.groupBy(*_CONV, "span").agg(F.min("p").alias("s")).filter(F.col("s") > 0)
+    cells = F.array_distinct(F.array(F.floor((F.col("s") - history) / reach), F.floor((F.col("s") - 1) / reach)))
+    said = placed.filter(~F.col("is_sys")).select(*_CONV, F.floor(F.col("p") / reach).alias("_h"), "p", "n", "role", "text")
+    near = (
+        before.withColumn("_h", F.explode(cells)).join(said, [*_CONV, "_h"])
+        .filter((F.col("p") >= F.col("s") - history) & (F.col("p") < F.col("s")))
+        .groupBy(*_CONV, "span").agg(F.collect_list(F.struct("p", "n", "role", "text")).alias("near"))
     )
+    systems = placed.filter("is_sys").select(*_CONV, F.struct("role", "text").alias("sys"))
+    spans = spans.join(near, [*_CONV, "span"], "left").join(systems, _CONV, "left")
 
     def turn(t: Column, loss: Column) -> Column:
         return F.struct(_role_out(t["role"]).alias("role"), escape(t["text"]).alias("text"), loss.alias("loss"))
@@ -112,10 +123,10 @@ def format_windows(
     head = F.when(F.col("sys").isNotNull() & ~F.col("has_sys"), F.array(turn(F.col("sys"), F.lit(False))))
     none = F.filter(F.transform("new", lambda t: turn(t, F.lit(False))), lambda _: F.lit(False))
     repeated = F.concat(
-        F.coalesce(head, none), F.transform(F.array_sort("near"), lambda t: turn(t, F.lit(False)))
+        F.coalesce(head, none), F.coalesce(F.transform(F.array_sort("near"), lambda t: turn(t, F.lit(False))), none)
     )
     out = spans.select(
-        *_KEY, "span", "n_tokens", repeated.alias("repeated"),
+        *_CONV, "span", "n_tokens", repeated.alias("repeated"),
         F.transform("new", lambda t: turn(t, t["role"] == "assistant")).alias("fresh"),
     ).withColumn("turns", F.concat("repeated", "fresh"))
     piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))
@@ -132,7 +143,7 @@ def format_windows(
 
     loss = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none_yet.alias("spans")), step)["spans"]
     return out.select(
-        F.when(~F.col("_cn"), F.col("_c")).alias(id_col), F.col("_b").alias("block"), "span",
+        F.when(~F.col("_cn"), F.col("_c")).alias(id_col), "span",
         F.size("turns").alias("n_turns"), F.size("repeated").alias("n_repeated"), "n_tokens",
         F.array_join(F.transform("turns", piece), "").alias("formatted"), loss.alias("loss_spans"),
     )
@@ -160,7 +171,7 @@ def digests(windows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     new = F.slice(read_turns(F.col("formatted")), F.col("n_repeated") + 1, F.col("n_turns") - F.col("n_repeated"))
     said = F.array_join(F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     part = windows.select(
-        id_col, F.struct("block", "span", said.alias("said"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss")).alias("w"),
+        id_col, F.struct("span", said.alias("said"), F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss")).alias("w"),
         (F.col("n_turns") - F.col("n_repeated")).cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"),
     )
     whole = part.groupBy(id_col).agg(

@@ -13,6 +13,8 @@ that cannot match out of the join; the join itself is on whole hashes.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from foliant.session import settle
 
 #: Six words under each; every passage of 14 words or more with a fifth of them replaced at random was hit in trials.
 MASKS = ("1110111", "11011011", "110101011", "1011000111")
-#: Shorter benchmark items say too little and are not searched for.
-MIN_WORDS = 5
+#: Items of fewer words are seeded by every choice of words that the similarity leaves, not by the masks.
+SHORT = 12
 #: An aligned stretch of so many words (or the whole item, if shorter) must agree in this share.
 STRETCH, SIMILARITY = 13, 0.8
 FILTER_BITS = 26
@@ -40,9 +42,19 @@ def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def _short_patterns(n: int) -> list[tuple[int, list[int]]]:
+    """All choices of the words of an item of ``n`` words that must be equal: all of them below five, all but one or two up to eleven."""
+    kept = math.ceil(SIMILARITY * n - 1e-9)
+    # The number of a pattern is its bits, so equal choices of items of different lengths are one pattern.
+    return [(1000 + sum(1 << o for o in offsets), list(offsets)) for offsets in itertools.combinations(range(n), kept)]
+
+
 def _patterns(short: list[int]) -> list[tuple[int, list[int]]]:
-    """``(id, offsets)`` of the masks, and of whole items that are shorter than every mask."""
-    return [(i, _offsets(m)) for i, m in enumerate(MASKS)] + [(100 + n, list(range(n))) for n in short]
+    """``(number, offsets)`` of the masks, and of the choices for items of the lengths ``short``."""
+    out = {i: _offsets(m) for i, m in enumerate(MASKS)}
+    for n in short:
+        out.update(_short_patterns(n))
+    return list(out.items())
 
 
 def _bytes(text: str | None) -> bytes:
@@ -56,14 +68,13 @@ def _windows(owner: np.ndarray, words: np.ndarray, pattern: tuple[int, list[int]
 
 def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``(item, words, seeds)`` per benchmark row: hashes of its words and of its windows under every mask."""
-    shortest = min(map(len, MASKS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words, seeds = [], []
             for t in pdf["text"]:
                 w = wh.word_hashes(_bytes(t), _LETTERS)
-                use = _patterns([]) if len(w) >= shortest else _patterns([len(w)])[len(MASKS):] if len(w) >= MIN_WORDS else []
+                use = _patterns([]) if len(w) >= SHORT else _short_patterns(len(w)) if len(w) else []
                 got = [_windows(np.zeros(len(w), dtype=np.int64), w, p) for p in use]
                 seeds.append([{"h": int(h), "pos": int(p)} for first, hs in got for p, h in zip(first, hs.view(np.int64))])
                 words.append(w.view(np.int64))
@@ -169,39 +180,46 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``(id, item, matched, aligned)``: one row per document and benchmark item that it holds a passage of.
-
-    ``aligned`` words of the item lie in stretches of 13 words (the whole item,
-    if shorter) of which 80 percent agree word by word; ``matched`` of them are
-    equal. The largest alignment is given. Null and empty texts hold nothing,
-    items of fewer than five words are not searched for, repeated rows and
-    equal items give the rows that each of them would, null ids are kept, and
-    other columns are ignored. One small job builds the filter at once.
+    """``(id, item, n_items, matched, aligned)``: one row per document and distinct benchmark item that it holds a passage of.
+
+    Items of equal words are one class: ``item`` is the smallest of their ids
+    and ``n_items`` their number. ``aligned`` words of the item lie in stretches
+    of 13 words (the whole item, if shorter) of which 80 percent agree word by
+    word; ``matched`` of them are equal. The largest alignment is given. Items
+    of fewer than five words must be there whole. Null and empty texts hold
+    nothing and items without words are not searched for, repeated rows give
+    the rows that each of them would, null ids are kept, a very long text is
+    hashed in pieces of a megabyte, an empty table gives no rows, and other
+    columns are ignored. One small job builds the filter at once.
     """
-    items = settle(benchmark_seeds(benchmark, item_col, item_text_col))
-    seeds = items.select("item", F.size("words").alias("n"), F.explode("seeds").alias("s")).select("item", "n", "s.h", "s.pos")
-    shortest = min(map(len, MASKS))
-    short = sorted(r[0] for r in seeds.filter(F.col("n") < shortest).select("n").distinct().collect())
-    found = settle(regions(docs, seed_filter(seeds), short, id_col, text_col))
-    hits = found.select("doc", "tag", "base", F.explode("hits").alias("x")).select("doc", "tag", "base", F.col("x.h").alias("h"), F.col("x.pos").alias("at"))
-    pairs = (
-        hits.join(seeds.withColumnRenamed("pos", "from"), "h")
-        .select("doc", "tag", "base", "item", (F.col("at") - F.col("from")).alias("shift")).distinct()
+    listed = benchmark_seeds(benchmark, item_col, item_text_col)
+    items = settle(
+        listed.groupBy("words").agg(F.min("item").alias("item"), F.count("*").alias("n_items"), F.first("seeds").alias("seeds"))
+        .withColumn("class", F.monotonically_increasing_id())
     )
-
-    def check(words: pd.Series, base: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
-        got = [aligned(np.asarray(w), int(b), np.asarray(i), int(s)) for w, b, i, s in zip(words, base, item, shift)]
-        return pd.DataFrame(got, columns=["matched", "aligned"])
-
-    p = pairs.select(*(F.col(c).alias(f"p_{c}") for c in pairs.columns))
-    tokens = found.select("doc", "tag", "base", "words").dropDuplicates(["doc", "tag", "base"])
-    same = p["p_doc"].eqNullSafe(tokens["doc"]) & (p["p_tag"] == tokens["tag"]) & (p["p_base"] == tokens["base"])
-    of = items.select("item", F.col("words").alias("item_words"))
-    side = p.join(tokens, same).join(of, F.col("p_item").eqNullSafe(of["item"]))
-    checked = side.withColumn("a", F.pandas_udf(check, "matched int, aligned int")("words", "base", "item_words", "p_shift"))
+    seeds = items.select("class", F.size("words").alias("n"), F.explode("seeds").alias("s")).select("class", "n", "s.h", "s.pos")
+    short = sorted(r[0] for r in seeds.filter(F.col("n") < SHORT).select("n").distinct().collect())
+    found = settle(regions(docs, seed_filter(seeds), short, id_col, text_col).withColumn("region", F.monotonically_increasing_id()))
+    hits = found.select("region", F.explode("hits").alias("x")).select("region", F.col("x.h").alias("h"), F.col("x.pos").alias("at"))
+    # All shifts of an item in a region are one row, so that the region's words are there once for them.
+    pairs = hits.join(seeds.withColumnRenamed("pos", "from"), "h").groupBy("region", "class").agg(
+        F.collect_set(F.col("at") - F.col("from")).alias("shifts"))
+
+    def check(words: pd.Series, base: pd.Series, item: pd.Series, shifts: pd.Series) -> pd.DataFrame:
+        got = [
+            max((aligned(np.asarray(w), int(b), np.asarray(i), int(x))[::-1] for x in s), default=(0, 0))
+            for w, b, i, s in zip(words, base, item, shifts)
+        ]
+        return pd.DataFrame(got, columns=["aligned", "matched"])
+
+    side = (
+        pairs.join(found.select("region", "doc", "tag", "base", "words"), "region")
+        .join(items.select("class", "item", "n_items", F.col("words").alias("item_words")), "class")
+    )
+    checked = side.withColumn("a", F.pandas_udf(check, "aligned int, matched int")("words", "base", "item_words", "shifts"))
     return (
-        checked.filter(F.col("a.aligned") > 0).groupBy("doc", "item").agg(F.max(F.struct("a.aligned", "a.matched")).alias("m"))
-        .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("m.matched").alias("matched"), F.col("m.aligned").alias("aligned"))
+        checked.filter(F.col("a.aligned") > 0).groupBy("doc", "class", "item", "n_items").agg(F.max("a").alias("m"))
+        .select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_items", F.col("m.matched").alias("matched"), F.col("m.aligned").alias("aligned"))
     )
 
 

@@ -24,11 +24,16 @@ def parts_of(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
 
-def matches(rows: DataFrame, parts: str, keep: list[str]) -> DataFrame:
+def matches(rows: DataFrame, parts: str, keep: list[str], near: int = 1) -> DataFrame:
     """``keep`` and ``start, end, value, before, after`` for each match in the array column ``parts``.
 
-    ``before`` and ``after`` are the parts next to the match. Code points, end exclusive.
+    ``before`` and ``after`` are the ``near`` parts next to the match, put
+    together: with one they end at the neighbouring matches, with three they go
+    beyond them. Code points, end exclusive.
     """
+    def beside(i: Column, steps: range) -> Column:
+        return F.concat(*(F.when(i + k >= 0, F.coalesce(F.get("_p", i + k), F.lit(""))).otherwise(F.lit("")) for k in steps))
+
     sized = rows.filter(F.size(parts) > 1).select(*keep, F.col(parts).alias("_p"), F.transform(parts, F.length).alias("_n"))
     block = lambda b: F.slice("_n", b * _BLOCK + 1, F.lit(_BLOCK))
     add = lambda s, x: s + x
@@ -44,7 +49,7 @@ def matches(rows: DataFrame, parts: str, keep: list[str]) -> DataFrame:
         start = F.get("_o", b) + F.aggregate(F.slice("_n", b * _BLOCK + 1, i - b * _BLOCK), F.lit(0), add)
         return F.struct(
             start.alias("start"), (start + F.get("_n", i)).alias("end"), F.get("_p", i).alias("value"),
-            F.get("_p", i - 1).alias("before"), F.get("_p", i + 1).alias("after"),
+            beside(i, range(-near, 0)).alias("before"), beside(i, range(1, near + 1)).alias("after"),
         )
 
     odd = F.transform(F.sequence(F.lit(1), F.floor(F.size("_p") / 2).cast("int")), lambda k: 2 * k - 1)

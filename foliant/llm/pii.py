@@ -28,9 +28,16 @@ FORMS = {
 }
 # What a text must hold for a form to be tried at all.
 _HINTS = {"email": "@", "ip": ".", "card": "[0-9]", "phone": "+"}
-#: A word with a digit, a candidate for what the forms miss.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: What may be an identifier that the forms miss: a run of words of digits and phone signs, or a word with a digit, ``@`` or ``(at)``.
+_DIGITS_WORD = r"[().+/-]*+[0-9][0-9().+/-]*+"
+CANDIDATE = (
+    rf"(?<![^\x20\x09-\x0D])(?:{_DIGITS_WORD}(?:\x20{_DIGITS_WORD}(?![^\x20\x09-\x0D]))*+(?![^\x20\x09-\x0D])"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+|[^\x20\x09-\x0D]*?(?i:\(at\))[^\x20\x09-\x0D]*+)"
+)
+_MAYBE = r"[0-9@]|(?i:\(at\))"
 _WORD = r"[^\x20\x09-\x0D]+"
+#: Stand for a missing neighbour at the start and the end of a text.
+START, END = "\x02", "\x03"
 
 
 def _digits(c: Column) -> Column:
@@ -69,18 +76,23 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forms = [
         F.struct(F.lit(k).alias("kind"), F.when(held[k], parts_of(F.col("text"), p)).alias("parts")) for k, p in FORMS.items()
     ]
-    other = F.struct(F.lit(None).cast("string").alias("kind"), F.when(held["card"], parts_of(F.col("text"), CANDIDATE)).alias("parts"))
+    other = F.struct(F.lit(None).cast("string").alias("kind"), F.when(F.col("text").rlike(_MAYBE), parts_of(F.col("text"), CANDIDATE)).alias("parts"))
     cut = rows.select("doc", "tag", F.explode(F.array(*forms, other)).alias("x")).select("doc", "tag", "x.kind", "x.parts")
-    found = matches(cut, "parts", ["doc", "tag", "kind"])
+    # Three parts on each side: the words around a match, whether or not they are matches themselves.
+    found = matches(cut, "parts", ["doc", "tag", "kind"], near=3)
     sure = found.filter(F.col("kind").isNull() | _valid(F.col("kind"), F.col("value")))
     before = F.regexp_extract("before", rf"({_WORD})[\x20\x09-\x0D]*$", 1)
     before2 = F.regexp_extract("before", rf"({_WORD})[\x20\x09-\x0D]+{_WORD}[\x20\x09-\x0D]*$", 1)
     return sure.select(
-        "doc", "tag", "kind", "start", "end", "value", F.lower(before2).alias("left2"), F.lower(before).alias("left"),
-        F.lower(F.regexp_extract("after", _WORD, 0)).alias("right"),
+        "doc", "tag", "kind", "start", "end", "value", _or(F.lower(before2), START).alias("left2"), _or(F.lower(before), START).alias("left"),
+        _or(F.lower(F.regexp_extract("after", _WORD, 0)), END).alias("right"),
     ).distinct()
 
 
+def _or(word: Column, mark: str) -> Column:
+    return F.when(word == "", mark).otherwise(word)
+
+
 def _free(found: DataFrame) -> DataFrame:
     """Candidates that touch no span of a fixed form."""
     up = W.partitionBy("doc", "tag").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
@@ -97,29 +109,38 @@ def _core(value: Column) -> Column:
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    pattern = F.explode(F.array(
-        F.concat(F.lit("b\x1f"), "left", F.lit("\x1f"), "right"), F.concat(F.lit("l\x1f"), "left2", F.lit("\x1f"), "left")
-    ))
-    return found.filter((F.col("left") != "") & (F.col("right") != "") & (F.col("left2") != "")).select(
-        pattern.alias("pattern"), _core(F.col("value")).alias("item"), "kind"
+    # A pattern of the words on both sides, and one of the two words before; neither consists of marks alone.
+    both = F.when((F.col("left") != START) | (F.col("right") != END), F.concat(F.lit("b\x1f"), "left", F.lit("\x1f"), "right"))
+    before = F.when(F.col("left") != START, F.concat(F.lit("l\x1f"), "left2", F.lit("\x1f"), "left"))
+    return found.select(
+        F.explode(F.array_compact(F.array(both, before))).alias("pattern"), _core(F.col("value")).alias("item"), "kind"
     ).distinct()
 
 
+def _fits(kind: Column, item: Column) -> Column:
+    """Whether an identifier can be of a kind at all: an address has its sign, the others three digits or more."""
+    return F.when(kind == "email", item.rlike(r"@|\(at\)")).otherwise(F.length(_digits(item)) >= 3)
+
+
 def discovered(
-    found: DataFrame, rounds: int = 3, min_seeds: int = 3, pattern_worth: float = 0.8, item_worth: float = 0.9
+    found: DataFrame, rounds: int = 3, min_seeds: int = 3, pattern_worth: float = 0.4, item_worth: float = 0.9
 ) -> DataFrame:
     """``(item, kind)``: identifiers without a fixed form that trusted patterns surround.
 
     ``found`` are the seeds and the free candidates of all documents. A pattern
     counts distinct identifiers, so copies of one document add nothing, and it
-    needs ``min_seeds`` distinct known ones of the kind.
+    needs ``min_seeds`` distinct known ones of the kind. It takes part while at
+    least ``pattern_worth`` of its identifiers are known or, in later rounds,
+    likely; an identifier is found when its patterns together make it
+    ``item_worth`` likely: one pattern with nine of ten known, several of less,
+    or one that rose above that over the rounds.
     """
     edges = settle(_edges(found))
     sizes = edges.groupBy("pattern").agg(F.count_distinct("item").alias("n"))
     seeds = edges.filter(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.count_distinct("item").alias("known"))
     # Only patterns with enough seeds can ever be trusted; all else leaves the graph here.
     able = settle(seeds.filter(F.col("known") >= min_seeds).join(sizes, "pattern"))
-    open_ = settle(edges.filter(F.col("kind").isNull()).select("pattern", "item").join(able.select("pattern", "kind"), "pattern"))
+    open_ = settle(edges.filter(F.col("kind").isNull()).select("pattern", "item").join(able.select("pattern", "kind"), "pattern").filter(_fits(F.col("kind"), F.col("item"))))
     worth = None
     for _ in range(rounds):
         extra = (
@@ -127,7 +148,7 @@ def discovered(
             open_.join(worth, ["item", "kind"]).groupBy("pattern", "kind").agg(F.sum("worth").alias("more"))
         )
         scored = able.join(extra, ["pattern", "kind"], "left").withColumn(
-            "trust", (F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n")
+            "trust", F.least((F.col("known") + F.coalesce("more", F.lit(0.0))) / F.col("n"), F.lit(1.0))
         )
         trusted = scored.filter(F.col("trust") >= pattern_worth).select("pattern", "kind", "trust")
         worth = settle(

@@ -5,14 +5,16 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash
+from foliant.llm import catalog, chat, decontaminate, licences, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash
 from foliant.llm import wordhash as wh
+from foliant.operators import scan
 from foliant.session import settle
 
 SF = "/root/testdata/sf0.001"
@@ -52,9 +54,10 @@ def test_substituted_passages_are_found(spark):
 
 def test_short_items_and_hot_passage(spark):
     docs = spark.createDataFrame([(i, f"x{i} one two three four five y{i}") for i in range(300)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four six")], "item_id long, text string")
+    # Four of five words are the promised 80 percent, three are not.
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four six"), (3, "one two three six seven")], "item_id long, text string")
     got = decontaminate.leaks(docs, bench)
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i in range(300)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, k) for i in range(300) for k in (1, 2)}
 
 
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
@@ -179,6 +182,23 @@ def test_contexts_find_new_identifiers(spark):
     assert found == {(100, "email"), (101, "email")}
 
 
+def test_identifiers_without_a_digit_at_the_ends_and_in_several_words(spark):
+    texts = [f"mail ann{i}@example.org today" for i in range(50)] + [f"please call us at +49 30 5550{i:04d}" for i in range(50)]
+    texts += [f"our office line is +1 (234) 555-{i:04d} all day" for i in range(20)]
+    new = [f"mail {n}(at)example today" for n in ("ann", "bob", "eve")]
+    new += [f"please call us at 555-01{i:02d}" for i in range(30)] + ["our office line is (555) 123 4567 all day", "in 2024 our office line is 555-0123 all day"]
+    # No identifiers, though with digits and near such words.
+    clean = [f"the shelf at {i} holds {i} of many" for i in range(100, 160)] + [f"mail {i} today" for i in range(300, 306)]
+    rows = list(enumerate(texts + new + clean))
+    spans = pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc, r.kind, rows[r.doc][1][r.start:r.end]) for r in spans if not r.base}
+    at = len(texts)
+    want = {(at + k, "email", f"{n}(at)example") for k, n in enumerate(("ann", "bob", "eve"))}
+    want |= {(at + 3 + i, "phone", f"555-01{i:02d}") for i in range(30)}
+    want |= {(at + 33, "phone", "(555) 123 4567"), (at + 34, "phone", "555-0123")}
+    assert got == want
+
+
 # --- mixing ------------------------------------------------------------------
 
 def test_classifier_and_rates(spark):
@@ -211,6 +231,52 @@ def test_rates_meet_zero(spark):
     assert rate[2] == 0 and rate[1] > 2 and abs(totals[0] - 250) < 1
 
 
+# --- decontamination of short items and repetitive texts ------------------------
+
+def plain_leaks(docs: dict, items: dict) -> set:
+    """Every shift of every item over every text, word by word."""
+    out = set()
+    for d, text in docs.items():
+        for i, item in items.items():
+            need = min(13, len(item))
+            for shift in range(need - len(item), len(text) - need + 1):
+                same = [text[shift + k] == w for k, w in enumerate(item) if 0 <= shift + k < len(text)]
+                if any(sum(same[a:a + need]) >= 0.8 * need - 1e-9 for a in range(len(same) - need + 1)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_items_of_every_short_length(spark):
+    """Items of 1 to 14 words with up to a fifth replaced, at every place, and with more replaced."""
+    rng = random.Random(14)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 15)}
+    docs, d = {}, 0
+    for n, words in items.items():
+        allowed = n - int(np.ceil(0.8 * n - 1e-9))
+        for gone in range(allowed + 2):
+            choices = [rng.sample(range(n), gone) for _ in range(12)] if gone != 1 else [[k] for k in range(n)]
+            for places in choices[: 1 if gone == 0 else None]:
+                if gone > n:
+                    continue
+                text = [f"p{rng.randrange(999)}" for _ in range(rng.randrange(9))]
+                text += [f"r{d}" if k in places else w for k, w in enumerate(words)] + [f"q{rng.randrange(999)}" for _ in range(rng.randrange(9))]
+                docs[d] = text
+                d += 1
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+    assert got == plain_leaks(docs, items)
+
+
+def test_repetitive_texts_and_equal_items(spark):
+    items = [(5, "echo " * 15), (3, "Echo  " * 15), (9, "other words that nobody repeats in any of these texts here at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, "echo " * 50_000), (2, "echo no " * 30_000), (3, "echo " * 15)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_items, r.matched, r.aligned) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(1, 3, 2, 15, 15), (3, 3, 2, 15, 15)]
+
+
 # --- chat --------------------------------------------------------------------
 
 def brute_turns(rows):
@@ -230,8 +296,8 @@ def test_windows_round_trip(spark, monkeypatch):
             role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant", "to\nol", "<|im_end|>", None])
             rows.append((c, t, role, rng.choice(odd) if rng.random() < 0.4 else "word " * rng.randint(0, 60)))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for block in (1024, 7):
-        monkeypatch.setattr(chat, "BLOCK_TURNS", block)
+    for ranges in (4, 60):
+        monkeypatch.setattr(scan, "_range_count", lambda _: ranges)
         w = settle(chat.format_windows(df, budget=200, history=50))
         got = {r.conv_id: r for r in chat.digests(w).collect()}
         for c, turns in brute_turns(rows).items():
@@ -240,7 +306,7 @@ def test_windows_round_trip(spark, monkeypatch):
             g = got[c]
             assert (g.n_turns, g.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
             assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        all_ = w.orderBy("conv_id", "block", "span").collect()
+        all_ = w.orderBy("conv_id", "span").collect()
         assert len(all_) > 60
         for r in all_:
             if r.n_turns - r.n_repeated > 1:
@@ -251,6 +317,27 @@ def test_windows_round_trip(spark, monkeypatch):
         assert sum(r.n_repeated for r in all_) > 20
 
 
+def test_windows_follow_positions_as_in_sql(spark, tmp_path, monkeypatch):
+    """Conversations of 3,000 turns, turns with gaps, null turns and repeated rows, against the registered SQL."""
+    rng = random.Random(9)
+    rows = [(1, t, "system" if t == 0 else rng.choice(["user", "assistant"]), "word " * rng.randint(0, 120)) for t in range(3000)]
+    rows += [(2, 2000 * t, "assistant" if t % 2 else "user", f"say {t} " * 30) for t in range(40)]
+    rows += [(3, t, "assistant" if t % 2 else "user", f"say {t} " * 30) for t in range(40)]
+    rows += [(4, 7, "user", "again"), (4, 7, "user", "again"), (4, 7, None, None), (4, 9, "system", "late"), (5, -3, "system", "s" * 5000), (5, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    df.coalesce(1).write.parquet(str(tmp_path / "c"))
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    want = {r[0]: r for r in con.execute(catalog.SQL["op6_chat_windows"]).fetchall()}
+    columns = [d[0] for d in con.description]
+    for ranges in (4, 90):
+        monkeypatch.setattr(scan, "_range_count", lambda _: ranges)
+        got = chat.digests(chat.format_windows(df, catalog.CHAT_BUDGET, catalog.CHAT_HISTORY)).select(columns).collect()
+        assert {r.conv_id: tuple(r) for r in got} == {k: v for k, v in want.items() if k > 0}
+    by = {r.conv_id: r for r in got}
+    assert by[2].formatted_chars == by[3].formatted_chars
+
+
 # --- sharding ----------------------------------------------------------------
 
 def test_shards_fit(spark, documents):
