@@ -193,26 +193,32 @@ _FOLDER = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
 
 @query(
     f"""
-    WITH tpl(licence, template) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.TEMPLATES)}),
-    t AS (SELECT row_number() OVER () AS t, licence, template FROM tpl),
-    tt AS (SELECT t, licence, term, count(*) AS tf FROM (SELECT t, licence, unnest({_TERMS.format("template")}) AS term FROM t) GROUP BY ALL),
+    WITH tpl(licence, template, title) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)}, {full})" for full, some in (("false", licences.TEMPLATES), ("true", licences.TITLES)) for n, t in some)}),
+    t AS (SELECT row_number() OVER () AS t, licence, template, title FROM tpl),
+    tt AS (SELECT t, licence, title, term, count(*) AS tf FROM (SELECT t, licence, title, unnest({_TERMS.format("template")}) AS term FROM t) GROUP BY ALL),
     docs AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, lang, (doc_id // 64)::VARCHAR,
       CASE WHEN n_chars < 200 THEN 'NOTICE' ELSE doc_id || '.md' END) AS path FROM documents),
     n AS (SELECT count(*) AS n FROM docs),
     df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS.format("text")})) AS term FROM docs) GROUP BY term),
     idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
     held AS (SELECT * FROM docs WHERE {_ANCHOR.format("text")}),
-    units AS (SELECT DISTINCT doc_id, path, false AS whole, u AS unit FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS u FROM held)
-      WHERE {_ANCHOR.format("u")} UNION ALL SELECT doc_id, path, true, text FROM held),
+    bare AS (SELECT *, array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, {_quoted(licences.MARKS)}, '')), chr(10)) AS plain FROM held),
+    parts AS (SELECT doc_id, path, text, unnest(string_split(text, chr(10))) AS u FROM held
+      UNION ALL SELECT doc_id, path, text, replace(unnest(regexp_split_to_array(plain, '\n\n+')), chr(10), ' ') FROM bare),
+    units AS (SELECT DISTINCT doc_id, path, length(text) >= {licences.FULL_CHARS} AS long, false AS whole, u AS unit FROM parts
+      WHERE {_ANCHOR.format("u")} UNION ALL SELECT doc_id, path, length(text) >= {licences.FULL_CHARS}, true, text FROM held),
     du AS (SELECT row_number() OVER () AS h, unit FROM (SELECT DISTINCT unit FROM units)),
     uw AS (SELECT h, term, count(*) * coalesce(any_value(idf), any_value(ln(n + 1) + 1)) AS w, any_value(idf) IS NOT NULL AS known
       FROM (SELECT h, unnest({_TERMS.format("unit")}) AS term FROM du) LEFT JOIN idf USING (term), n GROUP BY h, term),
     un AS (SELECT h, sqrt(sum(w * w)) AS norm FROM uw GROUP BY h),
     tn AS (SELECT t, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tt JOIN idf USING (term) GROUP BY t),
-    score AS (SELECT h, licence, round(sum(uw.w / un.norm * tf * idf / tn.norm), 6) AS score FROM uw JOIN un USING (h) JOIN tt USING (term)
-      JOIN idf USING (term) JOIN tn USING (t) WHERE known GROUP BY h, licence, t),
-    best AS (SELECT h, licence, score FROM score WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY h ORDER BY score DESC, licence) = 1),
-    hit AS (SELECT doc_id, path, whole, licence, score FROM units JOIN du USING (unit) JOIN best USING (h)),
+    score AS (SELECT h, licence, title, round(sum(uw.w / un.norm * tf * idf / tn.norm), 6) AS score FROM uw JOIN un USING (h) JOIN tt USING (term)
+      JOIN idf USING (term) JOIN tn USING (t) WHERE known GROUP BY h, licence, title, t),
+    per AS (SELECT h, licence, title, score FROM score QUALIFY row_number() OVER (PARTITION BY h, licence ORDER BY score DESC, title DESC) = 1),
+    best AS (SELECT h, licence, title, score FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY score DESC, licence) AS place,
+      lead(score, 1, 0) OVER (PARTITION BY h ORDER BY score DESC, licence) AS second FROM per)
+      WHERE place = 1 AND score >= 0.6 AND round(score - second, 6) >= {licences.MARGIN}),
+    hit AS (SELECT doc_id, path, whole OR (title AND long) AS whole, licence, score FROM units JOIN du USING (unit) JOIN best USING (h)),
     own AS (SELECT doc_id, path, licence, score, bool_or(whole) OVER (PARTITION BY doc_id, path) AS whole FROM hit
       QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, licence) = 1),
     dir AS (SELECT {_FOLDER} AS above, licence, score FROM own

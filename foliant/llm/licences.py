@@ -1,9 +1,13 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance from the nearest licensed folder.
 
-Notice lines and whole texts of files that hold one are compared with licence
-templates as sparse term vectors; document frequencies are counted over all
-files. A file without a licence of its own takes that of the nearest folder
-above it that has a licence file.
+Header units and whole texts of files that hold a notice are compared with
+licence templates as sparse term vectors; document frequencies are counted over
+all files. A header unit is a notice line, or a paragraph of a text or comment
+with the comment marks taken off and its lines joined, so a wrapped header is
+one unit. A licence file is known by its title paragraph or, if it is short, as
+a whole. Where two licences come out alike, nothing is claimed. A file without
+a licence of its own takes that of the nearest folder above it that has a
+licence file.
 """
 
 from __future__ import annotations
@@ -14,42 +18,116 @@ from pyspark.sql import functions as F
 from foliant.llm.common import text_of
 from foliant.session import settle
 
-# Names and usual notices of common licences.
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+    "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+    "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+    "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+    "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+    "and this permission notice appear in all copies."
+)
+
+
+def _free_software(what: str, name: str, version: str, mark: str) -> str:
+    return (
+        f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software "
+        f"Foundation{',' if mark == ':' else ';'} either version {version} of the License, or (at your option) any later version."
+    )
+
+
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+# Names, usual notices and short texts of common licences.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_MIT_REST}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-2.0", _free_software("program", _GPL, "2", ";")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-3.0", _free_software("program", _GPL, "3", ":")),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _free_software("library", _LGPL, "2.1", ";")),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _free_software("program", _LGPL, "3", ":")),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _free_software("program", _AGPL, "3", ":")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", _BSD2),
+    ("BSD-3-Clause", f"{_BSD2} {_BSD3}"),
+    ("BSD-3-Clause", _BSD3),
+    ("BSD-2-Clause", f"{_BSD2} {_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{_BSD2} {_BSD3} {_DISCLAIMER}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("ISC", "Licensed under the ISC License."),
+    ("ISC", _ISC),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "Unlicense")),
+    *((name, f"SPDX-License-Identifier: {name}-{how}") for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for how in ("only", "or-later")),
+)
+# The title paragraphs of whole licence texts.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
 )
-#: Every template has one of these; a line without any is not compared.
-ANCHOR = r"(?i)licen[sc]e|public domain|hereby granted|free software|copyright|\bCC[ -]?(BY|0)"
+#: Every template has one of these; a unit without any is not compared.
+ANCHOR = r"(?i)licen[sc]e|public domain|hereby granted|free software|copyright|\bCC[ -]?(BY|0)|redistribution and use|neither the name"
+#: Marks at the start of a comment's line.
+MARKS = r"^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|[\x22]{3}|[\x27]{3})?[ \t]*"
+#: A text of so many characters with a licence's title in it is that licence's text, and so a licence file whatever its name is.
+FULL_CHARS = 4000
+#: What the best licence of a unit must be ahead of the second one.
+MARGIN = 0.02
 #: So many template terms are sent to every task; more are joined by a shuffle.
 VOCABULARY_LIMIT = 1 << 16
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-][A-Za-z0-9.-]*)?$"
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, t) for n, t in TEMPLATES], "licence string, template string")
+    rows = [(n, t, False) for n, t in TEMPLATES] + [(n, t, True) for n, t in TITLES]
+    return spark.createDataFrame(rows, "licence string, template string, title boolean")
 
 
 def terms(text: Column) -> Column:
@@ -85,34 +163,40 @@ def own_licences(
 ) -> DataFrame:
     """``(doc, path, licence, score, whole)``: the best template of each file that has one at ``threshold`` or above.
 
-    ``whole``: the text as a whole matches, not only a line of it.
+    ``whole``: the text as a whole is a licence, not only a unit of it.
+    ``templates`` has ``licence, template`` and, if titles are among them, ``title``.
     """
     spark = docs.sparkSession
-    templates = (template_table(spark) if templates is None else templates).select("licence", "template")
-    templates = templates.select(F.xxhash64("licence", "template").alias("t"), "licence", "template").distinct()
+    templates = template_table(spark) if templates is None else templates
+    title = F.coalesce("title", F.lit(False)) if "title" in templates.columns else F.lit(False)
+    templates = templates.select(F.xxhash64("licence", "template").alias("t"), "licence", "template", title.alias("title")).distinct()
     idf, other = _weights(templates, docs, text_col)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), text.alias("text"))
     held = rows.filter(F.col("text").rlike(ANCHOR))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(ANCHOR))
+    lines = F.split("text", "\n", -1)
+    bare = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, MARKS, "")), "\n")
+    parts = F.concat(lines, F.transform(F.split(bare, "\n\n+", -1), lambda x: F.replace(x, F.lit("\n"), F.lit(" "))))
     units = settle(
-        held.select("doc", "path", F.explode(F.concat(
-            F.transform(F.array_distinct(lines), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
+        held.select("doc", "path", (F.length("text") >= FULL_CHARS).alias("long"), F.explode(F.concat(
+            F.transform(F.array_distinct(F.filter(parts, lambda x: x.rlike(ANCHOR))), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))),
             F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))),
-        )).alias("u")).select("doc", "path", "u.whole", "u.unit", F.xxhash64("u.whole", "u.unit").alias("h"))
+        )).alias("u")).select("doc", "path", "long", "u.whole", "u.unit", F.xxhash64("u.unit").alias("h"))
     )
-    # Equal lines of many files are compared once.
+    # Equal units of many files are compared once.
     distinct = units.select("h", "unit").dropDuplicates(["h"])
     mine = _vectors(distinct, ["h"], F.col("unit"), idf, other)
-    theirs = _vectors(templates, ["t", "licence"], F.col("template"), idf, other).withColumnRenamed("w", "tw")
-    cosine = mine.join(theirs, "term").groupBy("h", "licence", "t").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
-    # Ties go to the first licence name.
-    best = cosine.filter(F.col("score") >= threshold).groupBy("h").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m")
-    ).select("h", F.col("m.licence").alias("licence"), (-F.col("m.s")).alias("score"))
+    theirs = _vectors(templates, ["t", "licence", "title"], F.col("template"), idf, other).withColumnRenamed("w", "tw")
+    cosine = mine.join(theirs, "term").groupBy("h", "licence", "title", "t").agg(F.round(F.sum(F.col("w") * F.col("tw")), 6).alias("score"))
+    per = cosine.groupBy("h", "licence").agg(F.max(F.struct("score", "title")).alias("m"))
+    # At most one entry for each licence of the templates.
+    ranked = per.groupBy("h").agg(F.sort_array(F.collect_list(F.struct((-F.col("m.score")).alias("s"), "licence", F.col("m.title").alias("title")))).alias("r"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    best = ranked.filter((-first["s"] >= threshold) & (F.round(F.coalesce(second["s"], F.lit(0.0)) - first["s"], 6) >= MARGIN)).select(
+        "h", first["licence"].alias("licence"), (-first["s"]).alias("score"), first["title"].alias("title"))
     return (
-        units.select("doc", "path", "whole", "h").join(best, "h").groupBy("doc", "path")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m"), F.max("whole").alias("whole"))
+        units.select("doc", "path", "long", "whole", "h").join(best, "h").groupBy("doc", "path")
+        .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m"), F.max(F.col("whole") | (F.col("title") & F.col("long"))).alias("whole"))
         .select("doc", "path", F.col("m.licence").alias("licence"), (-F.col("m.s")).alias("score"), "whole")
     )
 
@@ -132,8 +216,9 @@ def licences(
     licence in it, or one whose whole text is a licence), or null. Of several
     licence files in a folder the best score counts, then the first path.
     Null and empty texts have no licence of their own, a null path lies in the
-    root folder, rows that agree in id and path share a licence, and other
-    columns are ignored.
+    root folder, rows that agree in id and path share a licence, very long
+    texts are cut into units like any other, an empty table gives no rows, and
+    other columns are ignored.
     """
     own = settle(own_licences(docs, path, id_col, text_col, templates, threshold))
     name = F.regexp_extract("path", r"([^/]*)$", 1)

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out rows."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -392,6 +393,67 @@ def test_licences_and_folders(spark):
     }
 
 
+SHARE = "/usr/share/common-licenses"
+WRAPPED = {
+    "MIT": """// Copyright (c) 2024 A. Person
+//
+// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights
+// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+// copies of the Software, and to permit persons to whom the Software is
+// furnished to do so, subject to the following conditions:
+//
+int main() {}""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+code()""",
+    "LGPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Lesser General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+x = 1""",
+    "GPL-2.0": """;; This program is free software; you can redistribute it and/or modify
+;; it under the terms of the GNU General Public License as published by
+;; the Free Software Foundation; either version 2 of the License, or
+;; (at your option) any later version.
+(defun f ())""",
+    "BSD-2-Clause": """-- Redistribution and use in source and binary forms, with or without
+-- modification, are permitted provided that the following conditions are
+-- met: 1. Redistributions of source code must retain the above copyright
+-- notice, this list of conditions and the following disclaimer. 2.
+-- Redistributions in binary form must reproduce the above copyright notice,
+-- this list of conditions and the following disclaimer in the documentation
+-- and/or other materials provided with the distribution.
+main = return ()""",
+}
+
+
+def test_wrapped_headers_and_whole_texts(spark, documents):
+    files = [(i, f"src/{name}/file.x", text, name) for i, (name, text) in enumerate(WRAPPED.items())]
+    whole = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0",
+             "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    for name, licence in whole.items():
+        if os.path.exists(f"{SHARE}/{name}"):
+            with open(f"{SHARE}/{name}", encoding="utf-8") as f:
+                files.append((len(files), f"whole/{name}/text.md", f.read(), licence))
+                files.append((len(files), f"whole/{name}/code.py", "print()", licence))
+    # A name that two versions share claims neither of them.
+    files.append((len(files), "z/a.py", "# under the GNU General Public License", None))
+    rows = spark.createDataFrame([x[:3] for x in files], "doc_id long, path string, text string")
+    rest = documents.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("rest/x").alias("path"), "text")
+    got = {r.doc_id: (r.licence, r.origin) for r in licences.licences(rows.unionByName(rest), F.col("path")).filter("doc_id >= 0").collect()}
+    for i, path, _, licence in files:
+        origin = None if licence is None else "inherited" if path.endswith("code.py") else "own"
+        assert got[i] == (licence, origin), path
+
+
 # --- near duplicates ---------------------------------------------------------
 
 def brute_fingerprint(text: str) -> int:
