@@ -166,13 +166,13 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The texts have no file names: a document lies in its source and language, and short ones stand for notice files.
 PATH = "concat_ws('/', source, lang, CAST(floor(doc_id / 64) AS STRING), CASE WHEN n_chars < 200 THEN 'NOTICE' ELSE concat(doc_id, '.md') END)"
-_KEY_NAME = "[a-z0-9]*(token|key|keyid|secret|password|passwd|pwd|credential|credentials)[0-9]*"
-_NAMED = f"(left RLIKE '^{_KEY_NAME}(=|:|:=)$' OR (left IN ('=', ':', ':=') AND left2 RLIKE '^{_KEY_NAME}[:=]?$'))"
 #: Labels of findings in the labelled documents. Surely real: letters and digits that a key's name is assigned, or a provider's
-#: form. Surely not: words, digits alone and bare signs without such a name. Everything else is null and is not trained on.
+#: form. Surely not: without such a name, a hash or identifier that is called so, a part of an address, a UUID, a path of words,
+#: words, digits alone and bare signs. Everything else is null and is not trained on.
 REAL_SECRET = f"""CASE WHEN value RLIKE '^(AKIA|ASIA)[0-9A-Z]{{16}}$' THEN true
-  WHEN {_NAMED} THEN CASE WHEN value RLIKE '[0-9]' AND value RLIKE '[A-Za-z]' THEN true END
-  WHEN value RLIKE '^([A-Z]?[a-z]+|[A-Z]+)([/_-]+([A-Z]?[a-z]+|[A-Z]+))*$' OR value RLIKE '^[0-9]+(-[0-9]+)*$' OR value RLIKE '^[+/_=-]+$' THEN false END"""
+  WHEN context = 'key' THEN CASE WHEN value RLIKE '[0-9]' AND value RLIKE '[A-Za-z]' THEN true END
+  WHEN context IN ('hash', 'url') OR value RLIKE '{secret_scan.UUID}' THEN false
+  WHEN value RLIKE '^([A-Z]?[a-z]+[0-9]{{0,4}}|[A-Z]+)([/_-]+([A-Z]?[a-z]+[0-9]{{0,4}}|[A-Z]+))*$' OR value RLIKE '^[0-9]+(-[0-9]+)*$' OR value RLIKE '^[+/_=-]+$' THEN false END"""
 
 
 @query()
