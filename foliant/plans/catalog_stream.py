@@ -26,10 +26,32 @@ def _run(stream, spark, label):
     return spark.read.parquet(f"{base}/out")
 
 
+SLICES = 4
+
+
+def _ordered(spark, sf, label):
+    """The progress of all runs, from files that arrive in slices of time and in any order inside a slice.
+
+    A slice is as long as an event may be late. A last event far ahead closes the stream: it lets all others go out.
+    """
+    base = work_path(spark, label)
+    events = v.progress(spark, sf).withColumn("ts", c("ts").cast("timestamp"))
+    low, high = (x or 0 for x in events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first())
+    width = max(1, (high - low) // SLICES + 1)
+    late = f"{width // 1_000_000 + 1} seconds"
+    for k in range(SLICES):
+        part = events.filter(F.floor((F.unix_micros("ts") - low) / width) == k)
+        part.repartition(4, "event_id").write.mode("append").parquet(f"{base}/in")
+    end = events.limit(1).withColumn("ts", F.timestamp_micros(F.lit(high + 3 * width))).withColumn("collection", F.lit(-1).cast(events.schema["collection"].dataType))
+    end.select(events.columns).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    with progress.state_on_disk(spark):
+        return _run(progress.ordered_progress(stream, late), spark, f"{label}-out")
+
+
 @query("progress_stream", f"WITH {PROGRESS} SELECT collection, event_id, pct, max(pct) OVER (PARTITION BY collection ORDER BY ts, event_id)::BIGINT AS shown FROM pc")
 def progress_stream(spark, sf):
-    rows = progress.track_progress(v.progress_columns(_stream(spark, sf, "events")))
-    return _run(rows, spark, "progress").select("collection", "event_id", "pct", "shown")
+    return _ordered(spark, sf, "progress").select("collection", "event_id", "pct", "shown")
 
 
 FRESH = "(e.phase <> r.phase OR e.done < r.a_done)"
@@ -45,8 +67,7 @@ r AS (SELECT collection, n, event_id, phase, ms AS a_at, done AS a_done, NULL::D
       CASE WHEN {FRESH} THEN NULL ELSE r.eta END AS eta FROM e JOIN r ON r.collection = e.collection AND e.n = r.n + 1)))
 SELECT collection, event_id, round(eta, 3) AS eta_ms FROM r WHERE eta IS NOT NULL""")
 def eta_stream(spark, sf):
-    rows = progress.track_progress(v.progress_columns(_stream(spark, sf, "events")))
-    return _run(rows, spark, "eta").filter(c("eta_ms").isNotNull()).select(
+    return _ordered(spark, sf, "eta").filter(c("eta_ms").isNotNull()).select(
         "collection", "event_id", F.round("eta_ms", 3).alias("eta_ms"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators.messages import overall_percent
@@ -36,7 +40,7 @@ def _advance(key, frames, group: GroupState):
     state = dict(zip(names, group.get)) if group.exists else {"shown": 0}
     if state.get("eta_ms") is not None and state["eta_ms"] < 0:
         state["eta_ms"] = None
-    # One run's events of one micro-batch; the reader's maxFilesPerTrigger bounds a batch.
+    # One run's events of one micro-batch are sorted together: a reader without a limit makes that the whole backlog.
     rows = pd.concat(list(frames)).sort_values(["at_ms", "event_id"])
     out = []
     for r in rows.itertuples():
@@ -63,6 +67,86 @@ def track_progress(events: DataFrame) -> DataFrame:
         _advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+PIECE = 4096
+_WAITING = "rows array<struct<at_us:bigint,event_id:bigint,phase:string,done:bigint,total:bigint,pct:bigint>>"
+
+
+class _Ordered(StatefulProcessor):
+    """Events wait under their millisecond until the watermark has passed it; a timer then takes them in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", STATE)
+        self._waiting = handle.getMapState("waiting", "at_ms bigint", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        piece: dict[int, list[tuple]] = {}
+        n = 0
+        for r in rows:
+            piece.setdefault(r.at_us // 1000, []).append((r.at_us, r.event_id, r.phase, r.done, r.total, r.pct))
+            n += 1
+            if n % PIECE == 0:
+                self._keep(piece)
+                piece = {}
+        self._keep(piece)
+        return iter([])
+
+    def _keep(self, piece: dict[int, list[tuple]]) -> None:
+        for at, new in piece.items():
+            known = self._waiting.getValue((at,)) if self._waiting.containsKey((at,)) else None
+            self._waiting.updateValue((at,), ([tuple(x) for x in known[0]] + new if known else new,))
+            if known is None:
+                self._handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if not self._waiting.containsKey((at,)):
+            return
+        names = [x.split()[0] for x in STATE.split(", ")]
+        state = dict(zip(names, self._last.get())) if self._last.exists() else {"shown": 0}
+        if state.get("eta_ms") is not None and state["eta_ms"] < 0:
+            state["eta_ms"] = None
+        for at_us, event_id, phase, done, total, pct in sorted((tuple(x) for x in self._waiting.getValue((at,))[0]), key=lambda x: x[:2]):
+            state["shown"] = max(state["shown"], pct)
+            eta = next_eta(state, phase, at_us / 1000, done, total)
+            yield Row(collection=key[0], event_id=event_id, pct=pct, shown=state["shown"], eta_ms=eta)
+        self._waiting.removeKey((at,))
+        saved = [state.get(n) for n in names]
+        saved[4] = -1.0 if saved[4] is None else saved[4]
+        self._last.update(tuple(saved))
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_progress(events: DataFrame, within: str = "10 seconds") -> DataFrame:
+    """As :func:`track_progress`, in the order of the events' times whatever order they arrive in.
+
+    An event may come ``within`` later than newer ones; what comes later still
+    is dropped, as the watermark says. Events wait in the state store under
+    their millisecond, and a timer takes each millisecond in turn, so a task
+    holds a few thousand rows at a time, however many events a run or a batch
+    has. An event is given out once events that are ``within`` newer have come.
+    The stream must run inside :func:`state_on_disk`.
+    """
+    pct = overall_percent(F.col("phase"), F.col("done"), F.col("total"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).select(
+        "collection", "event_id", "phase", "done", "total", "ts", pct.alias("pct"), F.unix_micros("ts").alias("at_us"))
+    return rows.groupBy("collection").transformWithState(_Ordered(), OUT, "Append", "EventTime")
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, which timers and map states need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def record_activities(events: DataFrame, root: str, checkpoint: str, available_now: bool = True):
     """Start a query that keeps starts and ends below ``root``, so that an end of any lateness finds its start.
 
