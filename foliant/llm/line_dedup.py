@@ -82,7 +82,9 @@ def keep_bitmaps(
     run-length form: the lines inside the runs go, all others stay.
 
     Null and empty texts have one empty line. Rows that share an id count as
-    one document, and equal rows get equal bitmaps. Other columns are ignored.
+    one document, and equal rows get equal bitmaps. A very long text is cut
+    into lines like any other, an empty table gives no bitmaps, and other
+    columns are ignored.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")

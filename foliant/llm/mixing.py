@@ -220,7 +220,8 @@ def with_rates(docs: DataFrame, model: Classifier, steps: list[np.ndarray], id_c
     ``_copies`` is the rate rounded down, or up with the probability of the
     fraction; the draw is a hash of id and text, so a rerun decides alike and
     equal rows get equal copies. Null and empty texts have no tokens and keep
-    the rate of their posterior; other columns pass through, but columns with
+    the rate of their posterior; very long texts are scored whole, in pieces of
+    a megabyte; an empty table gives no rows; other columns pass through, but columns with
     the names above are replaced.
     """
     text = text_of(text_col)

@@ -181,7 +181,12 @@ def listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of ``docs``: counts per kind, the digest of the base spans, and all spans."""
+    """One row per row of ``docs``: counts per kind, the digest of the base spans, and all spans.
+
+    Null and empty texts have no spans, repeated rows have equal ones, very
+    long texts are searched whole, an empty table gives no rows, and other
+    columns are ignored.
+    """
     spans = personal_spans(docs, id_col, text_col, **options)
     per = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "start", "end", "base")).alias("spans"))
     ids = docs.select(F.col(id_col), F.xxhash64(text_of(text_col)).alias("_tag"))

@@ -219,7 +219,8 @@ def judge(docs: DataFrame, rules: list[list[Condition]], text_col: str = "text")
     """``docs`` with ``_stats``, ``_base_failed``, ``_rule`` and ``_kept`` added, for every row.
 
     Null and empty texts have no words and fail the base rule; repeated rows
-    get equal verdicts; other columns pass through, but columns with the names
+    get equal verdicts; a very long text is hashed in pieces of a megabyte; an
+    empty table gives no rows; other columns pass through, but columns with the names
     above are replaced.
     """
     found = docs.withColumn("_stats", stats_of(F.col(text_col).cast("string")))

@@ -232,7 +232,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``(id, fp, component_id)`` for every row of ``docs``; repeated rows stay, other columns are ignored."""
+    """``(id, fp, component_id)`` for every row of ``docs``.
+
+    Repeated rows stay, null ids have no say in a component's id, texts without
+    words have fingerprint zero, very long texts are read whole in pieces, an
+    empty table gives no rows, and other columns are ignored.
+    """
     prints = settle(fingerprints(docs, id_col, text_col))
     return prints.join(near_components(prints, radius), "fp").select(F.col("doc").alias(id_col), "fp", "component_id")
 
