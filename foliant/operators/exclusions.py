@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.hashing import LOGO_MAX_BYTES, MAX_BITS, MIN_CONVERSATIONS, SMALL_BYTES, hamming, long_to_hex
 from foliant.functions.names import fingerprint
-from foliant.operators.similarity import near_references, similar_edges
+from foliant.operators.similarity import near_tagged, similar_edges
 from foliant.session import settle
 
 
@@ -93,10 +93,12 @@ def matching_pointers(att: DataFrame, pointers: tuple[str, ...] | DataFrame) ->
 
 
 def _with_look_alikes(att: DataFrame, named: DataFrame) -> DataFrame:
-    looks = att.filter(F.col("dhash").isNotNull()).select("sha", "dhash").distinct()
-    near = near_references(looks.select(F.col("dhash").alias("hash")), named.select(F.col("dhash").alias("hash")))
-    alike = looks.join(near.withColumnRenamed("hash", "dhash"), "dhash", "left_semi").select("sha")
-    return named.select("sha").unionByName(alike).distinct()
+    """``(sha, tag)``: the contents in ``named`` (``sha, dhash, tag``) and what looks like them, all tags in one pass."""
+    named = settle(named.distinct())
+    looks = settle(att.filter(F.col("dhash").isNotNull()).select("sha", "dhash").distinct())
+    near = near_tagged(looks.select(F.col("dhash").alias("hash")), named.select(F.col("dhash").alias("hash"), "tag"))
+    alike = looks.join(near.withColumnRenamed("hash", "dhash"), "dhash").select("sha", "tag")
+    return named.select("sha", "tag").unionByName(alike).distinct()
 
 
 def decide(att: DataFrame, rules: Rules) -> DataFrame:
@@ -108,19 +110,22 @@ def decide(att: DataFrame, rules: Rules) -> DataFrame:
     if not rules.needs_dhash:
         att = att.withColumn("dhash", F.lit(None).cast("bigint"))
     off, on = F.lit(False), F.lit(True)
-    none = att.select("sha", off.alias("x"), off.alias("l"), off.alias("k")).filter(F.lit(False))
-    parts = [none]
-    if _given(rules.exclude_pointers) or rules.exclude_names:
-        named = att.filter(F.col("name").isin(_lower(rules.exclude_names))).select("sha", "dhash")
-        if _given(rules.exclude_pointers):
-            named = named.unionByName(matching_pointers(att, rules.exclude_pointers).select("sha", "dhash"))
-        parts.append(_with_look_alikes(att, named).select("sha", on.alias("x"), off.alias("l"), off.alias("k")))
+    named = []
+    if rules.exclude_names:
+        named.append(att.filter(F.col("name").isin(_lower(rules.exclude_names))).select("sha", "dhash", F.lit("x").alias("tag")))
+    for pointers, tag in ((rules.exclude_pointers, "x"), (rules.keep_pointers, "k")):
+        if _given(pointers):
+            named.append(matching_pointers(att, pointers).select("sha", "dhash", F.lit(tag).alias("tag")))
+    parts = []
+    if named:
+        rows = named[0]
+        for part in named[1:]:
+            rows = rows.unionByName(part)
+        tag = F.col("tag")
+        parts.append(_with_look_alikes(att, rows).select("sha", (tag == "x").alias("x"), off.alias("l"), (tag == "k").alias("k")))
     if rules.exclude_signatures:
         parts.append(auto_logos(att).select("sha", off.alias("x"), on.alias("l"), off.alias("k")))
-    if _given(rules.keep_pointers):
-        named = matching_pointers(att, rules.keep_pointers)
-        parts.append(_with_look_alikes(att, named).select("sha", off.alias("x"), off.alias("l"), on.alias("k")))
-    rows = parts[0]
+    rows = att.select("sha", off.alias("x"), off.alias("l"), off.alias("k")).filter(F.lit(False)) if not parts else parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
     flags = rows.groupBy("sha").agg(F.max("x").alias("x"), F.max("l").alias("l"), F.max("k").alias("k"))

@@ -181,6 +181,31 @@ def near_references(hashes: DataFrame, references: DataFrame, max_bits: int = MA
     return known.join(hit.unionByName(refs).distinct(), "hash", "left_semi")
 
 
+def near_tagged(hashes: DataFrame, references: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(hash, tag)``: distinct ``hash`` values and the tags of the references within ``max_bits`` of them.
+
+    As :func:`near_references` for several sets of references ``(hash, tag)`` in one pass.
+    """
+    known = settle(hashes.select("hash").filter(F.col("hash").isNotNull()).distinct())
+    refs = settle(references.select("hash", "tag").filter(F.col("hash").isNotNull()).distinct())
+    few = [tuple(r) for r in refs.limit(REF_LIMIT + 1).collect()]
+    if not few:
+        return known.select("hash", F.lit(None).cast("string").alias("tag")).filter(F.lit(False))
+    if len(few) <= REF_LIMIT:
+        tags = sorted({t for _, t in few})
+        hit = F.array_compact(F.array(*(
+            F.when(F.exists(_constant([h for h, t in few if t == tag], "array<bigint>"), lambda r: hamming(F.col("hash"), r) <= max_bits), F.lit(tag))
+            for tag in tags
+        )))
+        return settle(known.select("hash", F.explode(hit).alias("tag")))
+    pairs = similar_edges(known.unionByName(refs.select("hash")), max_bits)
+    both = pairs.select(F.col("a").alias("hash"), F.col("b").alias("ref")).unionByName(
+        pairs.select(F.col("b").alias("hash"), F.col("a").alias("ref"))
+    )
+    hit = both.join(refs.withColumnRenamed("hash", "ref"), "ref").select("hash", "tag")
+    return hit.unionByName(refs).distinct().join(known, "hash", "left_semi")
+
+
 def hash_groups(hashes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(hash, root)``: groups linked by chains of similar hashes."""
     known = hashes.select("hash").filter(F.col("hash").isNotNull()).distinct()

@@ -117,6 +117,18 @@ def test_near_references_small_and_large(spark, monkeypatch):
     assert {r[0] for r in similarity.near_references(df, rf).collect()} == want
 
 
+def test_tagged_references_in_one_pass(spark, monkeypatch):
+    hs = clustered(5, 50)
+    refs = [(h, "x") for h in hs[::9]] + [(h, "k") for h in hs[3::11]] + [(hs[0], "k"), (None, "x")]
+    want = {(h, t) for h in hs for r, t in refs if r is not None and dist(h, r) <= 8}
+    df = spark.createDataFrame([(h,) for h in hs], "hash bigint")
+    rf = spark.createDataFrame(refs, "hash bigint, tag string")
+    assert {tuple(r) for r in similarity.near_tagged(df, rf).collect()} == want
+    monkeypatch.setattr(similarity, "REF_LIMIT", 3)
+    assert {tuple(r) for r in similarity.near_tagged(df, rf).collect()} == want
+    assert similarity.near_tagged(df, rf.limit(0)).collect() == []
+
+
 def test_leader_groups_follow_first_seen_order(spark):
     hs = clustered(4, 30)
     random.Random(1).shuffle(hs)
