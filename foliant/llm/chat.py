@@ -95,40 +95,34 @@ def format_windows(
     width = F.greatest(F.lit(budget - history) - F.coalesce("sys_tok", F.lit(0)), F.lit(max(1, budget // 4)))
     cell = F.floor(F.col("p") / width)
     across = F.floor((F.col("p") + F.greatest(F.col("tok"), F.lit(1)) - 1) / width) > cell
-    placed = settle(
+    placed = (
         local.join(parts, [*_CONV, "_range"]).withColumn("n", n.cast("long")).withColumn("p", p.cast("long"))
         .withColumn("is_sys", F.col("sys_tok").isNotNull() & (F.col("n") == 1))
         .select(*_CONV, "n", "p", "tok", "role", "text", "is_sys", (2 * cell + across.cast("int")).cast("long").alias("span"))
     )
-    spans = placed.groupBy(*_CONV, "span").agg(
-        F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("new"), F.max("is_sys").alias("has_sys"),
-        F.min("p").alias("s"), F.sum("tok").alias("n_tokens"),
-    )
-    # History on a grid of its own: what a span repeats lies in at most two cells before its first turn.
+    # One row for each window, without texts: where it begins, and whether the system turn is new in it.
+    spans = settle(placed.groupBy(*_CONV, "span").agg(F.min("p").alias("s"), F.max("is_sys").alias("has_sys")))
+    # History on a grid of its own: what a window repeats lies in at most two cells before its first turn.
     reach = max(1, history)
-    before = placed.groupBy(*_CONV, "span").agg(F.min("p").alias("s")).filter(F.col("s") > 0)
     cells = F.array_distinct(F.array(F.floor((F.col("s") - history) / reach), F.floor((F.col("s") - 1) / reach)))
-    said = placed.filter(~F.col("is_sys")).select(*_CONV, F.floor(F.col("p") / reach).alias("_h"), "p", "n", "role", "text")
-    near = (
-        before.withColumn("_h", F.explode(cells)).join(said, [*_CONV, "_h"])
-        .filter((F.col("p") >= F.col("s") - history) & (F.col("p") < F.col("s")))
-        .groupBy(*_CONV, "span").agg(F.collect_list(F.struct("p", "n", "role", "text")).alias("near"))
+    asked = settle(spans.filter(F.col("s") > 0).select(*_CONV, "span", "s", F.explode(cells).alias("_h")))
+    said = placed.filter(~F.col("is_sys")).select(*_CONV, F.floor(F.col("p") / reach).alias("_h"), "p", "n", "tok", "role", "text")
+    near = asked.join(said, [*_CONV, "_h"]).filter((F.col("p") >= F.col("s") - history) & (F.col("p") < F.col("s")))
+    heads = spans.filter(~F.col("has_sys")).join(placed.filter("is_sys").select(*_CONV, "n", "tok", "role", "text"), _CONV)
+    # All turns of a window in one place: the system turn, its history, and its new turns.
+    part = lambda df, kind: df.select(*_CONV, "span", F.lit(kind).alias("kind"), "n", "tok", "role", "text")
+    spans = part(heads, 0).unionByName(part(near, 1)).unionByName(part(placed, 2)).groupBy(*_CONV, "span").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "n", "role", "text"))).alias("all"),
+        F.sum(F.when(F.col("kind") == 2, F.col("tok"))).alias("n_tokens"),
     )
-    systems = placed.filter("is_sys").select(*_CONV, F.struct("role", "text").alias("sys"))
-    spans = spans.join(near, [*_CONV, "span"], "left").join(systems, _CONV, "left")
 
     def turn(t: Column, loss: Column) -> Column:
         return F.struct(_role_out(t["role"]).alias("role"), escape(t["text"]).alias("text"), loss.alias("loss"))
 
-    head = F.when(F.col("sys").isNotNull() & ~F.col("has_sys"), F.array(turn(F.col("sys"), F.lit(False))))
-    none = F.filter(F.transform("new", lambda t: turn(t, F.lit(False))), lambda _: F.lit(False))
-    repeated = F.concat(
-        F.coalesce(head, none), F.coalesce(F.transform(F.array_sort("near"), lambda t: turn(t, F.lit(False))), none)
-    )
     out = spans.select(
-        *_CONV, "span", "n_tokens", repeated.alias("repeated"),
-        F.transform("new", lambda t: turn(t, t["role"] == "assistant")).alias("fresh"),
-    ).withColumn("turns", F.concat("repeated", "fresh"))
+        *_CONV, "span", "n_tokens", F.size(F.filter("all", lambda t: t["kind"] < 2)).alias("n_repeated"),
+        F.transform("all", lambda t: turn(t, (t["kind"] == 2) & (t["role"] == "assistant"))).alias("turns"),
+    )
     piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE))
     ahead = lambda t: F.length(t["role"]) + len(OPEN) + 1
     none_yet = F.array().cast("array<struct<start:int,end:int>>")
@@ -144,7 +138,7 @@ def format_windows(
     loss = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none_yet.alias("spans")), step)["spans"]
     return out.select(
         F.when(~F.col("_cn"), F.col("_c")).alias(id_col), "span",
-        F.size("turns").alias("n_turns"), F.size("repeated").alias("n_repeated"), "n_tokens",
+        F.size("turns").alias("n_turns"), "n_repeated", "n_tokens",
         F.array_join(F.transform("turns", piece), "").alias("formatted"), loss.alias("loss_spans"),
     )
 
