@@ -120,15 +120,14 @@ def examples(spark: SparkSession, each: int = 150) -> DataFrame:
         (True, written), (True, written), (True, written), (True, written),
         (True, F.concat(draw(10, "use ", "with ", "sent ", "curl "), F.when(n % 2 == 0, digits(4, 40)).otherwise(plain))),
     ]
-    rows = [
-        spark.range(k * each, (k + 1) * each).select(
-            n.alias("doc"), F.lit(real).alias("real"),
-            F.concat_ws(" ", draw(11, "the", "of", "and", "a", "to"), draw(12, "new", "old", "last", "one", "this"), core, draw(13, "was", "is", "and", "then", "for")).alias("text"))
-        for k, (real, core) in enumerate(kinds)
-    ]
-    texts = rows[0]
-    for r in rows[1:]:
-        texts = texts.unionByName(r)
+    kind = F.floor(n / each)
+    core, real = F.lit(""), F.lit(False)
+    for k, (secret, written_out) in enumerate(kinds):
+        core = F.when(kind == k, written_out).otherwise(core)
+        real = F.when(kind == k, F.lit(secret)).otherwise(real)
+    texts = spark.range(0, each * len(kinds), 1, 1).select(
+        n.alias("doc"), real.alias("real"),
+        F.concat_ws(" ", draw(11, "the", "of", "and", "a", "to"), draw(12, "new", "old", "last", "one", "this"), core, draw(13, "was", "is", "and", "then", "for")).alias("text"))
     labels = texts.select("doc", F.col("real").alias("secret"))
     return findings(texts, "doc", "text").join(labels, "doc").withColumn("doc", F.lit(None).cast("long"))
 
