@@ -78,24 +78,24 @@ def format_windows(
         text.alias("text"), (estimated_tokens(text) if tokens is None else tokens).cast("long").alias("tok"),
     )
     ranged = split_ranges(base.withColumn("_lead", F.substring("text", 1, _LEAD)), [*_CONV, "_turn", "role", "_lead"]).drop("_lead")
-    order = W.partitionBy(*_CONV, "_range").orderBy(F.col("_turn").asc_nulls_first(), "role", "text")
-    local = settle(ranged.withColumn("_n", F.row_number().over(order)).withColumn(
-        "_p", F.coalesce(F.sum("tok").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ))
     # One row for each conversation and range: what comes before it, and the system turn's tokens.
-    head = F.min_by(F.when(F.col("role") == "system", F.col("tok")), "_n")
-    parts = local.groupBy(*_CONV, "_range").agg(F.count("*").alias("c"), F.sum("tok").alias("t"), head.alias("head"))
+    head = F.min_by(F.when(F.col("role") == "system", F.col("tok")), F.struct("_turn", "role", "text"))
+    parts = ranged.groupBy(*_CONV, "_range").agg(F.count("*").alias("c"), F.sum("tok").alias("t"), head.alias("head"))
     conv = W.partitionBy(*_CONV).orderBy("_range")
     earlier = conv.rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(
+    parts = settle(parts.select(
         *_CONV, "_range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"),
         F.first("head").over(conv).alias("sys_tok"),
+    ))
+    order = W.partitionBy(*_CONV, "_range").orderBy(F.col("_turn").asc_nulls_first(), "role", "text")
+    local = ranged.withColumn("_n", F.row_number().over(order)).withColumn(
+        "_p", F.coalesce(F.sum("tok").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     )
     n, p = F.col("_n") + F.col("c"), F.col("_p") + F.col("t")
     width = F.greatest(F.lit(budget - history) - F.coalesce("sys_tok", F.lit(0)), F.lit(max(1, budget // 4)))
     cell = F.floor(F.col("p") / width)
     across = F.floor((F.col("p") + F.greatest(F.col("tok"), F.lit(1)) - 1) / width) > cell
-    placed = (
+    placed = settle(
         local.join(parts, [*_CONV, "_range"]).withColumn("n", n.cast("long")).withColumn("p", p.cast("long"))
         .withColumn("is_sys", F.col("sys_tok").isNotNull() & (F.col("n") == 1))
         .select(*_CONV, "n", "p", "tok", "role", "text", "is_sys", (2 * cell + across.cast("int")).cast("long").alias("span"))

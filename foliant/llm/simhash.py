@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm.common import hash_sample, packed, text_of, unpacked
@@ -265,6 +264,6 @@ def keep_least(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> Da
     repeated = of.groupBy("doc", "tag").count().filter("count > 1")
     if repeated.isEmpty():
         return kept.select(*unpacked(docs.columns))
-    # Rows that agree in id and text: any one of them, by the order of their columns.
-    order = W.partitionBy("_id", F.xxhash64("_text")).orderBy("_row")
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*unpacked(docs.columns))
+    # Of rows that agree in id and text the least one stays; minima are taken before the shuffle, so many copies do not meet in one task.
+    one = kept.groupBy("_id", F.xxhash64("_text").alias("_hash")).agg(F.min("_row").alias("_row"))
+    return one.select(*unpacked(docs.columns))
