@@ -78,8 +78,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ]
     other = F.struct(F.lit(None).cast("string").alias("kind"), F.when(F.col("text").rlike(_MAYBE), parts_of(F.col("text"), CANDIDATE)).alias("parts"))
     cut = rows.select("doc", "tag", F.explode(F.array(*forms, other)).alias("x")).select("doc", "tag", "x.kind", "x.parts")
-    # Three parts on each side: the words around a match, whether or not they are matches themselves.
-    found = matches(cut, "parts", ["doc", "tag", "kind"], near=3)
+    # Five parts on each side hold two words, even where the words around a match are matches themselves.
+    found = matches(cut, "parts", ["doc", "tag", "kind"], near=5)
     sure = found.filter(F.col("kind").isNull() | _valid(F.col("kind"), F.col("value")))
     before = F.regexp_extract("before", rf"({_WORD})[\x20\x09-\x0D]*$", 1)
     before2 = F.regexp_extract("before", rf"({_WORD})[\x20\x09-\x0D]+{_WORD}[\x20\x09-\x0D]*$", 1)

@@ -183,6 +183,70 @@ def test_contexts_find_new_identifiers(spark):
     assert found == {(100, "email"), (101, "email")}
 
 
+def plain_discovery(texts: list[str], forms: dict, rounds: int = 3) -> set:
+    """Patterns and identifiers scored in dictionaries, with the contexts taken from the texts."""
+    word = r"[^\x20\x09-\x0D]+"
+    core = lambda v: re.sub(r"^[^\w+]+|[^\w]+$", "", v.replace("_", "-")).lower()
+    edges, places = set(), []
+    for d, text in enumerate(texts):
+        base = [(m.start(), m.end(), k) for k, (p, good) in forms.items() for m in re.finditer(p, text) if good(re.sub("[^0-9]", "", m.group()))]
+        free = [(m.start(), m.end(), None) for m in re.finditer(pii.CANDIDATE, text) if not any(a < m.end() and b > m.start() for a, b, _ in base)]
+        for a, b, kind in base + free:
+            before, after = re.findall(word, text[:a].lower()), re.findall(word, text[b:].lower())
+            left = before[-1] if before else pii.START
+            left2 = before[-2] if len(before) > 1 else pii.START
+            right = after[0] if after else pii.END
+            item = core(text[a:b])
+            patterns = ([("b", left, right)] if (left, right) != (pii.START, pii.END) else []) + ([("l", left2, left)] if left != pii.START else [])
+            edges |= {(p, item, kind) for p in patterns}
+            if kind is None:
+                places.append((d, a, b, item))
+    total, known, open_ = defaultdict(set), defaultdict(set), defaultdict(set)
+    for p, item, kind in edges:
+        total[p].add(item)
+        (open_[p] if kind is None else known[p, kind]).add(item)
+    able = {(p, k): s for (p, k), s in known.items() if len(s) >= 3}
+    fits = lambda k, x: ("@" in x or "(at)" in x) if k == "email" else len(re.sub("[^0-9]", "", x)) >= 3
+    worth = {}
+    for _ in range(rounds):
+        trust = {(p, k): min(1.0, (len(s) + sum(worth.get((x, k), 0) for x in open_[p] if fits(k, x))) / len(total[p])) for (p, k), s in able.items()}
+        new = defaultdict(lambda: 1.0)
+        for (p, k), t in trust.items():
+            for x in open_[p] if t >= 0.4 else ():
+                if fits(k, x):
+                    new[x, k] *= max(1 - t, 1e-9)
+        worth = {x: 1 - w for x, w in new.items()}
+    best = {}
+    for (x, k), w in sorted(worth.items(), key=lambda e: (e[1], e[0][1])):
+        if w >= 0.9:
+            best[x] = k
+    return {(d, a, b, best[x]) for d, a, b, x in places if x in best}
+
+
+def test_discovery_against_plain_scores(spark):
+    rng = random.Random(23)
+    frames = ["mail {} today", "call {}", "ring {} or {}", "at {} we met", "from {} on", "the {} of", "{} said so", "write {} now"]
+    luhn = lambda s: sum((2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+    forms = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda d: True),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda d: 12 <= len(d) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda d: 9 <= len(d) <= 15),
+    }
+    make = [
+        lambda: f"u{rng.randrange(60)}@site.org", lambda: f"+49 30 55{rng.randrange(1000, 1060)}1", lambda: f"u{rng.randrange(60)}(at)site", lambda: f"555-0{rng.randrange(100, 160)}",
+        lambda: str(rng.randrange(40)), lambda: f"x{rng.randrange(9)}", lambda: f"({rng.randrange(200, 220)}) {rng.randrange(300, 320)} 4567",
+    ]
+    liked = {0: (0, 0, 0, 2), 1: (1, 1, 1, 3), 2: (1, 0, 3, 3), 3: (4, 5, 1), 4: (0, 2, 5), 5: (4, 4, 1, 0), 6: (0, 0, 0, 0, 2), 7: (1, 6, 1, 1)}
+    texts = []
+    for _ in range(700):
+        f = rng.randrange(len(frames))
+        texts.append(" ".join(frames[f].format(make[rng.choice(liked[f])](), make[rng.choice(liked[f])]()) for f in (f, rng.choice([f, rng.randrange(len(frames))]))))
+    spans = pii.personal_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(r.doc, r.start, r.end, r.kind) for r in spans if not r.base}
+    want = plain_discovery(texts, forms)
+    assert len(want) > 20 and got == want
+
+
 def test_identifiers_without_a_digit_at_the_ends_and_in_several_words(spark):
     texts = [f"mail ann{i}@example.org today" for i in range(50)] + [f"please call us at +49 30 5550{i:04d}" for i in range(50)]
     texts += [f"our office line is +1 (234) 555-{i:04d} all day" for i in range(20)]
@@ -223,6 +287,28 @@ def test_classifier_and_rates(spark):
     assert {r.kind: r["count"] for r in mixed} == {k: int(out["_copies"][out["kind"] == k].sum()) for k in "ab"}
 
 
+def test_rates_against_a_plain_projected_gradient(spark):
+    """The same least squares solved with whole vectors in numpy."""
+    rng = np.random.default_rng(31)
+    p = rng.dirichlet([0.4, 0.7, 0.5], 400)
+    n = rng.integers(1, 900, 400)
+    goal = np.array([0.6, 0.1, 0.3])
+    rows = [(int(i), int(n[i]), [float(x) for x in p[i]]) for i in range(400)]
+    shares = spark.createDataFrame(rows, "doc_id long, n long, p array<double>")
+    steps, totals = mixing.fit_steps(shares, goal, max_rounds=60, tolerance=1e-7, keep_every=7)
+    got = {r.doc_id: r.r for r in shares.select("doc_id", mixing.rate_of(F.col("p"), steps).alias("r")).collect()}
+    w = n / n.sum()
+    inverse = np.linalg.inv(p.T @ (w[:, None] * p) + 1e-9 * np.eye(3))
+    rate = np.ones(400)
+    for _ in range(60):
+        at = (w * rate) @ p
+        if np.abs(at - goal).max() <= 1e-7:
+            break
+        rate = np.maximum(0, rate - p @ (inverse @ (at - goal)))
+    assert max(abs(got[i] - rate[i]) for i in range(400)) < 1e-6
+    assert np.allclose(totals / n.sum(), goal, atol=1e-6) and (rate == 0).any()
+
+
 def test_rates_meet_zero(spark):
     # A target of nothing for one domain: its documents reach rate zero and stay there.
     rows = [(1, 100, [1.0, 0.0]), (2, 100, [0.0, 1.0]), (3, 50, [0.5, 0.5])]
