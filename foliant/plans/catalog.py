@@ -785,7 +785,7 @@ def incremental_reindex(spark, sf):
     prev, cur = v.snapshots(spark, sf)
     root = work_path(spark, "index")
     segments.create(search.postings(prev), prev, root)
-    todo = inc.change_set(cur, prev).filter(c("status") != "reused")
+    todo = settle(inc.change_set(cur, prev).filter(c("status") != "reused").select("doc_id", "text"))
     touched = todo.select("doc_id").unionByName(inc.vanished(cur, prev).select("doc_id"))
     segments.refresh(search.postings(todo), touched, root)
     return segments.read(spark, root).select("doc_id", "term", "tf")
