@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -68,52 +69,72 @@ def track_progress(events: DataFrame) -> DataFrame:
 
 
 PIECE = 4096
-_WAITING = "rows array<struct<at_us:bigint,event_id:bigint,phase:string,done:bigint,total:bigint,pct:bigint>>"
+BUCKETS = 256
+SLOTS = 16
 
 
 class _Ordered(StatefulProcessor):
-    """Events wait under their millisecond until the watermark has passed it; a timer then takes them in order."""
+    """Events of one bucket of runs wait by slots of time until the watermark has passed a slot; a timer then takes them in order."""
+
+    def __init__(self, slot_ms: int) -> None:
+        self._slot_ms = slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", STATE)
-        self._waiting = handle.getMapState("waiting", "at_ms bigint", _WAITING)
+        # The timing values of the bucket's runs, the number of the next piece, and the pieces of each slot: JSON texts.
+        self._last = handle.getValueState("last", "runs string")
+        self._next = handle.getValueState("next", "piece bigint")
+        self._waiting = handle.getMapState("waiting", "slot bigint, piece bigint", "rows string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        number = self._next.get()[0] if self._next.exists() else 0
         piece: dict[int, list[tuple]] = {}
+        slots: set[int] = set()
         n = 0
         for r in rows:
-            piece.setdefault(r.at_us // 1000, []).append((r.at_us, r.event_id, r.phase, r.done, r.total, r.pct))
+            slot = r.at_us // 1000 // self._slot_ms
+            piece.setdefault(slot, []).append((r.at_us, r.event_id, r.collection, r.phase, r.done, r.total, r.pct))
             n += 1
             if n % PIECE == 0:
-                self._keep(piece)
+                number = self._keep(piece, number)
+                slots.update(piece)
                 piece = {}
-        self._keep(piece)
+        number = self._keep(piece, number)
+        slots.update(piece)
+        self._next.update((number,))
+        if slots:
+            self._handle.registerTimer((min(slots) + 1) * self._slot_ms)
         return iter([])
 
-    def _keep(self, piece: dict[int, list[tuple]]) -> None:
-        for at, new in piece.items():
-            known = self._waiting.getValue((at,)) if self._waiting.containsKey((at,)) else None
-            self._waiting.updateValue((at,), ([tuple(x) for x in known[0]] + new if known else new,))
-            if known is None:
-                self._handle.registerTimer(at)
+    def _keep(self, piece: dict[int, list[tuple]], number: int) -> int:
+        for slot, new in piece.items():
+            self._waiting.updateValue((slot, number), (json.dumps(new),))
+        return number + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if not self._waiting.containsKey((at,)):
-            return
-        names = [x.split()[0] for x in STATE.split(", ")]
-        state = dict(zip(names, self._last.get())) if self._last.exists() else {"shown": 0}
-        if state.get("eta_ms") is not None and state["eta_ms"] < 0:
-            state["eta_ms"] = None
-        for at_us, event_id, phase, done, total, pct in sorted((tuple(x) for x in self._waiting.getValue((at,))[0]), key=lambda x: x[:2]):
+        passed = timerValues.getCurrentWatermarkInMs()
+        slots: dict[int, list[int]] = {}
+        for slot, number in self._waiting.keys():
+            slots.setdefault(slot, []).append(number)
+        ready = sorted(s for s in slots if (s + 1) * self._slot_ms <= passed)
+        if ready:
+            runs = json.loads(self._last.get()[0]) if self._last.exists() else {}
+            for slot in ready:
+                yield from self._take(slot, slots.pop(slot), runs)
+            self._last.update((json.dumps(runs),))
+        if slots:
+            self._handle.registerTimer((min(slots) + 1) * self._slot_ms)
+
+    def _take(self, slot: int, numbers: list[int], runs: dict[str, dict]) -> Iterator[Row]:
+        rows: list[list] = []
+        for number in numbers:
+            rows += json.loads(self._waiting.getValue((slot, number))[0])
+            self._waiting.removeKey((slot, number))
+        for at_us, event_id, collection, phase, done, total, pct in sorted(rows, key=lambda x: x[:2]):
+            state = runs.setdefault(str(collection), {"shown": 0})
             state["shown"] = max(state["shown"], pct)
             eta = next_eta(state, phase, at_us / 1000, done, total)
-            yield Row(collection=key[0], event_id=event_id, pct=pct, shown=state["shown"], eta_ms=eta)
-        self._waiting.removeKey((at,))
-        saved = [state.get(n) for n in names]
-        saved[4] = -1.0 if saved[4] is None else saved[4]
-        self._last.update(tuple(saved))
+            yield Row(collection=collection, event_id=event_id, pct=pct, shown=state["shown"], eta_ms=eta)
 
     def close(self) -> None:
         pass
@@ -123,16 +144,20 @@ def ordered_progress(events: DataFrame, within: str = "10 seconds") -> DataFrame
     """As :func:`track_progress`, in the order of the events' times whatever order they arrive in.
 
     An event may come ``within`` later than newer ones; what comes later still
-    is dropped, as the watermark says. Events wait in the state store under
-    their millisecond, and a timer takes each millisecond in turn, so a task
-    holds a few thousand rows at a time, however many events a run or a batch
-    has. An event is given out once events that are ``within`` newer have come.
-    The stream must run inside :func:`state_on_disk`.
+    is dropped, as the watermark says. Runs are dealt to BUCKETS buckets.
+    Events wait in the state store under their slot of time, SLOTS of which
+    make up ``within``, and a timer takes the slots that have passed one after
+    the other, so a task holds the rows of one bucket and one slot at a time,
+    and calls the store per slot, not per event. An event is given out once
+    events that are ``within`` newer than its slot have come. The stream must
+    run inside :func:`state_on_disk`.
     """
     pct = overall_percent(F.col("phase"), F.col("done"), F.col("total"))
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within).select(
-        "collection", "event_id", "phase", "done", "total", "ts", pct.alias("pct"), F.unix_micros("ts").alias("at_us"))
-    return rows.groupBy("collection").transformWithState(_Ordered(), OUT, "Append", "EventTime")
+        "collection", "event_id", "phase", "done", "total", "ts", pct.alias("pct"), F.unix_micros("ts").alias("at_us"),
+        F.pmod(F.xxhash64("collection"), F.lit(BUCKETS)).alias("bucket"))
+    span = events.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval '{within}')").first()[0]
+    return rows.groupBy("bucket").transformWithState(_Ordered(max(1, span // SLOTS)), OUT, "Append", "EventTime")
 
 
 @contextmanager
