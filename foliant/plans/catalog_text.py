@@ -552,7 +552,8 @@ def mail_files(spark, sf):
         head, line('Content-Type: multipart/mixed; boundary="b1"'), line(""), line("--b1"), line("Content-Type: text/plain"), line(""), line(plain),
         attached("one", "One.PNG "), attached("two", "two.png"), line("--b1--"))
     text_ = F.when(key % 2 == 0, multi).otherwise(F.concat(head, line(""), plain))
-    return v.table(spark, sf, "orders").select(
+    orders = v.spread(v.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    return orders.select(
         F.concat(F.lit("mail/"), key.cast("string"), F.lit(".eml")).alias("path"), F.encode(text_, "UTF-8").alias("content"))
 
 

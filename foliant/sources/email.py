@@ -120,6 +120,15 @@ def _content(part) -> bytes:
     return part.get_payload(decode=True) or b""
 
 
+def _caching_policy():
+    """The default policy, which parses a header at every access; here equal headers are parsed once while they are remembered."""
+    from email.headerregistry import HeaderRegistry
+    from email.policy import EmailPolicy
+    from functools import lru_cache
+
+    return EmailPolicy(header_factory=lru_cache(maxsize=4096)(HeaderRegistry()))
+
+
 def parse_attachments(files: DataFrame) -> DataFrame:
     """One row per attached part of each message, empty ones left out.
 
@@ -129,16 +138,19 @@ def parse_attachments(files: DataFrame) -> DataFrame:
 
     def run(frames):
         import email
-        import email.policy
 
         import pandas as pd
 
+        policy = _caching_policy()
         names = ["path", "att_idx", "filename", "mime", "content_id", "disposition", "content", "error"]
         for frame in frames:
             rows = []
             for path, content in zip(frame.path, frame.content):
+                # Without a single content type, in whatever part, the message is plain text and nothing is attached.
+                if content is not None and b"content-type" not in bytes(content).lower():
+                    continue
                 try:
-                    msg = email.message_from_bytes(bytes(content), policy=email.policy.default)
+                    msg = email.message_from_bytes(bytes(content), policy=policy)
                     parts = [
                         p for p in _leaves(msg)
                         if p is not msg and (p.get_filename() or p.get_content_maintype() not in ("text", "multipart"))

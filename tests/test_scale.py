@@ -66,3 +66,26 @@ def test_store_calls_follow_slots_not_events():
     for r in out:
         top[r.collection] = max(top.get(r.collection, 0), r.pct)
         assert r.shown == top[r.collection]
+
+
+def test_mails_are_parsed_by_many_tasks_from_one_row_group(spark, tmp_path):
+    from foliant.plans.catalog_text import mail_files
+    from foliant.sources import email
+
+    rows = [(k, k * 3, "O") for k in range(400)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    parts = email.parse_attachments(mail_files(spark, str(tmp_path)))
+    busy = parts.groupBy(F.spark_partition_id()).count().count()
+    assert busy >= spark.sparkContext.defaultParallelism
+    got = email.attachment_rows(parts).select("path", "att_idx", "name", "content_id").collect()
+    assert sorted(map(tuple, got)) == sorted(
+        (f"mail/{k}.eml", i, n, t) for k in range(0, 400, 2) for i, (n, t) in enumerate([("one.png", "one"), ("two.png", "two")]))
+
+
+def test_equal_headers_are_parsed_once():
+    from foliant.sources import email
+
+    policy = email._caching_policy()
+    first = policy.header_fetch_parse("Content-Type", 'image/png; name="a.png"')
+    assert policy.header_fetch_parse("Content-Type", 'image/png; name="a.png"') is first
+    assert first.content_type == "image/png" and first.params["name"] == "a.png"
