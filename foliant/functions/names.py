@@ -14,7 +14,9 @@ PAD = 6
 
 def bates_label(number: Column, prefix: str) -> Column:
     """Prefix plus the number padded to six digits; longer numbers stay whole."""
-    return F.concat(F.lit(prefix), F.format_string(f"%0{PAD}d", number))
+    # The formatter is slow, so it is left to what is not a plain number.
+    digits = F.when(number >= 10 ** PAD, number.cast("string")).when(number >= 0, F.lpad(number.cast("string"), PAD, "0"))
+    return F.concat(F.lit(prefix), digits.otherwise(F.format_string(f"%0{PAD}d", number)))
 
 
 def fingerprint(name: Column, size: Column) -> Column:

@@ -200,15 +200,17 @@ def opticon_rows(records: DataFrame, prefix: str, keep: Sequence[str] = ()) -> D
     digits = F.regexp_extract(F.substring("beg_bates", len(prefix) + 1, 40), r"^\s*(\d+)", 1)
     start = filled(digits).try_cast("bigint")
     paged = records.filter((F.col("pages") > 0) & (F.col("beg_bates") != "")).withColumn("_s", start)
+    # What is the same on all pages of a record is made once, before its pages.
     pages = paged.filter(F.col("_s").isNotNull()).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("pages").cast("int") - 1)).alias("page")
+        *keep, "_s", F.col("pages").cast("string").alias("_count"), F.replace("file_rel", F.lit("/"), F.lit("\\")).alias("_image"),
+        F.explode(F.sequence(F.lit(0), F.col("pages").cast("int") - 1)).alias("page")
     )
     first = F.col("page") == 0
     return pages.select(
         *keep, "page", bates_label(F.col("_s") + F.col("page"), prefix).alias("page_id"), F.lit("").alias("volume"),
-        F.replace("file_rel", F.lit("/"), F.lit("\\")).alias("image"),
+        F.col("_image").alias("image"),
         F.when(first, "Y").otherwise("").alias("doc_break"), F.lit("").alias("folder_break"),
-        F.lit("").alias("box_break"), F.when(first, F.col("pages").cast("string")).otherwise("").alias("page_count"),
+        F.lit("").alias("box_break"), F.when(first, F.col("_count")).otherwise("").alias("page_count"),
     )
 
 
