@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SAMPLES_PER_RANGE = 16
 MAX_RANGES = 4096
@@ -28,6 +29,31 @@ def _range_count(df: DataFrame) -> int:
     return max(4, min(MAX_RANGES, 2 * parts))
 
 
+def _near_cuts(leads: list, x: Column) -> Column | None:
+    """``(first, many)``: how many cuts surely come before a row, and how many after these may.
+
+    ``leads`` are the leading whole numbers of the cuts, in order, ``x`` that
+    of the row. Equal stretches of the numbers tell where to look, so that most
+    rows meet a cut or two, not a list of them.
+    """
+    nulls = sum(v is None for v in leads)
+    known = leads[nulls:]
+    if not known or known[-1] - known[0] >= 1 << 62:
+        return None
+    low, high, n = known[0], known[-1], len(leads)
+    step = (high - low) // (4 * n) + 1
+    firsts, v = [], nulls
+    for b in range((high - low) // step + 2):
+        while v < n and (leads[v] - low) // step < b:
+            v += 1
+        firsts.append(v)
+    table = F.from_json(F.lit(json.dumps(firsts)), "array<int>")
+    at = F.call_function("div", x - F.lit(low).cast("bigint"), F.lit(step).cast("bigint")).cast("int")
+    inside = F.struct(F.element_at(table, at + 1).alias("first"), (F.element_at(table, at + 2) - F.element_at(table, at + 1)).alias("many"))
+    fixed = lambda first, many: F.struct(F.lit(first).alias("first"), F.lit(many).alias("many"))
+    return F.when(x.isNull(), fixed(0, nulls)).when(x < low, fixed(nulls, 0)).when(x > high, fixed(n, 0)).otherwise(inside)
+
+
 def split_ranges(
     df: DataFrame, order: Sequence[str], ranges: int | None = None, column: str = "_range"
 ) -> DataFrame:
@@ -55,9 +81,19 @@ def split_ranges(
     def constant(values: list) -> Column:
         return F.from_json(F.lit(json.dumps(values)), kind)
 
+    k = F.col("_k")
+    lead = df.select(order[0]).schema[0].dataType
+    if isinstance(lead, IntegralType) and cuts:
+        found = _near_cuts([c.get(order[0]) for c in cuts], k[order[0]].cast("bigint"))
+        if found is not None:
+            return (
+                df.withColumn("_k", key).withColumn("_near", found)
+                .withColumn(column, F.when(F.col("_near.many") == 0, F.col("_near.first")).otherwise(
+                    F.col("_near.first") + F.size(F.filter(F.slice(constant(cuts), F.col("_near.first") + 1, F.col("_near.many")), lambda c: c <= k))))
+                .drop("_k", "_near")
+            )
     # Two levels keep the lookup short.
     width = max(2, int(n ** 0.5))
-    k = F.col("_k")
     block = F.size(F.filter(constant(cuts[width - 1::width]), lambda c: c <= k))
     fine = F.slice(constant(cuts), F.col("_block") * width + 1, F.lit(width))
     return (

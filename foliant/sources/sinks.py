@@ -21,16 +21,25 @@ def csv_cell(value: Column, variant: str = "desktop") -> Column:
     return F.when(value.rlike(special), quoted).otherwise(value)
 
 
+def _with_any(value: Column, chars: str, cleaned: Column) -> Column:
+    """``cleaned`` where one of ``chars`` occurs; a search for a character costs far less than a pattern."""
+    hit = F.contains(value, F.lit(chars[0]))
+    for ch in chars[1:]:
+        hit = hit | F.contains(value, F.lit(ch))
+    return F.when(hit, cleaned).otherwise(value)
+
+
 def dat_cell(value: Column, variant: str = "desktop") -> Column:
     if variant == "web":
         inner = F.replace(value, F.lit(QUALIFIER), F.lit(""))
     else:
-        inner = F.regexp_replace(F.regexp_replace(value, f"[{QUALIFIER}{SEPARATOR}]", ""), "[\r\n]+", " ")
+        cleaned = F.regexp_replace(F.regexp_replace(value, f"[{QUALIFIER}{SEPARATOR}]", ""), "[\r\n]+", " ")
+        inner = _with_any(value, f"{QUALIFIER}{SEPARATOR}\r\n", cleaned)
     return F.concat(F.lit(QUALIFIER), inner, F.lit(QUALIFIER))
 
 
 def opt_cell(value: Column) -> Column:
-    return F.regexp_replace(value, "[,\r\n]+", " ")
+    return _with_any(value, ",\r\n", F.regexp_replace(value, "[,\r\n]+", " "))
 
 
 _FORMS = {
