@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.text import blank, squash_ws, trim_ws
 from foliant.operators.intervals import interval_join
-from foliant.operators.scan import previous_row, row_position, running_sum, split_ranges
+from foliant.operators.scan import row_position, split_ranges
 from foliant.operators.similarity import nearest_color
 from foliant.session import settle
 
@@ -77,25 +78,50 @@ def reading_lines(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     rows = items.filter((trim_ws(F.col("str")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
     rows = rows.select(*keys, "x0", "y0", "str", (-F.col("y0")).alias("_down"))
-    down = settle(split_ranges(rows, [*keys, "_down", "x0", "str"]))
     order = [*keys, "_down", "x0", "str"]
-    above = previous_row(down, order, [*keys, "y0"], "_above", tagged=True)
+    down = split_ranges(settle(rows), order)
+    lasts = down.groupBy("_range").agg(F.max_by(F.struct(*keys, "y0"), F.struct(*order)).alias("_t"))
+    carried = lasts.select("_range", F.lag("_t").over(W.orderBy("_range")).alias("_off"))
+    # One sort of each range serves the item above and the count of openings.
+    local = W.partitionBy("_range").orderBy(*order)
+    above = down.withColumn("_above", F.lag(F.struct(*keys, "y0")).over(local)).join(F.broadcast(carried), "_range", "left")
+    above = above.withColumn("_above", F.coalesce("_above", "_off"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"_above.{k}").eqNullSafe(F.col(k))
-    opens = F.when(F.col("_above").isNull() | ~same | (F.col("_above.y0") - F.col("y0") > 4), 1).otherwise(0)
-    flagged = settle(above.withColumn("_opens", opens.cast("bigint")).drop("_above"))
-    counted = running_sum(flagged, order, F.col("_opens"), "_before", tagged=True)
-    lined = settle(counted.select(*keys, "x0", "_down", "str", (F.col("_before") + F.col("_opens") - 1).alias("_line")))
-    placed = settle(row_position(lined, ["_line", "x0", "_down", "str"], "_at"))
-    heads = placed.groupBy(*keys, "_line").agg(F.min("_at").alias("_head")).withColumnRenamed("_line", "_l")
-    first = heads.groupBy(*keys).agg(F.min("_l").alias("_first"))
-    starts = heads.alias("h").join(first.alias("f"), _same_keys("h", "f", keys)).select("h._l", "h._head", "f._first")
-    found = placed.join(starts, F.col("_line") == F.col("_l"))
+    opens = F.when(F.col("_above").isNull() | ~same | (F.col("_above.y0") - F.col("y0") > 4), 1).otherwise(0).cast("bigint")
+    opened = F.sum(opens).over(local.rowsBetween(W.unboundedPreceding, 0))
+    flagged = settle(above.select(*keys, "x0", "_down", "str", "_range", opened.alias("_opened")))
+    totals = flagged.groupBy("_range").agg(F.max("_opened").alias("_t"))
+    before = totals.select("_range", F.coalesce(F.sum("_t").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    lined = flagged.join(F.broadcast(before), "_range").select(
+        *keys, "x0", "_down", "str", (F.col("_off") + F.col("_opened") - 1).alias("_line"))
+    sizes = lined.groupBy(*keys, "_line").agg(F.count("*").alias("_n"))
+    first = sizes.groupBy(*keys).agg(F.min("_line").alias("_first"))
+    long = settle(sizes.filter(F.col("_n") > PIECE).select("_line"))
+    some = not long.isEmpty()
+    # A line of one piece is put in order by itself; only longer ones need places counted over ranges.
+    words = F.array_sort(F.collect_list(F.struct("x0", "_down", "str")))
+    short = lined.join(long, "_line", "left_anti") if some else lined
+    texts = short.groupBy(*keys, "_line").agg(words.alias("_w")).withColumn("piece", F.lit(0).cast("bigint"))
+    if some:
+        texts = texts.select(*keys, "_line", "piece", F.col("_w.str").alias("_w")).unionByName(
+            _long_lines(lined.join(long, "_line", "left_semi"), keys))
+    else:
+        texts = texts.select(*keys, "_line", "piece", F.col("_w.str").alias("_w"))
+    return texts.alias("t").join(first.alias("f"), _same_keys("t", "f", keys)).select(
+        *[F.col(f"t.{k}").alias(k) for k in keys], (F.col("_line") - F.col("_first")).alias("line"), "piece",
+        squash_ws(F.array_join("_w", " ")).alias("text"))
+
+
+def _long_lines(lined: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, _line, piece, _w)``: the words of each piece of lines of any length."""
+    placed = settle(row_position(settle(lined), ["_line", "x0", "_down", "str"], "_at"))
+    heads = placed.groupBy(F.col("_line").alias("_l")).agg(F.min("_at").alias("_head"))
+    found = placed.join(heads, F.col("_line") == F.col("_l"))
     piece = F.floor((F.col("_at") - F.col("_head")) / PIECE).cast("bigint")
     words = F.array_sort(F.collect_list(F.struct("_at", "str")))
-    return found.groupBy(*keys, (F.col("_line") - F.col("_first")).alias("line"), piece.alias("piece")).agg(
-        squash_ws(F.array_join(F.transform(words, lambda w: w["str"]), " ")).alias("text"))
+    return found.groupBy(*keys, "_line", piece.alias("piece")).agg(words.alias("_w")).withColumn("_w", F.col("_w.str"))
 
 
 def _same_keys(a: str, b: str, keys: list[str]) -> Column:
@@ -128,10 +154,11 @@ def marked_passages(marks: DataFrame, items: DataFrame, cell: float = 32.0) -> D
     c = F.col
     written = items.filter(trim_ws(c("str")) != "").select("doc_id", "page", "str", "x0", "x1", "y0", "y1")
     pairs = interval_join(band, written, ["doc_id", "page"], (c("b0") - 2, c("b1") + 2), (c("y0"), c("y1")), cell)
-    pairs = settle(pairs.filter((c("y1") > c("b0") - 2) & (c("y0") < c("b1") + 2)))
+    pairs = pairs.filter((c("y1") > c("b0") - 2) & (c("y0") < c("b1") + 2))
     mid = (c("x0") + c("x1")) / 2
     under = F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1) & (c("y1") > b["y0"]) & (c("y0") < b["y1"]))
-    text = _one_text(reading_lines(pairs.filter(under), key), key)
+    pairs = settle(pairs.select(*key, "str", "x0", "y0", under.alias("_under")))
+    text = _one_text(reading_lines(pairs.filter("_under"), key), key)
     around = _one_text(reading_lines(pairs, key), key).withColumnRenamed("text", "context")
     rgb = [c("rgb")[i].cast("double") for i in range(3)]
     return (
