@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant.operators import incremental as inc
 from foliant.plans import views as v
 from foliant.plans.catalog import STOP, c, query
-from foliant.session import settle, work_path
+from foliant.session import settle, small_batches, work_path
 from foliant.sources import email, files, office, quarantine
 from foliant.streaming import reindex
 
@@ -122,18 +122,24 @@ def _xlsx(text: str, name: str) -> bytes:
     })
 
 
-def _containers(spark, sf):
-    """``(path, content)``: the documents packed as Office files inside the tasks, by their number modulo three."""
+def _containers(spark, sf, kind=None):
+    """``(path, content)``: the documents packed as Office files inside the tasks, by their number modulo three.
+
+    ``kind`` (0 to 2) packs files of that kind alone.
+    """
 
     def pack(frames):
         import pandas as pd
 
         for frame in frames:
             kinds = {0: ".docx", 1: ".pptx", 2: ".xlsx"}
-            made = [(_docx(t), _pptx(t), _xlsx(t, g))[i % 3] for i, t, g in zip(frame.doc_id, frame.text, frame.lang)]
+            makers = (lambda t, g: _docx(t), lambda t, g: _pptx(t), _xlsx)
+            made = [makers[i % 3](t, g) for i, t, g in zip(frame.doc_id, frame.text, frame.lang)]
             yield pd.DataFrame({"doc_id": frame.doc_id, "path": [f"/vault/{i}{kinds[i % 3]}" for i in frame.doc_id], "content": made})
 
     docs = v.texts(spark, sf, "documents").select("doc_id", "text", "lang")
+    if kind is not None:
+        docs = docs.filter(F.pmod("doc_id", F.lit(3)) == kind)
     return docs.mapInPandas(pack, "doc_id bigint, path string, content binary")
 
 
@@ -148,7 +154,8 @@ OFFICE = """o AS (SELECT doc_id, '/vault/' || doc_id || (['.docx', '.pptx', '.xl
 @query("office_texts", f"WITH {OFFICE} SELECT path, md5(text) AS text FROM o")
 def office_texts(spark, sf):
     """Texts of Word, slide and sheet files."""
-    parts = office.office_parts(_containers(spark, sf))
+    with small_batches(spark):
+        parts = settle(office.office_parts(_containers(spark, sf)))
     return office.office_text(parts).select("path", F.md5("text").alias("text"))
 
 
@@ -160,7 +167,8 @@ SELECT '/vault/' || doc_id || '.docx' AS path, n::BIGINT AS para, run::BIGINT AS
 FROM s WHERE text <> ''""")
 def office_highlights(spark, sf):
     """Marked passages of the Word files, with their pages."""
-    runs = office.highlight_runs(_containers(spark, sf).filter(F.endswith("path", F.lit(".docx"))))
+    with small_batches(spark):
+        runs = settle(office.highlight_runs(_containers(spark, sf, 0).filter(F.endswith("path", F.lit(".docx")))))
     return office.highlight_passages(runs).select(
         "path", c("para").cast("bigint").alias("para"), c("run").cast("bigint").alias("run"), "text", "color", F.md5("context").alias("context"), "page")
 
