@@ -156,7 +156,8 @@ def highlight_passages(runs: DataFrame) -> DataFrame:
     c = F.col
     known = runs.filter(c("para").isNotNull()).withColumn("_paint", F.coalesce("color", F.lit("")))
     order = ["path", "para", "run"]
-    rows = settle(split_ranges(known, order))
+    # Files are read once, not again for the sample of the ranges.
+    rows = settle(split_ranges(settle(known), order))
     paged = running_sum(rows, order, c("breaks").cast("bigint"), "_breaks", tagged=True).withColumn("_upto", c("_breaks") + c("breaks"))
     before = previous_row(settle(paged.drop("_breaks")), order, ["path", "para", "_paint"], "_p", tagged=True)
     same = (c("_p.path") == c("path")) & (c("_p.para") == c("para")) & (c("_p._paint") == c("_paint"))
