@@ -89,3 +89,76 @@ def test_equal_headers_are_parsed_once():
     first = policy.header_fetch_parse("Content-Type", 'image/png; name="a.png"')
     assert policy.header_fetch_parse("Content-Type", 'image/png; name="a.png"') is first
     assert first.content_type == "image/png" and first.params["name"] == "a.png"
+
+
+def test_blocks_of_hashes_give_the_pairs_of_brute_force(spark, monkeypatch):
+    import random
+
+    from foliant.operators import similarity
+
+    rnd = random.Random(8)
+    hs = [rnd.getrandbits(64) - (1 << 63) for _ in range(150)]
+    hs = sorted({h ^ f for h in hs for f in (0, 7, 1 << 40, 0x3F00)})
+    rows = spark.createDataFrame([(h,) for h in hs], "hash bigint")
+    gap = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    want = sorted((a, b, gap(a, b)) for a in hs for b in hs if a < b and gap(a, b) <= 12)
+    assert sorted(map(tuple, similarity._dense_pairs(rows, 12, 100).collect())) == want
+    # With thirteen bands of five bits, buckets of many hashes are not split over and over.
+    monkeypatch.setattr(similarity, "DENSE_FROM", 10)
+    monkeypatch.setattr(similarity, "_block_pairs", None)
+    assert sorted(map(tuple, similarity.similar_edges(rows, 12, bucket_limit=4).collect())) == want
+
+
+def test_near_cuts_agree_with_comparing_all(spark, monkeypatch):
+    import random
+
+    from foliant.operators import scan
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, -5, 0, 3, 3, 3, 3, rnd.randrange(-10 ** 12, 10 ** 12)]), rnd.choice([None, "a", "b"]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, s string, i int")
+    near = scan.split_ranges(df, ["k", "s", "i"], 40).collect()
+    monkeypatch.setattr(scan, "_near_cuts", lambda *a: None)
+    every = scan.split_ranges(df, ["k", "s", "i"], 40).collect()
+    assert sorted(near, key=lambda r: r.i) == sorted(every, key=lambda r: r.i)
+    assert len({r["_range"] for r in near}) > 20
+
+
+def test_long_lines_come_in_pieces_as_before(spark, monkeypatch):
+    from foliant.operators import highlights
+
+    monkeypatch.setattr(highlights, "PIECE", 5)
+    items = [(d, 12.0 * j, 700.0 - 20 * n, f"w{d}{n}{j}") for d in (1, 2, None) for n in range(3) for j in range(12 if n == 1 else 4)]
+    df = spark.createDataFrame(items, "doc bigint, x0 double, y0 double, str string")
+    got = {(r.doc, r.line, r.piece): r.text for r in highlights.reading_lines(df, ["doc"]).collect()}
+    want = {}
+    for d in (1, 2, None):
+        for n in range(3):
+            words = [f"w{d}{n}{j}" for j in range(12 if n == 1 else 4)]
+            for p in range(0, len(words), 5):
+                want[d, n, p // 5] = " ".join(words[p:p + 5])
+    assert got == want
+
+
+def test_office_files_are_packed_once_and_only_as_asked(spark, tmp_path, monkeypatch):
+    from foliant.plans import catalog_files as cf
+
+    rows = [(i, f"a{i}\nb c d", "en", "s") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    import os
+    import shutil
+    part = next(f for f in os.listdir(tmp_path / "d") if f.endswith(".parquet"))
+    shutil.copy(tmp_path / "d" / part, tmp_path / "documents.parquet")
+    got = cf._containers(spark, str(tmp_path), 0).select("path").collect()
+    assert sorted(r.path for r in got) == ["/vault/0.docx", "/vault/3.docx", "/vault/6.docx"]
+
+
+def test_labels_and_cells_of_every_kind(spark):
+    from foliant.functions.names import bates_label
+    from foliant.sources import sinks
+
+    df = spark.createDataFrame([(n,) for n in (0, 7, 999_999, 1_000_000, 10 ** 12, -3)], "n bigint")
+    assert [r[0] for r in df.select(bates_label(F.col("n"), "D-")).collect()] == [f"D-{n:06d}" for n in (0, 7, 999_999, 1_000_000, 10 ** 12, -3)]
+    df = spark.createDataFrame([("plain",), ("a,\r\n,b",), ("þx\x14\r\ny",), ("",)], "s string")
+    assert [r[0] for r in df.select(sinks.opt_cell(F.col("s"))).collect()] == ["plain", "a b", "þx\x14 y", ""]
+    assert [r[0] for r in df.select(sinks.dat_cell(F.col("s"))).collect()] == ["þplainþ", "þa, ,bþ", "þx yþ", "þþ"]
