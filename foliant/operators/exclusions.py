@@ -9,6 +9,8 @@ value giving the first-seen order.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -61,6 +63,20 @@ def recurrence_by_content(att: DataFrame) -> DataFrame:
     return att.groupBy("sha").agg(F.countDistinct("conv").alias("convs"))
 
 
+def _first_seen(att: DataFrame, *fields: str) -> DataFrame:
+    """``(sha, f, convs)``: the fields of each content's first instance, and its distinct conversations.
+
+    Two aggregates, joined: in one, each conversation of a content would carry
+    the fields and their order through both shuffles of the distinct count.
+    """
+    what = F.min_by(F.struct(*fields), "ord").alias("f")
+    known = att.filter(F.col("sha").isNotNull())
+    found = recurrence_by_content(known).join(known.groupBy("sha").agg(what), "sha")
+    # An equality join has no place for contents that could not be read; together they are one.
+    unread = att.filter(F.col("sha").isNull()).groupBy("sha").agg(F.countDistinct("conv").alias("convs"), what)
+    return found.unionByName(unread)
+
+
 def _small_images(att: DataFrame) -> DataFrame:
     return att.filter(F.col("img") & F.col("dhash").isNotNull() & (F.col("size") <= LOGO_MAX_BYTES))
 
@@ -72,12 +88,12 @@ def recurrence_by_look(att: DataFrame) -> DataFrame:
 
 def auto_logos(att: DataFrame) -> DataFrame:
     """Contents that recur in at least three conversations as a small image."""
-    first = att.groupBy("sha").agg(
-        F.countDistinct("conv").alias("convs"), F.min_by(F.struct("img", "size"), "ord").alias("f")
+    often = recurrence_by_content(att).filter(F.col("convs") >= MIN_CONVERSATIONS)
+    often = settle(often.select(F.col("sha").alias("_s")))
+    first = att.join(often, F.col("sha").eqNullSafe(F.col("_s")), "left_semi").groupBy("sha").agg(
+        F.min_by(F.struct("img", "size"), "ord").alias("f")
     )
-    exact = first.filter(
-        (F.col("convs") >= MIN_CONVERSATIONS) & F.col("f.img") & (F.col("f.size") <= LOGO_MAX_BYTES)
-    ).select("sha")
+    exact = first.filter(F.col("f.img") & (F.col("f.size") <= LOGO_MAX_BYTES)).select("sha")
     looks = recurrence_by_look(att).filter(F.col("convs") >= MIN_CONVERSATIONS)
     alike = _small_images(att).select("dhash", "sha").distinct().join(looks, "dhash", "left_semi").select("sha")
     return exact.unionByName(alike).distinct()
@@ -87,7 +103,8 @@ def matching_pointers(att: DataFrame, pointers: tuple[str, ...] | DataFrame) ->
     """Attachments a user's pointers name. A tuple is the user's own rule text, a table is joined."""
     fp = fingerprint(F.col("name"), F.col("size"))
     if isinstance(pointers, DataFrame):
-        wanted = pointers.select(F.col("fp").alias("_fp")).distinct()
+        # Settled, so that the planner knows how few they are before it deals out all attachments.
+        wanted = settle(pointers.select(F.col("fp").alias("_fp")).distinct())
         return att.withColumn("_fp", fp).join(wanted, "_fp", "left_semi").drop("_fp")
     return att.filter(fp.isin(*pointers) if pointers else F.lit(False))
 
@@ -185,10 +202,8 @@ def decision_report(att: DataFrame, decisions: DataFrame, rules: Rules) -> DataF
     """One row per distinct content with its decision and the reason; without any rule there is no report."""
     if not rules.needs_dhash:
         att = att.withColumn("dhash", F.lit(None).cast("bigint"))
-    first = att.groupBy("sha").agg(
-        F.min_by(F.struct("name", "size", "dhash", "img"), "ord").alias("f"), F.countDistinct("conv").alias("c")
-    ).select("sha", "f.*", "c")
-    looks = recurrence_by_look(att).withColumnRenamed("convs", "lc")
+    first = _first_seen(att, "name", "size", "dhash", "img").select("sha", "f.*", F.col("convs").alias("c"))
+    looks = settle(recurrence_by_look(att).withColumnRenamed("convs", "lc"))
     rows = _flagged(first.join(looks, "dhash", "left"), decisions)
     recur = F.greatest("c", F.coalesce("lc", F.lit(0)))
     small = is_small(F.col("size"), rules.exclude_signatures)
@@ -301,6 +316,11 @@ def _dense_looks(by_look: DataFrame) -> DataFrame:
     return close.join(full, "cell", "left_semi").select("dhash").distinct()
 
 
+def _spanning(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys whose rows name three conversations."""
+    return rows.groupBy(*keys).agg(F.countDistinct("conv").alias("_n")).filter(F.col("_n") >= MIN_CONVERSATIONS).select(*keys)
+
+
 def auto_flags(att: DataFrame, exclude_signatures: bool = True) -> DataFrame:
     """Browser variant of the automatic flags: logo, then duplicate, then tiny.
 
@@ -308,9 +328,11 @@ def auto_flags(att: DataFrame, exclude_signatures: bool = True) -> DataFrame:
     (not chains of them) together span three conversations. Expects a ``key``
     column; adds ``auto_reason`` (empty where nothing applies).
     """
-    first = att.groupBy("sha").agg(F.min("ord").alias("_first"))
-    rows = att.join(first, "sha")
-    logo = F.lit(False)
+    # Read many times below, so written once. Most rows are told by their look or by their content alone.
+    att = settle(att)
+    rows = att.filter(F.col("sha").isNotNull())
+    again = rows.groupBy(F.col("sha").alias("_s")).agg(F.min("ord").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    marks = [F.lit(False)]
     if exclude_signatures:
         images = att.filter(F.col("img") & F.col("dhash").isNotNull())
         by_sha = _three_smallest(att, "sha", "conv")
@@ -323,23 +345,31 @@ def auto_flags(att: DataFrame, exclude_signatures: bool = True) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ways = ways.join(sure.withColumnRenamed("dhash", "a"), "a", "left_anti")
         near = ways.join(by_look.withColumnRenamed("dhash", "b"), "b").select(F.col("a").alias("dhash"), "conv")
-        ball = _three_smallest(by_look.unionByName(near), "dhash", "conv")
-        pairs = att.filter("img").filter(F.col("size") <= LOGO_MAX_BYTES).select("sha", "dhash").distinct()
-        spans = (
-            pairs.join(by_sha, "sha").unionByName(pairs.join(ball, "dhash").select("sha", "dhash", "conv"))
-            .groupBy("sha", "dhash").agg(F.countDistinct("conv").alias("n"))
-            .filter(F.col("n") >= MIN_CONVERSATIONS).select("sha", "dhash")
-            .unionByName(pairs.join(sure, "dhash", "left_semi").select("sha", "dhash")).distinct()
-            .select(F.col("sha").alias("_s"), F.col("dhash").alias("_d"), F.lit(True).alias("_logo"))
+        ball = settle(_three_smallest(by_look.unionByName(near), "dhash", "conv"))
+        looks = settle(_spanning(ball, "dhash").unionByName(sure).distinct())
+        contents = _spanning(by_sha, "sha")
+        # What is left needs the conversations of both.
+        rest = (
+            images.filter(F.col("size") <= LOGO_MAX_BYTES).join(looks, "dhash", "left_anti")
+            .select("sha", "dhash").distinct().join(contents, "sha", "left_anti")
         )
-        rows = rows.join(spans, (F.col("sha") == F.col("_s")) & F.col("dhash").eqNullSafe(F.col("_d")), "left")
-        logo = F.col("img") & (F.col("size") <= LOGO_MAX_BYTES) & F.coalesce("_logo", F.lit(False))
+        both = _spanning(
+            rest.join(by_sha, "sha").unionByName(rest.join(ball, "dhash").select("sha", "dhash", "conv")), "sha", "dhash")
+        again = again.join(contents.select(F.col("sha").alias("_c"), F.lit(True).alias("_full")), F.col("_s") == F.col("_c"), "left")
+        rows = rows.join(looks.select(F.col("dhash").alias("_l"), F.lit(True).alias("_look")), F.col("dhash") == F.col("_l"), "left")
+        rows = rows.join(again, F.col("sha") == F.col("_s"), "left")
+        both = settle(both.select(F.col("sha").alias("_bs"), F.col("dhash").alias("_bd"), F.lit(True).alias("_both")))
+        rows = rows.join(both, (F.col("sha") == F.col("_bs")) & (F.col("dhash") == F.col("_bd")), "left")
+        marks = [F.coalesce(x, F.lit(False)) for x in ("_look", "_full", "_both")]
+    else:
+        rows = rows.join(again, F.col("sha") == F.col("_s"), "left")
+    logo = F.col("img") & (F.col("size") <= LOGO_MAX_BYTES) & reduce(or_, marks)
     reason = (
         F.when(logo, "logo/signature image")
         .when(F.col("ord") > F.col("_first"), "duplicate")
         .when(is_small(F.col("size"), exclude_signatures), "tiny attachment").otherwise("")
     )
-    return rows.withColumn("auto_reason", reason).drop("_first", "_s", "_d", "_logo")
+    return rows.withColumn("auto_reason", reason).select(*att.columns, "auto_reason")
 
 
 def review_overrides(flagged: DataFrame, review: DataFrame | None) -> DataFrame:
