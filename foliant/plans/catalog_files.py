@@ -240,9 +240,10 @@ def resumed_reindex(spark, sf):
     later = docs.filter("doc_id % 4 = 0").select("doc_id", F.lit(1).alias("seq"), F.concat("text", F.lit(" second state")).alias("text"))
     gone = docs.filter("doc_id % 9 = 0").select("doc_id", F.lit(2).alias("seq"), F.lit(None).cast("string").alias("text"))
     changes = docs.select("doc_id", F.lit(0).alias("seq"), "text").unionByName(later).unionByName(gone)
-    # Three waves of two files each, in the order of the changes.
+    # Three waves in the order of the changes, each taken in two batches; a file is a part of a batch that one task can hold.
+    many = spark.sparkContext.defaultParallelism
     for wave in range(3):
-        changes.filter(c("seq") == wave).repartition(2).write.mode("append").parquet(f"{base}/in")
+        changes.filter(c("seq") == wave).repartition(2 * many).write.mode("append").parquet(f"{base}/in")
     source = spark.read.parquet(f"{base}/in").schema
     seen: list[int] = []
 
@@ -252,7 +253,7 @@ def resumed_reindex(spark, sf):
             raise reindex.Paused(f"batch {number}")
 
     while True:
-        stream = spark.readStream.schema(source).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        stream = spark.readStream.schema(source).option("maxFilesPerTrigger", many).parquet(f"{base}/in")
         if reindex.run_until_paused(reindex.index_changes(stream, f"{base}/index", f"{base}/state", on_batch=pause)):
             break
     return reindex.current_postings(spark, f"{base}/index").select("doc_id", "term", "tf")
