@@ -97,6 +97,25 @@ class _Distances:
         return self._reaches(self._block[d], i, j)
 
 
+class _Table:
+    """What :class:`_Distances` tells, for short sequences: the common length of every two rests stands in a table."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        n, m = len(x), len(y)
+        common = np.zeros((n + 1, m + 1), dtype=np.int32)
+        for i in range(n - 1, -1, -1):
+            best = np.maximum(common[i + 1, :-1], (common[i + 1, 1:] + 1) * (y == x[i]))
+            common[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        self._rows, self._n, self._m = common.tolist(), n, m
+        self.total = n + m - 2 * self._rows[0][0]
+
+    def within(self, d: int, i: int, j: int) -> bool:
+        return self._n - i + self._m - j - 2 * self._rows[i][j] <= d
+
+
+SHORT = 1 << 18
+
+
 def _script(a: list, b: list) -> list[tuple[str, object]]:
     """Edit script of two sequences by longest common subsequence.
 
@@ -115,7 +134,8 @@ def _script(a: list, b: list) -> list[tuple[str, object]]:
     in_both = np.zeros(len(ids) + 1, dtype=bool)
     in_both[np.intersect1d(x, y)] = True
     x_both, y_both = in_both[x], in_both[y]
-    distances = _Distances(x[x_both], y[y_both])
+    x_shared, y_shared = x[x_both], y[y_both]
+    distances = (_Table if len(x_shared) * len(y_shared) <= SHORT else _Distances)(x_shared, y_shared)
     xs, ys, x_known, y_known = x.tolist(), y.tolist(), x_both.tolist(), y_both.tolist()
     out = [("eq", v) for v in a[:head]]
     # i and j count all items, p and q those that both sides have; left is how much the rest of these differs.

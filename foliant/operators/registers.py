@@ -106,6 +106,8 @@ def amendment_history(versions: DataFrame) -> DataFrame:
     old = versions.select("family", F.col("version").alias("base"), F.col("text").alias("old_text"))
     new = versions.select("family", "version", F.col("text").alias("new_text"))
     pairs = linked.join(old, ["family", "base"]).join(new, ["family", "version"])
+    # Short texts are few bytes and much work: joined rows would be merged into a few tasks.
+    pairs = pairs.repartition(4 * versions.sparkSession.sparkContext.defaultParallelism)
     return redline(pairs, ["family", "version", "base"])
 
 

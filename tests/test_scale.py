@@ -1,11 +1,13 @@
 """What the work of a step grows with, on rows built here."""
 
+import random
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from foliant.operators import exclusions as ex
-from foliant.plans import catalog
+from foliant.operators import redline, registers
+from foliant.plans import catalog, catalog_files
 from foliant.plans import views as v
 from foliant.streaming import progress
 
@@ -220,3 +222,31 @@ def test_automatic_flags_read_their_input_once(spark, tmp_path):
     # Parts 4 and 404 look nearly alike, but are seen in two conversations only.
     assert got == [(1, "2-1", logo)] * 3 + [(2, "2-1", logo), (3, "2-1", logo), (3, "4-1", "tiny attachment"),
                    (4, "3-1", "tiny attachment"), (4, "404-9", "")]
+
+
+def test_versions_are_compared_in_many_tasks(spark):
+    rows = spark.range(200).selectExpr("id % 20 AS family", "id AS version", "concat('line ', id) AS text")
+    out = registers.amendment_history(rows)
+    assert out.filter("removed = 1").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert out.count() == 180
+
+
+def test_a_wave_is_many_files(spark, tmp_path, monkeypatch):
+    spark.sql("SELECT id AS doc_id, concat('word', id, ' other') AS text FROM range(400)").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalog_files, "work_path", lambda spark, label: f"{tmp_path}/{label}")
+    got = catalog_files.resumed_reindex(spark, str(tmp_path)).collect()
+    many = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "resumed" / "in").glob("*.parquet"))) > 3 * many
+    want = {(i, t) for i in range(400) if i % 9 for t in [f"word{i}", "other"] + ["second", "state"] * (i % 4 == 0)}
+    assert {(r.doc_id, r.term) for r in got} == want and len(got) == len(want)
+
+
+def test_short_texts_are_compared_by_a_table(monkeypatch):
+    rng = random.Random(3)
+    pairs = [["".join(rng.choice("ab \nc") for _ in range(rng.randrange(60))) for _ in range(2)] for _ in range(300)]
+    long_way = redline._Distances
+    monkeypatch.setattr(redline, "_Distances", None)
+    short = [redline.compare_texts(a, b) for a, b in pairs]
+    monkeypatch.setattr(redline, "_Distances", long_way)
+    monkeypatch.setattr(redline, "SHORT", -1)
+    assert short == [redline.compare_texts(a, b) for a, b in pairs]
