@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant.operators import incremental as inc
 from foliant.plans import views as v
 from foliant.plans.catalog import STOP, c, query
-from foliant.session import settle, small_batches, work_path
+from foliant.session import settle, small_batches, whole_files, work_path
 from foliant.sources import email, files, office, quarantine
 from foliant.streaming import reindex
 
@@ -27,12 +27,13 @@ def corpus_scan(spark, sf):
     """The texts as files in folders: plain, deep, of an unknown format, in dot folders and module folders; and one file as a root."""
     root = work_path(spark, "vault")
     docs = v.texts(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    # One file for each folder, in the order of the ids.
-    rows = settle(docs.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id"))
-    rows = rows.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id")
-    for top in ("letters", "deep/1/2/3/4/5/6/7/8/9/pages", ".trash/old", "node_modules/pkg"):
-        rows.select("source", "lang", "text").write.partitionBy("source", "lang").text(f"{root}/{top}")
+    # One file for each folder, in the order of the ids; the others are written from it, file by file.
+    rows = docs.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id")
     rows.write.partitionBy("source", "lang").parquet(f"{root}/tables")
+    with whole_files(spark):
+        rows = spark.read.schema(docs.schema).parquet(f"{root}/tables")
+        for top in ("letters", "deep/1/2/3/4/5/6/7/8/9/pages", ".trash/old", "node_modules/pkg"):
+            rows.select("source", "lang", "text").write.partitionBy("source", "lang").text(f"{root}/{top}")
     listed = files.scan_files(spark, [root])
     one = listed.filter(F.contains("path", F.lit("/letters/"))).orderBy("path").first().path
     found = files.plain_text(files.scan_files(spark, [root, f"{root}/missing", one], with_content=True))

@@ -9,6 +9,7 @@ from foliant.operators import exclusions as ex
 from foliant.operators import redline, registers
 from foliant.plans import catalog, catalog_files
 from foliant.plans import views as v
+from foliant.session import whole_files
 from foliant.streaming import progress
 
 
@@ -250,3 +251,22 @@ def test_short_texts_are_compared_by_a_table(monkeypatch):
     monkeypatch.setattr(redline, "_Distances", long_way)
     monkeypatch.setattr(redline, "SHORT", -1)
     assert short == [redline.compare_texts(a, b) for a, b in pairs]
+
+
+def test_folders_are_written_file_by_file(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "repeat('x', 200) AS t", "id % 3 AS k").repartition("k").sortWithinPartitions("k", "id").write.partitionBy(
+        "k").parquet(f"{tmp_path}/in")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        with whole_files(spark):
+            rows = spark.read.schema("id long, t string, k long").parquet(f"{tmp_path}/in")
+            assert rows.rdd.getNumPartitions() == 3
+            rows.selectExpr("cast(id as string)", "k").write.partitionBy("k").text(f"{tmp_path}/out")
+        assert spark.conf.get(key) == "4096"
+    finally:
+        spark.conf.set(key, before)
+    for k in range(3):
+        (file,) = (tmp_path / "out" / f"k={k}").glob("*.txt")
+        assert [int(x) for x in file.read_text().split()] == list(range(k, 3000, 3))
