@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import exclusions as ex
 from foliant.operators import redline, registers
+from foliant.operators.components import components
 from foliant.plans import catalog, catalog_files
 from foliant.plans import views as v
 from foliant.session import whole_files
@@ -270,3 +271,41 @@ def test_folders_are_written_file_by_file(spark, tmp_path):
     for k in range(3):
         (file,) = (tmp_path / "out" / f"k={k}").glob("*.txt")
         assert [int(x) for x in file.read_text().split()] == list(range(k, 3000, 3))
+
+
+def test_groups_need_no_rows_for_band_paths(spark, monkeypatch):
+    from foliant.operators import similarity
+
+    rnd = random.Random(5)
+    spot = [rnd.getrandbits(64) for _ in range(9)]
+    hs = [s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(7))) for s in spot for _ in range(40)]
+    hs = sorted({h - (1 << 63) for h in hs} | {rnd.getrandbits(64) - (1 << 63) for _ in range(60)})
+    gap = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    root = {h: h for h in hs}
+
+    def top(h):
+        while root[h] != h:
+            h = root[h]
+        return h
+
+    for i, b in enumerate(hs):
+        for a in hs[:i]:
+            if gap(a, b) <= 8:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    want = {h: top(h) for h in hs}
+    df = spark.createDataFrame([(h,) for h in hs], "hash bigint")
+    blocks = similarity._block_forests(df.selectExpr("hash", "0 AS path", "0L AS key", f"{len(hs)}L AS n"), [(0, [])], 8, 200)
+    got = {r.node: r.root for r in components(blocks).collect()}
+    assert {h: got.get(h, h) for h in hs} == want
+    split = []
+    monkeypatch.setattr(similarity, "_tie_centres", lambda *a, real=similarity._tie_centres: split.append(1) or real(*a))
+    monkeypatch.setattr(similarity, "LINK_STRIP", 500)
+    monkeypatch.setattr(similarity.similar_edges, "__defaults__", (8, 4, False))
+    edges = similarity.similar_edges(df, linked=True).collect()
+    # Buckets of more than four hashes are not split again, and give no more pairs than connect them.
+    assert not split and len(edges) < 9 * len(hs) and all(gap(r.a, r.b) == r.bits <= 8 and r.a < r.b for r in edges)
+    for factor in (256, 6):
+        monkeypatch.setattr(similarity, "LINK_FACTOR", factor)
+        assert {r["hash"]: r.root for r in similarity.hash_groups(df).collect()} == want
+    assert split
