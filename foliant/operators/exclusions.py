@@ -86,17 +86,31 @@ def recurrence_by_look(att: DataFrame) -> DataFrame:
     return _small_images(att).groupBy("dhash").agg(F.countDistinct("conv").alias("convs"))
 
 
+def _often(rows: DataFrame, key: str) -> DataFrame:
+    """Keys, as ``_often``, that are seen in three conversations: there is one between the smallest and the largest.
+
+    Partly aggregated extremes and the few rows between them are shuffled, not every conversation of every key.
+    """
+    ends = rows.groupBy(F.col(key).alias("_often")).agg(F.min("conv").alias("_low"), F.max("conv").alias("_high"), F.count("conv").alias("_n"))
+    ends = settle(ends.filter((F.col("_low") < F.col("_high")) & (F.col("_n") >= MIN_CONVERSATIONS)).drop("_n"))
+    seen = rows.select(key, "conv").join(ends, F.col(key).eqNullSafe(F.col("_often")))
+    return settle(seen.filter((F.col("conv") > F.col("_low")) & (F.col("conv") < F.col("_high"))).select("_often").distinct())
+
+
 def auto_logos(att: DataFrame) -> DataFrame:
-    """Contents that recur in at least three conversations as a small image."""
-    often = recurrence_by_content(att).filter(F.col("convs") >= MIN_CONVERSATIONS)
-    often = settle(often.select(F.col("sha").alias("_s")))
-    first = att.join(often, F.col("sha").eqNullSafe(F.col("_s")), "left_semi").groupBy("sha").agg(
+    """Contents that recur in at least three conversations as a small image; a few small jobs run at once."""
+    return _logo_rows(att).distinct()
+
+
+def _logo_rows(att: DataFrame) -> DataFrame:
+    """:func:`auto_logos`, a content once for each reason and row that tells so."""
+    first = att.join(_often(att, "sha"), F.col("sha").eqNullSafe(F.col("_often")), "left_semi").groupBy("sha").agg(
         F.min_by(F.struct("img", "size"), "ord").alias("f")
     )
     exact = first.filter(F.col("f.img") & (F.col("f.size") <= LOGO_MAX_BYTES)).select("sha")
-    looks = recurrence_by_look(att).filter(F.col("convs") >= MIN_CONVERSATIONS)
-    alike = _small_images(att).select("dhash", "sha").distinct().join(looks, "dhash", "left_semi").select("sha")
-    return exact.unionByName(alike).distinct()
+    small = _small_images(att)
+    alike = small.join(_often(small, "dhash"), F.col("dhash") == F.col("_often"), "left_semi").select("sha")
+    return exact.unionByName(alike)
 
 
 def matching_pointers(att: DataFrame, pointers: tuple[str, ...] | DataFrame) -> DataFrame:
@@ -110,12 +124,13 @@ def matching_pointers(att: DataFrame, pointers: tuple[str, ...] | DataFrame) ->
 
 
 def _with_look_alikes(att: DataFrame, named: DataFrame) -> DataFrame:
-    """``(sha, tag)``: the contents in ``named`` (``sha, dhash, tag``) and what looks like them, all tags in one pass."""
+    """``(sha, tag)``: the contents in ``named`` (``sha, dhash, tag``) and what looks like them, all tags in one pass, with repeats."""
     named = settle(named.distinct())
-    looks = settle(att.filter(F.col("dhash").isNotNull()).select("sha", "dhash").distinct())
-    near = near_tagged(looks.select(F.col("dhash").alias("hash")), named.select(F.col("dhash").alias("hash"), "tag"))
+    looks = att.filter(F.col("dhash").isNotNull()).select("sha", "dhash")
+    # The hashes found are settled, so that the planner knows how few they are before it deals out all contents.
+    near = settle(near_tagged(looks.select(F.col("dhash").alias("hash")), named.select(F.col("dhash").alias("hash"), "tag")))
     alike = looks.join(near.withColumnRenamed("hash", "dhash"), "dhash").select("sha", "tag")
-    return named.select("sha", "tag").unionByName(alike).distinct()
+    return named.select("sha", "tag").unionByName(alike)
 
 
 def decide(att: DataFrame, rules: Rules) -> DataFrame:
@@ -130,8 +145,15 @@ def decide(att: DataFrame, rules: Rules) -> DataFrame:
     named = []
     if rules.exclude_names:
         named.append(att.filter(F.col("name").isin(_lower(rules.exclude_names))).select("sha", "dhash", F.lit("x").alias("tag")))
-    for pointers, tag in ((rules.exclude_pointers, "x"), (rules.keep_pointers, "k")):
-        if _given(pointers):
+    both = ((rules.exclude_pointers, "x"), (rules.keep_pointers, "k"))
+    tables = [p.select(F.col("fp").alias("_fp"), F.lit(tag).alias("tag")) for p, tag in both if isinstance(p, DataFrame)]
+    if tables:
+        # One pass makes the fingerprints for all tables.
+        wanted = settle(reduce(DataFrame.unionByName, tables).distinct())
+        hits = att.select("sha", "dhash", fingerprint(F.col("name"), F.col("size")).alias("_fp")).join(wanted, "_fp")
+        named.append(hits.select("sha", "dhash", "tag"))
+    for pointers, tag in both:
+        if _given(pointers) and not isinstance(pointers, DataFrame):
             named.append(matching_pointers(att, pointers).select("sha", "dhash", F.lit(tag).alias("tag")))
     parts = []
     if named:
@@ -141,7 +163,7 @@ def decide(att: DataFrame, rules: Rules) -> DataFrame:
         tag = F.col("tag")
         parts.append(_with_look_alikes(att, rows).select("sha", (tag == "x").alias("x"), off.alias("l"), (tag == "k").alias("k")))
     if rules.exclude_signatures:
-        parts.append(auto_logos(att).select("sha", off.alias("x"), on.alias("l"), off.alias("k")))
+        parts.append(_logo_rows(att).select("sha", off.alias("x"), on.alias("l"), off.alias("k")))
     rows = att.select("sha", off.alias("x"), off.alias("l"), off.alias("k")).filter(F.lit(False)) if not parts else parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -281,7 +303,7 @@ def group_layout(groups: DataFrame) -> DataFrame:
     folder = F.concat(F.lit("Group "), number, F.lit(" ("), F.col("members").cast("string"), noun)
     file = safe_name(decorate_name(F.col("name"), F.col("size"), long_to_hex(F.col("dhash"))))
     placed = groups.withColumn("folder", folder).withColumn("_file", file).withColumnRenamed("name", "_name").withColumnRenamed("_file", "name")
-    claimed = claim_names(settle(placed), ["content"])
+    claimed = claim_names(placed, ["content"])
     return claimed.drop("name").withColumnRenamed("_name", "name").withColumnRenamed("final_name", "file")
 
 
