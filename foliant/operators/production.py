@@ -281,6 +281,10 @@ def excluded_summary(files: DataFrame) -> DataFrame:
     )
 
 
+# A queue of names up to this length is counted in one task.
+QUEUE_LIMIT = 1 << 16
+
+
 def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``final_name``: a taken name gets one more leading ``_`` until free.
 
@@ -291,17 +295,24 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     and the others go on together with the names that start at the next number.
     So one round for each number that occurs in a queue settles it. Each round
     counts places over ranges of the whole order, so a queue of any length is
-    dealt over many tasks. ``order`` must tell the files of a folder apart.
+    dealt over many tasks. Queues of up to ``QUEUE_LIMIT`` files whose names all
+    start at one number take no part in the rounds: each is counted in one task.
+    ``order`` must tell the files of a folder apart.
 
     Folders and names that are null are empty. Runs a few jobs for each round.
     """
     name = F.coalesce("name", F.lit(""))
-    bare = F.regexp_replace(name, "^_+", "")
+    bare = F.ltrim(name, F.lit("_"))
     queue = ["_folder", "_bare"]
     rows = settle(
         files.withColumn("_bare", F.lower(bare)).withColumn("_folder", F.lower(F.coalesce("folder", F.lit(""))))
         .withColumn("_u", (F.length(name) - F.length(bare)).cast("int"))
     )
+    shapes = rows.groupBy(*queue).agg(F.count("*").alias("_n"), F.min("_u").alias("_low"), F.max("_u").alias("_high"))
+    uneven = settle(shapes.filter((F.col("_n") > QUEUE_LIMIT) | (F.col("_low") < F.col("_high"))).select(*queue))
+    turn = F.row_number().over(W.partitionBy(*queue).orderBy(*order))
+    plain = rows.join(uneven, queue, "left_anti").withColumn("_slot", F.col("_u") + turn - 1)
+    rows = settle(rows.join(uneven, queue, "left_semi"))
     steps = W.partitionBy(*queue).orderBy("_u")
     # One row for each number of underscores of a queue: where its slots begin, and how many there are before the next number.
     levels = settle(
@@ -329,6 +340,7 @@ def claim_names(files: DataFrame, order: Sequence[str]) -> DataFrame:
     if done is None:
         done = waiting.withColumn("_slot", F.col("_u"))
     final = F.concat(F.repeat(F.lit("_"), F.col("_slot") - F.col("_u")), F.coalesce("name", F.lit("")))
+    done = plain.unionByName(done.select(*plain.columns))
     return done.withColumn("final_name", final).select(*files.columns, "final_name")
 
 

@@ -309,3 +309,47 @@ def test_groups_need_no_rows_for_band_paths(spark, monkeypatch):
         monkeypatch.setattr(similarity, "LINK_FACTOR", factor)
         assert {r["hash"]: r.root for r in similarity.hash_groups(df).collect()} == want
     assert split
+
+
+def test_plain_queues_of_names_are_counted_at_once(spark, monkeypatch):
+    from foliant.operators import production
+
+    rnd = random.Random(4)
+    rows = [(i, f"f{i % 2}", f"A{i % 5}.txt") for i in range(40)] + [
+        (100 + i, "F0", "_" * rnd.randrange(4) + "b.txt") for i in range(30)] + [(200 + i, None, None) for i in range(3)] + [(300, "z", "___")]
+    df = spark.createDataFrame(rows, "k int, folder string, name string")
+    want, taken = {}, set()
+    for k, folder, name in sorted(rows):
+        name = name or ""
+        while ((folder or "").lower(), name.lower()) in taken:
+            name = "_" + name
+        taken.add(((folder or "").lower(), name.lower()))
+        want[k] = name
+    places = []
+    monkeypatch.setattr(production, "row_position", lambda df, *a, real=production.row_position: places.append(df.count()) or real(df, *a))
+    for limit, most in ((1 << 16, 30), (3, 70)):
+        monkeypatch.setattr(production, "QUEUE_LIMIT", limit)
+        places.clear()
+        assert {r.k: r.final_name for r in production.claim_names(df, ["k"]).collect()} == want
+        # Only names that start at several numbers, or in long queues, go through the rounds.
+        assert places and max(places) <= most
+
+
+def test_often_is_three_conversations(spark, tmp_path):
+    rows = [(k, v) for k, vs in {"a": [1, 2, 3], "b": [1, 1, 2, 2], "c": [5], None: [7, 8, 9], "d": [None, 1, 2], "e": [4, None, 2, 9, 9]}.items() for v in vs]
+    df = spark.createDataFrame(rows, "sha string, conv int")
+    assert {r[0] for r in ex._often(df, "sha").collect()} == {"a", None, "e"}
+    att = catalog.hashed(spark, _lines(spark, tmp_path))
+    decided = ex.decide(att, ex.Rules(exclude_signatures=True, keep_pointers=spark.createDataFrame([("part 404|9000",)], "fp string")))
+    # First instances and flags: conversations and looks of contents are not dealt out again.
+    assert _plan(decided).count("Exchange hashpartitioning(sha") == 2
+    assert {(r.sha, r.in_logo, r.in_keep) for r in decided.collect()} == {("2-1", True, False), ("404-9", False, True), ("4-1", False, True)}
+
+
+def test_hash_of_a_picture_comes_from_the_part(spark, tmp_path):
+    from foliant.functions.hashing import hex_to_long
+
+    got = v.attachments(spark, _lines(spark, tmp_path)).filter("dhash IS NOT NULL")
+    part, supplier = (F.split("sha", "-")[i].cast("bigint") for i in (0, 1))
+    assert got.filter(F.col("dhash") != hex_to_long(v.image_hash(part, supplier))).count() == 0 and got.count() == 7
+    assert "md5" not in next(line for line in _plan(got).splitlines() if "Project" in line and "l_suppkey" in line and "sha" in line)
