@@ -166,3 +166,20 @@ def test_nearest_color(spark):
     df = spark.createDataFrame([(250.0, 250.0, 10.0), (10.0, 200.0, 90.0), (255.0, 160.0, 5.0), (None, 1.0, 1.0)], "r double, g double, b double")
     got = [r[0] for r in df.select(similarity.nearest_color(F.col("r"), F.col("g"), F.col("b"))).collect()]
     assert got == ["yellow", "#0ac85a", "orange", "highlight"]
+
+
+def test_groups_that_share_a_hash_are_no_bits_apart(spark, monkeypatch):
+    gap = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    far = 0x5A5A5A5A5A5A5A5A
+    rows = [(g, far) for g in range(12)] + [(20, 0x7), (21, 0x7), (21, 0x7), (21, 0x1F), (22, far ^ 1), (23, None), (24, None), (25, -1)]
+    want = {}
+    for g, h in rows:
+        for k, i in rows:
+            if g < k and None not in (h, i) and gap(h, i) <= 12:
+                want[g, k] = min(gap(h, i), want.get((g, k), 64))
+    assert want[0, 1] == want[20, 21] == 0 and want[0, 22] == 1
+    df = spark.createDataFrame(rows, "group_no bigint, dhash bigint")
+    # A hash of many groups is paired in blocks.
+    monkeypatch.setattr(similarity, "BUCKET_LIMIT", 5)
+    got = similarity.group_distances(df).collect()
+    assert len(got) == len(want) and {(r.group_a, r.group_b): r.bits for r in got} == want
