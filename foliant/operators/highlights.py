@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import blank, squash_ws, trim_ws
+from foliant.functions.text import WS, blank, squash_ws, trim_ws
 from foliant.operators.intervals import interval_join
 from foliant.operators.scan import row_position, split_ranges
 from foliant.operators.similarity import nearest_color
@@ -61,7 +61,14 @@ def quad_boxes(points: Column, rect: Column) -> Column:
         F.size(rect) == 4, F.array(whole)).otherwise(none)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 PIECE = 4096
+# The items of a key (a page, a mark) are put in order in one task up to this number.
+WHOLE = 1 << 16
 
 
 def reading_lines(items: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,15 +76,62 @@ def reading_lines(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Items belong to one line while the gap to the item above is at most 4; lines
     go top down, items of a line from left to right. (The reference compares
-    pairs, which is no consistent order for sloping text.) Gaps, lines and
-    places are counted over ranges of the whole order, so that a page with most
-    of the items is dealt like any other; a line of more than PIECE items comes
-    in several pieces. ``line`` counts from 0 in each key. Blank items, and
-    items without a place, are left out.
+    pairs, which is no consistent order for sloping text.) The items of a key
+    are dealt to one task and put in order there; of keys with more than WHOLE
+    items, gaps, lines and places are counted over ranges of the whole order,
+    so that a page with most of the items is dealt like any other. A line of
+    more than PIECE items comes in several pieces. ``line`` counts from 0 in
+    each key. Blank items, and items without a place, are left out. A small job
+    asks at once which keys have more than WHOLE items.
     """
     keys = list(keys)
-    rows = items.filter((trim_ws(F.col("str")) != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
-    rows = rows.select(*keys, "x0", "y0", "str", (-F.col("y0")).alias("_down"))
+    rows = _placed(items).select(*keys, "x0", "y0", "str", (-F.col("y0")).alias("_down"))
+    crowded = _crowded(rows, keys)
+    if crowded is None:
+        return _whole_lines(rows, keys)
+    few, many = _parted(rows, crowded, keys)
+    return _whole_lines(few, keys).unionByName(_ranged_lines(many, keys))
+
+
+def _placed(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("str").rlike(f"[^{WS}]") & F.col("x0").isNotNull() & F.col("y0").isNotNull())
+
+
+def _crowded(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more than WHOLE rows, if there are any."""
+    found = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > WHOLE).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _parted(rows: DataFrame, crowded: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of other keys, and those of the crowded ones."""
+    a, b, on = rows.alias("a"), crowded.alias("b"), _same_keys("a", "b", keys)
+    return a.join(b, on, "left_anti"), a.join(b, on, "left_semi")
+
+
+def _lines_of(items: Column) -> Column:
+    """The words of each line of one key, from an array of ``(_down, x0, str)`` that is not empty."""
+    def cut(s: Column) -> Column:
+        gap = lambda i: F.get(s, i - 1)["_down"] - F.get(s, i - 2)["_down"]
+        return _let(F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (gap(i) > 4)), lambda starts: F.transform(
+            starts, lambda at, k: F.slice(s, at, F.coalesce(F.get(starts, k + 1), F.size(s) + 1) - at)))
+
+    across = lambda x: F.struct(x["x0"].alias("x0"), x["_down"].alias("_down"), x["str"].alias("str"))
+    return F.transform(_let(F.sort_array(items), cut), lambda line: F.sort_array(F.transform(line, across))["str"])
+
+
+def _whole_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    # Dealt before they are collected: collecting first would sort all rows on both sides of the shuffle.
+    pages = rows.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("_down", "x0", "str")).alias("_items"))
+    found = pages.select(*keys, F.posexplode(_lines_of(F.col("_items"))).alias("_i", "_w"))
+    last = F.floor((F.size("_w") - 1) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("_w", k * PIECE + 1, F.lit(PIECE)))
+    cut = found.select(*keys, F.col("_i").cast("bigint").alias("line"), F.posexplode(pieces).alias("_p", "_w"))
+    return cut.select(*keys, "line", F.col("_p").cast("bigint").alias("piece"), squash_ws(F.array_join("_w", " ")).alias("text"))
+
+
+def _ranged_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`reading_lines` for keys of any size."""
     order = [*keys, "_down", "x0", "str"]
     down = split_ranges(settle(rows), order)
     lasts = down.groupBy("_range").agg(F.max_by(F.struct(*keys, "y0"), F.struct(*order)).alias("_t"))

@@ -73,3 +73,31 @@ def test_long_lines_come_in_pieces(spark):
     got = sorted((r.piece, r.text) for r in highlights.reading_lines(df, ["page"]).collect())
     assert [p for p, _ in got] == [0, 1, 2]
     assert " ".join(t for _, t in got) == " ".join(f"w{i}" for i in range(10_000))
+
+
+def recorded(monkeypatch) -> list[int]:
+    """The numbers of rows of the tables that are written from now on."""
+    sizes = []
+    real = highlights.settle
+
+    def settle(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(highlights, "settle", settle)
+    return sizes
+
+
+def test_pages_are_put_in_order_without_writing_their_items(spark, monkeypatch):
+    rnd = random.Random(5)
+    items = [(rnd.choice([1, 1, 1, 1, 2, 3]), float(rnd.randrange(200)), float(rnd.choice([10, 12, 30, 33, 36, 39, 90])), f"w{i}") for i in range(300)]
+    df = spark.createDataFrame(items, "page int, x0 double, y0 double, str string").repartition(4)
+    sizes, want = recorded(monkeypatch), plain_lines(items)
+    got = highlights.reading_lines(df, ["page"]).collect()
+    assert {(r.page, r.line): r.text for r in got} == want and len(got) == len(want)
+    assert max(sizes, default=0) == 0
+    # A page of more items than a task takes is counted over ranges.
+    monkeypatch.setattr(highlights, "WHOLE", 100)
+    got = highlights.reading_lines(df, ["page"]).collect()
+    assert {(r.page, r.line): r.text for r in got} == want and len(got) == len(want)
