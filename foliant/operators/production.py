@@ -46,7 +46,9 @@ def family_spans(records: DataFrame) -> DataFrame:
     return records.groupBy("family").agg(F.sum("span").alias("family_span"))
 
 
-def number_records(records: DataFrame, order: Sequence[str], prefix: str = "DOC-", start: int = 1) -> DataFrame:
+def number_records(
+    records: DataFrame, order: Sequence[str], prefix: str = "DOC-", start: int = 1, families: bool = False
+) -> DataFrame:
     """Add ``beg_no, end_no, beg_bates, end_bates``.
 
     ``order`` must start with the family and put the head before its children.
@@ -54,8 +56,14 @@ def number_records(records: DataFrame, order: Sequence[str], prefix: str = "DOC-
     records numbers families and members together, and a family of any size is
     cut into ranges like everything else. Records with a span of zero (failed)
     get empty labels and use no number.
+
+    With ``families`` the rows keep the range they were numbered in (``_range``;
+    a family is in one range, or marked by ``_cut``), so that what is asked of
+    each family afterwards is found there and the records are dealt out once.
     """
-    out = running_sum(records, order, F.col("span"), "_before")
+    if families:
+        records = split_ranges(records, order, whole=True)
+    out = running_sum(records, order, F.col("span"), "_before", tagged=families)
     out = out.withColumn("beg_no", F.col("_before") + start).withColumn(
         "end_no", F.col("_before") + start + F.col("span") - 1
     )
@@ -67,17 +75,36 @@ def number_records(records: DataFrame, order: Sequence[str], prefix: str = "DOC-
     )
 
 
+def over_families(records: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each family to its members; no family is collected. Records without a family get NULL.
+
+    Records that kept their range are aggregated there; the few families that
+    are dealt over ranges, at most one for two ranges, are aggregated apart and
+    joined back, as are all families of other records.
+    """
+    known = F.col("family").isNotNull()
+    if "_range" not in records.columns:
+        return records.join(records.filter(known).groupBy("family").agg(*[v.alias(n) for n, v in values.items()]), "family", "left")
+    own = W.partitionBy("_range", "family")
+    out = records.withColumns({n: F.when(known, v.over(own)) for n, v in values.items()})
+    if "_cut" not in records.columns:
+        return out
+    few = records.filter("_cut").groupBy("family").agg(*[v.alias(f"_{n}") for n, v in values.items()])
+    out = out.join(F.broadcast(few), "family", "left")
+    return out.withColumns({n: F.when(F.col("_cut"), F.col(f"_{n}")).otherwise(F.col(n)) for n in values}).drop(*[f"_{n}" for n in values])
+
+
 def family_ranges(records: DataFrame) -> DataFrame:
     """Add the family range to every member.
 
-    It starts at the head and ends at the last member with an end number. Per
-    family this is one aggregated row, joined back; no family is collected.
+    It starts at the head and ends at the last member with an end number.
+    Records without a family are left out.
     """
-    ends = records.groupBy("family").agg(
-        F.min_by("beg_bates", F.struct("child", "beg_no")).alias("beg_attach"),
-        F.max_by("end_bates", F.when(F.col("end_bates") != "", F.struct("child", "beg_no"))).alias("end_attach"),
-    )
-    return records.join(ends.withColumn("end_attach", blank(F.col("end_attach"))), "family")
+    out = over_families(records.filter(F.col("family").isNotNull()), {
+        "beg_attach": F.min_by("beg_bates", F.struct("child", "beg_no")),
+        "end_attach": F.max_by("end_bates", F.when(F.col("end_bates") != "", F.struct("child", "beg_no"))),
+    })
+    return out.withColumn("end_attach", blank(F.col("end_attach")))
 
 
 def family_ranges_web(records: DataFrame) -> DataFrame:

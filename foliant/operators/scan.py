@@ -55,10 +55,14 @@ def _near_cuts(leads: list, x: Column) -> Column | None:
 
 
 def split_ranges(
-    df: DataFrame, order: Sequence[str], ranges: int | None = None, column: str = "_range"
+    df: DataFrame, order: Sequence[str], ranges: int | None = None, column: str = "_range", whole: bool = False
 ) -> DataFrame:
     """Tag each row with the number of the range its sort key falls in.
 
+    With ``whole`` the rows of one value of the leading column stay in one range
+    unless two cut points or more fall among them. If that happens to any value, a
+    column ``_cut`` says of each row whether its value may be dealt over ranges.
+
     Two small jobs draw the cut points at once: the row count gives a threshold,
     and rows whose key hashes below it are the sample. Its size follows from
     the number of ranges alone, whatever the numbers of rows and tasks, and at
@@ -77,12 +81,22 @@ def split_ranges(
     # Cut points need not be exact: rounding in the text form only moves a cut.
     cuts = json.loads(every.select(F.to_json("c")).first()[0])
     kind = every.schema["c"].dataType.simpleString()
+    many: list = []
+    if whole:
+        leads = [c.get(order[0]) for c in cuts]
+        again = [i > 0 and leads[i - 1] == v for i, v in enumerate(leads)]
+        many = [v for v in dict.fromkeys(v for v, more in zip(leads, again) if more) if v is not None]
+        # The first cut of a value goes back to its start: the other columns are null, which sorts first.
+        cuts = [c if more or c.get(order[0]) is None else {order[0]: c[order[0]]} for c, more in zip(cuts, again)]
 
     def constant(values: list) -> Column:
         return F.from_json(F.lit(json.dumps(values)), kind)
 
     k = F.col("_k")
     lead = df.select(order[0]).schema[0].dataType
+    if many:
+        dealt = F.array_contains(F.from_json(F.lit(json.dumps(many)), f"array<{lead.simpleString()}>"), F.col(order[0]))
+        df = df.withColumn("_cut", F.coalesce(dealt, F.lit(False)))
     if isinstance(lead, IntegralType) and cuts:
         found = _near_cuts([c.get(order[0]) for c in cuts], k[order[0]].cast("bigint"))
         if found is not None:
@@ -113,7 +127,7 @@ def running_sum(
     df: DataFrame, order: Sequence[str], value: Column, out: str, ranges: int | None = None,
     tagged: bool = False,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows *before* this one."""
+    """Add ``out``: the sum of ``value`` over all rows *before* this one. ``tagged`` rows keep their range."""
     base = (df if tagged else split_ranges(df, order, ranges)).withColumn("_v", value)
     totals = base.groupBy("_range").agg(F.sum("_v").alias("_t"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

@@ -237,3 +237,41 @@ def test_enrichment_ignores_failing_batches(spark):
     raw = spark.createDataFrame([('Sure: [{"id":"a","docType":"NDA","parties":["x"]}] done',), ("none",)], "r string")
     rows = raw.select(inc.parse_reply(F.col("r")).alias("p")).collect()
     assert rows[0].p[0].docType == "NDA" and not rows[1].p
+
+
+def test_families_are_found_where_they_were_numbered(spark):
+    import random
+
+    rnd = random.Random(9)
+    # One family holds most records and is dealt over ranges; others have no head, and some records no family.
+    rows = [(f, k, rnd.choice([0, 1, 3]), i) for f in [*range(-20, 20), None] for i, k in enumerate(rnd.sample(range(6), 3))]
+    rows += [(7, 10 + i, rnd.choice([0, 2]), i) for i in range(600)] + [(19, None, 1, 1)]
+    df = spark.createDataFrame(rows, "family bigint, child int, span bigint, ord int").repartition(5)
+    order = ["family", "child", "ord"]
+    # In number order, which is that of the rows.
+    plain = sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in (r[0], r[1], r[3])))
+    at, of = 1, {}
+    for f, k, n, _ in plain:
+        of.setdefault(f, []).append((k, at, n, f"DOC-{at:06d}" if n else "", f"DOC-{at + n - 1:06d}" if n else ""))
+        at += n
+    kept = prod.number_records(df, order, families=True)
+    assert {"_range", "_cut"} <= set(kept.columns)
+    for numbers in (kept, prod.number_records(df, order)):
+        got = {}
+        for r in prod.family_ranges(numbers).collect():
+            got.setdefault(r.family, []).append((r.child, r.beg_no, r.span, r.beg_bates, r.end_bates))
+            some = [x for x in of[r.family] if x[2]]
+            assert r.end_attach == (some[-1][4] if some else "")
+            assert r.beg_attach == of[r.family][0][3]
+        assert {f: sorted(x, key=str) for f, x in got.items()} == {f: sorted(x, key=str) for f, x in of.items() if f is not None}
+        for r in prod.family_ranges_web(numbers.filter("span > 0")).collect():
+            kids = [x for x in of[r.family] if x[0] and x[0] > 0 and x[2]]
+            own = r.child == 0 and r.family is not None and kids
+            assert (r.beg_attach, r.end_attach) == ((kids[0][3], kids[-1][4]) if own else ("", ""))
+
+
+def test_review_tables_deal_their_records_out_once(spark):
+    from foliant.plans import catalog_text as catalog
+
+    plan = catalog.dat_lines_web(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan and "hashpartitioning(family" not in plan
