@@ -109,14 +109,11 @@ def family_ranges(records: DataFrame) -> DataFrame:
 
 def family_ranges_web(records: DataFrame) -> DataFrame:
     """Browser variant: the head alone carries the range of its attachments."""
-    kids = records.filter(F.col("child") > 0).groupBy("family").agg(
-        F.min_by("beg_bates", F.struct("child", "beg_no")).alias("_b"),
-        F.max_by("end_bates", F.struct("child", "beg_no")).alias("_e"),
-    )
+    kid = F.when(F.col("child") > 0, F.struct("child", "beg_no"))
     head = F.col("child") == 0
+    out = over_families(records, {"_b": F.min_by("beg_bates", kid), "_e": F.max_by("end_bates", kid)})
     return (
-        records.join(kids, "family", "left")
-        .withColumn("beg_attach", F.when(head, blank(F.col("_b"))).otherwise(""))
+        out.withColumn("beg_attach", F.when(head, blank(F.col("_b"))).otherwise(""))
         .withColumn("end_attach", F.when(head, blank(F.col("_e"))).otherwise(""))
         .drop("_b", "_e")
     )

@@ -271,7 +271,11 @@ def test_families_are_found_where_they_were_numbered(spark):
 
 
 def test_review_tables_deal_their_records_out_once(spark):
+    from foliant.plans import catalog as plans
     from foliant.plans import catalog_text as catalog
 
     plan = catalog.dat_lines_web(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_range" in plan and "hashpartitioning(family" not in plan
+
+    plan = plans.load_file_web(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan and "hashpartitioning(family" not in plan
