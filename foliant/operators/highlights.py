@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WS, blank, squash_ws, trim_ws
-from foliant.operators.intervals import interval_join
+from foliant.functions.text import WS, blank, squash_ws
+from foliant.operators.intervals import interval_join, interval_lists, level_set, levels_in
 from foliant.operators.scan import row_position, split_ranges
 from foliant.operators.similarity import nearest_color
 from foliant.session import settle
@@ -45,20 +45,21 @@ def highlight_lines(docs: DataFrame, max_context: int | None = None) -> DataFram
 
 def quad_boxes(points: Column, rect: Column) -> Column:
     """Boxes of a mark: one per eight quad numbers, else its bounding rectangle."""
-    n = F.floor(F.size(points) / 8).cast("int")
+    def quads(p: Column) -> Column:
+        def box(i: Column) -> Column:
+            xs, ys = (F.array(*[F.element_at(p, (i * 8 + k).cast("int")) for k in ks]) for ks in ((1, 3, 5, 7), (2, 4, 6, 8)))
+            return F.struct(
+                F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
 
-    def box(i: Column) -> Column:
-        xs = F.transform(F.array(*[F.lit(k) for k in (1, 3, 5, 7)]), lambda k: F.element_at(points, (i * 8 + k).cast("int")))
-        ys = F.transform(F.array(*[F.lit(k) for k in (2, 4, 6, 8)]), lambda k: F.element_at(points, (i * 8 + k).cast("int")))
-        return F.struct(
-            F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+        n = F.floor(F.size(p) / 8).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), box))
 
     whole = F.struct(
         F.least(rect[0], rect[2]).alias("x0"), F.greatest(rect[0], rect[2]).alias("x1"),
         F.least(rect[1], rect[3]).alias("y0"), F.greatest(rect[1], rect[3]).alias("y1"))
     none = F.array().cast("array<struct<x0:double,x1:double,y0:double,y1:double>>")
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), box)).when(
-        F.size(rect) == 4, F.array(whole)).otherwise(none)
+    # The numbers may come from a long expression: it is worked out once, not for each use.
+    return F.coalesce(_let(points, quads), F.when(F.size(rect) == 4, F.array(whole)), none)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,20 +111,25 @@ def _parted(rows: DataFrame, crowded: DataFrame, keys: list[str]) -> tuple[DataF
 
 
 def _lines_of(items: Column) -> Column:
-    """The words of each line of one key, from an array of ``(_down, x0, str)`` that is not empty."""
+    """The words of each line of one key, from a sorted array of ``(_down, x0, str)``."""
     def cut(s: Column) -> Column:
         gap = lambda i: F.get(s, i - 1)["_down"] - F.get(s, i - 2)["_down"]
         return _let(F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (gap(i) > 4)), lambda starts: F.transform(
             starts, lambda at, k: F.slice(s, at, F.coalesce(F.get(starts, k + 1), F.size(s) + 1) - at)))
 
-    across = lambda x: F.struct(x["x0"].alias("x0"), x["_down"].alias("_down"), x["str"].alias("str"))
-    return F.transform(_let(F.sort_array(items), cut), lambda line: F.sort_array(F.transform(line, across))["str"])
+    def across(line: Column) -> Column:
+        # What lies at one height is in order already.
+        turned = F.transform(line, lambda x: F.struct(x["x0"].alias("x0"), x["_down"].alias("_down"), x["str"].alias("str")))
+        level = F.get(line, F.lit(0))["_down"] == F.get(line, F.size(line) - 1)["_down"]
+        return F.when(level, line["str"]).otherwise(F.sort_array(turned)["str"])
+
+    return F.transform(_let(items, cut), across)
 
 
 def _whole_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
     # Dealt before they are collected: collecting first would sort all rows on both sides of the shuffle.
     pages = rows.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("_down", "x0", "str")).alias("_items"))
-    found = pages.select(*keys, F.posexplode(_lines_of(F.col("_items"))).alias("_i", "_w"))
+    found = pages.select(*keys, F.posexplode(_lines_of(F.sort_array("_items"))).alias("_i", "_w"))
     last = F.floor((F.size("_w") - 1) / PIECE).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("_w", k * PIECE + 1, F.lit(PIECE)))
     cut = found.select(*keys, F.col("_i").cast("bigint").alias("line"), F.posexplode(pieces).alias("_p", "_w"))
@@ -198,24 +204,67 @@ def marked_passages(marks: DataFrame, items: DataFrame, cell: float = 32.0) -> D
     str, x0, x1, y0, y1``. A text item is under a box when its middle lies
     within the box's width (one unit to spare) and the heights overlap. Marks
     and items meet on a grid of heights (``cell`` units to begin with), so that
-    a page of many marks and items does not give every pair of them. A mark
-    without text under it gives no row.
+    a page of many marks and items does not give every pair of them. What a mark
+    meets is put in order in one task; on pages of more than WHOLE items, over
+    ranges. A mark without text under it gives no row.
     """
-    key = ["doc_id", "page", "mark_no"]
+    key, page = ["doc_id", "page", "mark_no"], ["doc_id", "page"]
+    c = F.col
+    rgb = [c("rgb")[i].cast("double") for i in range(3)]
+    # Read three times, and few beside the items: written once, so that no long expression for the boxes is repeated.
+    marks = settle(marks.select(*key, "boxes", nearest_color(*rgb).alias("color")))
     band = marks.select(*key, "boxes").withColumns({
         "b0": F.array_min(F.transform("boxes", lambda b: b["y0"])), "b1": F.array_max(F.transform("boxes", lambda b: b["y1"])),
     }).filter(F.size("boxes") > 0)
+    written = _placed(items).select("doc_id", "page", "str", "x0", "x1", "y0", "y1")
+    # One job tells the crowded pages and the levels of the grid.
+    pages = settle(written.groupBy(*page).agg(F.count("*").alias("_n"), level_set((c("y0"), c("y1")), cell).alias("_set")))
+    levels = levels_in(pages.agg(F.bit_or("_set")).first()[0], band.agg(level_set(_reach(), cell)).first()[0])
+    crowded = pages.filter(c("_n") > WHOLE).select(*page)
+    if crowded.isEmpty():
+        texts = _whole_passages(band, written, cell, levels)
+    else:
+        (a, x), (b, y) = (_parted(rows, crowded, page) for rows in (band, written))
+        texts = _whole_passages(a, b, cell, levels).unionByName(_ranged_passages(x, y, cell, key))
+    return (
+        marks.select(*key, "color").join(texts, key)
+        .select(*key, "text", "color", blank(c("context")).alias("context"))
+    )
+
+
+def _reach() -> tuple[Column, Column]:
+    """The heights of the surroundings of a mark."""
+    return F.col("b0") - 2, F.col("b1") + 2
+
+
+def _under(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    mid = (x0 + x1) / 2
+    return F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1) & (y1 > b["y0"]) & (y0 < b["y1"]))
+
+
+def _whole_passages(band: DataFrame, written: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """``(key, text, context)`` of marks on pages of at most WHOLE items."""
+    key = ["doc_id", "page", "mark_no"]
+    low, high = _reach()
+    found = interval_lists(band, written, ["doc_id", "page"], (low, high), ("y0", "y1"), cell, levels, "_met")
+    around = F.transform(F.filter("_met", lambda x: (x["y1"] > low) & (x["y0"] < high)), lambda x: F.struct(
+        (-x["y0"]).alias("_down"), x["x0"].alias("x0"), x["str"].alias("str"), _under(x["x0"], x["x1"], x["y0"], x["y1"]).alias("_under")))
+    lists = found.select(*key, around.alias("_met")).groupBy(*key).agg(F.flatten(F.collect_list("_met")).alias("_met"))
+    lists = lists.filter(F.exists("_met", lambda x: x["_under"]))
+    text = lambda items: squash_ws(F.array_join(F.flatten(_lines_of(items)), " "))
+    both = _let(F.sort_array("_met"), lambda s: F.struct(
+        text(F.filter(s, lambda x: x["_under"])).alias("text"), text(s).alias("context")))
+    # Words are not blank, so neither are the texts: a condition on them would have them made twice.
+    return lists.select(*key, both.alias("_t")).select(*key, "_t.text", "_t.context")
+
+
+def _ranged_passages(band: DataFrame, written: DataFrame, cell: float, key: list[str]) -> DataFrame:
+    """``(key, text, context)`` of marks on pages of any size."""
     c = F.col
-    written = items.filter(trim_ws(c("str")) != "").select("doc_id", "page", "str", "x0", "x1", "y0", "y1")
-    pairs = interval_join(band, written, ["doc_id", "page"], (c("b0") - 2, c("b1") + 2), (c("y0"), c("y1")), cell)
-    pairs = pairs.filter((c("y1") > c("b0") - 2) & (c("y0") < c("b1") + 2))
-    mid = (c("x0") + c("x1")) / 2
-    under = F.exists("boxes", lambda b: (mid >= b["x0"] - 1) & (mid <= b["x1"] + 1) & (c("y1") > b["y0"]) & (c("y0") < b["y1"]))
-    pairs = settle(pairs.select(*key, "str", "x0", "y0", under.alias("_under")))
+    low, high = _reach()
+    pairs = interval_join(band, written, ["doc_id", "page"], (low, high), (c("y0"), c("y1")), cell)
+    pairs = pairs.filter((c("y1") > low) & (c("y0") < high))
+    pairs = settle(pairs.select(*key, "str", "x0", "y0", _under(c("x0"), c("x1"), c("y0"), c("y1")).alias("_under")))
     text = _one_text(reading_lines(pairs.filter("_under"), key), key)
     around = _one_text(reading_lines(pairs, key), key).withColumnRenamed("text", "context")
-    rgb = [c("rgb")[i].cast("double") for i in range(3)]
-    return (
-        marks.select(*key, nearest_color(*rgb).alias("color")).join(text, key).join(around, key, "left")
-        .filter(c("text") != "").select(*key, "text", "color", blank(c("context")).alias("context"))
-    )
+    return text.join(around, key, "left")

@@ -101,3 +101,44 @@ def test_pages_are_put_in_order_without_writing_their_items(spark, monkeypatch):
     monkeypatch.setattr(highlights, "WHOLE", 100)
     got = highlights.reading_lines(df, ["page"]).collect()
     assert {(r.page, r.line): r.text for r in got} == want and len(got) == len(want)
+
+
+def test_numbers_of_a_mark_are_worked_out_once(spark):
+    points = F.transform(F.array(*[F.lit(float(v)) for v in (1, 9, 5, 9, 1, 2, 5, 2)]), lambda v: F.sqrt(v + F.col("id")))
+    df = spark.range(1, 3).select(highlights.quad_boxes(points, F.array(*[F.lit(0.0)] * 4)).alias("boxes"))
+    assert df._jdf.queryExecution().analyzed().toString().upper().count("SQRT(") == 1
+    near = lambda b, v: all(abs(x - y ** 0.5) < 1e-9 for x, y in zip((b.x0, b.x1, b.y0, b.y1), v))
+    first, second = (r.boxes for r in df.collect())
+    assert len(first) == 1 and near(first[0], (2, 6, 3, 10)) and near(second[0], (3, 7, 4, 11))
+
+
+def test_marks_meet_their_words_without_writing_pairs(spark, monkeypatch):
+    rnd = random.Random(12)
+    items = []
+    for i in range(150):
+        x, y, page = float(rnd.randrange(60)), float(rnd.choice([0, 3, 10, 33, 36, 60, 99])), rnd.choice([1, 1, 1, 2, None])
+        items.append((1, page, f"w{i}" if i % 9 else " ", x, x + 4, y, y + rnd.choice([1.0, 8.0, 70.0])))
+    marks = [(1, rnd.choice([1, 1, 2, None]), n, [(x := float(rnd.randrange(50)), x + 20, y := float(rnd.randrange(90)), y + rnd.choice([2.0, 40.0]))]) for n in range(30)]
+    df = spark.createDataFrame(items, "doc_id int, page int, str string, x0 double, x1 double, y0 double, y1 double").repartition(3)
+    mf = spark.createDataFrame(marks, "doc_id int, page int, mark_no int, boxes array<struct<x0:double,x1:double,y0:double,y1:double>>")
+    mf = mf.withColumn("rgb", F.array(F.lit(250), F.lit(240), F.lit(10)))
+
+    def in_order(found):
+        lines = plain_lines([(0, x0, y0, s) for _, _, s, x0, _, y0, _ in found])
+        return " ".join(lines[0, n] for n in range(len(lines)))
+
+    want = {}
+    for d, p, n, ((bx0, bx1, by0, by1),) in marks:
+        here = [i for i in items if p is not None and i[1] == p and i[2].strip() and i[6] > by0 - 2 and i[5] < by1 + 2]
+        under = [i for i in here if bx0 - 1 <= (i[3] + i[4]) / 2 <= bx1 + 1 and i[6] > by0 and i[5] < by1]
+        if under:
+            want[d, p, n] = (in_order(under), "yellow", in_order(here))
+    assert len(want) > 10
+    sizes = recorded(monkeypatch)
+    # At first in one task for each mark, then over ranges.
+    for limit in (1 << 16, 20):
+        monkeypatch.setattr(highlights, "WHOLE", limit)
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in highlights.marked_passages(mf, df).collect()}
+        assert got == want
+        if limit > 20:
+            assert max(sizes) <= len(marks)
